@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a run of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +44,18 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_field(schema: StructType, name: str, kind) -> StructType:
+    return StructType([*schema.fields, StructField(name, kind)])
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the edges a-b, all within one batch."""
     root = np.arange(n)
@@ -78,3 +92,48 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def sorted_groups(batches, keys: int):
+    """(key, table) for each run of equal values in the first `keys` long columns of sorted record batches; holds one run at a time."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)])
+        cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            now = tuple(key[:, lo].tolist())
+            if now != held_key:
+                if held:
+                    yield held_key, pa.Table.from_batches(held)
+                held, held_key = [], now
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield held_key, pa.Table.from_batches(held)
+
+
+def in_batches(parts, names: list[str], rows: int = 50_000):
+    """Record batches of about `rows` rows from tuples of equally long arrays."""
+    held, n = [], 0
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            n += len(part[0])
+        if n >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
+
+
+def tiled(df: DataFrame, group: str, member: str, rows: int) -> DataFrame:
+    """df with (group, t0, t1, mine): groups over `rows` rows are dealt into tiles, and a row goes to every pair of tiles it is in.
+
+    Any two rows of a group meet in one (group, t0, t1); the group itself never meets in one task.
+    """
+    big = df.groupBy(group).count().where(F.col("count") > rows).select(group, F.ceil(F.col("count") / rows).cast("int").alias("tiles"))
+    out = df.join(big, group, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    out = out.withColumn("mine", F.pmod(F.xxhash64(member), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return out.withColumn("t0", F.least("mine", "other")).withColumn("t1", F.greatest("mine", "other")).drop("tiles", "other")

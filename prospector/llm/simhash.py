@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospector.llm.common import components, cut, local_roots, table
+from prospector.llm.common import components, cut, in_batches, local_roots, sorted_groups, table, tiled
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: A pair within RADIUS bits agrees in one of RADIUS + 1 blocks of the 64 bits; (first bit, bits) of each.
@@ -106,38 +106,13 @@ def links(distinct: DataFrame) -> DataFrame:
             key = key * 16 + F.bit_count(block.bitwiseXOR(F.lit(v & ((1 << bits) - 1))))
         rows.append(key)
     leaves = distinct.select("fp", F.explode(F.array(*rows)).alias("leaf"))
-    big = leaves.groupBy("leaf").count().where(F.col("count") > LEAF_ROWS).select("leaf", F.ceil(F.col("count") / LEAF_ROWS).cast("int").alias("tiles"))
-    leaves = leaves.join(big, "leaf", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    leaves = leaves.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    leaves = leaves.select("leaf", F.least("mine", "other").alias("t0"), F.greatest("mine", "other").alias("t1"), "fp")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["leaf", "t0", "t1"]
+    leaves = tiled(leaves, "leaf", "fp", LEAF_ROWS).select(*keys, "fp")
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        held: list[np.ndarray] = []
-        held_key = None
-
-        def flush():
-            fps = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            return leaf_edges(fps) if len(fps) > 1 else (fps[:0], fps[:0])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-            fps = b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
-            cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]))
-            found = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if (now := tuple(key[:, lo])) != held_key:
-                    found.append(flush())
-                    held, held_key = [], now
-                held.append(fps[lo:hi])
-            out = [np.concatenate(x).view(np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b"])
-        out = [x.view(np.int64) for x in flush()]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b"])
+        found = (leaf_edges(t.column(3).to_numpy().view(np.uint64)) for _, t in sorted_groups(batches, 3) if t.num_rows > 1)
+        yield from in_batches(((a.view(np.int64), b.view(np.int64)) for a, b in found), ["a", "b"])
 
     return leaves.repartition(max(n, 1), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
