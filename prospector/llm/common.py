@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -56,6 +56,22 @@ def with_field(schema: StructType, name: str, kind) -> StructType:
     return StructType([*schema.fields, StructField(name, kind)])
 
 
+def row_key(df: DataFrame) -> Column:
+    """A hash of all columns; equal for repeated rows."""
+    return F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns])
+
+
+def repeat_rows(df: DataFrame, key: str, times: DataFrame) -> DataFrame:
+    """df with each distinct row as often as times (key, n) says; key is row_key() in a column of both.
+
+    Repeated rows fall together before they are shuffled, so a row repeated without end makes no hot task.
+    """
+    n = fresh(df, "n")
+    one = df.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where(F.col(n) == 1).drop(n)
+    counted = times.groupBy(key).agg(F.sum("n").cast("int").alias(n)).where(F.col(n) > 0)
+    return one.join(counted, key).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, key)
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the edges a-b, all within one batch."""
     root = np.arange(n)

@@ -7,8 +7,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from prospector.llm.common import components, cut, in_batches, local_roots, sorted_groups, table, tiled
+from prospector.llm.common import components, cut, fresh, in_batches, local_roots, repeat_rows, row_key, sorted_groups, table, tiled, with_field
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: A pair within RADIUS bits agrees in one of RADIUS + 1 blocks of the 64 bits; (first bit, bits) of each.
@@ -41,16 +42,17 @@ def fingerprint(text: bytes | None) -> int:
     return int((set_ << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of docs but the text, and fp, the fingerprint as a signed long."""
+    rest = [c for c in docs.columns if c != text_col]
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[id_col, "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(len(rest))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(fps)], names=[*rest, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"{id_col} {kind}, fp long")
+    light = docs.select(*rest)
+    return docs.select(*rest, F.col(text_col).cast("binary")).mapInArrow(run, with_field(light.schema, "fp", LongType()))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,21 +119,31 @@ def links(distinct: DataFrame) -> DataFrame:
     return leaves.repartition(max(n, 1), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row: component_id is the smallest id reachable over links of at most RADIUS bits.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """All columns of docs (doc_id, text, and others) but the text, with fp, root and component_id, for every row.
 
-    Equal fingerprints meet first, so copies never make pairs. Null and empty text: fingerprint zero, linked like any other.
-    A null id takes part, but is never the smallest; a component of null ids only has a null id. No rows: none.
+    component_id is the smallest doc_id reachable over links of at most RADIUS bits, root the smallest fingerprint. Equal
+    fingerprints meet first, so copies never make pairs. Null and empty text: fingerprint zero, linked like any other. A null id
+    takes part, but is never the smallest; a component of null ids only has a null id. No rows: none.
     """
-    fps = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("low")))
+    fps = cut(fingerprints(docs))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct.select("fp")))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(named, fps["fp"] == named["_fp"]).select(id_col, "fp", "component_id")
+    named = named.join(lowest, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return fps.join(named, fps["fp"] == named["_fp"]).drop("_fp")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without all but one row of each component: the row of the smallest doc_id stays, of several the one of least hash."""
+    key = fresh(docs, "row")
+    keyed = docs.withColumn(key, row_key(docs))
+    marked = near_duplicates(keyed.select("doc_id", "text", F.col(key).alias("row")))
+    best = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("b"))
+    return repeat_rows(keyed, key, best.select(F.col("b.row").alias(key), F.lit(1).alias("n")))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
