@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import defaultdict
 from itertools import product
 
 import numpy as np
@@ -20,6 +21,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 4_000
 PREFIXES, LEAST_CONTEXTS = (4, 5, 6, 7), 4
 #: Evidence that a word or family needs: the log odds of its contexts, kept low by PRIOR clean ones.
 PRIOR, LEAST_WEIGHT = 1.0, 2.5
+#: Toxic contexts for each clean one that it needs, and hash classes in which candidates are counted first.
+PURITY, HASH_CLASSES = 20, 1 << 22
 CACHE = 500_000
 
 TOKEN = re.compile(r"[^\W_]+|[.!?;\n\"“”«»]")
@@ -76,38 +79,49 @@ def families(word: str):
             yield word[:n] + "*"
 
 
+def contexts(words: list[str]):
+    """Each word of letters or digits with a hash of its neighbours."""
+    for k, w in enumerate(words):
+        if w[0].isalnum():
+            yield w, hash((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
+
+
 def learn_words(rows: list[tuple[str, int]]) -> dict[str, float]:
     """Weights of words and word beginnings that mark toxic texts.
 
     Evidence is counted in distinct contexts, the words before and after, so that copies of one text count once.
     """
-    toxic_docs: Counter = Counter()
-    for text, label in rows:
-        if label:
-            toxic_docs.update({f for w in set(TOKEN.findall(text.lower())) for f in families(w) if w[0].isalnum()})
-    wanted = {f for f, n in toxic_docs.items() if n >= LEAST_CONTEXTS}
-    contexts: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
-    totals: list[set] = [set(), set()]
-    for text, label in rows:
-        words = TOKEN.findall(text.lower())
-        seen = contexts[label]
-        for k, w in enumerate(words):
-            if not w[0].isalnum():
-                continue
-            around = hash((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
-            totals[label].add(hash((w, around)))
+    split = [(TOKEN.findall(text.lower()), label) for text, label in rows if label]
+    # features by hash class first, so that only those that may be frequent enough are named
+    classes = np.zeros(HASH_CLASSES, np.int32)
+    for words, _ in split:
+        seen = array("q", {hash(f) % HASH_CLASSES for w in set(words) if w[0].isalnum() for f in families(w)})
+        classes[np.frombuffer(seen, np.int64)] += 1
+    number: dict[str, int] = {}
+    pairs, sizes = array("q"), [array("q"), array("q")]
+    for words, _ in split:
+        for w, around in contexts(words):
+            sizes[1].append(hash((w, around)))
             for f in families(w):
-                if f in wanted:
-                    seen[f].add(around)
-    t, c = (max(len(x), 1) for x in reversed(totals))
-    weights = {}
-    for f in wanted:
-        n = len(contexts[1][f])
-        if n >= LEAST_CONTEXTS:
-            odds = np.log((n / t) / ((len(contexts[0][f]) + PRIOR) / c))
-            if odds >= LEAST_WEIGHT and n >= 20 * len(contexts[0][f]):
-                weights[f] = float(odds)
-    return weights
+                if classes[hash(f) % HASH_CLASSES] >= LEAST_CONTEXTS:
+                    pairs.append((number.setdefault(f, len(number)) << 40) | (around & 0xFFFFFFFFFF))
+    ids, toxic = np.unique(np.unique(np.frombuffer(pairs, np.int64)) >> 40, return_counts=True) if pairs else (np.zeros(0, int), np.zeros(0, int))
+    names = list(number)
+    toxic = {names[k]: n for k, n in zip(ids.tolist(), toxic.tolist(), strict=True) if n >= LEAST_CONTEXTS}
+    del pairs, split, number, names
+    clean: dict[str, set] = defaultdict(set)
+    for text, label in rows:
+        if not label:
+            for w, around in contexts(TOKEN.findall(text.lower())):
+                sizes[0].append(hash((w, around)))
+                for f in families(w):
+                    if f in toxic:
+                        clean[f].add(around)
+                        if PURITY * len(clean[f]) > toxic[f]:  # too often in clean texts
+                            del toxic[f], clean[f]
+    c, t = (max(len(np.unique(np.frombuffer(x, np.int64))), 1) if x else 1 for x in sizes)
+    odds = {f: float(np.log((n / t) / ((len(clean[f]) + PRIOR) / c))) for f, n in toxic.items()}
+    return {f: x for f, x in odds.items() if x >= LEAST_WEIGHT}
 
 
 class Scorer:
