@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospector.llm.common import cut, table
+from prospector.llm.common import cut, release, table
 
 #: Least Jaccard similarity of two lines' word sets.
 JACCARD = 0.8
@@ -20,13 +20,19 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def pieces(line: Column) -> Column:
+    """A line's words in order, with empty strings where white space meets; single blanks split without a regular expression."""
+    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
+    return F.split(plain, " ")
+
+
 def words(line: Column) -> Column:
     """Distinct words of a line."""
-    return F.array_distinct(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(pieces(line), ""))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, line_no, line): every line of every row; uid tells rows apart."""
+    """(uid, doc_id, line_no, line, lid): every line of every row; uid tells rows apart, lid is a hash of the line."""
     d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     return d.select("uid", "doc_id", F.posexplode(F.split("_t", "\n")).alias("line_no", "line")).withColumn("lid", F.xxhash64("line"))
 
@@ -37,47 +43,49 @@ def most_apart(n: Column, m: Column) -> Column:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """First occurrence (doc_id, line_no) of each distinct line that has words, with its prefix of rarest words.
+    """First occurrence (doc_id, line_no) of each distinct line that has words, with its prefix of rarest words; no line's text travels.
 
-    Words rank by how often their hash bucket occurs in distinct lines, then by hash, so the order is the same everywhere. `parity`
-    has a bit for each hash class of words, set if the class holds an odd number of the line's words: it differs in no more bits than
-    the word sets differ in words.
+    Words rank by how often their hash bucket occurs, then by hash, so the order is the same everywhere. `parity` has a bit for each
+    hash class of words, set if the class holds an odd number of the line's words: it differs in no more bits than the word sets
+    differ in words.
     """
-    first = lines.where(F.col("doc_id").isNotNull() & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    w = Window.partitionBy("lid").orderBy("doc_id", "line_no")
-    first = cut(first.drop("uid").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn"))  # limits rows before the shuffle too
     bucket = lambda h: F.pmod(h, F.lit(RARITY)).cast("int")
-    counted = first.select(F.explode(words(F.col("line"))).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()  # RARITY rows at most
+    counted = lines.select(F.explode(pieces(F.col("line"))).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()  # RARITY rows at most
     rank = np.zeros(RARITY, np.int32)
     for k, r in enumerate(sorted(counted, key=lambda r: (r["count"], r["b"]))):
         rank[r["b"]] = k
     ranks = F.lit(rank)
     low = (1 << 48) - 1
-    hashed = F.transform(words(F.col("line")), lambda x: F.xxhash64(x))
+    hashed = F.array_distinct(F.array_remove(F.transform(pieces(F.col("line")), lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))
     keyed = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.get(ranks, bucket(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(low)))))
-    out = first.select("lid", "doc_id", "line_no", "line", keyed.alias("k"))
+    has_words = F.col("doc_id").isNotNull() & F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    out = lines.where(has_words).select("lid", "doc_id", "line_no", keyed.alias("k"))
     n = F.size("k")
     parity = F.aggregate("k", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("k", 1, F.greatest(n - F.ceil(n * JACCARD - 1e-9) + 1, F.lit(1)).cast("int"))
-    return out.select("lid", "doc_id", "line_no", "line", n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+    out = out.select("lid", "doc_id", "line_no", n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+    w = Window.partitionBy("lid").orderBy("doc_id", "line_no")
+    return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")  # limits rows before the shuffle too
 
 
-def verified(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """Ids of later lines in pairs (lid, other) whose word sets reach JACCARD."""
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Ids of later lines in pairs (lid, other) whose word sets reach JACCARD; only these lines' words are looked up."""
     ids = bounded(pairs.select("lid").unionByName(pairs.select(F.col("other").alias("lid"))).distinct())
-    sets = cut(first.join(ids, "lid", "left_semi").select("lid", words(F.col("line")).alias("s")))
-    a, b = sets.withColumnsRenamed({"s": "s1"}), sets.withColumnsRenamed({"lid": "other", "s": "s2"})
-    both = pairs.join(a, "lid").join(b, "other")
+    w = Window.partitionBy("lid").orderBy("doc_id", "line_no")
+    texts = lines.join(ids, "lid", "left_semi").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    texts = cut(texts.select("lid", "line"))
+    a, b = texts.withColumnsRenamed({"line": "l1"}), texts.withColumnsRenamed({"lid": "other", "line": "l2"})
+    both = pairs.join(a, "lid").join(b, "other").select("lid", words(F.col("l1")).alias("s1"), words(F.col("l2")).alias("s2"))
     shared = F.size(F.array_intersect("s1", "s2"))
     return both.where(shared >= F.ceil((F.size("s1") + F.size("s2")) * (JACCARD / (1 + JACCARD)) - 1e-9)).select("lid").distinct()
 
 
-def matched(first: DataFrame) -> DataFrame:
+def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
     """Ids of distinct lines that are similar to a line that occurs earlier.
 
     Two similar lines share a word of their prefixes. Round one compares each line with the earliest line of each of its prefix
     words, which settles most members of large groups of near copies by one pair for each word. Round two takes the lines still open
-    and compares them with all earlier lines under their prefix words. Length, position and parity filters come before the exact check.
+    and compares them with all other earlier lines under their prefix words; both sides come from one shuffle. Length, position and parity filters come before the exact check.
     """
 
     def prefixes(df: DataFrame) -> DataFrame:
@@ -90,16 +98,21 @@ def matched(first: DataFrame) -> DataFrame:
 
     c = F.col
     w = Window.partitionBy("word").orderBy("doc_id", "line_no", "lid")
-    head = F.first(F.struct("lid", "n", "parity", "at")).over(w)
-    star = prefixes(first).withColumn("h", head).where(c("lid") != c("h.lid"))
+    placed = prefixes(first).withColumn("place", F.row_number().over(w))
+    star = placed.withColumn("h", F.first(F.struct("lid", "n", "parity", "at")).over(w)).where("place > 1")
     star = star.where(may_match(c("n"), c("h.n"), c("at"), c("h.at"), c("parity"), c("h.parity"))).select("lid", c("h.lid").alias("other")).distinct()
-    settled = cut(verified(cut(star), first))
-    still = prefixes(first.join(bounded(settled), "lid", "left_anti"))
-    earlier = prefixes(first).select(*[c(x).alias("_" + x) for x in ("lid", "doc_id", "line_no", "n", "parity", "at", "word")])
-    before = (c("_doc_id") < c("doc_id")) | ((c("_doc_id") == c("doc_id")) & ((c("_line_no") < c("line_no")) | ((c("_line_no") == c("line_no")) & (c("_lid") < c("lid")))))
-    pairs = still.join(earlier, (c("word") == c("_word")) & before & may_match(c("n"), c("_n"), c("at"), c("_at"), c("parity"), c("_parity")))
-    rest = verified(cut(pairs.select("lid", c("_lid").alias("other")).distinct()), first)
-    return settled.unionByName(rest)
+    star = cut(star)
+    release(first)
+    settled = cut(verified(star, lines))
+    release(first)
+    # a line in second place has met the only line before it, so rounds go on where a word has three lines or more
+    many = placed.withColumn("lines", F.count("*").over(Window.partitionBy("word"))).where("lines > 2")
+    still = many.where("place > 2").join(bounded(settled), "lid", "left_anti")
+    earlier = many.select(*[c(x).alias("_" + x) for x in ("lid", "place", "n", "parity", "at", "word")]).where("_place > 1")
+    pairs = still.join(earlier, (c("word") == c("_word")) & (c("_place") < c("place")) & may_match(c("n"), c("_n"), c("at"), c("_at"), c("parity"), c("_parity")))
+    pairs = cut(pairs.select("lid", c("_lid").alias("other")).distinct())
+    release(first)
+    return settled.unionByName(verified(pairs, lines))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +125,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     lines = lines_of(docs, id_col, text_col)
     first = cut(distinct_lines(lines))
-    gone = matched(first).withColumn("similar", F.lit(True))
+    release(docs)
+    gone = cut(matched(first, lines)).withColumn("similar", F.lit(True))
     fate = first.select("lid", F.col("doc_id").alias("_d"), F.col("line_no").alias("_n")).join(gone, "lid", "left")
     placed = lines.select("uid", "doc_id", "line_no", "lid").join(fate, "lid", "left")
     later = F.coalesce(F.col("similar") | (F.col("doc_id") != F.col("_d")) | (F.col("line_no") != F.col("_n")), F.lit(False)) & F.col("_d").isNotNull() & F.col("doc_id").isNotNull()
