@@ -84,7 +84,7 @@ def vantage_pairs(fps: np.ndarray, radius: int = RADIUS, small: int = 1024):
             a, b = at[d == ring], at[(d > mid) & (d <= ring + radius)]
             for k in range(0, len(a), small):
                 for m in range(0, len(b), 4 * small):
-                    i, j = np.nonzero(distances(a[k : k + small], b[m : m + 4 * small]) <= radius)
+                    i, j = np.nonzero(distances(fps[a[k : k + small]], fps[b[m : m + 4 * small]]) <= radius)
                     yield a[k : k + small][i], b[m : m + 4 * small][j]
 
 
