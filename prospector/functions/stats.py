@@ -45,4 +45,4 @@ def cascade_cost(triage: Column, review: Column, candidates: Column) -> Column:
 def recency_weight(at: Column, now: Column, half_life_days: float = 730.0) -> Column:
     """0.5 ** (age / half life); the future counts as now, an unknown time as one half life."""
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400.0)
-    return F.coalesce(F.pow(F.lit(0.5), age / half_life_days), F.lit(0.5))
+    return F.when(at.isNull(), 0.5).otherwise(F.pow(F.lit(0.5), age / half_life_days))

@@ -563,3 +563,19 @@ def edges(spark, d) -> DataFrame:
 def brought_in(spark, d):
     m = load(spark, d, "orders").where("o_orderkey % 10 = 6 AND o_orderkey > 10 AND o_orderkey <= 36").select(C("o_orderkey").alias("merge"), (C("o_orderkey") - 1).alias("first_parent"))
     return graph.brought_in(edges(spark, d), m)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def windowed_status(spark, d):
+    """Hourly status, as the stream computes it."""
+    from prospector.streaming.stages import windowed_status as status
+
+    return status(load(spark, d, "events").withColumn("ts", C("ts").cast("timestamp"))).select(C("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query("WITH l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT path, line, text FROM l WHERE contains(text, 'idiot') ORDER BY path, line LIMIT 100")
+def text_search(spark, d):
+    """A fixed string in files, the first hundred hits."""
+    from prospector.sources.records import search
+
+    return search(load(spark, d, "documents").select(C("doc_id").alias("path"), C("text").alias("content")), "idiot").withColumn("line", C("line").cast("long"))
