@@ -19,7 +19,7 @@ WINDOW, PIECE = 13, 3
 #: Windows that one super-k-mer holds at most.
 RUN = 32
 #: Text bytes whose super-k-mers are gathered before they are sent, text bytes hashed at once, and text bytes a bucket stands for.
-GATHER, HASHED, BUCKET = 10 << 20, 1 << 20, 2 << 20
+GATHER, HASHED, BUCKET = 6 << 20, 1 << 20, 2 << 20
 #: Postings expanded to windows at a time in a bucket.
 EXPAND = 50_000
 
