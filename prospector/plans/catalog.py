@@ -579,3 +579,35 @@ def text_search(spark, d):
     from prospector.sources.records import search
 
     return search(load(spark, d, "documents").select(C("doc_id").alias("path"), C("text").alias("content")), "idiot").withColumn("line", C("line").cast("long"))
+
+
+def diff_chunks(spark, d):
+    """No SQL: greedy packing depends on what came before."""
+    from prospector.functions import diffs
+
+    t = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n+"), F.replace("text", F.lit("\n"), F.lit("\n+")), F.lit("\ndiff --git a/y b/y\n@@ -1 +1 @@\n-a\n+b\n"))
+    return load(spark, d, "documents").select("doc_id", F.explode(diffs.chunk(t, 4096, "# change\n")).alias("c")).select("doc_id", "c.number", "c.bytes", "c.sha256")
+
+
+QUERIES["diff_chunks"] = diff_chunks
+
+
+@query("SELECT doc_id, 2 AS hunks, len(string_split(text, chr(10))) AS added, text = '' AS cosmetic FROM documents")
+def diff_hunks(spark, d):
+    """Hunks of a change, the first one's added lines, and whether it changes white space or comments only."""
+    from prospector.functions import diffs
+
+    t = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n+;"), F.replace("text", F.lit("\n"), F.lit("\n+;")), F.lit("\ndiff --git a/y b/y\n@@ -1 +1 @@\n-  a\n+a\n"))
+    h = load(spark, d, "documents").select("doc_id", "text", diffs.hunks(t).alias("h"))
+    first = C("h")[0]["lines"]
+    return h.select("doc_id", F.size("h").alias("hunks"), F.size(F.filter(first, lambda x: x.startswith("+"))).cast("long").alias("added"), diffs.cosmetic(first).alias("cosmetic"))
+
+
+@query("WITH f AS (SELECT o_custkey, o_orderdate AS fixed, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 7 = 0 END AS root, l_shipdate AS introduced FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey), g AS (SELECT *, CAST(floor((epoch(fixed) - epoch(introduced)) / 86400) AS BIGINT) AS d FROM f), h AS (SELECT *, CASE WHEN root IS NULL THEN 'declined_no_commit' WHEN root THEN 'declined_genesis' WHEN d IS NULL THEN 'declined_no_date' WHEN d < 0 THEN 'declined_negative' ELSE 'blame' END AS method FROM g) SELECT method, count(*) AS n, sum(CASE WHEN method = 'blame' THEN d END) AS days FROM h GROUP BY method")
+def introduction_spans(spark, d):
+    from prospector.operators.attribution import introduction_span
+
+    x = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").cast("timestamp").alias("introduced"))
+    k = C("o_orderkey")
+    f = load(spark, d, "orders").join(x, k == C("l_orderkey"), "left").select(C("o_orderdate").cast("timestamp").alias("fixed"), "introduced", F.when(k % 11 > 0, k % 7 == 0).alias("root"))
+    return f.select(*introduction_span("fixed", "introduced", "root")).groupBy("method").agg(F.count("*").alias("n"), F.sum("days").alias("days"))

@@ -145,3 +145,46 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_chunks():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from prospector.functions import diffs
+
+    line = st.text(alphabet="ab é\U0001f600+-@", max_size=30)
+    section = st.builds(lambda h, hunks: f"diff --git a/{h} b/{h}\n+++ b/{h}\n" + "".join("@@ -1 +1 @@\n" + "".join(f"+{x}\n" for x in xs) for xs in hunks), st.sampled_from("xyz"), st.lists(st.lists(line, max_size=8), max_size=4))
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(section, max_size=4), st.integers(30, 200))
+    def holds(sections, most):
+        diff = "".join(sections)
+        out = diffs.chunks_of(diff, most, "#\n")
+        assert all(diffs.size(c) <= most and c.startswith("#\n") for c in out)
+        rest = "".join(c[2:] for c in out)
+        at = 0
+        for ch in diff:  # all of the diff is there, in order
+            at = rest.index(ch, at) + 1
+
+    holds()
+    assert diffs.chunks_of("diff --git a b\n@@ -1 +1 @@\n+1\n@@ -2 +2 @@\n+2\n", 38) == ["diff --git a b\n@@ -1 +1 @@\n+1\n", "diff --git a b\n@@ -2 +2 @@\n+2\n"]
+
+
+def test_hunks(spark):
+    from prospector.functions import diffs
+
+    d = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1 @@ def f\n-  a(b)\n-# note\n+a(b)\n@@ -9 +9,2 @@\n-x\n+y(1)\n+# noqa\n"
+    h = spark.createDataFrame([(d,)], "d string").select(F.explode(diffs.hunks(F.col("d"))).alias("h"))
+    got = h.select("h.path", "h.old_start", "h.old_count", "h.new_count", diffs.cosmetic(F.col("h.lines")), diffs.changed_calls(F.col("h.lines"))).collect()
+    assert [tuple(r) for r in got] == [("x.py", 1, 2, 1, True, ["a"]), ("x.py", 9, 1, 2, False, ["y"])]
+    assert one(spark, diffs.cap(F.lit("é" * 30), 40)) == "é" * 13 + diffs.CUT
+
+
+def test_attribution(spark):
+    from prospector.operators.attribution import resolve_merges
+
+    commits = spark.createDataFrame([("m", ["p", "b"], ["x"], []), ("b", ["a"], ["x"], ["fix it"]), ("a", ["r"], ["x", "y"], ["else"]), ("p", ["r"], ["z"], []), ("r", [], [], [])], "sha string, parents array<string>, paths array<string>, added array<string>")
+    found = spark.createDataFrame([("m", ["y"], "q"), ("m", ["x"], " fix   it "), ("m", ["x"], "none"), ("p", ["z"], None)], "sha string, paths array<string>, span string")
+    got = sorted((r["paths"][0], r["span"] or "", r["attributed"], r["method"]) for r in resolve_merges(found, commits).collect())
+    assert got == [("x", " fix   it ", "b", "content"), ("x", "none", "m", "kept"), ("y", "q", "a", "paths"), ("z", "", "p", "kept")]
