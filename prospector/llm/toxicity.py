@@ -91,16 +91,16 @@ def learn_words(rows: list[tuple[str, int]]) -> dict[str, float]:
 
     Evidence is counted in distinct contexts, the words before and after, so that copies of one text count once.
     """
-    split = [(TOKEN.findall(text.lower()), label) for text, label in rows if label]
+    toxic_texts = [text for text, label in rows if label]
     # features by hash class first, so that only those that may be frequent enough are named
     classes = np.zeros(HASH_CLASSES, np.int32)
-    for words, _ in split:
-        seen = array("q", {hash(f) % HASH_CLASSES for w in set(words) if w[0].isalnum() for f in families(w)})
+    for text in toxic_texts:
+        seen = array("q", {hash(f) % HASH_CLASSES for w in set(TOKEN.findall(text.lower())) if w[0].isalnum() for f in families(w)})
         classes[np.frombuffer(seen, np.int64)] += 1
     number: dict[str, int] = {}
     pairs, sizes = array("q"), [array("q"), array("q")]
-    for words, _ in split:
-        for w, around in contexts(words):
+    for text in toxic_texts:
+        for w, around in contexts(TOKEN.findall(text.lower())):
             sizes[1].append(hash((w, around)))
             for f in families(w):
                 if classes[hash(f) % HASH_CLASSES] >= LEAST_CONTEXTS:
@@ -108,7 +108,7 @@ def learn_words(rows: list[tuple[str, int]]) -> dict[str, float]:
     ids, toxic = np.unique(np.unique(np.frombuffer(pairs, np.int64)) >> 40, return_counts=True) if pairs else (np.zeros(0, int), np.zeros(0, int))
     names = list(number)
     toxic = {names[k]: n for k, n in zip(ids.tolist(), toxic.tolist(), strict=True) if n >= LEAST_CONTEXTS}
-    del pairs, split, number, names
+    del pairs, number, names, classes
     clean: dict[str, set] = defaultdict(set)
     for text, label in rows:
         if not label:
