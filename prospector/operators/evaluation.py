@@ -10,12 +10,12 @@ from prospector.functions import stats
 from prospector.functions.text import prediction_literal, truth_literal
 
 
-def confusion(rows: DataFrame, *strata: str, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
+def confusion(rows: DataFrame, *by: str, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
     """Counts and rates; an uncovered row is never a NO, and an excluded one counts nowhere else."""
     t, p = F.col("_t"), F.col("_p")
     named = rows.withColumn("_t", truth_literal(F.col(truth))).withColumn("_p", prediction_literal(F.col(prediction)))
     count = lambda c: F.count_if(c)
-    base = named.groupBy(*strata).agg(
+    base = named.groupBy(*by).agg(
         count(t & p).alias("tp"), count(t & ~p).alias("fn"), count(~t & p).alias("fp"), count(~t & ~p).alias("tn"),
         count(t & p.isNull()).alias("uncovered_positive"), count(~t & p.isNull()).alias("uncovered_negative"), count(t.isNull()).alias("excluded"),
     )
