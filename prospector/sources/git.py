@@ -1,8 +1,11 @@
-"""A git repository as a data source: one row a commit, newest first, read by ranges of commits."""
+"""A git repository as data sources: commits newest first, the files of a revision, the history and the blame of a file."""
 
 from __future__ import annotations
 
+import hashlib
 import subprocess
+from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -11,8 +14,52 @@ from prospector.sources.records import COMMIT
 FORMAT = "%H%x00%P%x00%an%x00%ae%x00%aI%x00%cn%x00%ce%x00%cI%x00%B"
 
 
-def git(path: str, *args: str) -> bytes:
-    return subprocess.run(["git", "-C", path, *args], check=True, capture_output=True).stdout
+def git(path: str, *args: str, stdin: bytes | None = None) -> bytes:
+    return subprocess.run(["git", "-C", path, *args], check=True, capture_output=True, input=stdin).stdout
+
+
+def canonical_source(source: str) -> str:
+    """One spelling of a repository: file URI of a local path, URL with a lower-case host, or host:path as it is.
+
+    Credentials, queries, fragments and other schemes are refused.
+    """
+    s = str(source).strip()
+    if not s or any(ord(c) < 32 or ord(c) == 127 for c in s):
+        raise ValueError("empty source or control characters")
+    local = Path(s).expanduser()
+    if local.exists():
+        return local.resolve().as_uri()
+    u = urlsplit(s)
+    if "://" not in s and ":" in s and "/" not in s.split(":")[0]:
+        return s
+    if u.scheme not in ("http", "https", "ssh", "git") or not u.hostname:
+        raise ValueError("neither a local path nor a URL of http, https, ssh or git")
+    if u.password is not None or (u.username is not None and u.scheme != "ssh") or u.query or u.fragment:
+        raise ValueError("credentials, query or fragment in the URL")
+    if u.path in ("", "/"):
+        raise ValueError("the URL names no repository")
+    user = f"{u.username}@" if u.username else ""
+    return f"{u.scheme}://{user}{u.hostname}{f':{u.port}' if u.port else ''}{u.path.rstrip('/')}"
+
+
+def source_key(source: str) -> str:
+    return hashlib.sha256(canonical_source(source).encode()).hexdigest()
+
+
+def checked(revision: str) -> str:
+    if not revision or revision.startswith("-") or any(c.isspace() for c in revision):
+        raise ValueError("not a revision")
+    return revision
+
+
+def default_branch(path: str) -> str:
+    """What HEAD names, else main, else master, else the branch with the newest commit."""
+    names = git(path, "for-each-ref", "--sort=-committerdate", "--format=%(refname:short)", "refs/heads").decode().split()
+    head = subprocess.run(["git", "-C", path, "symbolic-ref", "--short", "-q", "HEAD"], capture_output=True).stdout.decode().strip()
+    for name in (head, "main", "master", *names):
+        if name in names:
+            return name
+    raise ValueError("no branches")
 
 
 def changed_paths(raw: str) -> list[tuple]:
@@ -35,13 +82,13 @@ class Slice(InputPartition):
 
 
 class GitReader(DataSourceReader):
-    """Options: path; revision (HEAD) or range A..B; last, at most so many; since, a date; slice, commits a partition."""
+    """Options: path; revision (HEAD) or range A..B; last, at most so many; since, a date; slice, commits a partition; patch_ids."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.revision = options.get("range") or options.get("revision", "HEAD")
-        if not self.revision or self.revision.startswith("-"):
-            raise ValueError("revision must not begin with a dash")
+        checked(self.revision)
+        self.patch_ids = options.get("patch_ids", "false") == "true"
         self.args = [f"--max-count={int(options['last'])}"] if "last" in options else []
         self.args += [f"--since={options['since']}"] if "since" in options else []
         self.slice = int(options.get("slice", 500))
@@ -57,7 +104,8 @@ class GitReader(DataSourceReader):
             against = [parents[0], sha] if parents else ["--root", sha]
             names = git(self.path, "diff-tree", "-r", "-M", "-z", "--no-commit-id", "--name-status", *against).decode("utf-8", "replace")
             patch = git(self.path, "diff-tree", "-r", "-M", "-p", "--no-commit-id", *against)
-            yield (sha, parents, head[8].strip("\n"), *head[2:8], changed_paths(names), patch, None)
+            same = git(self.path, "patch-id", "--stable", stdin=patch).decode().split()[:1] if self.patch_ids and patch else []
+            yield (sha, parents, head[8].strip("\n"), *head[2:8], changed_paths(names), patch, same[0] if same else None)
 
 
 class GitSource(DataSource):
@@ -72,3 +120,116 @@ class GitSource(DataSource):
 
     def reader(self, schema):
         return GitReader(self.options)
+
+
+class FilesReader(DataSourceReader):
+    """Options: path; revision (HEAD); prefix; max_paths, more fail; max_bytes, larger files have null content; slice."""
+
+    def __init__(self, options):
+        self.path, self.revision = options["path"], checked(options.get("revision", "HEAD"))
+        self.prefix, self.slice = options.get("prefix", ""), int(options.get("slice", 1000))
+        self.max_paths, self.max_bytes = int(options.get("max_paths", 1_000_000)), int(options.get("max_bytes", 16 << 20))
+
+    def partitions(self):
+        listed = git(self.path, "ls-tree", "-r", "-l", "-z", "--full-tree", self.revision).decode("utf-8", "replace").split("\0")
+        rows = []
+        for entry in filter(None, listed):
+            facts, name = entry.split("\t", 1)
+            _, kind, blob, size = facts.split()
+            if kind == "blob" and name.startswith(self.prefix):
+                rows.append((name, blob, int(size)))
+        if len(rows) > self.max_paths:
+            raise ValueError(f"{len(rows)} paths, more than {self.max_paths}")
+        return [Slice(rows[k : k + self.slice]) for k in range(0, len(rows), self.slice)] or [Slice([])]
+
+    def read(self, partition):
+        for name, blob, size in partition.shas:
+            yield (name, blob, size, git(self.path, "cat-file", "blob", blob) if size <= self.max_bytes else None)
+
+
+class GitFiles(DataSource):
+    """spark.read.format("git_files").option("path", ...).load(): (path, blob, size, content) of every file of a revision."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_files"
+
+    def schema(self):
+        return "path string, blob string, size long, content binary"
+
+    def reader(self, schema):
+        return FilesReader(self.options)
+
+
+class HistoryReader(DataSourceReader):
+    """Options: path; file; revision (HEAD); last (100). One file's history is one task."""
+
+    def __init__(self, options):
+        self.path, self.file, self.revision = options["path"], options["file"], checked(options.get("revision", "HEAD"))
+        self.last = min(int(options.get("last", 100)), 100)
+
+    def read(self, partition):
+        out = git(self.path, "log", f"--max-count={self.last}", "--follow", "-M", "--name-status", "-z", "--format=%x01%H%x00%cI%x00%s%x00", self.revision, "--", self.file).decode("utf-8", "replace")
+        for seq, entry in enumerate(out.split("\x01")[1:]):
+            sha, at, subject, names = entry.split("\0", 3)
+            status, path, old = changed_paths(names.strip("\n\0") + "\0")[0]
+            yield (seq, sha, at, subject, status, path, old)
+
+
+class GitHistory(DataSource):
+    """spark.read.format("git_history").option("path", ...).option("file", ...).load(): commits of a file, renames followed."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_history"
+
+    def schema(self):
+        return "seq int, sha string, committer_time string, subject string, status string, path string, old_path string"
+
+    def reader(self, schema):
+        return HistoryReader(self.options)
+
+
+class BlameReader(DataSourceReader):
+    """Options: path; file; revision (HEAD); start (1), end (start + 999): at most 1,000 lines."""
+
+    def __init__(self, options):
+        self.path, self.file, self.revision = options["path"], options["file"], checked(options.get("revision", "HEAD"))
+        self.start = int(options.get("start", 1))
+        self.end = int(options.get("end", self.start + 999))
+        if self.start < 1 or not self.start <= self.end < self.start + 1000:
+            raise ValueError("a range of 1 to 1,000 lines")
+
+    def read(self, partition):
+        text = git(self.path, "show", f"{self.revision}:{self.file}").decode("utf-8", "replace")
+        last = min(self.end, text.count("\n") + (not text.endswith("\n")))
+        if self.start > last:
+            return
+        out = git(self.path, "blame", "--line-porcelain", f"-L{self.start},{last}", self.revision, "--", self.file).decode("utf-8", "replace")
+        sha = line = None
+        for row in out.split("\n"):
+            if row.startswith("\t"):
+                yield (line, sha, row[1:])
+                sha = None
+            elif sha is None and row:
+                sha, _, line = row.split(" ")[:3]
+                line = int(line)
+
+
+class GitBlame(DataSource):
+    """spark.read.format("git_blame").option("path", ...).option("file", ...).load(): who touched each line last."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_blame"
+
+    def schema(self):
+        return "line int, sha string, text string"
+
+    def reader(self, schema):
+        return BlameReader(self.options)
+
+
+def register(spark) -> None:
+    for source in (GitSource, GitFiles, GitHistory, GitBlame):
+        spark.dataSource.register(source)
