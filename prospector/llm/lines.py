@@ -12,6 +12,8 @@ from prospector.llm.common import cut, release, table
 JACCARD = 0.8
 #: Hash buckets in which words are counted for the rarity order.
 RARITY = 1 << 14
+#: Longs of 64 parity bits by which candidates are compared before their texts are.
+PARITY = 4
 #: Rows of line ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -68,14 +70,37 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")  # limits rows before the shuffle too
 
 
+def parities(of: Column) -> list[Column]:
+    """PARITY columns of 64 bits: a bit for each hash class of words, set if the class holds an odd number of the words.
+
+    Two sets differ in no more bits than in words.
+    """
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    part = lambda h: F.pmod(F.shiftright(h, 6), F.lit(PARITY))
+    hashes = F.transform(of, lambda w: F.xxhash64(w))
+
+    def parity(q: int) -> Column:
+        return F.aggregate(F.filter(hashes, lambda h: part(h) == q), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+
+    return [parity(q).alias(f"p{q}") for q in range(PARITY)]
+
+
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Ids of later lines in pairs (lid, other) whose word sets reach JACCARD; only these lines' words are looked up."""
+    """Ids of later lines in pairs (lid, other) whose word sets reach JACCARD; only these lines' words are looked up.
+
+    Wide parities go to the pairs first, and texts only to those that they leave.
+    """
     ids = bounded(pairs.select("lid").unionByName(pairs.select(F.col("other").alias("lid"))).distinct())
     w = Window.partitionBy("lid").orderBy("doc_id", "line_no")
     texts = lines.join(ids, "lid", "left_semi").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    texts = cut(texts.select("lid", "line"))
-    a, b = texts.withColumnsRenamed({"line": "l1"}), texts.withColumnsRenamed({"lid": "other", "line": "l2"})
-    both = pairs.join(a, "lid").join(b, "other").select("lid", words(F.col("l1")).alias("s1"), words(F.col("l2")).alias("s2"))
+    texts = cut(texts.select("lid", "line", words(F.col("line")).alias("w")).select("lid", "line", F.size("w").alias("n"), *parities(F.col("w"))))
+    bits = [f"p{q}" for q in range(PARITY)]
+    one = texts.select("lid", "n", *bits)
+    two = texts.select(F.col("lid").alias("other"), F.col("n").alias("m"), *[F.col(x).alias("_" + x) for x in bits])
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col("_" + x))) for x in bits), F.lit(0))
+    near = pairs.join(one, "lid").join(two, "other").where(differ <= most_apart(F.col("n"), F.col("m"))).select("lid", "other")
+    a, b = texts.select("lid", F.col("line").alias("l1")), texts.select(F.col("lid").alias("other"), F.col("line").alias("l2"))
+    both = near.join(a, "lid").join(b, "other").select("lid", words(F.col("l1")).alias("s1"), words(F.col("l2")).alias("s2"))
     shared = F.size(F.array_intersect("s1", "s2"))
     return both.where(shared >= F.ceil((F.size("s1") + F.size("s2")) * (JACCARD / (1 + JACCARD)) - 1e-9)).select("lid").distinct()
 
