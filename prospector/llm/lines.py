@@ -12,6 +12,8 @@ from prospector.llm.common import cut, release, table
 JACCARD = 0.8
 #: Hash buckets in which words are counted for the rarity order.
 RARITY = 1 << 14
+#: Columns that hold a line's parities.
+PARITIES = ("parity", "fine0", "fine1", "fine2")
 #: Longs of 64 parity bits by which candidates are compared before their texts are.
 PARITY = 4
 #: Rows of line ids that may be broadcast; more are joined by a shuffle.
@@ -47,9 +49,10 @@ def most_apart(n: Column, m: Column) -> Column:
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """First occurrence (doc_id, line_no) of each distinct line that has words, with its prefix of rarest words; no line's text travels.
 
-    Words rank by how often their hash bucket occurs, then by hash, so the order is the same everywhere. `parity` has a bit for each
-    hash class of words, set if the class holds an odd number of the line's words: it differs in no more bits than the word sets
-    differ in words.
+    Words rank by how often their hash bucket occurs, then by hash, so the order is the same everywhere. `parity` has a bit for each of
+    64 hash classes of words, set if the class holds an odd number of the line's words: it differs in no more bits than the word sets
+    differ in words. Lines of over 64 words also carry, as `fine0`, what the odd half of 128 classes holds, lines of over 128 words as
+    `fine1` and `fine2` two of the four quarters of 256; see differing().
     """
     bucket = lambda h: F.pmod(h, F.lit(RARITY)).cast("int")
     counted = lines.select(F.explode(pieces(F.col("line"))).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()  # RARITY rows at most
@@ -63,9 +66,15 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     has_words = F.col("doc_id").isNotNull() & F.col("line").rlike(r"[^\x20\x09-\x0D]")
     out = lines.where(has_words).select("lid", "doc_id", "line_no", keyed.alias("k"))
     n = F.size("k")
-    parity = F.aggregate("k", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(63).cast("int"))
+    part = lambda h: F.shiftright(h, 14).bitwiseAND(3)
+
+    def parity(holds) -> Column:
+        return F.aggregate("k", F.lit(0).cast("long"), lambda a, h: F.when(holds(part(h)), a.bitwiseXOR(bit(h))).otherwise(a))
+
+    fine = [F.when(n > 64, parity(lambda p: p.bitwiseAND(1) == 1)), F.when(n > 128, parity(lambda p: p == 2)), F.when(n > 128, parity(lambda p: p == 3))]
     prefix = F.slice("k", 1, F.greatest(n - F.ceil(n * JACCARD - 1e-9) + 1, F.lit(1)).cast("int"))
-    out = out.select("lid", "doc_id", "line_no", n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+    out = out.select("lid", "doc_id", "line_no", n.alias("n"), parity(lambda p: p >= 0).alias("parity"), *[x.alias(f"fine{k}") for k, x in enumerate(fine)], prefix.alias("prefix"))
     w = Window.partitionBy("lid").orderBy("doc_id", "line_no")
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")  # limits rows before the shuffle too
 
@@ -85,6 +94,18 @@ def parities(of: Column) -> list[Column]:
     return [parity(q).alias(f"p{q}") for q in range(PARITY)]
 
 
+def differing(left, right) -> Column:
+    """Bits that two lines' parities differ in, by the finest classes that both carry; left and right give a line's columns by name.
+
+    The halves of 128 classes are fine0 and parity xor fine0; the quarters of 256 are fine1, fine2 and each half without its quarter.
+    """
+    x = lambda name: left(name).bitwiseXOR(right(name))
+    even, odd = x("parity").bitwiseXOR(x("fine0")), x("fine0")
+    halves = F.bit_count(even) + F.bit_count(odd)
+    quarters = F.bit_count(x("fine1")) + F.bit_count(even.bitwiseXOR(x("fine1"))) + F.bit_count(x("fine2")) + F.bit_count(odd.bitwiseXOR(x("fine2")))
+    return F.coalesce(quarters, halves, F.bit_count(x("parity")))
+
+
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Ids of later lines in pairs (lid, other) whose word sets reach JACCARD; only these lines' words are looked up.
 
@@ -114,18 +135,19 @@ def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
     """
 
     def prefixes(df: DataFrame) -> DataFrame:
-        return df.select("lid", "doc_id", "line_no", "n", "parity", F.posexplode("prefix").alias("at", "word"))
+        return df.select("lid", "doc_id", "line_no", "n", *PARITIES, F.posexplode("prefix").alias("at", "word"))
 
-    def may_match(n, m, i, j, p, q) -> Column:
+    def may_match(left, right) -> Column:
+        n, m, i, j = left("n"), right("n"), left("at"), right("at")
         apart = most_apart(n, m)
         longest = F.least(n - i, m - j) + F.least(i, j)
-        return (F.least(n, m) >= F.greatest(n, m) * JACCARD - 1e-9) & (n + m - 2 * longest <= apart) & (F.bit_count(p.bitwiseXOR(q)) <= apart)
+        return (F.least(n, m) >= F.greatest(n, m) * JACCARD - 1e-9) & (n + m - 2 * longest <= apart) & (differing(left, right) <= apart)
 
     c = F.col
     w = Window.partitionBy("word").orderBy("doc_id", "line_no", "lid")
     placed = prefixes(first).withColumn("place", F.row_number().over(w))
-    star = placed.withColumn("h", F.first(F.struct("lid", "n", "parity", "at")).over(w)).where("place > 1")
-    star = star.where(may_match(c("n"), c("h.n"), c("at"), c("h.at"), c("parity"), c("h.parity"))).select("lid", c("h.lid").alias("other")).distinct()
+    star = placed.withColumn("h", F.first(F.struct("lid", "n", *PARITIES, "at")).over(w)).where("place > 1")
+    star = star.where(may_match(c, lambda x: c(f"h.{x}"))).select("lid", c("h.lid").alias("other")).distinct()
     star = cut(star)
     release(first)
     settled = cut(verified(star, lines))
@@ -133,8 +155,8 @@ def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
     # a line in second place has met the only line before it, so rounds go on where a word has three lines or more
     many = placed.withColumn("lines", F.count("*").over(Window.partitionBy("word"))).where("lines > 2")
     still = many.where("place > 2").join(bounded(settled), "lid", "left_anti")
-    earlier = many.select(*[c(x).alias("_" + x) for x in ("lid", "place", "n", "parity", "at", "word")]).where("_place > 1")
-    pairs = still.join(earlier, (c("word") == c("_word")) & (c("_place") < c("place")) & may_match(c("n"), c("_n"), c("at"), c("_at"), c("parity"), c("_parity")))
+    earlier = many.select(*[c(x).alias("_" + x) for x in ("lid", "place", "n", *PARITIES, "at", "word")]).where("_place > 1")
+    pairs = still.join(earlier, (c("word") == c("_word")) & (c("_place") < c("place")) & may_match(c, lambda x: c(f"_{x}")))
     pairs = cut(pairs.select("lid", c("_lid").alias("other")).distinct())
     release(first)
     return settled.unionByName(verified(pairs, lines))
