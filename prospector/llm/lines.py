@@ -16,6 +16,8 @@ RARITY = 1 << 14
 PARITIES = ("parity", "fine0", "fine1", "fine2")
 #: Longs of 64 parity bits by which candidates are compared before their texts are.
 PARITY = 4
+#: Bits of a word's hash that travel; its rank follows from the hash and stays behind.
+WORD_BITS = (1 << 40) - 1
 #: Rows of line ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -74,6 +76,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
     fine = [F.when(n > 64, parity(lambda p: p.bitwiseAND(1) == 1)), F.when(n > 128, parity(lambda p: p == 2)), F.when(n > 128, parity(lambda p: p == 3))]
     prefix = F.slice("k", 1, F.greatest(n - F.ceil(n * JACCARD - 1e-9) + 1, F.lit(1)).cast("int"))
+    prefix = F.transform(prefix, lambda h: h.bitwiseAND(F.lit(WORD_BITS)))  # two words of one number only make a pair more to look at
     out = out.select("lid", "doc_id", "line_no", n.alias("n"), parity(lambda p: p >= 0).alias("parity"), *[x.alias(f"fine{k}") for k, x in enumerate(fine)], prefix.alias("prefix"))
     w = Window.partitionBy("lid").orderBy("doc_id", "line_no")
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")  # limits rows before the shuffle too
