@@ -389,6 +389,19 @@ def test_lm(spark):
     assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 for r in got)
 
 
+def test_lm_learns_from_all_documents(spark, monkeypatch):
+    """What only the last documents in hash order hold is learned too, and how rows are dealt to tasks changes nothing."""
+    monkeypatch.setattr(lm, "BUCKET", 1 << 16)
+    rows = spark.range(1600).selectExpr("id AS doc_id", "row_number() OVER (ORDER BY xxhash64(id)) AS k")
+    docs = rows.selectExpr("doc_id", "repeat(if(k <= 1450, 'one two three ', 'zig zag '), 12) AS text")
+    late = {r["doc_id"] for r in rows.where("k > 1450").collect()}
+    got = {r["doc_id"]: r for r in lm.score(docs.repartition(3)).collect()}
+    own = [got[i] for i in late if got[i]["held_out"]]
+    assert own and all(r["score"] > r["base_score"] / 2 for r in own)
+    again = lm.score(docs.orderBy("doc_id").coalesce(1)).collect()
+    assert all(r["score"] == pytest.approx(got[r["doc_id"]]["score"], rel=1e-3) for r in again)
+
+
 def test_lm_is_a_distribution():
     """Over all ids, next-token probabilities sum to 1, and scoring in one batch or alone agrees."""
     rng = np.random.default_rng(0)
