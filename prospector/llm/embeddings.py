@@ -33,6 +33,16 @@ def passes(rows: int, cosine: float = COSINE) -> int:
     return max(4, math.ceil(math.log(MISS) / math.log(1 - hit))) if hit < 1 else 4
 
 
+def plan(rows: int, spread: float, cosine: float) -> int:
+    """Passes for `rows` vectors at mean square distance `spread` from their centre; 0: comparing all pairs is less work.
+
+    Seen from the centre, a pair at `cosine` is at a wider angle the less the vectors spread.
+    """
+    inner = 1 - (1 - cosine) / spread if spread > 0 else 0
+    number = passes(rows, inner) if inner > 0 else 0
+    return 0 if 2 * WINDOW * number >= rows else number
+
+
 def codes(vectors: np.ndarray, number: int) -> np.ndarray:
     """The code of a pass: signs of BITS random projections, the first one highest."""
     planes = np.random.default_rng([SEED, number, vectors.shape[1]]).standard_normal((vectors.shape[1], BITS))
@@ -55,8 +65,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Vectors are linked if their labels are equal and not null, they are as long, and their cosine in double precision reaches
     `cosine`. A vector that is null, empty, zero, or holds null or non-finite components has no links and is its own component.
-    Equal vectors of a label meet first and travel as one. Each pass orders them by a code of random projections and compares each
-    with its WINDOW next; what any pass links becomes one component. Inside a component all pairs are then counted, in tiles, so
+    Equal vectors of a label meet first and travel as one. Each pass orders them by a code of random projections, seen from the mean
+    of their label and length, and compares each with its WINDOW next; where the passes that needs are more work than all pairs,
+    all pairs are compared in tiles. What any of these links becomes one component. Inside a component all pairs are then counted, in tiles, so
     that n_links is exact there however large a group of copies is. Repeated rows count as vectors. Null id: never the smallest.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
@@ -67,8 +78,30 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     kind = np.float32 if "float" in vectors.schema["embedding"].dataType.simpleString() else np.float64
     grouped = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("m"))
     reps = cut(grouped.withColumn("rep", F.monotonically_increasing_id()))
-    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    rounds = passes(largest, cosine)
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.size("embedding").alias("size")
+    kinds = cut(reps.groupBy("label", size).agg(F.count("*").alias("n")).withColumn("kind", F.monotonically_increasing_id()))
+    placed = reps.select("label", "rep", "embedding", size).join(kinds, ["label", "size"]).select("kind", "n", F.col("label").cast("string").alias("label"), "rep", "embedding")
+
+    def sums(batches):
+        for b in batches:
+            own = b.column(0).to_numpy()
+            for kind_ in np.unique(own):
+                at = pa.array(np.flatnonzero(own == kind_))
+                u = unit([np.array(x, kind).tobytes() for x in b.column(2).take(at).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([pa.array([kind_]), pa.array([b.column(1)[int(at[0].as_py())].as_py()]), pa.array([u.sum(axis=0).tobytes()], pa.binary())], names=["kind", "n", "v"])
+
+    def centre(batches):
+        for (kind_,), t in sorted_groups(batches, 1):
+            rows_ = t.column(1)[0].as_py()
+            mean = sum(np.frombuffer(x.as_py(), np.float64) for x in t.column(2)) / rows_
+            number = plan(rows_, 1 - float(mean @ mean), cosine)
+            yield pa.RecordBatch.from_arrays([pa.array([kind_]), pa.array([mean.tobytes()], pa.binary()), pa.array([number], pa.int64())], names=["kind", "centre", "rounds"])
+
+    added = placed.select("kind", "n", "embedding").mapInArrow(sums, "kind long, n long, v binary").repartition(n, "kind").sortWithinPartitions("kind")
+    centres = cut(added.mapInArrow(centre, "kind long, centre binary, rounds long"))
+    most = centres.agg(F.max("rounds")).first()[0] or 0
+    placed = placed.join(centres, "kind")
 
     def coded(batches):
         for b in batches:
@@ -81,15 +114,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 v = np.stack([lists[int(k)].values.to_numpy(zero_copy_only=False) for k in at]).astype(kind)
                 blobs = pa.array([x.tobytes() for x in v], pa.binary())
                 u = unit([x.tobytes() for x in v], kind)
-                label, rep = b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))
-                for p in range(rounds):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), label, pa.array(codes(u, p)), rep, blobs], names=["pass", "label", "code", "rep", "v"])
-
-    text = reps.select(F.col("label").cast("string"), "rep", "embedding")
+                u -= np.stack([np.frombuffer(b.column(3)[int(k)].as_py(), np.float64) for k in at])
+                label, rep, rounds = (b.column(c).take(pa.array(at)) for c in (0, 1, 4))
+                for p in range(max(rounds.to_pylist())):
+                    on = pa.array(rounds.to_numpy() > p)
+                    whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), label, pa.array(codes(u, p)), rep, blobs], names=["pass", "label", "code", "rep", "v"])
+                    yield whole.filter(on)
+
+    text = placed.where("rounds > 0").select("label", "rep", "embedding", "centre", "rounds")
     spread = text.mapInArrow(coded, "pass int, label string, code long, rep long, v binary")
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["pass", "label", "code"]
-    spread = spread.repartitionByRange(max(n, rounds), *order).sortWithinPartitions(*order)
+    spread = spread.repartitionByRange(max(n, most), *order).sortWithinPartitions(*order)
 
     def windows(batches):
         tail = None
@@ -115,7 +150,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rep[k]), pa.array(rep[root[k]])], names=["a", "b"])
             tail = t.slice(max(0, t.num_rows - WINDOW))
 
-    roots = cut(components(spread.mapInArrow(windows, "a long, b long")))
+    def all_pairs(batches):
+        def parts():
+            for (_, t0, t1), t in sorted_groups(batches, 3):
+                mine, rep = t.column(3).to_numpy(), t.column(4).to_numpy()
+                u = unit([np.array(x, kind).tobytes() for x in t.column(5).to_pylist()], kind)
+                left, right = np.flatnonzero(mine == t0), np.flatnonzero(mine == t1)
+                if len(left) and len(right):
+                    a, z = np.nonzero(cosines(u[left], u[right]) >= cosine)
+                    root = local_roots(len(rep), left[a], right[z])
+                    k = np.flatnonzero(root != np.arange(len(rep)))
+                    yield rep[k], rep[root[k]]
+
+        yield from in_batches(parts(), ["a", "b"])
+
+    few = ["kind", "t0", "t1"]
+    exact = tiled(placed.where("rounds = 0").select("kind", "rep", "embedding"), "kind", "rep", TILE).select(*few, "mine", "rep", "embedding")
+    exact = exact.repartition(n, *few).sortWithinPartitions(*few).mapInArrow(all_pairs, "a long, b long")
+    roots = cut(components(spread.mapInArrow(windows, "a long, b long").unionByName(exact)))
     members = tiled(reps.select("rep", "m", "embedding").join(roots, reps["rep"] == roots["node"]).select("root", "rep", "m", "embedding"), "root", "rep", TILE)
     keys = ["root", "t0", "t1"]
     members = members.select(*keys, "mine", "rep", "m", "embedding")

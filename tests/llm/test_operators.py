@@ -156,6 +156,19 @@ def test_embeddings(spark, tile):
     assert sum(w[1] for w in want) > 1000
 
 
+def test_embeddings_with_a_shared_direction(spark):
+    """Vectors of one label at a mean cosine of about 0.5: all planted pairs at 0.935 are found."""
+    r = np.random.default_rng(11)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    a = unit(np.eye(64)[:1] + unit(r.standard_normal((6000, 64))))
+    side = r.standard_normal((1500, 64))
+    side = unit(side - (side * a[:1500]).sum(axis=1, keepdims=True) * a[:1500])
+    v = np.concatenate((a, 0.935 * a[:1500] + math.sqrt(1 - 0.935**2) * side))
+    rows = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(rows).collect()}
+    assert sum(got[k] != got[6000 + k] for k in range(1500)) == 0
+
+
 def edit(pattern, text):
     """Least edit distance of pattern to any stretch of text, cell by cell."""
     row = [0] * (len(text) + 1)
