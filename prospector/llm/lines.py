@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospector.llm.common import cut, release, table
 
-#: Least Jaccard similarity of two lines' word sets.
-JACCARD = 0.8
-#: Hash buckets in which words are counted for the rarity order.
-RARITY = 1 << 14
-#: Columns that hold a line's parities.
-PARITIES = ("parity", "fine0", "fine1", "fine2")
+#: Two sets of n and m words have a Jaccard similarity of 4/5 or more if SHARE[1] * (words they share) >= SHARE[0] * (n + m).
+SHARE = (4, 9)
+#: Bits of a word's hash that name the class in which it is counted for the rarity order, and bits of it that break ties.
+CLASS_BITS, TIE_BITS = 17, 46
+#: Columns that hold a line's parities; lines of more words than FINE carry more of them.
+PARITIES, FINE = ("parity", "bit6", "bit7", "both"), (64, 128)
 #: Longs of 64 parity bits by which candidates are compared before their texts are.
 PARITY = 4
-#: Bits of a word's hash that travel; its rank follows from the hash and stays behind.
-WORD_BITS = (1 << 40) - 1
+#: Bits of a word's place in the order that travel, and of its predecessor's.
+WORD_BITS, BEFORE_BITS = (1 << 40) - 1, (1 << 48) - 1
+#: Lines just before a line, besides the first one, that the first round compares it with under each prefix word.
+LAGS = 2
 #: Rows of line ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+HAS_WORDS = r"[^\x20\x09-\x0D]"
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -38,47 +40,57 @@ def words(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, line_no, line, lid): every line of every row; uid tells rows apart, lid is a hash of the line."""
-    d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    return d.select("uid", "doc_id", F.posexplode(F.split("_t", "\n")).alias("line_no", "line")).withColumn("lid", F.xxhash64("line"))
+    """(doc_id, line_no, line) of every line of every row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def most_apart(n: Column, m: Column) -> Column:
-    """Words that two sets of n and m words with similarity JACCARD may not share."""
-    return n + m - 2 * F.ceil((n + m) * (JACCARD / (1 + JACCARD)) - 1e-9)
+def identity(line: Column) -> list[Column]:
+    """128 bits that stand for a line's text."""
+    return [F.xxhash64(line).alias("lid"), F.xxhash64(F.lit(1), line).alias("lid2")]
+
+
+def rarity(lines: DataFrame) -> Column:
+    """The place of each hash class of words by how often its words occur in all lines, as a constant array."""
+    word_class = F.shiftrightunsigned(F.xxhash64("w"), 64 - CLASS_BITS).cast("int")
+    counted = lines.select(F.explode(pieces(F.col("line"))).alias("w")).groupBy(word_class.alias("b")).count().collect()  # 2 ** CLASS_BITS rows at most
+    place = ["0"] * (1 << CLASS_BITS)
+    for k, r in enumerate(sorted(counted, key=lambda r: (r["count"], r["b"]))):
+        place[r["b"]] = str(k)
+    return F.split(F.lit(",".join(place)), ",").cast("array<int>")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """First occurrence (doc_id, line_no) of each distinct line that has words, with its prefix of rarest words; no line's text travels.
 
-    Words rank by how often their hash bucket occurs, then by hash, so the order is the same everywhere. `parity` has a bit for each of
-    64 hash classes of words, set if the class holds an odd number of the line's words: it differs in no more bits than the word sets
-    differ in words. Lines of over 64 words also carry, as `fine0`, what the odd half of 128 classes holds, lines of over 128 words as
-    `fine1` and `fine2` two of the four quarters of 256; see differing().
+    Words are ordered by how often their hash class occurs, then by hash, so the order is the same everywhere. `parity` has a bit for
+    each of 64 hash classes of words, set if the class holds an odd number of the line's words: it differs in no more bits than the
+    word sets differ in words. Longer lines also carry what the words with one bit of their hash set (bit6), with another (bit7) and
+    with both make of that, which gives the parities of 128 or 256 classes; see differing().
     """
-    bucket = lambda h: F.pmod(h, F.lit(RARITY)).cast("int")
-    counted = lines.select(F.explode(pieces(F.col("line"))).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()  # RARITY rows at most
-    rank = np.zeros(RARITY, np.int32)
-    for k, r in enumerate(sorted(counted, key=lambda r: (r["count"], r["b"]))):
-        rank[r["b"]] = k
-    ranks = F.lit(rank)
-    low = (1 << 48) - 1
-    hashed = F.array_distinct(F.array_remove(F.transform(pieces(F.col("line")), lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))
-    keyed = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.get(ranks, bucket(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(low)))))
-    has_words = F.col("doc_id").isNotNull() & F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    out = lines.where(has_words).select("lid", "doc_id", "line_no", keyed.alias("k"))
+    places = rarity(lines)
+    hashed = F.array_distinct(F.transform(F.array_remove(pieces(F.col("line")), ""), lambda x: F.xxhash64(x)))
+    order = lambda h: F.shiftleft(F.get(places, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")).cast("long"), TIE_BITS)
+    keyed = F.sort_array(F.transform(hashed, lambda h: order(h).bitwiseOR(h.bitwiseAND(F.lit((1 << TIE_BITS) - 1)))))
+    usable = F.col("doc_id").isNotNull() & F.col("line").rlike(HAS_WORDS)
+    out = lines.where(usable).select(*identity(F.col("line")), "doc_id", "line_no", keyed.alias("k"))
     n = F.size("k")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(63).cast("int"))
-    part = lambda h: F.shiftright(h, 14).bitwiseAND(3)
-
-    def parity(holds) -> Column:
-        return F.aggregate("k", F.lit(0).cast("long"), lambda a, h: F.when(holds(part(h)), a.bitwiseXOR(bit(h))).otherwise(a))
-
-    fine = [F.when(n > 64, parity(lambda p: p.bitwiseAND(1) == 1)), F.when(n > 128, parity(lambda p: p == 2)), F.when(n > 128, parity(lambda p: p == 3))]
-    prefix = F.slice("k", 1, F.greatest(n - F.ceil(n * JACCARD - 1e-9) + 1, F.lit(1)).cast("int"))
-    prefix = F.transform(prefix, lambda h: h.bitwiseAND(F.lit(WORD_BITS)))  # two words of one number only make a pair more to look at
-    out = out.select("lid", "doc_id", "line_no", n.alias("n"), parity(lambda p: p >= 0).alias("parity"), *[x.alias(f"fine{k}") for k, x in enumerate(fine)], prefix.alias("prefix"))
-    w = Window.partitionBy("lid").orderBy("doc_id", "line_no")
+    place = lambda h: h.bitwiseAND(63).cast("int")
+    at = lambda h, bit: F.shiftright(h, bit)
+
+    def parity(value) -> Column:
+        return F.aggregate("k", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", value(h), place(h))))
+
+    one = F.lit(1).cast("long")
+    finer = [
+        F.when(n > FINE[0], parity(lambda h: at(h, 6).bitwiseAND(one))),
+        F.when(n > FINE[1], parity(lambda h: at(h, 7).bitwiseAND(one))),
+        F.when(n > FINE[1], parity(lambda h: at(h, 7).bitwiseAND(at(h, 6)).bitwiseAND(one))),
+    ]
+    least = F.ceil(n * (SHARE[0] / (SHARE[1] - SHARE[0])) - 1e-9)  # words that a similar set shares at least
+    prefix = F.slice("k", 1, F.greatest(n - least + 1, F.lit(1)).cast("int"))
+    out = out.select("lid", "lid2", "doc_id", "line_no", n.alias("n"), parity(lambda h: one).alias("parity"), *[x.alias(p) for p, x in zip(PARITIES[1:], finer, strict=True)], prefix.alias("prefix"))
+    w = Window.partitionBy("lid", "lid2").orderBy("doc_id", "line_no")
     return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")  # limits rows before the shuffle too
 
 
@@ -100,69 +112,87 @@ def parities(of: Column) -> list[Column]:
 def differing(left, right) -> Column:
     """Bits that two lines' parities differ in, by the finest classes that both carry; left and right give a line's columns by name.
 
-    The halves of 128 classes are fine0 and parity xor fine0; the quarters of 256 are fine1, fine2 and each half without its quarter.
+    The halves of 128 classes are bit6 and parity xor bit6; the quarters of 256 are both, bit6 and bit7 each xor both, and the xor of all.
     """
-    x = lambda name: left(name).bitwiseXOR(right(name))
-    even, odd = x("parity").bitwiseXOR(x("fine0")), x("fine0")
-    halves = F.bit_count(even) + F.bit_count(odd)
-    quarters = F.bit_count(x("fine1")) + F.bit_count(even.bitwiseXOR(x("fine1"))) + F.bit_count(x("fine2")) + F.bit_count(odd.bitwiseXOR(x("fine2")))
-    return F.coalesce(quarters, halves, F.bit_count(x("parity")))
+    p, a, b, c = (left(name).bitwiseXOR(right(name)) for name in PARITIES)
+    quarters = F.bit_count(c) + F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(c)) + F.bit_count(p.bitwiseXOR(a).bitwiseXOR(b).bitwiseXOR(c))
+    return F.coalesce(quarters, F.bit_count(a) + F.bit_count(p.bitwiseXOR(a)), F.bit_count(p))
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Ids of later lines in pairs (lid, other) whose word sets reach JACCARD; only these lines' words are looked up.
+def most_apart(n: Column, m: Column) -> Column:
+    """Words that two similar sets of n and m words may not share: total less twice the shared ones."""
+    return n + m - 2 * F.ceil((n + m) * (SHARE[0] / SHARE[1]) - 1e-9)
+
+
+def near_by(left, right) -> Column:
+    """Parities allow that the lines are similar."""
+    return differing(left, right) * SHARE[1] <= (left("n") + right("n")) * (SHARE[1] - 2 * SHARE[0])
+
+
+def verified(pairs: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame:
+    """Numbers of the lines of pairs (num, other) whose word sets are similar to the other's; only these lines' words are looked up.
 
     Wide parities go to the pairs first, and texts only to those that they leave.
     """
-    ids = bounded(pairs.select("lid").unionByName(pairs.select(F.col("other").alias("lid"))).distinct())
-    w = Window.partitionBy("lid").orderBy("doc_id", "line_no")
-    texts = lines.join(ids, "lid", "left_semi").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    texts = cut(texts.select("lid", "line", words(F.col("line")).alias("w")).select("lid", "line", F.size("w").alias("n"), *parities(F.col("w"))))
+    ids = pairs.select("num").unionByName(pairs.select(F.col("other").alias("num"))).distinct()
+    ids = bounded(first.join(bounded(ids), "num").select("num", "lid", "lid2", "doc_id", "line_no"))
+    same = [F.col(k) == x for k, x in zip(("lid", "lid2"), identity(F.col("line")), strict=True)]
+    texts = lines.join(ids, ["doc_id", "line_no"]).where(same[0] & same[1])
+    texts = texts.select("num", "line", words(F.col("line")).alias("w")).select("num", "line", F.size("w").alias("n"), *parities(F.col("w")))
+    texts = cut(texts.dropDuplicates(["num"]))  # rows of one id may repeat a line
     bits = [f"p{q}" for q in range(PARITY)]
-    one = texts.select("lid", "n", *bits)
-    two = texts.select(F.col("lid").alias("other"), F.col("n").alias("m"), *[F.col(x).alias("_" + x) for x in bits])
+    one = texts.select("num", "n", *bits)
+    two = texts.select(F.col("num").alias("other"), F.col("n").alias("m"), *[F.col(x).alias("_" + x) for x in bits])
     differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col("_" + x))) for x in bits), F.lit(0))
-    near = pairs.join(one, "lid").join(two, "other").where(differ <= most_apart(F.col("n"), F.col("m"))).select("lid", "other")
-    a, b = texts.select("lid", F.col("line").alias("l1")), texts.select(F.col("lid").alias("other"), F.col("line").alias("l2"))
-    both = near.join(a, "lid").join(b, "other").select("lid", words(F.col("l1")).alias("s1"), words(F.col("l2")).alias("s2"))
-    shared = F.size(F.array_intersect("s1", "s2"))
-    return both.where(shared >= F.ceil((F.size("s1") + F.size("s2")) * (JACCARD / (1 + JACCARD)) - 1e-9)).select("lid").distinct()
+    close = pairs.join(one, "num").join(two, "other").where(differ <= most_apart(F.col("n"), F.col("m"))).select("num", "other")
+    a, b = texts.select("num", F.col("line").alias("l1")), texts.select(F.col("num").alias("other"), F.col("line").alias("l2"))
+    both = close.join(a, "num").join(b, "other").select("num", words(F.col("l1")).alias("s1"), words(F.col("l2")).alias("s2"))
+    return both.where(F.size(F.array_intersect("s1", "s2")) * SHARE[1] >= (F.size("s1") + F.size("s2")) * SHARE[0]).select("num").distinct()
 
 
 def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
-    """Ids of distinct lines that are similar to a line that occurs earlier.
+    """Numbers of distinct lines that are similar to a line that occurs earlier.
 
-    Two similar lines share a word of their prefixes. Round one compares each line with the earliest line of each of its prefix
-    words, which settles most members of large groups of near copies by one pair for each word. Round two takes the lines still open
-    and compares them with all other earlier lines under their prefix words; both sides come from one shuffle. Length, position and parity filters come before the exact check.
+    Two similar lines share a word of their prefixes. Round one compares each line with the first line of each of its prefix words and
+    with the LAGS lines before it there, and looks at the words of the one whose parities are nearest: that settles most members of a
+    large group of near copies by one pair each. Round two takes the lines still open and compares them with all earlier lines under
+    their prefix words. At the first word that two similar lines share, both still have as many words to come as they must share;
+    and the words before it differ, so a pair is dropped under a word that follows the same word in both lines.
     """
-
-    def prefixes(df: DataFrame) -> DataFrame:
-        return df.select("lid", "doc_id", "line_no", "n", *PARITIES, F.posexplode("prefix").alias("at", "word"))
-
-    def may_match(left, right) -> Column:
-        n, m, i, j = left("n"), right("n"), left("at"), right("at")
-        apart = most_apart(n, m)
-        longest = F.least(n - i, m - j) + F.least(i, j)
-        return (F.least(n, m) >= F.greatest(n, m) * JACCARD - 1e-9) & (n + m - 2 * longest <= apart) & (differing(left, right) <= apart)
-
     c = F.col
-    w = Window.partitionBy("word").orderBy("doc_id", "line_no", "lid")
-    placed = prefixes(first).withColumn("place", F.row_number().over(w))
-    star = placed.withColumn("h", F.first(F.struct("lid", "n", *PARITIES, "at")).over(w)).where("place > 1")
-    star = star.where(may_match(c, lambda x: c(f"h.{x}"))).select("lid", c("h.lid").alias("other")).distinct()
-    star = cut(star)
+    own = ("num", "doc_id", "line_no", "n", *PARITIES)
+    w = Window.partitionBy("word").orderBy("doc_id", "line_no")
+    met = first.select(*own, F.explode("prefix").alias("word")).withColumn("word", c("word").bitwiseAND(F.lit(WORD_BITS)))
+    others = [F.first(F.struct(*own)).over(w), *[F.lag(F.struct(*own), k).over(w) for k in range(1, LAGS + 1)]]
+    met = met.select(*own, *[x.alias(f"o{k}") for k, x in enumerate(others)])
+
+    def earlier(left, right) -> Column:
+        return (right("doc_id") < left("doc_id")) | ((right("doc_id") == left("doc_id")) & (right("line_no") < left("line_no")))
+
+    def nearest(o: str) -> Column:
+        other = lambda x: c(f"{o}.{x}")
+        fits = earlier(c, other) & (F.least("n", other("n")) * SHARE[1] >= (c("n") + other("n")) * SHARE[0]) & near_by(c, other)
+        return F.when(fits, F.struct(differing(c, other).alias("d"), other("num").alias("other")))
+
+    met = met.select("num", F.least(*[nearest(f"o{k}") for k in range(LAGS + 1)]).alias("best")).where("best IS NOT NULL")
+    star = cut(met.groupBy("num").agg(F.min("best").alias("best")).select("num", c("best.other").alias("other")))
     release(first)
-    settled = cut(verified(star, lines))
+    settled = cut(verified(star, first, lines))
     release(first)
-    # a line in second place has met the only line before it, so rounds go on where a word has three lines or more
-    many = placed.withColumn("lines", F.count("*").over(Window.partitionBy("word"))).where("lines > 2")
-    still = many.where("place > 2").join(bounded(settled), "lid", "left_anti")
-    earlier = many.select(*[c(x).alias("_" + x) for x in ("lid", "place", "n", *PARITIES, "at", "word")]).where("_place > 1")
-    pairs = still.join(earlier, (c("word") == c("_word")) & (c("_place") < c("place")) & may_match(c, lambda x: c(f"_{x}")))
-    pairs = cut(pairs.select("lid", c("_lid").alias("other")).distinct())
+    marked = first.join(bounded(settled.withColumn("open", F.lit(0))), "num", "left")
+    marked = marked.select(*own, F.coalesce("open", F.lit(1)).alias("open"), "prefix", F.posexplode("prefix").alias("at", "key"))
+    before = F.when(c("at") > 0, F.get("prefix", c("at") - 1).bitwiseAND(F.lit(BEFORE_BITS)))
+    rest = (c("n") - c("at")) * SHARE[1]
+    columns = [*own, "open", "rest", "before", "word"]
+    rows = marked.select(*own, "open", rest.alias("rest"), before.alias("before"), c("key").bitwiseAND(F.lit(WORD_BITS)).alias("word"))
+    past = rows.select(*[c(x).alias("_" + x) for x in columns])
+    right = lambda x: c("_" + x)
+    enough = F.least(c("rest") * c("open"), c("_rest")) >= (c("n") + c("_n")) * SHARE[0]
+    first_shared = F.coalesce(c("before") != c("_before"), F.lit(True))
+    pairs = rows.join(past, (c("word") == c("_word")) & enough & earlier(c, right) & first_shared & near_by(c, right))
+    pairs = cut(pairs.select("num", c("_num").alias("other")).distinct())
     release(first)
-    return settled.unionByName(verified(pairs, lines))
+    return settled.unionByName(verified(pairs, first, lines))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,18 +200,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Lines end at line feeds; a text of k line feeds has k + 1 lines, also the empty text; null counts as empty. A line goes if a line
     earlier in (doc_id, line number) order, whether that goes or not, has a word set of Jaccard similarity 0.8 or more. Lines without
-    words stay. Rows of a null id keep all lines and remove none elsewhere; rows of one id are one place, so equal lines at one line
-    number of theirs stay. No rows: none.
+    words stay. Rows of a null id keep all lines and remove none elsewhere; rows of one id are one place, so lines at one line
+    number of theirs don't remove each other. Long lines and texts are taken whole. Other columns are not looked at. No rows: none.
     """
     lines = lines_of(docs, id_col, text_col)
-    first = cut(distinct_lines(lines))
+    first = cut(distinct_lines(lines)).withColumn("num", F.monotonically_increasing_id())  # written rows: the numbers stay
     release(docs)
-    gone = cut(matched(first, lines)).withColumn("similar", F.lit(True))
-    fate = first.select("lid", F.col("doc_id").alias("_d"), F.col("line_no").alias("_n")).join(gone, "lid", "left")
-    placed = lines.select("uid", "doc_id", "line_no", "lid").join(fate, "lid", "left")
-    later = F.coalesce(F.col("similar") | (F.col("doc_id") != F.col("_d")) | (F.col("line_no") != F.col("_n")), F.lit(False)) & F.col("_d").isNotNull() & F.col("doc_id").isNotNull()
-    removed = F.sort_array(F.collect_list(F.when(later, F.col("line_no"))))
-    out = placed.groupBy("uid", "doc_id").agg(F.count("*").alias("n_lines"), removed.alias("removed"))
+    gone = cut(matched(first, lines))
+    key = lambda lid, at: F.shiftleft(lid, 32).bitwiseOR(at.cast("long"))
+    kept = first.join(gone, "num", "left_anti").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(key(F.col("lid"), F.col("line_no"))).alias("kept"))
+    whole = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    keys = F.filter(F.transform("l", lambda x, k: F.when(x.rlike(HAS_WORDS), key(F.xxhash64(x), k))), lambda k: k.isNotNull())
+    own = docs.select(F.col(id_col).alias("doc_id"), whole.alias("l")).select("doc_id", F.size("l").cast("long").alias("n_lines"), keys.alias("keys"))
+    none = F.array().cast("array<long>")
+    later = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except("keys", F.coalesce("kept", none)))
+    removed = F.transform(later, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    out = own.join(kept, own["doc_id"] == kept["_d"], "left").select("doc_id", "n_lines", removed.alias("removed"))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 

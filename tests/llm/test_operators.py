@@ -359,6 +359,23 @@ def test_lines(spark):
     assert got == want and sum(len(x[1]) for x in want.values()) > 50
 
 
+def test_long_lines_and_many_near_copies(spark):
+    r = random.Random(11)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(5_000)]
+    pool = [r.sample(vocabulary, k) for k in (40, 66, 70, 120, 130, 140, 200, 260, 300, 1500)]
+    texts = []
+    for k in range(150):
+        w = list(pool[0] if k % 2 else r.choice(pool))
+        for j in r.sample(range(len(w)), int(len(w) * r.choice([0, 0.02, 0.05, 0.08, 0.11, 0.15]))):
+            w[j] = r.choice(vocabulary)
+        r.shuffle(w)
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: list(r["removed"]) for r in lines.dedup(table(spark, texts)).collect()}
+    sets = [frozenset(t.split()) for t in texts]
+    want = {k: [0] if any(9 * len(s & x) >= 4 * (len(s) + len(x)) for x in sets[:k]) else [] for k, s in enumerate(sets)}
+    assert got == want and 40 < sum(map(len, want.values())) < 140
+
+
 def test_toxicity(spark):
     r = random.Random(11)
     clean = ["".join(r.choices("lmnoprst", k=r.randint(2, 6))) for _ in range(300)]
