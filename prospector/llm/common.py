@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 #: A word is a run of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of names of large groups that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,9 +65,17 @@ def with_field(schema: StructType, name: str, kind) -> StructType:
     return StructType([*schema.fields, StructField(name, kind)])
 
 
+def holds_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and holds_map(kind.elementType)
+
+
 def row_key(df: DataFrame) -> Column:
-    """A hash of all columns; equal for repeated rows."""
-    return F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns])
+    """128 bits of hash over all columns, equal for repeated rows. Maps count as JSON, so maps in another order make another row."""
+    own = [F.to_json(F.struct(F.col(f.name)), {"ignoreNullFields": "false"}) if holds_map(f.dataType) else F.col(f.name) for f in df.schema.fields]
+    own += [F.col(f.name).isNull() for f in df.schema.fields]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(1), *own).alias("b"))
 
 
 def repeat_rows(df: DataFrame, key: str, times: DataFrame) -> DataFrame:
@@ -156,7 +166,10 @@ def tiled(df: DataFrame, group: str, member: str, rows: int) -> DataFrame:
 
     Any two rows of a group meet in one (group, t0, t1); the group itself never meets in one task.
     """
-    big = df.groupBy(group).count().where(F.col("count") > rows).select(group, F.ceil(F.col("count") / rows).cast("int").alias("tiles"))
-    out = df.join(big, group, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    big = cut(df.groupBy(group).count().where(F.col("count") > rows).select(group, F.ceil(F.col("count") / rows).cast("int").alias("tiles")))
+    many = big.limit(BROADCAST_ROWS + 1).count()
+    if not many:
+        return df.withColumns({k: F.lit(0) for k in ("mine", "t0", "t1")})
+    out = df.join(F.broadcast(big) if many <= BROADCAST_ROWS else big, group, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     out = out.withColumn("mine", F.pmod(F.xxhash64(member), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return out.withColumn("t0", F.least("mine", "other")).withColumn("t1", F.greatest("mine", "other")).drop("tiles", "other")

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from prospector.llm import chat, decontaminate, embeddings, lines, lm, mixing, sharding, simhash, substring, toxicity
 
@@ -301,12 +302,72 @@ def test_simhash(spark):
                     todo.append(x)
         want.append((ids[k], f, min((ids[j] for j in seen if ids[j] is not None), default=None)))
     assert sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in rows), key=repr) == sorted(want, key=repr)
-    kept = simhash.keep_one(table(spark, texts)).collect()
-    assert len(kept) == len({r["component_id"] for r in simhash.near_duplicates(table(spark, texts).select("doc_id", "text")).collect()})
 
 
-@pytest.mark.parametrize("leaf", [20_000, 50])
-def test_simhash_links(spark, leaf):
+def shingle_words(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_roots(texts):
+    """Smallest place that each text reaches over Jaccard similarities of 0.8 or more, by comparing all."""
+    sets, root = [shingle_words(t) for t in texts], list(range(len(texts)))
+    for k, s in enumerate(sets):
+        for j in range(k):
+            shared = len(s & sets[j])
+            if (not s and not sets[j]) or (s and sets[j] and 5 * shared >= 4 * (len(s) + len(sets[j]) - shared)):
+                a, b = sorted((root[k], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def near_copies(seed=12):
+    """Texts that differ from one of a few by up to two words in ten; no pair within 0.01 of the similarity that counts."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(3_000)]
+    texts = []
+    for _ in range(60):
+        base = r.choices(vocabulary, k=r.randint(60, 300))
+        texts.append(" ".join(base))
+        for _ in range(r.randint(0, 4)):
+            w = list(base)
+            for j in r.sample(range(len(w)), int(len(w) * r.choice([0, 0.01, 0.04]))):
+                w[j] = r.choice(vocabulary)
+            texts.append(r.choice(["  ", "\n"]).join(w))
+    r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("shard", [500, 20])
+def test_keep_one(spark, shard, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard)
+    texts = near_copies() + corpus(8, 40)
+    ids = list(range(len(texts)))
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(table(spark, texts, ids)).collect())
+    want = sorted({r for r in similar_roots(texts)})
+    assert kept == want and 60 < len(want) < len(texts) - 40
+
+
+def test_keep_one_keeps_columns_and_nulls(spark):
+    docs = table(spark, ["a b c d e f", None, "a b c d e f", "", "a  b c d e F"], [None, 5, 7, 3, 9]).withColumn("m", F.create_map(F.lit("k"), "doc_id"))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["m"]["k"]) for r in kept.collect()) == [(3, 3), (7, 7)]
+
+
+def test_spanning_forest_joins_by_the_shortest_edges():
+    r = np.random.default_rng(5)
+    a, b, d = r.integers(0, 60, 400), r.integers(0, 60, 400), r.integers(0, 9, 400)
+    keep = simhash.spanning(60, a, b, d)
+    for most in range(9):
+        want = simhash.local_roots(60, a[d <= most], b[d <= most])
+        assert (simhash.local_roots(60, a[keep][d[keep] <= most], b[keep][d[keep] <= most]) == want).all()
+    assert len(keep) <= 59
+
+
+@pytest.mark.parametrize("leaf, shard", [(20_000, 500), (50, 500), (20_000, 30)])
+def test_simhash_links(spark, leaf, shard, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard)
     r = np.random.default_rng(9)
     centre = r.integers(0, 2**63, 40, dtype=np.uint64)
     fps = centre[r.integers(0, 40, 1500)]
@@ -314,20 +375,16 @@ def test_simhash_links(spark, leaf):
         fps = fps ^ (np.uint64(1) << r.integers(0, 64, 1500, dtype=np.uint64))
     fps = np.unique(np.concatenate((fps, r.integers(0, 2**63, 3000, dtype=np.uint64))))
     root = np.arange(len(fps))
-    a, b = np.nonzero(simhash.distances(fps, fps) <= 4)
+    a, b = np.nonzero(simhash.distances(fps[:, None], fps[:, None]) <= 4)
     want = simhash.local_roots(len(fps), a, b)
-    old, simhash.LEAF_ROWS = simhash.LEAF_ROWS, leaf
-    try:
-        edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")).collect()
-    finally:
-        simhash.LEAF_ROWS = old
+    points = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "id long").select("id", simhash.as_bits("id").alias("bits"))
+    edges = simhash.links(points, simhash.BLOCKS, simhash.NEAR, simhash.RADIUS, 1, 1).collect()
     at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
-    got = simhash.local_roots(len(fps), np.array([at[e["a"]] for e in edges]), np.array([at[e["b"]] for e in edges]))
-    assert (got == want).all() and len(set(want)) < len(root)
-    root = np.arange(len(fps))
-    for x, y in simhash.vantage_pairs(fps, small=64):
-        root = root[simhash.local_roots(len(fps), np.concatenate((np.arange(len(fps)), x)), np.concatenate((root, y)))]
-    assert (root == want).all()
+    x, y = np.array([at[e["a"]] for e in edges]), np.array([at[e["b"]] for e in edges])
+    assert (simhash.local_roots(len(fps), x, y) == want).all() and len(set(want)) < len(root)
+    assert all(e["d"] == ((e["a"] ^ e["b"]) % 2**64).bit_count() for e in edges)
+    found = {(min(i, j), max(i, j)) for x, y, _ in simhash.vantage_pairs(fps[:, None], small=64) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert found == {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j}
 
 
 def test_lines(spark):

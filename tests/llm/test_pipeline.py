@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from prospector.llm import decontaminate, toxicity
-from tests.llm.test_operators import simhash_of, words
+from tests.llm.test_operators import similar_roots, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,19 +50,8 @@ def test_pipeline(spark):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     scorer = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r for r in rows if scorer.score(r[1]) < 0.5]
-    fps = {d: simhash_of(t) for d, t, _ in rows}
-    seen, kept = set(), []
-    for d, t, s in sorted(rows):
-        if d not in seen:
-            kept.append((d, t, s))
-            todo = [d]
-            seen.add(d)
-            while todo:
-                a = fps[todo.pop()]
-                for b, f in fps.items():
-                    if b not in seen and (a ^ f).bit_count() <= 4:
-                        seen.add(b)
-                        todo.append(b)
+    rows.sort()
+    kept = [rows[k] for k in sorted(set(similar_roots([t for _, t, _ in rows])))]
     items = [decontaminate.WORDS.findall(r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = []
     for d, t, s in kept:
