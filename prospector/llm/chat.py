@@ -84,17 +84,41 @@ def sha(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped, with nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+
+
+def logged(rows: DataFrame) -> DataFrame:
+    """The log that writes the messages of rows (conv_id, at, role, text), one a turn: a draft of each turn, edited to the first half
+    of its text, to which the second half is streamed; a regeneration sets it once more if its number is odd."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    ends = F.substring(F.col("text"), half + 1, F.length("text") - half)
+    said = [
+        ("message", F.col("role"), F.lit("draft")),
+        ("edit", F.col("role"), F.lit("")),
+        ("delta", F.lit(None), F.substring(F.col("text"), F.lit(1), half)),
+        ("regenerate", F.col("role"), F.substring(F.col("text"), F.lit(1), half)),
+        ("delta", F.lit(None), ends),
+    ]
+    steps = [F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text")) for k, (kind, role, text) in enumerate(said)]
+    steps = F.filter(F.array(*steps), lambda x: (x["k"] != 3) | (F.col("at") % 2 == 1))
+    events = rows.select("conv_id", F.col("at").alias("turn"), F.explode(steps).alias("e"))
+    return events.select("conv_id", (F.col("turn") * len(said) + F.col("e.k")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, each row a message of its own; ties of turn by role and text."""
+    """All conversations and conversation -1, each row a turn, written as a log of drafts, edits, deltas and regenerations and folded
+    back; ties of turn by role and text. Null role: empty, null text: empty, null conv_id: a conversation of its own. What is under
+    the mask is cut out of the formatted text by loss_spans. Long conversations are one row; other columns are not looked at."""
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    events = rows.withColumn("seq", at).select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "role", "text")
-    out = render(fold(events)).withColumn("turns", read_back(F.col("formatted")))
+    rows = rows.select("conv_id", at.alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    out = render(fold(logged(rows))).withColumn("turns", read_back(F.col("formatted")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == TRAINED_ROLE), lambda t: t["text"]), "")
-    return out.withColumn("loss", loss).select(
+    return out.withColumn("loss", masked(F.col("formatted"), F.col("loss_spans"))).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), sha(lines).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), sha(F.col("loss")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )

@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="prospector-"))
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
     return named or at.get()

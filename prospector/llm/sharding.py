@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospector.llm.common import cut
+from prospector.llm.common import cut, table
 
 #: Bytes that a document counts besides its text.
 OVERHEAD = 16
-#: A group of equal texts that a cut falls into stays whole if it is at most this share of a shard.
-KEEP_WHOLE = 0.02
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row into one of `shards` contiguous shards of near-equal bytes.
 
-    Rows are laid out by (text hash, id), so equal texts lie together. Ranges of that order are dealt to partitions; only a
-    total per partition reaches the driver, which adds them up to offsets; a window inside each partition does the rest. Shard k
-    begins at byte k * total / shards. A cut within a small group of equal texts moves to the group's start; large groups are cut.
-    Null text: size 16, crc32 0, hash of the empty text. Repeated rows and ids are rows like others. No rows: no shards.
+    Rows are laid out by (text hash, crc, id, null first), so equal texts lie together. Ranges of that order are dealt to partitions;
+    only a total per partition reaches the driver, which adds them up to offsets; a window inside each partition does the rest. A row
+    goes to shard k if it begins at byte k * total / shards or later, and before that of k + 1. Groups of equal texts are cut like other
+    rows. Null text: size 16, crc32 0, hash of the empty text. Null ids, repeated rows and ids are rows like others. A text longer
+    than a shard takes the shards it covers, which stay empty but for its own. No rows: no shards. Other columns are not looked at.
     Returns (id, size, text_crc32, text_hash, shard, slot); slot counts from 0 in each shard without gaps.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -43,31 +40,16 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     total = at
     base = F.broadcast(spark.createDataFrame(offsets, "part int, byte0 long, row0 long"))  # one row per partition
     w = Window.partitionBy("part").orderBy(*order)
-    placed = rows.join(base, "part").select(
-        id_col, "size", "text_crc32", "text_hash",
-        (F.col("byte0") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
-        (F.col("row0") + F.row_number().over(w) - 1).alias("pos"),
-    )
-    targets = [total * k // shards for k in range(1, shards)]
-    crossed = F.floor((F.col("start") + F.col("size") - 1) * shards / F.lit(max(total, 1))) != F.floor(F.col("start") * shards / F.lit(max(total, 1)))
-    hit = F.broadcast(placed.where(crossed).select("text_hash", "text_crc32").distinct())  # at most one row per cut
-    groups = placed.join(hit, ["text_hash", "text_crc32"]).groupBy("text_hash", "text_crc32").agg(F.min("start").alias("lo"), F.sum("size").alias("b")).collect()
-    small = sorted((g["lo"], g["lo"] + g["b"]) for g in groups if g["b"] <= KEEP_WHOLE * total / shards)
-    starts = [lo for lo, _ in small]
-    cuts = []
-    for t in targets:
-        k = bisect_right(starts, t) - 1
-        cuts.append(small[k][0] if k >= 0 and small[k][0] < t < small[k][1] else t)
-    at = F.lit(0)
-    for c in sorted(cuts):
-        at = at + (F.col("start") >= F.lit(c)).cast("int")
-    placed = placed.withColumn("shard", at.cast("int") if total else F.lit(0))
+    start = F.col("byte0") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = rows.join(base, "part").select(id_col, "size", "text_crc32", "text_hash", start.alias("start"), (F.col("row0") + F.row_number().over(w) - 1).alias("pos"))
+    number = F.lit(0)
+    for k in range(1, shards):
+        number = number + (F.col("start") >= F.lit(total * k // shards)).cast("int")
+    placed = placed.withColumn("shard", number)
     first = F.broadcast(placed.groupBy("shard").agg(F.min("pos").alias("first")))  # one row per shard
     return placed.join(first, "shard").select(id_col, "size", "text_crc32", "text_hash", "shard", (F.col("pos") - F.col("first")).alias("slot"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    from prospector.llm.common import table
-
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -267,7 +267,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A word goes if one of the 13-word windows over it also starts in a document of a smaller id; all windows are judged on the input.
     Super-k-mers of a batch of documents are merged before they travel: a passage that many documents share is sent once a batch, with
     its places. Null text: no words. Fewer than 13 words: kept whole. Null id: neither keeps nor loses anything. Rows of one id have
-    none smaller among themselves; rows repeated whole are treated alike. No rows: none.
+    none smaller among themselves; rows repeated whole are treated alike. Bytes that are no UTF-8 are compared and hashed as they are;
+    kept_text shows them as U+FFFD. Other columns are not looked at. No rows: none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -301,7 +302,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     np.add.at(mask, [s["first"] for s in stretches], 1)
                     np.add.at(mask, [s["after"] for s in stretches], -1)
                     raw = b" ".join([words[k] for k in np.flatnonzero(np.cumsum(mask)[:n] == 0).tolist()])
-                for x, value in zip(out, (n, n - (raw.count(b" ") + 1 if raw else 0), raw.decode(), hashlib.sha256(raw).hexdigest()), strict=True):
+                for x, value in zip(out, (n, n - (raw.count(b" ") + 1 if raw else 0), raw.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest()), strict=True):
                     x.append(value)
             yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 

@@ -9,6 +9,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -72,6 +73,11 @@ GRAMMAR = compose([
 ])
 
 
+def number_of(*parts: str) -> int:
+    """A 63-bit hash, the same in every interpreter."""
+    return xxhash.xxh64_intdigest("\0".join(parts)) >> 1
+
+
 def families(word: str):
     yield word
     for n in PREFIXES:
@@ -83,7 +89,7 @@ def contexts(words: list[str]):
     """Each word of letters or digits with a hash of its neighbours."""
     for k, w in enumerate(words):
         if w[0].isalnum():
-            yield w, hash((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
+            yield w, number_of(words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
 
 
 def learn_words(rows: list[tuple[str, int]]) -> dict[str, float]:
@@ -95,15 +101,15 @@ def learn_words(rows: list[tuple[str, int]]) -> dict[str, float]:
     # features by hash class first, so that only those that may be frequent enough are named
     classes = np.zeros(HASH_CLASSES, np.int32)
     for text in toxic_texts:
-        seen = array("q", {hash(f) % HASH_CLASSES for w in set(TOKEN.findall(text.lower())) if w[0].isalnum() for f in families(w)})
+        seen = array("q", {number_of(f) % HASH_CLASSES for w in set(TOKEN.findall(text.lower())) if w[0].isalnum() for f in families(w)})
         classes[np.frombuffer(seen, np.int64)] += 1
     number: dict[str, int] = {}
     pairs, sizes = array("q"), [array("q"), array("q")]
     for text in toxic_texts:
         for w, around in contexts(TOKEN.findall(text.lower())):
-            sizes[1].append(hash((w, around)))
+            sizes[1].append(number_of(w, str(around)))
             for f in families(w):
-                if classes[hash(f) % HASH_CLASSES] >= LEAST_CONTEXTS:
+                if classes[number_of(f) % HASH_CLASSES] >= LEAST_CONTEXTS:
                     pairs.append((number.setdefault(f, len(number)) << 40) | (around & 0xFFFFFFFFFF))
     ids, toxic = np.unique(np.unique(np.frombuffer(pairs, np.int64)) >> 40, return_counts=True) if pairs else (np.zeros(0, int), np.zeros(0, int))
     names = list(number)
@@ -113,7 +119,7 @@ def learn_words(rows: list[tuple[str, int]]) -> dict[str, float]:
     for text, label in rows:
         if not label:
             for w, around in contexts(TOKEN.findall(text.lower())):
-                sizes[0].append(hash((w, around)))
+                sizes[0].append(number_of(w, str(around)))
                 for f in families(w):
                     if f in toxic:
                         clean[f].add(around)

@@ -104,17 +104,22 @@ def test_sharding(spark):
     assert all(abs(sum(b for _, b in x) - sum(size.values()) / 7) < sum(size.values()) / 7 for x in small)
 
 
-def test_sharding_balance_and_groups(spark):
-    texts = [f"text {k // 3} " + "y" * 80 for k in range(4000)]
-    rows = sharding.shard(table(spark, texts), shards=8).collect()
-    total = Counter()
-    for r in rows:
-        total[r["shard"]] += r["size"]
-    assert set(total) == set(range(8)) and max(total.values()) < 1.1 * min(total.values())
-    shards = {}
-    for r in rows:
-        shards.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
-    assert all(len(s) == 1 for s in shards.values())
+def test_sharding_layout(spark):
+    texts = [f"text {k // 3} " + "y" * (k % 90) for k in range(2000)] + ["z" * 60_000, None, ""]
+    ids = [*range(len(texts) - 2), 7, None]
+    docs = table(spark, texts, ids)
+    rows = sharding.shard(docs, shards=8).collect()
+    hashed = {r["doc_id"]: [] for r in rows}
+    for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").collect():
+        hashed[r["doc_id"]].append((r["h"], zlib.crc32((r["text"] or "").encode()), r["doc_id"] is not None, r["doc_id"] or 0, len((r["text"] or "").encode()) + 16))
+    layout = sorted(x for own in hashed.values() for x in own)
+    total, start, want, slots = sum(x[-1] for x in layout), 0, [], Counter()
+    for *_, has_id, doc_id, size in layout:
+        k = sum(start >= total * j // 8 for j in range(1, 8))
+        want.append((doc_id if has_id else None, size, k, slots[k]))
+        slots[k] += 1
+        start += size
+    assert sorted(((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in rows), key=repr) == sorted(want, key=repr)
 
 
 def vectors(seed=3, n=300):
@@ -273,6 +278,27 @@ def test_chat_round_trip(spark):
         assert [s.replace("<\\|", "<|").replace("\\\\", "\\") for s in spans] == (nasty if r["conv_id"] == 0 else [])
 
 
+def test_chat_log_and_mask(spark):
+    rows = [(1, 1, "user", "aé\U0001f600b"), (1, 2, "assistant", "<|im_end|>x\\"), (1, 3, "assistant", ""), (1, 4, "", "odd"), (None, 1, "assistant", "q")]
+    messages = spark.createDataFrame(rows, "conv_id long, at long, role string, text string")
+    log = chat.logged(messages)
+    assert {r["kind"] for r in log.collect()} == {"message", "edit", "delta", "regenerate"}
+    folded = chat.fold(log)
+    assert sorted(map(tuple, folded.collect()), key=repr) == sorted(rows, key=repr)
+    out = chat.render(folded)
+    loss = {r["conv_id"]: r["loss"] for r in out.select("conv_id", chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert loss == {1: "<|im_end|>x\\", None: "q"}
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length")))
+    assert {r["loss"] for r in out.select(chat.masked(F.col("formatted"), moved).alias("loss")).collect()} != set(loss.values())
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.createDataFrame([(k, bytearray(b" ".join(b"w%d\xff" % j for j in range(20)))) for k in (1, 2)], "doc_id long, text binary")
+    docs = docs.select("doc_id", F.expr("cast(text as string)").alias("text"))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.dedup(docs).collect()}
+    assert got == {1: (20, 0), 2: (20, 20)} and simhash.near_duplicates(docs).count() == simhash.keep_one(docs).count() + 1
+
+
 def simhash_of(t):
     w = (t or "").encode().lower().split()
     if not w:
