@@ -17,8 +17,8 @@ PARITIES, FINE = ("parity", "bit6", "bit7", "both"), (64, 128)
 PARITY = 4
 #: Bits of a word's place in the order that travel, and of its predecessor's.
 WORD_BITS, BEFORE_BITS = (1 << 40) - 1, (1 << 48) - 1
-#: Lines just before a line, besides the first one, that the first round compares it with under each prefix word.
-LAGS = 2
+#: The first round looks at one in so many prefix words, by hash; the second at all.
+EVERY = 4
 #: Rows of line ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 HAS_WORDS = r"[^\x20\x09-\x0D]"
@@ -153,29 +153,27 @@ def verified(pairs: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame:
 def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
     """Numbers of distinct lines that are similar to a line that occurs earlier.
 
-    Two similar lines share a word of their prefixes. Round one compares each line with the first line of each of its prefix words and
-    with the LAGS lines before it there, and looks at the words of the one whose parities are nearest: that settles most members of a
-    large group of near copies by one pair each. Round two takes the lines still open and compares them with all earlier lines under
+    Two similar lines share a word of their prefixes. Round one compares each line with the first line of each of some of its prefix
+    words, and looks at the words of the one whose parities are nearest: that settles most members of a large group of near copies by
+    one pair each. Round two takes the lines still open and compares them with all earlier lines under
     their prefix words. At the first word that two similar lines share, both still have as many words to come as they must share;
     and the words before it differ, so a pair is dropped under a word that follows the same word in both lines.
     """
     c = F.col
     own = ("num", "doc_id", "line_no", "n", *PARITIES)
     w = Window.partitionBy("word").orderBy("doc_id", "line_no")
-    met = first.select(*own, F.explode("prefix").alias("word")).withColumn("word", c("word").bitwiseAND(F.lit(WORD_BITS)))
-    others = [F.first(F.struct(*own)).over(w), *[F.lag(F.struct(*own), k).over(w) for k in range(1, LAGS + 1)]]
-    met = met.select(*own, *[x.alias(f"o{k}") for k, x in enumerate(others)])
+    word = c("word").bitwiseAND(F.lit(WORD_BITS))
+    met = first.select(*own, F.explode(F.filter("prefix", lambda h: h.bitwiseAND(F.lit(WORD_BITS)) % EVERY == 0)).alias("word")).withColumn("word", word)
+    met = met.withColumn("o", F.first(F.struct(*own)).over(w))
 
     def earlier(left, right) -> Column:
         return (right("doc_id") < left("doc_id")) | ((right("doc_id") == left("doc_id")) & (right("line_no") < left("line_no")))
 
-    def nearest(o: str) -> Column:
-        other = lambda x: c(f"{o}.{x}")
-        fits = earlier(c, other) & (F.least("n", other("n")) * SHARE[1] >= (c("n") + other("n")) * SHARE[0]) & near_by(c, other)
-        return F.when(fits, F.struct(differing(c, other).alias("d"), other("num").alias("other")))
-
-    met = met.select("num", F.least(*[nearest(f"o{k}") for k in range(LAGS + 1)]).alias("best")).where("best IS NOT NULL")
+    star = lambda x: c(f"o.{x}")
+    fits = earlier(c, star) & (F.least("n", star("n")) * SHARE[1] >= (c("n") + star("n")) * SHARE[0]) & near_by(c, star)
+    met = met.where(fits).select("num", F.struct(differing(c, star).alias("d"), star("num").alias("other")).alias("best"))
     star = cut(met.groupBy("num").agg(F.min("best").alias("best")).select("num", c("best.other").alias("other")))
+    del met
     release(first)
     settled = cut(verified(star, first, lines))
     release(first)
