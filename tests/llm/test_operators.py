@@ -533,6 +533,53 @@ def test_lm_is_a_distribution():
     assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_score_is_the_attention_formula():
+    """Every token one by one: softmax over the tokens of its window before it, the states' sum, and the two levels of the tree."""
+    rng = np.random.default_rng(1)
+    tree, end = lm.Tree(rng.integers(0, 50, 2500).astype(float)), 2499
+    w = lm.train_model([tree.leaf[rng.integers(0, 2500, 150)] for _ in range(3)], int(tree.leaf[end]))
+    scorer = lm.Scorer(w, tree, end)
+
+    def log_softmax(x):
+        return x - np.log(np.exp(x - x.max()).sum()) - x.max()
+
+    for length in (0, 1, 16, 33, 90):
+        text = rng.integers(0, 2500, length)
+        seen, total = np.concatenate(([end], text)), 0.0
+        for k, target in enumerate([*text.tolist(), end]):
+            now = tree.leaf[seen[k]]
+            window = range(max(0, (k // lm.BLOCK - 1) * lm.BLOCK), k + 1)
+            logits = np.array([w["query"][now].astype(float) @ w["key"][tree.leaf[seen[j]]] / math.sqrt(lm.WIDTH) + w["distance"][k - j] for j in window])
+            share = np.exp(log_softmax(logits))
+            h = w["token"][now] + sum(s * w["value"][tree.leaf[seen[j]]].astype(float) for s, j in zip(share, window, strict=True))
+            group, place = divmod(int(tree.leaf[target]), lm.GROUPS)
+            total += log_softmax(h @ w["up"] + w["up0"])[group] + log_softmax(h @ w["low"][group] + w["low0"][group])[place] + tree.inside[target]
+        assert scorer.score([text])[0] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+def test_lm_gradients():
+    """The gradients are those of the mean loss, by finite differences."""
+    rng = np.random.default_rng(2)
+    w = {k: v * 3 for k, v in lm.fresh_weights().items()}
+    now, _ = lm.blocks_of([rng.integers(0, 40, 40)])
+    before = np.concatenate((now[:1], now[:-1]))
+    target = np.where(now == lm.PAD, lm.PAD, (now * 7 + 3) % 1000)
+
+    def loss(weights):
+        h, _ = lm.attend(weights, now, before)
+        real = target != lm.PAD
+        return -lm.leaf_scores(weights, h[real], target[real])[0].mean()
+
+    grads = lm.gradients(w, now, before, target)
+    for name in w:
+        for _ in range(4):
+            at = tuple(int(rng.integers(0, min(d, 32))) for d in w[name].shape)
+            up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+            up[name][at] += 0.02
+            down[name][at] -= 0.02
+            assert grads[name][at] == pytest.approx((loss(up) - loss(down)) / 0.04, abs=2e-3)
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert substring.dedup(none).count() == sharding.shard(none).count() == mixing.mix(none).count() == 0
