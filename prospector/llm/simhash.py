@@ -341,10 +341,10 @@ def differs() -> float:
 def wide_blocks(rows: int) -> tuple[tuple[tuple[int, int], ...], int]:
     """Blocks for `rows` documents and the 64-bit words that hold them.
 
-    A block is so wide that unrelated documents are seldom within NEAR bits in it; there are so many that two documents at JACCARD are
-    in none of them with chance MISS.
+    A block is so wide that its tree can part the documents into shards of SHARD_ROWS; there are so many that two documents at JACCARD
+    are within NEAR bits in none of them with chance MISS.
     """
-    width = min(32, max(20, math.ceil(math.log2(max(rows, 2))) + 4))
+    width = min(32, max(12, math.ceil(math.log2(max(rows, 2) / SHARD_ROWS)) + 6))
     p = differs()
     hit = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(NEAR + 1))
     number = math.ceil(math.log(MISS) / math.log(1 - hit))
@@ -372,8 +372,8 @@ def similar_groups(docs: DataFrame, key: str = "row", text_col: str = "text") ->
     five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Wide fingerprints find the pairs: trees over their blocks, then SKETCH words of them. Each shard hands on the shortest edges that
-    connect it. The shortest edge of each document is verified first, by the shingles of both texts; edges between
-    documents that this has not connected follow. Documents of equal wide fingerprints count as one. Words are lower-cased (A-Z);
+    connect it. The shortest edge of each document is verified first, by the shingles of both texts, then the shortest one of each
+    to a document that this has not connected with it, then all edges left. Documents of equal wide fingerprints count as one. Words are lower-cased (A-Z);
     texts of fewer than five words: the whole is one shingle; null and empty texts: all alike. Long texts count whole. No rows: none.
     """
     rows = docs.select(key, "doc_id", F.col(text_col).cast("binary").alias("text"))
@@ -387,8 +387,9 @@ def similar_groups(docs: DataFrame, key: str = "row", text_col: str = "text") ->
     light = with_field(rows.drop("text").schema, "bits", rows.schema["text"].dataType)
     wide = cut(rows.mapInArrow(fingerprinted, light))
     points = cut(wide.groupBy("bits").agg(F.min(key).alias(key))).withColumn("id", F.monotonically_increasing_id())  # written rows: the ids stay
-    edges = cut(links(points.select("id", "bits"), blocks, NEAR, SKETCH_RADIUS, words, SKETCH).groupBy("a", "b").agg(F.min("d").alias("d")))
-    ends = edges.select("a", "b", "d").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    edges = links(points.select("id", "bits"), blocks, NEAR, SKETCH_RADIUS, words, SKETCH).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    edges = cut(edges.groupBy("a", "b").agg(F.min("d").alias("d")))
+    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a")))
 
     def shingled(batches):
         for b in batches:
@@ -397,14 +398,19 @@ def similar_groups(docs: DataFrame, key: str = "row", text_col: str = "text") ->
     asked = points.join(ends.select(F.col("a").alias("id")).distinct(), "id").select("id", F.col(key).alias("_key"))
     texts = rows.join(asked, F.col(key) == F.col("_key")).select("id", "text").mapInArrow(shingled, "id long, shingles binary")
     sets = cut(texts.dropDuplicates(["id"]))  # rows may be repeated whole
-    best = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("b")).select(F.least("a", "b.b").alias("a"), F.greatest("a", "b.b").alias("b")).distinct()
-    true = cut(similar(best, sets))
-    roots = cut(components(true))
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    open_ = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    open_ = open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(similar(open_.join(best, ["a", "b"], "left_anti"), sets))
-    roots = components(true.unionByName(more)) if more.limit(1).count() else roots
+    true = tested = edges.select("a", "b").limit(0)
+    roots = components(true)
+    for shortest in (True, True, False):
+        left = edges.join(tested, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "d")
+        if shortest:
+            both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+            left = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("b")).select(F.least("a", "b.b").alias("a"), F.greatest("a", "b.b").alias("b")).distinct()
+        left = cut(left.select("a", "b"))
+        tested = tested.unionByName(left)
+        true = true.unionByName(cut(similar(left, sets)))
+        roots = cut(components(true))
     named = points.join(roots, points["id"] == roots["node"], "left").select(F.col("bits").alias("_bits"), F.coalesce("root", "id").alias("root"))
     return wide.join(named, wide["bits"] == named["_bits"]).select(key, "doc_id", "root")
 
