@@ -12,7 +12,7 @@ SHARE = (4, 9)
 #: Bits of a word's hash that name the class in which it is counted for the rarity order, and bits of it that break ties.
 CLASS_BITS, TIE_BITS = 17, 46
 #: Columns that hold a line's parities; lines of more words than FINE carry more of them.
-PARITIES, FINE = ("parity", "bit6", "bit7", "both"), (64, 128)
+PARITIES, FINE = ("parity", "bit6", "bit7", "both"), (96, 192)
 #: Longs of 64 parity bits by which candidates are compared before their texts are.
 PARITY = 4
 #: Bits of a word's place in the order that travel, and of its predecessor's.
@@ -181,11 +181,12 @@ def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
     marked = marked.select(*own, F.coalesce("open", F.lit(1)).alias("open"), "prefix", F.posexplode("prefix").alias("at", "key"))
     before = F.when(c("at") > 0, F.get("prefix", c("at") - 1).bitwiseAND(F.lit(BEFORE_BITS)))
     rest = (c("n") - c("at")) * SHARE[1]
-    columns = [*own, "open", "rest", "before", "word"]
-    rows = marked.select(*own, "open", rest.alias("rest"), before.alias("before"), c("key").bitwiseAND(F.lit(WORD_BITS)).alias("word"))
-    past = rows.select(*[c(x).alias("_" + x) for x in columns])
+    rows = marked.select(*own, rest.alias("rest"), (rest * c("open")).alias("open"), before.alias("before"), c("key").bitwiseAND(F.lit(WORD_BITS)).alias("word"))
+    past = rows.select(*[c(x).alias("_" + x) for x in rows.columns])
     right = lambda x: c("_" + x)
-    enough = F.least(c("rest") * c("open"), c("_rest")) >= (c("n") + c("_n")) * SHARE[0]
+    # nought, but it makes both sides read the same columns, so that one shuffle serves both
+    nought = F.greatest(c("open") - c("rest"), c("_open") - c("_rest"), F.lit(0))
+    enough = F.least(c("open"), c("_rest")) >= (c("n") + c("_n")) * SHARE[0] + nought
     first_shared = F.coalesce(c("before") != c("_before"), F.lit(True))
     pairs = rows.join(past, (c("word") == c("_word")) & enough & earlier(c, right) & first_shared & near_by(c, right))
     pairs = cut(pairs.select("num", c("_num").alias("other")).distinct())

@@ -445,7 +445,7 @@ def test_lines(spark):
 def test_long_lines_and_many_near_copies(spark):
     r = random.Random(11)
     vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(5_000)]
-    pool = [r.sample(vocabulary, k) for k in (40, 66, 70, 120, 130, 140, 200, 260, 300, 1500)]
+    pool = [r.sample(vocabulary, k) for k in (40, 66, 95, 100, 130, 190, 200, 260, 300, 1500)]
     texts = []
     for k in range(150):
         w = list(pool[0] if k % 2 else r.choice(pool))
