@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from prospector.llm.common import components, cut, fresh, in_batches, local_roots, repeat_rows, row_key, sorted_groups, table, tiled, with_field
+from prospector.llm.common import BROADCAST_ROWS, components, cut, fresh, in_batches, local_roots, repeat_rows, row_key, sorted_groups, table, tiled, with_field
 from prospector.llm.substring import spans, word_hashes
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -372,8 +372,8 @@ def similar_groups(docs: DataFrame, key: str = "row", text_col: str = "text") ->
     five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Wide fingerprints find the pairs: trees over their blocks, then SKETCH words of them. Each shard hands on the shortest edges that
-    connect it. The shortest edge of each document is verified first, by the shingles of both texts, then the shortest one of each
-    to a document that this has not connected with it, then all edges left. Documents of equal wide fingerprints count as one. Words are lower-cased (A-Z);
+    connect it. The shortest edge of each document is verified first, by the shingles of both texts, then all edges between documents
+    that this has not connected. Documents of equal wide fingerprints count as one. Words are lower-cased (A-Z);
     texts of fewer than five words: the whole is one shingle; null and empty texts: all alike. Long texts count whole. No rows: none.
     """
     rows = docs.select(key, "doc_id", F.col(text_col).cast("binary").alias("text"))
@@ -395,22 +395,23 @@ def similar_groups(docs: DataFrame, key: str = "row", text_col: str = "text") ->
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist())], pa.binary())], names=["id", "shingles"])
 
-    asked = points.join(ends.select(F.col("a").alias("id")).distinct(), "id").select("id", F.col(key).alias("_key"))
-    texts = rows.join(asked, F.col(key) == F.col("_key")).select("id", "text").mapInArrow(shingled, "id long, shingles binary")
+    asked = cut(points.join(ends.select(F.col("a").alias("id")).distinct(), "id").select("id", F.col(key).alias("_key")))
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = rows.join(F.broadcast(asked) if few else asked, F.col(key) == F.col("_key")).select("id", "text").mapInArrow(shingled, "id long, shingles binary")
     sets = cut(texts.dropDuplicates(["id"]))  # rows may be repeated whole
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    best = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("b")).select(F.least("a", "b.b").alias("a"), F.greatest("a", "b.b").alias("b")).distinct()
+    best = cut(best)
+    true = cut(similar(best, sets))
+    roots = cut(components(true))
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    true = tested = edges.select("a", "b").limit(0)
-    roots = components(true)
-    for shortest in (True, True, False):
-        left = edges.join(tested, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "d")
-        if shortest:
-            both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-            left = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("b")).select(F.least("a", "b.b").alias("a"), F.greatest("a", "b.b").alias("b")).distinct()
-        left = cut(left.select("a", "b"))
-        tested = tested.unionByName(left)
-        true = true.unionByName(cut(similar(left, sets)))
-        roots = cut(components(true))
+    left = edges.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v"))
+    more = cut(similar(left, sets).join(left, ["a", "b"]).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    upper = components(more).select(F.col("node").alias("r"), F.col("root").alias("top"))  # of whole components
+    nodes = roots.unionByName(upper.select(F.col("r").alias("node"), F.col("r").alias("root"))).distinct()
+    roots = nodes.join(upper, nodes["root"] == upper["r"], "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = roots.groupBy("node").agg(F.min("root").alias("root"))
     named = points.join(roots, points["id"] == roots["node"], "left").select(F.col("bits").alias("_bits"), F.coalesce("root", "id").alias("root"))
     return wide.join(named, wide["bits"] == named["_bits"]).select(key, "doc_id", "root")
 
