@@ -28,6 +28,11 @@ SUBJECT_TERMS = (
 ADVISORY_ID = r"(?i)\b(?:CVE-\d{4}-\d{4,}|GHSA-[a-z0-9]{4}-[a-z0-9]{4}-[a-z0-9]{4})\b"
 CWE_ID, GO_ID, OSV_ID = r"(?i)\bCWE[-\s]?\d{1,5}\b", r"(?i)\bGO-\d{4}-\d{3,}\b", r"(?i)\bOSV-\d{4}-\d{3,}\b"
 SECURITY_SUBJECT = r"(?i)^\s*(?:security|sec|vuln)\s*(?:\([^)]*\))?\s*!?\s*:"
+# Addresses of advisories, subjects of merges, links to commits, and what stands for a message that is not shown.
+ADVISORY_URL = r"(?i)https?://\S*(?:security|advisor|cve|ghsa|vuln|snyk|nvd\.nist)\S*"
+MERGE_SUBJECT = r"(?i)^(?:Merge (?:pull request|branch|remote-tracking branch|tag)\b|Merge commit from fork)\b"
+COMMIT_URL = r"(?i)https?://(?:www\.)?github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)/(?:commit|pull/\d+/commits)/([0-9a-fA-F]{7,40})(?:[/?#][^\s\"'<>)\]}>]*)?"
+PLACEHOLDER, NEUTRAL_STUB = "[redacted]", "Update implementation."
 # Path rules of the change kinds.
 VENDOR_DIRS = ("vendor", "vendors", "node_modules", "third_party", "third-party", "vendored", "external")
 GENERATED_DIRS, TEST_DIRS, DOC_DIRS = ("generated", "dist"), ("test", "tests", "__tests__", "spec", "specs"), ("docs", "doc")
@@ -39,6 +44,7 @@ DEPENDENCY_NAMES = (
     "build.gradle", "build.gradle.kts", "gradle.lockfile", "packages.config", "deps.edn", "flake.lock",
 )
 DOC_NAMES = ("readme", "changelog", "changes", "news", "license", "contributing", "security", "authors")
+MARKED_SUFFIXES, MARKER = (".go", ".rs", ".java", ".kt", ".cs", ".js", ".ts"), r"(?i)code generated .* do not edit|@generated\b|automatically generated"
 DOC_SUFFIXES = (".md", ".mdx", ".rst", ".adoc", ".asciidoc")
 SOURCE_SUFFIXES = (
     ".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".go", ".rs", ".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".java", ".kt", ".kts",
@@ -85,7 +91,7 @@ def subject(message: Column) -> Column:
 def message_class(message: Column, is_merge: Column, terms: Column) -> Column:
     """empty, merge_noise, announced or quiet; terms are matched_terms() of the message."""
     text = F.coalesce(message, F.lit(""))
-    merge = subject(text).rlike(r"(?i)^merge (?:pull request|branch|remote-tracking|tag|commit)\b")
+    merge = subject(text).rlike(MERGE_SUBJECT)
     return F.when(~text.rlike(r"\S"), "empty").when(is_merge & merge, "merge_noise").when(text.rlike(ADVISORY_ID) | (F.size(terms) >= 2), "announced").otherwise("quiet")
 
 
@@ -98,36 +104,71 @@ def announcement_strength(message: Column, terms: Column) -> Column:
     )
 
 
+def redaction(message: Column, terms: tuple[str, ...] = SECURITY_TERMS) -> Column:
+    """(text, removed_identifiers, removed_keywords): identifiers and addresses first, then the terms in table order, each on what the
+    ones before have left; what is removed is listed once, in the order of removal. Null: empty."""
+    out, found, gone = F.coalesce(message, F.lit("")), [], []
+    for pattern in (ADVISORY_ID, GO_ID, OSV_ID, CWE_ID, ADVISORY_URL):
+        found.append(F.regexp_extract_all(out, F.lit(pattern), 0))
+        out = F.regexp_replace(out, pattern, PLACEHOLDER)
+    for term in terms:
+        gone.append(F.when(has_term(out, term), F.lit(term)))
+        out = F.regexp_replace(out, f"(?i)(^|{EDGE}){term_regex(term)}(?=$|{EDGE})", f"$1{PLACEHOLDER}")
+    keywords = F.filter(F.array(*gone), lambda x: x.isNotNull())
+    return F.struct(out.alias("text"), F.array_distinct(F.flatten(F.array(*found))).alias("removed_identifiers"), keywords.alias("removed_keywords"))
+
+
 def redact(message: Column, terms: tuple[str, ...] = SECURITY_TERMS) -> Column:
-    """Identifiers first, then the terms in table order, each on what the ones before have left."""
-    out = message
-    for pattern in (ADVISORY_ID, GO_ID, OSV_ID, CWE_ID):
-        out = F.regexp_replace(out, pattern, "[redacted]")
+    """The text of redaction()."""
+    out = F.coalesce(message, F.lit(""))
+    for pattern in (ADVISORY_ID, GO_ID, OSV_ID, CWE_ID, ADVISORY_URL):
+        out = F.regexp_replace(out, pattern, PLACEHOLDER)
     for term in terms:
-        out = F.regexp_replace(out, f"(?i)(^|{EDGE}){term_regex(term)}(?=$|{EDGE})", "$1[redacted]")
+        out = F.regexp_replace(out, f"(?i)(^|{EDGE}){term_regex(term)}(?=$|{EDGE})", f"$1{PLACEHOLDER}")
     return out
 
 
-def change_kind(path: Column, patch: Column) -> Column:
-    """The first rule that holds: merge, submodule, binary, generated or vendored, test, docs, dependency, source, other."""
+def under_condition(message: Column, condition: str) -> Column:
+    """The message as a reviewer sees it: M0 whole, M1 redacted, M2 a stub."""
+    shown = {"M0": lambda: F.coalesce(message, F.lit("")), "M1": lambda: redact(message), "M2": lambda: F.lit(NEUTRAL_STUB)}
+    return shown[condition]()
+
+
+def path_parts(path: Column) -> tuple[Column, Column, Column]:
+    """Lower-case components of a path, the last of them, and the folders before it."""
     low = F.lower(path)
     parts = F.filter(F.split(low, "/"), lambda x: x != "")
-    name = F.coalesce(F.element_at(parts, -1), low)
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    ends = lambda suffixes: reduce(lambda a, b: a | b, [name.endswith(s) for s in suffixes])
-    has = lambda where, names: F.arrays_overlap(where, F.array(*[F.lit(n) for n in names]))
-    marked = ends((".js", ".css", ".go", ".py", ".ts", ".java", ".rs")) & F.substring(patch, 1, 4096).rlike(r"(?i)code generated .* do not edit|@generated\b|automatically generated")
-    generated = has(parts, VENDOR_DIRS) | has(folders, GENERATED_DIRS) | ends(GENERATED_SUFFIXES) | marked
+    return parts, F.coalesce(F.try_element_at(parts, F.lit(-1)), low), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def ends_with(name: Column, suffixes: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [name.endswith(s) for s in suffixes])
+
+
+def holds_any(where: Column, names: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(where, F.array(*[F.lit(n) for n in names]))
+
+
+def generated_reason(path: Column, patch: Column) -> Column:
+    """Why a file counts as generated or vendored; null if it does not."""
+    parts, name, folders = path_parts(path)
+    marked = ends_with(name, MARKED_SUFFIXES) & F.substring(patch, 1, 4096).rlike(MARKER)
+    return F.when(holds_any(parts, VENDOR_DIRS), "vendor_directory").when(holds_any(folders, GENERATED_DIRS), "generated_directory").when(ends_with(name, GENERATED_SUFFIXES), "generated_filename").when(marked, "generated_marker")
+
+
+def change_kind(path: Column, patch: Column) -> Column:
+    """The first rule that holds: merge, submodule, binary, generated or vendored, test, docs, dependency, source, other."""
+    parts, name, _ = path_parts(path)
     requirements = name.rlike(r"^(requirements|constraints).*\.(txt|in)$")
     return (
         F.when(patch.rlike(r"^diff --(cc|combined) "), "merge_resolution")
         .when(patch.contains("Subproject commit ") | patch.rlike(r"(?m)^(?:new |deleted )?file mode 160000$"), "submodule")
         .when(patch.contains("GIT binary patch") | patch.rlike(r"(?m)^Binary files .+ differ$"), "binary")
-        .when(generated, "generated_vendor")
-        .when(has(parts, TEST_DIRS) | name.startswith("test_") | ends(TEST_SUFFIXES), "test")
-        .when(has(parts, DOC_DIRS) | ends(DOC_SUFFIXES) | name.isin(*DOC_NAMES), "docs")
-        .when(name.isin(*DEPENDENCY_NAMES) | requirements | ends((".lock", ".sum")), "dependency")
-        .when(ends(SOURCE_SUFFIXES), "source")
+        .when(generated_reason(path, patch).isNotNull(), "generated_vendor")
+        .when(holds_any(parts, TEST_DIRS) | name.startswith("test_") | ends_with(name, TEST_SUFFIXES), "test")
+        .when(holds_any(parts, DOC_DIRS) | ends_with(name, DOC_SUFFIXES) | name.isin(*DOC_NAMES), "docs")
+        .when(name.isin(*DEPENDENCY_NAMES) | requirements | ends_with(name, (".lock", ".sum")), "dependency")
+        .when(ends_with(name, SOURCE_SUFFIXES), "source")
         .otherwise("other")
     )
 
@@ -193,9 +234,17 @@ def stable_score(seed: str, value: Column) -> Column:
 
 
 def commit_refs(text: Column) -> Column:
-    """Distinct host/owner/name@sha of commit links."""
-    links = F.regexp_extract_all(text, F.lit(r"(https?://[\w.-]+/[\w.-]+/[\w.-]+/(?:commit|pull/\d+/commits)/[0-9a-fA-F]{7,40})"), 1)
-    return F.array_distinct(F.transform(links, lambda x: F.lower(F.regexp_replace(x, r"^https?://([\w.-]+/[\w.-]+/[\w.-]+)/(?:commit|pull/\d+/commits)/", "$1@"))))
+    """(host, repo, sha, url) of each commit that the text links to, in order; of several links to one commit the first."""
+    links = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(COMMIT_URL), 0)
+    part = lambda x, k: F.lower(F.regexp_extract(x, COMMIT_URL, k))
+    refs = F.transform(links, lambda x: F.struct(F.lit("github.com").alias("host"), F.concat_ws("/", part(x, 1), part(x, 2)).alias("repo"), part(x, 3).alias("sha"), x.alias("url")))
+    named = F.transform(refs, lambda r: F.concat_ws("@", r["repo"], r["sha"]))
+    return F.filter(refs, lambda r, k: F.array_position(named, F.concat_ws("@", r["repo"], r["sha"])) == k + 1)
+
+
+def advisory_refs(details: Column, references: Column) -> Column:
+    """commit_refs() of an advisory's details and then its references, an array of addresses."""
+    return commit_refs(F.concat_ws("\n", F.coalesce(details, F.lit("")), references))
 
 
 def file_sections(diff: Column) -> Column:

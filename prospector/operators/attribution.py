@@ -1,34 +1,158 @@
-"""Give findings on merge commits to the commit that the merge brought in, and their times to introductions."""
+"""Give findings on merge commits to the commits that the merges brought in, fold duplicates, and date introductions.
+
+findings: (seq, sha, affected_paths array<string>, evidence array<struct<revision, revision_sha, path, start_line, end_line, quoted_span>>)
+and other columns; seq is their order. commits: (sha, place, parents, paths, added, patch_id); place is after that of all parents, added
+holds added_lines() of the patch. blobs: (sha, path, content).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prospector.functions.text import squeeze
 from prospector.operators import graph
 
 #: A merge that brings in more commits than this is not resolved.
 MOST = 25
+#: Evidence of more lines than this is not blamed.
+BLAME_LINES = 400
+
+
+def added_lines(patch: Column) -> Column:
+    """Distinct added lines of a patch, white space squeezed; blank lines and file headers are none."""
+    own = F.filter(F.split(patch, r"\r\n|\n|\r"), lambda x: x.startswith("+") & ~x.startswith("+++"))
+    return F.array_distinct(F.filter(F.transform(own, lambda x: squeeze(F.substring(x, 2, 2**31 - 1))), lambda x: x != ""))
+
+
+def finding_paths(affected: Column, evidence: Column) -> Column:
+    """Affected paths, then those of the evidence, each once, without blank ones."""
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce(affected, none), F.coalesce(F.transform(evidence, lambda e: e["path"]), none))
+    return F.array_distinct(F.filter(both, lambda p: p.isNotNull() & p.rlike(r"\S")))
+
+
+def cited(evidence: Column) -> Column:
+    """Squeezed quotes of the evidence on the commit itself."""
+    own = F.filter(evidence, lambda e: F.coalesce(e["revision"], F.lit("commit")) == "commit")
+    return F.array_distinct(F.filter(F.transform(own, lambda e: squeeze(F.coalesce(e["quoted_span"], F.lit("")))), lambda q: q != ""))
+
+
+def merges_of(commits: DataFrame, shas: DataFrame) -> DataFrame:
+    return shas.join(commits.where(F.size("parents") > 1), "sha").select(F.col("sha").alias("merge"), F.element_at("parents", 1).alias("first_parent"))
+
+
+def history(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return commits.select(F.col("sha").alias("child"), F.explode("parents").alias("parent")), commits.select(F.col("sha").alias("node"), "place")
+
+
+def attribute(findings: DataFrame, commits: DataFrame) -> DataFrame:
+    """findings with attributed and method: where the finding belongs, and why.
+
+    direct: no merge. merge_first_parent_walk: the one commit brought in that touches the paths. merge_evidence_content: of several, the
+    one that added a cited line. ambiguous: several did, or none. declined: the merge brings in over MOST commits. unchanged: it brings
+    in none, or none touches the paths, or the finding has no path, or its commit is not known.
+    """
+    edges, order = history(commits)
+    brought = graph.brought_in(edges, merges_of(commits, findings.select("sha").distinct()), order, MOST)
+    facts = commits.select(F.col("sha").alias("_sha"), (F.size("parents") > 1).alias("_merge"))
+    own = findings.withColumn("_paths", finding_paths(F.col("affected_paths"), F.col("evidence"))).withColumn("_cited", cited(F.col("evidence")))
+    side = commits.select(F.col("sha").alias("node"), F.col("paths").alias("_touched"), "added")
+    pairs = own.select("seq", "sha", "_paths", "_cited").join(brought, F.col("sha") == F.col("merge")).join(side, "node", "left")
+    touches = F.coalesce(F.arrays_overlap("_paths", "_touched"), F.lit(False))
+    adds = touches & F.arrays_overlap("_cited", "added")
+    one = lambda c: F.min(F.when(c, F.col("node")))
+    found = pairs.groupBy(F.col("seq").alias("_seq")).agg(
+        F.count_if(F.col("node").isNull()).alias("_over"), F.count_if(touches).alias("_n"), one(touches).alias("_only"), F.count_if(adds).alias("_k"), one(adds).alias("_adds"),
+    )
+    out = own.join(facts, F.col("sha") == F.col("_sha"), "left").join(found, F.col("seq") == F.col("_seq"), "left")
+    method = (
+        F.when(F.col("_merge").isNull(), "unchanged").when(~F.col("_merge"), "direct").when(F.col("_n").isNull(), "unchanged").when(F.col("_over") > 0, "declined")
+        .when(F.size("_paths") == 0, "unchanged").when(F.col("_n") == 1, "merge_first_parent_walk").when(F.col("_n") == 0, "unchanged").when(F.col("_k") == 1, "merge_evidence_content").otherwise("ambiguous")
+    )
+    to = F.when(method == "merge_first_parent_walk", F.col("_only")).when(method == "merge_evidence_content", F.col("_adds")).otherwise(F.col("sha"))
+    return out.select(*findings.columns, to.alias("attributed"), method.alias("method"))
 
 
-def resolve_merges(findings: DataFrame, commits: DataFrame) -> DataFrame:
-    """findings (sha, paths, span) with sha moved from a merge to the one commit it brought in that touches the same paths.
+def rebase(moved: DataFrame, commits: DataFrame, blobs: DataFrame) -> DataFrame:
+    """moved findings (with attributed) with evidence at the new commit and rebased: whether every quote still stands there.
 
-    commits (sha, parents, paths, added): added holds normalised added lines. If several touch the paths, the one whose added lines
-    hold the finding's span decides, if it is alone. Else the finding stays. Returns all columns, with attributed and method.
+    Evidence on the commit goes to the new one, on the parent to the new one's first parent, and on the head stays as it is.
     """
-    edges = commits.select(F.col("sha").alias("child"), F.explode("parents").alias("parent"))
-    merges = findings.select("sha").distinct().join(commits.where(F.size("parents") > 1), "sha").select(F.col("sha").alias("merge"), F.col("parents")[0].alias("first_parent"))
-    brought = graph.brought_in(edges, merges)
-    few = brought.groupBy("merge").count().where(F.col("count") <= MOST).select("merge")
-    side = commits.select(F.col("sha").alias("node"), F.col("paths").alias("_paths"), "added")
-    pairs = findings.select("sha", "paths", "span").join(brought.join(few, "merge"), F.col("sha") == F.col("merge")).join(side, "node")
-    pairs = pairs.where(F.arrays_overlap("paths", "_paths"))
-    span = F.trim(F.regexp_replace("span", r"\s+", " "))
-    best = pairs.groupBy("sha", "paths", "span").agg(F.count("*").alias("n"), F.min("node").alias("only"), F.count_if(F.array_contains("added", span)).alias("k"), F.min(F.when(F.array_contains("added", span), F.col("node"))).alias("match"))
-    best = best.select(F.col("sha").alias("_s"), F.col("paths").alias("_p"), F.col("span").alias("_t"), F.when(F.col("n") == 1, F.col("only")).when(F.col("k") == 1, F.col("match")).alias("to"), F.when(F.col("n") == 1, "paths").when(F.col("k") == 1, "content").alias("method"))
-    same = (F.col("sha") == F.col("_s")) & (F.col("paths") == F.col("_p")) & F.col("span").eqNullSafe(F.col("_t"))
-    return findings.join(best, same, "left").drop("_s", "_p", "_t").withColumn("attributed", F.coalesce("to", "sha")).withColumn("method", F.coalesce("method", F.lit("kept"))).drop("to")
+    parents = commits.select(F.col("sha").alias("_sha"), F.try_element_at("parents", F.lit(1)).alias("_parent"))
+    kind = F.coalesce(F.col("e.revision"), F.lit("commit"))
+    to = F.when(kind == "commit", F.col("attributed")).when(kind == "parent", F.col("_parent"))
+    files = blobs.select(F.col("sha").alias("_at"), F.col("path").alias("_file"), "content")
+    each = moved.join(parents, F.col("attributed") == F.col("_sha"), "left").select("seq", "attributed", "_parent", F.posexplode("evidence").alias("k", "e")).withColumn("to", to)
+    each = each.join(files, (F.col("to") == F.col("_at")) & (F.col("e.path") == F.col("_file")), "left")
+    first = F.greatest(F.col("e.start_line"), F.lit(1)).cast("int")
+    read = F.slice(F.split("content", "\n"), first, F.greatest(F.col("e.end_line").cast("int") - first + 1, F.lit(0)))
+    quote = squeeze(F.coalesce(F.col("e.quoted_span"), F.lit("")))
+    stands = (quote != "") & squeeze(F.array_join(read, "\n")).contains(quote)
+    head = ~kind.isin("commit", "parent")
+    new = F.when(head, F.col("e")).otherwise(F.col("e").withField("revision_sha", F.col("to")))
+    sums = each.groupBy(F.col("seq").alias("_seq")).agg(F.bool_and(head | F.coalesce(stands, F.lit(False))).alias("_ok"), F.sort_array(F.collect_list(F.struct("k", new.alias("e")))).alias("_new"))
+    out = moved.join(sums, F.col("seq") == F.col("_seq"), "left")
+    ok = F.coalesce("_ok", F.lit(True))
+    evidence = F.when(ok, F.coalesce(F.transform("_new", lambda x: x["e"]), F.col("evidence"))).otherwise(F.col("evidence"))
+    return out.select(*[evidence.alias(c) if c == "evidence" else F.col(c) for c in moved.columns], ok.alias("rebased"))
+
+
+def deduplicate(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) of findings (seq, sha, patch_id, evidence, attributed_from): of equal patches the finding of most evidence stays,
+    then one that was not moved, then the smaller sha, in the place of the first of them. Without a patch id all stay.
+
+    dropped: (sha, attributed_from, duplicate_of, patch_id); duplicate_of is the best one when the loser was met or beaten. shas are
+    lower-case hex.
+    """
+    turned = F.translate("sha", "0123456789abcdef", "fedcba9876543210")  # the smaller the greater
+    rank = F.struct(F.size(F.coalesce("evidence", F.array().cast(findings.schema["evidence"].dataType))).alias("n"), F.col("attributed_from").isNull().alias("still"), turned.alias("t"))
+    rows = findings.where(F.coalesce("patch_id", F.lit("")) != "").withColumn("_rank", rank)
+    before = Window.partitionBy("patch_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy("patch_id")
+    best = lambda w: F.max(F.struct("_rank", (-F.col("seq")).alias("s"), F.struct("sha", "attributed_from").alias("f"))).over(w)
+    rows = rows.withColumn("_was", best(before)).withColumn("_best", best(all_)).withColumn("_slot", F.min("seq").over(all_))
+    kept = rows.where(-F.col("_best.s") == F.col("seq")).withColumn("seq", F.col("_slot")).drop("_rank", "_was", "_best", "_slot")
+    free = findings.where(F.coalesce("patch_id", F.lit("")) == "")
+    wins = F.col("_rank") > F.col("_was._rank")
+    lost = F.when(wins, F.col("_was.f")).otherwise(F.struct("sha", "attributed_from"))
+    dropped = rows.where("_was IS NOT NULL").select(lost["sha"].alias("sha"), lost["attributed_from"].alias("attributed_from"), F.when(wins, F.col("sha")).otherwise(F.col("_was.f.sha")).alias("duplicate_of"), "patch_id")
+    return free.unionByName(kept), dropped
+
+
+def collapse(findings: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped): a finding on a merge goes where a finding on a commit that the merge brought in shares a path with it, or it has
+    no path; the first such commit takes it. dropped is as in deduplicate(), with an empty patch id."""
+    edges, order = history(commits)
+    own = findings.withColumn("_paths", finding_paths(F.col("affected_paths"), F.col("evidence")))
+    per = Window.partitionBy("sha").orderBy(F.col("seq").desc())
+    one = own.withColumn("_first", F.min("seq").over(Window.partitionBy("sha"))).withColumn("_rn", F.row_number().over(per)).where("_rn = 1")
+    one = one.select("sha", "attributed_from", "_paths", "_first")
+    brought = graph.brought_in(edges, merges_of(commits, one.select("sha")), order, None)
+    child = one.select(F.col("sha").alias("node"), F.col("_paths").alias("_theirs"), F.col("_first").alias("_at"))
+    pairs = own.select("sha", "_paths").join(brought, F.col("sha") == F.col("merge")).join(child, "node").where((F.size("_paths") == 0) | F.arrays_overlap("_paths", "_theirs"))
+    gone = pairs.groupBy("sha").agg(F.min_by("node", "_at").alias("duplicate_of"))
+    dropped = one.join(gone, "sha").select("sha", "attributed_from", "duplicate_of", F.lit("").alias("patch_id"))
+    return findings.join(gone.select("sha"), "sha", "left_anti").select(*findings.columns), dropped
+
+
+def apply(findings: DataFrame, commits: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, moves, duplicates): attribute, check the evidence at the new place, and only then fold duplicates.
+
+    A finding whose quotes don't stand at the new commit stays, as declined_anchor_mismatch. moves: (sha, original_sha, method).
+    """
+    placed = attribute(findings, commits)
+    away = F.col("attributed") != F.col("sha")
+    moved = rebase(placed.where(away), commits, blobs)
+    gone = moved.where("rebased").withColumn("attributed_from", F.col("sha")).withColumn("sha", F.col("attributed"))
+    none = F.lit(None).cast("string")
+    stayed = moved.where("NOT rebased").withColumn("method", F.lit("declined_anchor_mismatch")).withColumn("attributed_from", none)
+    columns = [*findings.columns, "method", "attributed_from"]
+    rows = placed.where(~away).withColumn("attributed_from", none).select(columns).unionByName(stayed.select(columns)).unionByName(gone.select(columns))
+    rows = graph.cut(rows.join(commits.select("sha", "patch_id"), "sha", "left").select(*columns, "patch_id"))
+    kept, twice = deduplicate(rows)
+    kept, folded = collapse(kept, commits)
+    return kept, gone.select("sha", F.col("attributed_from").alias("original_sha"), "method"), twice.unionByName(folded)
 
 
 def introduction_span(fixed: str, introduced: str, is_root: str):
@@ -36,3 +160,20 @@ def introduction_span(fixed: str, introduced: str, is_root: str):
     days = F.floor((F.unix_timestamp(fixed) - F.unix_timestamp(introduced)) / 86400)
     why = F.when(F.col(is_root).isNull(), "declined_no_commit").when(F.col(is_root), "declined_genesis").when(days.isNull(), "declined_no_date").when(days < 0, "declined_negative").otherwise("blame")
     return F.when(why == "blame", days).alias("days"), why.alias("method")
+
+
+def parent_anchors(evidence: Column) -> Column:
+    """Evidence on the parent revision whose path and line range are usable."""
+    return F.filter(evidence, lambda e: (e["revision"] == "parent") & e["path"].isNotNull() & (e["path"] != "") & (e["start_line"] >= 1) & (e["end_line"] >= e["start_line"]))
+
+
+def oldest_introduction(findings: DataFrame, blame: DataFrame, commits: DataFrame) -> DataFrame:
+    """(seq, introduced_by, introduced_at, is_root): the oldest commit, by committer time, that last touched a line of a finding's parent
+    evidence; ranges of over BLAME_LINES lines are left out. blame: (sha, path, line, commit); commits: (sha, committed_at, parents)."""
+    spans = findings.select("seq", F.explode(parent_anchors(F.col("evidence"))).alias("e")).select("seq", F.col("e.revision_sha").alias("_at"), F.col("e.path").alias("_path"), F.col("e.start_line").alias("lo"), F.col("e.end_line").alias("hi")).distinct()
+    spans = spans.where(F.col("hi") - F.col("lo") < BLAME_LINES)
+    lines = spans.select("seq", "_at", "_path", F.explode(F.sequence("lo", "hi")).alias("_line"))
+    hit = lines.join(blame, (F.col("_at") == blame["sha"]) & (F.col("_path") == blame["path"]) & (F.col("_line") == blame["line"])).select("seq", "commit").distinct()
+    known = commits.select(F.col("sha").alias("commit"), "committed_at", (F.size("parents") == 0).alias("root"))
+    first = hit.join(known, "commit").groupBy("seq").agg(F.min(F.when(F.col("committed_at").isNotNull(), F.struct("committed_at", "commit", "root"))).alias("o"))
+    return first.select("seq", F.col("o.commit").alias("introduced_by"), F.col("o.committed_at").alias("introduced_at"), F.col("o.root").alias("is_root"))

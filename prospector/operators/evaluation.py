@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospector.functions import stats
@@ -58,6 +58,19 @@ def set_sizes(members: DataFrame, run: str, item: str) -> DataFrame:
     return sizes.groupBy(run).agg(F.count("*").alias("items"), F.count_if("own").alias("exclusive"), F.count_if("all").alias("in_all")).crossJoin(F.broadcast(union))
 
 
+def pairs_of_runs(members: DataFrame, run: str, item: str) -> DataFrame:
+    """(left, right, in_both, only_left, only_right) of each two runs, the smaller name first."""
+    sizes = members.select(run, item).distinct().groupBy(run).agg(F.count("*").alias("k"))
+    per_item = members.groupBy(item).agg(F.array_sort(F.collect_set(run)).alias("runs"))  # as many as there are runs
+    pair = F.flatten(F.transform("runs", lambda a, i: F.transform(F.slice("runs", i + 2, F.size("runs")), lambda b: F.struct(a.alias("left"), b.alias("right")))))
+    both = per_item.select(F.explode(pair).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("in_both"))
+    one = lambda side: sizes.select(F.col(run).alias(side), F.col("k").alias(f"k_{side}"))
+    names = sizes.select(F.array_sort(F.collect_list(run).over(Window.partitionBy())).alias("runs")).limit(1)  # as many as there are runs
+    every = names.select(F.explode(pair).alias("p")).select("p.left", "p.right")
+    out = every.join(both, ["left", "right"], "left").join(one("left"), "left").join(one("right"), "right").withColumn("in_both", F.coalesce("in_both", F.lit(0)))
+    return out.select("left", "right", "in_both", (F.col("k_left") - F.col("in_both")).alias("only_left"), (F.col("k_right") - F.col("in_both")).alias("only_right"))
+
+
 def pair_sizes(members: DataFrame, run: str, item: str, left: str, right: str) -> DataFrame:
     """How many items both runs have, and each alone."""
     sides = members.groupBy(item).agg(F.bool_or(F.col(run) == left).alias("l"), F.bool_or(F.col(run) == right).alias("r"))

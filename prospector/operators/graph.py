@@ -9,11 +9,13 @@ from prospector.functions.text import stable_score
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder; a folder of our own where none is named, as in tests."""
+    """Checkpoint in the shared folder; a folder of our own where none is named and all runs on one machine, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
+        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prospector-"))
     return df.checkpoint()
 
@@ -52,19 +54,36 @@ def temporal_holdout(rows: DataFrame, group: str, at: str, target: int) -> DataF
     return sizes.select(group, F.when(taken < target, "holdout").otherwise("development").alias("split"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node): everything that parent edges (child, parent) lead to from each start (start, node), itself included."""
-    seen = frontier = cut(starts.distinct())
+def brought_in(edges: DataFrame, merges: DataFrame, order: DataFrame, most: int | None = 25) -> DataFrame:
+    """(merge, node): commits that a merge (merge, first_parent) reaches and its first parent does not; a null node for a merge that
+    brings in more than `most`, and no row for one that brings in nothing.
+
+    order (node, place) gives every commit a place after all its parents. All merges are walked at once, a generation a round. On the
+    side of the other parents everything is walked that the first parent is not yet known to reach; on the first parent's side only
+    what lies above the lowest of those, as nothing below can lead there. So a walk ends near the merge base, whatever is below it.
+    A merge is given up once more than `most` commits are sure to be brought in.
+    """
+    side = F.col("other") & ~F.col("own")
+    start = merges.join(edges, F.col("merge") == F.col("child")).select("merge", F.col("parent").alias("node"), (F.col("parent") == F.col("first_parent")).alias("own"))
+    seen = start.groupBy("merge", "node").agg(F.bool_or("own").alias("own"), F.bool_or(~F.col("own")).alias("other")).join(order, "node")
+    seen = seen.select("merge", "node", "place", "own", "other", F.lit(True).alias("open"))
     while True:
-        step = frontier.join(edges, frontier["node"] == edges["child"]).select("start", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-        frontier = cut(step.join(seen, ["start", "node"], "left_anti"))
-        if frontier.limit(1).count() == 0:
-            return seen
-        seen = cut(seen.unionByName(frontier))
-
-
-def brought_in(edges: DataFrame, merges: DataFrame) -> DataFrame:
-    """(merge, node): commits that a merge (merge, first_parent) reaches and its first parent does not."""
-    all_ = reachable(edges, merges.select(F.col("merge").alias("start"), F.col("merge").alias("node")))
-    main = reachable(edges, merges.select(F.col("merge").alias("start"), F.col("first_parent").alias("node")))
-    return all_.join(main, ["start", "node"], "left_anti").where("start <> node").withColumnRenamed("start", "merge")
+        seen = cut(seen)
+        facts = seen.groupBy("merge").agg(F.min(F.when(side, F.col("place"))).alias("low"), F.max(F.when(F.col("own") & F.col("open"), F.col("place"))).alias("top"))
+        state = seen.join(facts, "merge")
+        sure = side & (F.col("top").isNull() | (F.col("place") >= F.col("top")))
+        over = state.groupBy("merge").agg((F.count_if(sure) > (2**62 if most is None else most)).alias("over"))
+        state = state.join(over, "merge")
+        go = F.col("open") & F.col("low").isNotNull() & ~F.col("over") & (side | (F.col("own") & (F.col("place") > F.col("low"))))
+        state = cut(state.withColumn("go", go))
+        walked = state.where("go")
+        if walked.limit(1).count() == 0:
+            declined = state.where("over").select("merge", F.lit(None).cast(state.schema["node"].dataType).alias("node")).distinct()
+            return state.where(side & ~F.col("over")).select("merge", "node").unionByName(declined)
+        new = walked.join(edges, walked["node"] == edges["child"]).select("merge", F.col("parent").alias("node"), "own", "other").join(order, "node")
+        old = state.select("merge", "node", "place", "own", "other", (F.col("open") & ~F.col("go")).alias("open"), F.lit(True).alias("known"))
+        both = old.unionByName(new.select("merge", "node", "place", "own", "other", F.lit(True).alias("open"), F.lit(False).alias("known")))
+        was = lambda c: F.bool_or(F.when(F.col("known"), F.col(c))).alias(f"was_{c}")
+        merged = both.groupBy("merge", "node", "place").agg(F.bool_or("own").alias("own"), F.bool_or("other").alias("other"), was("own"), was("other"), was("open"))
+        changed = F.col("was_own").isNull() | (F.col("own") != F.col("was_own")) | (F.col("other") != F.col("was_other"))
+        seen = merged.select("merge", "node", "place", "own", "other", (changed | F.coalesce("was_open", F.lit(False))).alias("open"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from prospector.functions.calls import usage_cost, usage_tokens
+from prospector.functions.diffs import extension
+from prospector.functions.text import ends_with
 
 RESULT = "key string, config string, verdict string, tokens long, cost double, error string"
 
@@ -84,11 +86,11 @@ def pending(items: DataFrame, done: DataFrame, config: str) -> DataFrame:
     return items.join(done.where(F.col("config") == config).select("key"), "key", "left_anti")
 
 
-def counters(results: DataFrame) -> DataFrame:
-    """One row of a run's figures, from its stored results."""
+def counters(results: DataFrame, *keys: str) -> DataFrame:
+    """A run's figures from its stored results: one row, or one for each value of keys."""
     v = lambda x: F.count_if(F.col("verdict") == x)
     tokens, cost = usage_tokens(F.col("tokens"), F.lit(None), F.lit(None)), usage_cost(F.col("cost"))
-    return results.agg(
+    return results.groupBy(*keys).agg(
         F.count("*").alias("calls"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"),
         v("YES").alias("yes"), v("NO").alias("no"), v("ABSTAIN").alias("abstain"), v("ERROR").alias("errors"),
     )
@@ -224,3 +226,34 @@ def gates(summary: DataFrame) -> DataFrame:
     a, b, c = F.col("recall") >= 0.95, F.col("quiet_recall") >= 0.90, F.col("uncovered") == 0
     yes = lambda x: F.coalesce(x, F.lit(False))
     return summary.select("*", yes(a).alias("recall_met"), yes(b).alias("quiet_recall_met"), yes(c).alias("all_evaluated"), (yes(a) & yes(b) & yes(c)).alias("qualifies"))
+
+
+# Languages of file endings, endings that tell nothing, and the weight of a test file.
+LANGUAGES = {".go": "go", ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "javascript", ".tsx": "javascript"}
+NO_LANGUAGE = (".md", ".txt", ".json", ".yaml", ".yml", ".lock", ".sum", ".mod")
+TEST_WEIGHT = 0.25
+
+
+def language_votes(files: DataFrame, keys: list[str], path: str, seq: str) -> DataFrame:
+    """(keys, language): the language most files of each key are written in, tests at a discount; of equal ones the first by seq. Keys
+    without a file of a known language are absent."""
+    low = F.lower(path)
+    languages = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    language = F.when(~ends_with(low, NO_LANGUAGE), F.try_element_at(languages, extension(F.col(path))))
+    test = low.contains("_test.") | low.contains("/test") | low.startswith("test")
+    votes = files.select(*keys, language.alias("language"), F.when(test, TEST_WEIGHT).otherwise(1.0).alias("w"), F.col(seq).alias("f")).where("language IS NOT NULL")
+    votes = votes.groupBy(*keys, "language").agg(F.sum("w").alias("w"), F.min("f").alias("f"))
+    return votes.groupBy(*keys).agg(F.max_by("language", F.struct("w", -F.col("f"))).alias("language"))
+
+
+def candidate_paths(*sources: Column) -> Column:
+    """Distinct paths of arrays of paths, in order, without empty ones; null arrays hold none."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.flatten(F.array(*[F.coalesce(s, none) for s in sources])), lambda x: x.isNotNull() & (x != "")))
+
+
+def with_appendix(candidates: DataFrame, language: str, appendices: DataFrame) -> DataFrame:
+    """candidates with the text that belongs to their language, after a blank line; the empty text where there is none."""
+    side = appendices.select(F.col("language").alias("_l"), F.trim("body").alias("_b"))
+    body = F.when(F.coalesce("_b", F.lit("")) == "", "").otherwise(F.concat(F.lit("\n\n"), "_b", F.lit("\n")))
+    return candidates.join(F.broadcast(side), F.col(language) == F.col("_l"), "left").withColumn("appendix", body).drop("_l", "_b")  # a row for each language

@@ -7,8 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospector.functions import stats, text
-from prospector.operators import context, evaluation, graph, logs
+from prospector.functions import diffs, stats, text
+from prospector.operators import context, evaluation, graph, logs, runs
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -52,6 +52,7 @@ DECISIONS = """dec AS (SELECT event_id AS seq, 'r' || (user_id % 7) AS repositor
   CASE WHEN value > 70 THEN 'fix' WHEN value > 30 THEN 'context' WHEN value > 5 THEN 'other' ELSE 'backport' END AS truth, value, ts FROM events)"""
 
 TERMS = text.SECURITY_TERMS
+MERGES = ("Merge branch", "Merge commit abc", "Merge commit from fork", "Merge remote-tracking", "Merge remote-tracking branch", "merge tag")
 
 
 def messages(spark, d) -> DataFrame:
@@ -59,17 +60,17 @@ def messages(spark, d) -> DataFrame:
     a, b = choose(TERMS, C("seq")), choose(TERMS, C("o_custkey"))
     n = C("seq") % 9
     body = (
-        F.when(n == 0, "").when(n == 1, F.concat(F.lit("Merge branch topic\n"), a)).when(n == 2, F.concat(F.lit("Fix CVE-2024-"), 10000 + C("seq")))
-        .when(n == 3, F.concat(F.lit("security(core): tidy "), b)).when(n == 4, F.concat(F.lit("Tidy up\n\nNo "), a, F.lit(" here"))).when(n == 5, F.concat(F.lit("Refs GO-2024-0001, CWE-79 and "), a))
+        F.when(n == 0, "").when(n == 1, F.concat(choose(MERGES, C("o_custkey")), F.lit(" topic\n"), a)).when(n == 2, F.concat(F.lit("Fix CVE-2024-"), 10000 + C("seq")))
+        .when(n == 3, F.concat(F.lit("security(core): tidy "), b)).when(n == 4, F.concat(F.lit("Tidy up\n\nNo "), a, F.lit(" here"))).when(n == 5, F.concat(F.lit("Refs GO-2024-0001, CWE-79, https://nvd.nist.gov/x/"), C("seq"), F.lit(" and "), a))
         .otherwise(F.concat(F.lit("Fix "), a, F.lit(" in parser\nAlso "), b, F.lit(", see docs")))
     )
     return o.select("seq", body.alias("message"), (C("seq") % 4 == 1).alias("is_merge"))
 
 
 MESSAGES = f"""msg AS (SELECT o_orderkey AS seq, o_orderkey % 4 = 1 AS is_merge, CASE o_orderkey % 9
-  WHEN 0 THEN '' WHEN 1 THEN 'Merge branch topic' || chr(10) || {choose_sql(TERMS, "o_orderkey")} WHEN 2 THEN 'Fix CVE-2024-' || (10000 + o_orderkey)
+  WHEN 0 THEN '' WHEN 1 THEN {choose_sql(MERGES, "o_custkey")} || ' topic' || chr(10) || {choose_sql(TERMS, "o_orderkey")} WHEN 2 THEN 'Fix CVE-2024-' || (10000 + o_orderkey)
   WHEN 3 THEN 'security(core): tidy ' || {choose_sql(TERMS, "o_custkey")} WHEN 4 THEN 'Tidy up' || chr(10) || chr(10) || 'No ' || {choose_sql(TERMS, "o_orderkey")} || ' here'
-  WHEN 5 THEN 'Refs GO-2024-0001, CWE-79 and ' || {choose_sql(TERMS, "o_orderkey")}
+  WHEN 5 THEN 'Refs GO-2024-0001, CWE-79, https://nvd.nist.gov/x/' || o_orderkey || ' and ' || {choose_sql(TERMS, "o_orderkey")}
   ELSE 'Fix ' || {choose_sql(TERMS, "o_orderkey")} || ' in parser' || chr(10) || 'Also ' || {choose_sql(TERMS, "o_custkey")} || ', see docs' END AS message FROM orders)"""
 
 
@@ -90,36 +91,28 @@ def terms_sql(column: str, terms=TERMS) -> str:
 ADVISORY_SQL = r"regexp_matches(message, '(?i)\b(?:CVE-\d{4}-\d{4,}|GHSA-[a-z0-9]{4}-[a-z0-9]{4}-[a-z0-9]{4})\b')"
 
 DIRS = ("src", "vendor/x", "docs", "tests", "lib/generated", "pkg/core", "third_party", "app")
-ENDINGS = (".py", ".go", ".md", ".min.js", ".lock", "_test.go", ".txt", ".c", ".png", ".rs", ".java")
+ENDINGS = (".py", ".go", ".md", ".min.js", ".lock", "_test.go", ".txt", ".c", ".png", ".rs", ".java", ".kt", ".cs", ".ts", ".css")
 
 
 def paths(spark, d) -> DataFrame:
     p = load(spark, d, "part")
     k = C("p_partkey")
     path = F.concat(choose(DIRS, k), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), choose(ENDINGS, k))
-    patch = F.when(k % 29 == 0, "diff --cc x\n").when(k % 31 == 0, "GIT binary patch\n").when(k % 37 == 0, "+Subproject commit abc\n").when(k % 41 == 0, "// Code generated by x; DO NOT EDIT\n").otherwise("+x\n")
+    patch = F.when(k % 29 == 0, "diff --cc x\n").when(k % 31 == 0, "GIT binary patch\n").when(k % 37 == 0, "+Subproject commit abc\n").when(k % 5 == 4, "// Code generated by x; DO NOT EDIT\n").otherwise("+x\n")
     return p.select(k.alias("seq"), path.alias("path"), patch.alias("patch"), "p_brand", C("p_size").cast("long").alias("bytes"))
 
 
-def names_sql(names) -> str:
-    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
-
-
-def ends_sql(suffixes) -> str:
-    return "(" + " OR ".join(f"ends_with(name, '{s}')" for s in suffixes) + ")"
-
-
+#: The rules once more, written for SQL and apart from those of the functions.
 PATHS = f"""pth AS (SELECT p_partkey AS seq, p_brand, CAST(p_size AS BIGINT) AS bytes, {choose_sql(DIRS, "p_partkey")} || '/' || replace(p_name, ' ', '_') || {choose_sql(ENDINGS, "p_partkey")} AS path,
   CASE WHEN p_partkey % 29 = 0 THEN 'diff --cc x' || chr(10) WHEN p_partkey % 31 = 0 THEN 'GIT binary patch' || chr(10) WHEN p_partkey % 37 = 0 THEN '+Subproject commit abc' || chr(10)
-  WHEN p_partkey % 41 = 0 THEN '// Code generated by x; DO NOT EDIT' || chr(10) ELSE '+x' || chr(10) END AS patch FROM part),
-prt AS (SELECT *, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS parts FROM pth), nam AS (SELECT *, parts[-1] AS name FROM prt),
-kin AS (SELECT *, CASE WHEN starts_with(patch, 'diff --cc ') THEN 'merge_resolution' WHEN contains(patch, 'Subproject commit ') THEN 'submodule' WHEN contains(patch, 'GIT binary patch') THEN 'binary'
-  WHEN list_has_any(parts, {names_sql(text.VENDOR_DIRS)}) OR list_has_any(parts[:-2], {names_sql(text.GENERATED_DIRS)}) OR {ends_sql(text.GENERATED_SUFFIXES)}
-    OR ({ends_sql((".js", ".css", ".go", ".py", ".ts", ".java", ".rs"))} AND regexp_matches(patch, '(?i)code generated .* do not edit')) THEN 'generated_vendor'
-  WHEN list_has_any(parts, {names_sql(text.TEST_DIRS)}) OR starts_with(name, 'test_') OR {ends_sql(text.TEST_SUFFIXES)} THEN 'test'
-  WHEN list_has_any(parts, {names_sql(text.DOC_DIRS)}) OR {ends_sql(text.DOC_SUFFIXES)} OR name IN ({names_sql(text.DOC_NAMES)[1:-1]}) THEN 'docs'
-  WHEN name IN ({names_sql(text.DEPENDENCY_NAMES)[1:-1]}) OR regexp_matches(name, '^(requirements|constraints).*\\.(txt|in)$') OR {ends_sql((".lock", ".sum"))} THEN 'dependency'
-  WHEN {ends_sql(text.SOURCE_SUFFIXES)} THEN 'source' ELSE 'other' END AS kind FROM nam)"""
+  WHEN p_partkey % 5 = 4 THEN '// Code generated by x; DO NOT EDIT' || chr(10) ELSE '+x' || chr(10) END AS patch FROM part),
+nam AS (SELECT *, lower(regexp_extract(path, '[^/]*$')) AS name, '/' || lower(path) AS low FROM pth),
+gen AS (SELECT *, CASE WHEN regexp_matches(low, '/(vendors?|node_modules|third[_-]party|vendored|external)(/|$)') THEN 'vendor_directory' WHEN regexp_matches(low, '/(generated|dist)/') THEN 'generated_directory'
+  WHEN regexp_matches(name, '(\\.min\\.(js|css)|\\.(js|css)\\.map|\\.pb\\.(go|cc|h)|\\.designer\\.cs|\\.g\\.dart)$') THEN 'generated_filename'
+  WHEN regexp_matches(name, '\\.(go|rs|java|kt|cs|js|ts)$') AND contains(patch, 'DO NOT EDIT') THEN 'generated_marker' END AS reason FROM nam),
+kin AS (SELECT *, CASE WHEN starts_with(patch, 'diff --cc ') THEN 'merge_resolution' WHEN contains(patch, 'Subproject commit ') THEN 'submodule' WHEN contains(patch, 'GIT binary patch') THEN 'binary' WHEN reason IS NOT NULL THEN 'generated_vendor'
+  WHEN regexp_matches(low, '/(tests?|__tests__|specs?)(/|$)') OR regexp_matches(name, '^test_|_test\\.(go|py)$|\\.(test|spec)\\.(js|ts)$') THEN 'test' WHEN regexp_matches(low, '/docs?(/|$)') OR regexp_matches(name, '\\.(mdx?|rst|adoc|asciidoc)$') THEN 'docs'
+  WHEN regexp_matches(name, '\\.(lock|sum)$') OR regexp_matches(name, '^(requirements|constraints).*\\.(txt|in)$') THEN 'dependency' WHEN regexp_matches(name, '\\.(c|go|rs|py|js|ts|java|kt|cs)$') THEN 'source' ELSE 'other' END AS kind FROM gen)"""
 
 NOW = "2026-01-01 00:00:00"
 LEVELS = ("unknown", "low", "medium", "high", "critical")
@@ -219,9 +212,9 @@ def candidate_pair(spark, d):
     return evaluation.pair_sizes(decisions(spark, d), "run", "item", "click", "signup")
 
 
-@query(f"WITH {DECISIONS}, w AS (SELECT DISTINCT run, item FROM dec WHERE value > 150), k AS (SELECT item, count(*) AS k FROM w GROUP BY item) SELECT run, count(*) AS items, count(*) FILTER (k = 1) AS exclusive, count(*) FILTER (k = (SELECT count(DISTINCT run) FROM w)) AS in_all, (SELECT count(*) FROM k) AS in_any FROM w JOIN k USING (item) GROUP BY run")
+@query(f"WITH {DECISIONS}, w AS (SELECT DISTINCT run, item FROM dec), k AS (SELECT item, count(*) AS k FROM w GROUP BY item) SELECT run, count(*) AS items, count(*) FILTER (k = 1) AS exclusive, count(*) FILTER (k = (SELECT count(DISTINCT run) FROM w)) AS in_all, (SELECT count(*) FROM k) AS in_any FROM w JOIN k USING (item) GROUP BY run")
 def candidate_sets(spark, d):
-    return evaluation.set_sizes(decisions(spark, d).where("value > 150"), "run", "item")
+    return evaluation.set_sizes(decisions(spark, d), "run", "item")
 
 
 TRUTH = "tru AS (SELECT DISTINCT 'r' || s_nationkey AS repository, 's' || s_suppkey AS sha, CASE s_suppkey % 3 WHEN 0 THEN 'fix' WHEN 1 THEN 'context' ELSE 'introduce' END AS role FROM supplier WHERE s_nationkey < 20), emi AS (SELECT DISTINCT 'r' || s_nationkey AS repository, 's' || (s_suppkey + CASE WHEN s_suppkey % 7 = 0 THEN 100000 ELSE 0 END) AS sha FROM supplier WHERE s_suppkey % 2 = 0)"
@@ -333,13 +326,13 @@ def state_merge(spark, d):
     return logs.merge(o, n, ["item"], replace=["status"], keep_first=["patch"], keep_if_null=["stage"])
 
 
-@query(f"""WITH {DECISIONS}, o AS (SELECT item, min(seq) AS seq FROM dec WHERE seq % 5 = 0 GROUP BY item), n AS (SELECT CASE WHEN item % 6 > 0 THEN item END AS item, seq FROM dec WHERE seq % 5 > 0 AND item % 3 = 0)
+@query(f"""WITH {DECISIONS}, o AS (SELECT item, min(seq) AS seq FROM dec WHERE seq % 5 = 0 GROUP BY item), n AS (SELECT CASE WHEN item % 6 > 0 THEN item END AS item, seq FROM dec WHERE seq % 5 > 0)
   FROM o UNION ALL SELECT item, min(seq) FROM n WHERE item IS NOT NULL AND item NOT IN (SELECT item FROM o) GROUP BY item UNION ALL SELECT item, seq FROM n WHERE item IS NULL""")
 def insert_new(spark, d):
     """Errors: the first of each key; null keys are all kept."""
     x = decisions(spark, d)
     o = logs.earliest(x.where("seq % 5 = 0"), ["item"]).select("item", "seq")
-    n = x.where("seq % 5 > 0 AND item % 3 = 0").select(F.when(C("item") % 6 > 0, C("item")).alias("item"), "seq")
+    n = x.where("seq % 5 > 0").select(F.when(C("item") % 6 > 0, C("item")).alias("item"), "seq")
     return logs.insert_new(o, n, ["item"], "seq")
 
 
@@ -411,7 +404,7 @@ def matched_terms(spark, d):
 
 
 @query(rf"""WITH {MESSAGES}, m AS (SELECT *, len({terms_sql('message')}) AS n FROM msg)
-  SELECT seq, CASE WHEN message = '' THEN 'empty' WHEN is_merge AND starts_with(message, 'Merge branch') THEN 'merge_noise' WHEN {ADVISORY_SQL} OR n >= 2 THEN 'announced' ELSE 'quiet' END AS class FROM m""")
+  SELECT seq, CASE WHEN message = '' THEN 'empty' WHEN is_merge AND regexp_matches(message, '^(Merge branch|Merge commit from fork|Merge remote-tracking branch|merge tag) ') THEN 'merge_noise' WHEN {ADVISORY_SQL} OR n >= 2 THEN 'announced' ELSE 'quiet' END AS class FROM m""")
 def message_class(spark, d):
     m = messages(spark, d).withColumn("terms", text.matched_terms(C("message")))
     return m.select("seq", text.message_class(C("message"), C("is_merge"), C("terms")).alias("class"))
@@ -426,7 +419,7 @@ def announcement_strength(spark, d):
 
 
 def redact_sql(column: str) -> str:
-    for p in (r"(?i)\b(?:CVE-\d{4}-\d{4,}|GHSA-[a-z0-9]{4}-[a-z0-9]{4}-[a-z0-9]{4})\b", r"(?i)\bGO-\d{4}-\d{3,}\b", r"(?i)\bOSV-\d{4}-\d{3,}\b", r"(?i)\bCWE[-\s]?\d{1,5}\b"):
+    for p in (r"(?i)\b(?:CVE-\d{4}-\d{4,}|GHSA-[a-z0-9]{4}-[a-z0-9]{4}-[a-z0-9]{4})\b", r"(?i)\bGO-\d{4}-\d{3,}\b", r"(?i)\bOSV-\d{4}-\d{3,}\b", r"(?i)\bCWE[-\s]?\d{1,5}\b", r"https://nvd\.nist\.gov/x/\d+"):
         column = f"regexp_replace({column}, '{p}', '[redacted]', 'g')"
     for t in TERMS:
         column = rf"regexp_replace({column}, '(?i)(^|[^\p{{L}}\p{{N}}_-]){text.term_regex(t)}($|[^\p{{L}}\p{{N}}_-])', '\1[redacted]\2', 'g')"
@@ -438,11 +431,25 @@ def redacted_message(spark, d):
     return messages(spark, d).select("seq", text.redact(C("message")).alias("redacted"))
 
 
+@query(rf"""WITH {MESSAGES} SELECT seq, CASE seq % 9 WHEN 2 THEN 'CVE-2024-' || (10000 + seq) WHEN 5 THEN 'GO-2024-0001,CWE-79,https://nvd.nist.gov/x/' || seq ELSE '' END AS identifiers,
+  CASE seq % 3 WHEN 0 THEN message WHEN 1 THEN {redact_sql('message')} ELSE 'Update implementation.' END AS shown FROM msg""")
+def message_conditions(spark, d):
+    """What redaction takes out, and messages under the three conditions in turn."""
+    m = messages(spark, d)
+    shown = F.when(C("seq") % 3 == 0, text.under_condition(C("message"), "M0")).when(C("seq") % 3 == 1, text.under_condition(C("message"), "M1")).otherwise(text.under_condition(C("message"), "M2"))
+    return m.select("seq", F.array_join(text.redaction(C("message"))["removed_identifiers"], ",").alias("identifiers"), shown.alias("shown"))
+
+
 @query(f"WITH {PATHS} SELECT seq, path, kind FROM kin")
 def change_kind(spark, d):
     return paths(spark, d).select("seq", "path", text.change_kind(C("path"), C("patch")).alias("kind"))
 
 
+@query(f"WITH {PATHS} SELECT seq, path, reason FROM gen")
+def generated_reason(spark, d):
+    return paths(spark, d).select("seq", "path", text.generated_reason(C("path"), C("patch")).alias("reason"))
+
+
 @query(f"""WITH {PATHS}, g AS (SELECT p_brand, seq % 40 AS part, list_distinct(list(kind)) AS k, sum(bytes) AS b FROM kin GROUP BY ALL)
   SELECT CASE WHEN b > 400 THEN 'oversize' WHEN list_has_any(k, ['source', 'merge_resolution', 'other']) THEN 'admitted' WHEN len(k) = 1 THEN k[1] || '_only' ELSE 'no_first_party_source' END AS reason, count(*) AS n FROM g GROUP BY reason""")
 def prefilter(spark, d):
@@ -451,12 +458,13 @@ def prefilter(spark, d):
     return g.groupBy(text.admission(C("kinds"), C("b"), 400).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PATHS}, w AS (SELECT p_brand, regexp_extract(path, '\\.(\\w+)$', 1) AS lang, sum(CASE WHEN kind = 'test' THEN 0.25 ELSE 1.0 END) AS w, min(seq) AS f FROM kin WHERE kind IN ('source', 'test') GROUP BY ALL)
+LANGUAGE = "CASE regexp_extract(path, '\\.[^./]*$') WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'javascript' END"
+
+
+@query(f"""WITH {PATHS}, w AS (SELECT p_brand, {LANGUAGE} AS lang, sum(CASE WHEN contains(path, '_test.') OR contains(path, '/test') OR starts_with(path, 'test') THEN 0.25 ELSE 1.0 END) AS w, min(seq) AS f FROM pth WHERE {LANGUAGE} IS NOT NULL GROUP BY ALL)
   SELECT p_brand, arg_max(lang, (w, -f)) AS lang FROM w GROUP BY p_brand""")
 def language_vote(spark, d):
-    k = paths(spark, d).withColumn("kind", text.change_kind(C("path"), C("patch"))).where("kind IN ('source', 'test')")
-    w = k.groupBy("p_brand", F.regexp_extract("path", r"\.(\w+)$", 1).alias("lang")).agg(F.sum(F.when(C("kind") == "test", 0.25).otherwise(1.0)).alias("w"), F.min("seq").alias("f"))
-    return w.groupBy("p_brand").agg(F.max_by("lang", F.struct("w", -C("f"))).alias("lang"))
+    return runs.language_votes(paths(spark, d), ["p_brand"], "path", "seq").withColumnRenamed("language", "lang")
 
 
 @query(r"WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a/' WHEN 1 THEN 'b/./' WHEN 2 THEN './' ELSE '' END || replace(p_name, ' ', '\') AS v FROM part) SELECT p_partkey, lower(regexp_replace(regexp_replace(regexp_replace(replace(v, '\', '/'), '^a/', ''), '^b/', ''), '^\./', '')) AS component FROM x")
@@ -479,11 +487,15 @@ def quotes(spark, d):
     return load(spark, d, "documents").select("doc_id", F.sha2(text.squeeze(C("text")).cast("binary"), 256).alias("squeezed"), text.suspect_reason(C("text")).alias("suspect"))
 
 
-@query(r"WITH x AS (SELECT page_id, 'https://git.example.com/o/n/commit/' || substr(md5(url), 1, 12) || ' ' || html || ' https://git.example.com/O/n/pull/7/commits/' || upper(substr(md5(url), 1, 12)) AS t FROM pages) SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '(https?://[\w.-]+/[\w.-]+/[\w.-]+/(?:commit|pull/\d+/commits)/[0-9a-fA-F]{7,40})', 1), lambda u: lower(regexp_replace(u, '^https?://([\w.-]+/[\w.-]+/[\w.-]+)/(?:commit|pull/\d+/commits)/', '\1@'))))), ',') AS refs FROM x")
+@query(r"""WITH x AS (SELECT page_id, substr(md5(url), 1, 12) AS h FROM pages), y AS (SELECT page_id, unnest([('o/n', h, 'https://github.com/O/n/commit/' || upper(h) || '?w=1'), ('o/n', h || 'ab', 'http://www.github.com/o/N/pull/' || page_id || '/commits/' || h || 'ab#x')]) AS r FROM x)
+  SELECT page_id, r[1] AS repo, r[2] AS sha, r[3] AS url FROM y""")
 def commit_references(spark, d):
+    """Commits that an advisory's details and references link to; other hosts and repeated links don't count."""
     h = F.substring(F.md5(C("url").cast("binary")), 1, 12)
-    t = F.concat(F.lit("https://git.example.com/o/n/commit/"), h, F.lit(" "), C("html"), F.lit(" https://git.example.com/O/n/pull/7/commits/"), F.upper(h))
-    return load(spark, d, "pages").select("page_id", F.array_join(F.array_sort(text.commit_refs(t)), ",").alias("refs"))
+    details = F.concat(F.lit("See https://git.example.com/o/n/commit/"), h, F.lit(" and <https://github.com/O/n/commit/"), F.upper(h), F.lit("?w=1> and "), C("html"))
+    references = F.array(F.concat(F.lit("http://www.github.com/o/N/pull/"), C("page_id"), F.lit("/commits/"), h, F.lit("ab#x")), F.concat(F.lit("https://github.com/o/n/commit/"), h))
+    r = load(spark, d, "pages").select("page_id", F.explode(text.advisory_refs(details, references)).alias("r"))
+    return r.select("page_id", "r.repo", "r.sha", "r.url")
 
 
 DIFF_SQL = r"'note' || chr(10) || 'diff --git a/x b/x' || chr(13) || chr(10) || '+fix ' || CASE WHEN doc_id % 3 = 0 THEN 'CVE-2024-12345' ELSE 'it' END || chr(10) || text || chr(10) || 'diff --git a/y b/y' || chr(10) || '-CVE-2023-99999'"
@@ -521,12 +533,12 @@ def component_counts(spark, d):
 
 # --- groups, splits and graphs
 
-LINKS = "rec AS (SELECT s_suppkey AS id, s_nationkey AS k1, CAST(floor(s_acctbal / 2) AS BIGINT) AS k2 FROM supplier WHERE s_suppkey % 3 > 0)"
+LINKS = "rec AS (SELECT s_suppkey AS id, s_nationkey AS k1, CAST(floor(s_acctbal / 2) AS BIGINT) AS k2 FROM supplier)"
 GROUPS = f"{LINKS}, e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM rec a JOIN rec b ON a.k1 = b.k1 OR a.k2 = b.k2), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), grp AS (SELECT a AS id, min(b) AS g FROM r GROUP BY a)"
 
 
 def groups(spark, d) -> DataFrame:
-    s = load(spark, d, "supplier").where("s_suppkey % 3 > 0")
+    s = load(spark, d, "supplier")
     return graph.linked_groups(s.select(C("s_suppkey").alias("id"), C("s_nationkey").alias("k1"), F.floor(C("s_acctbal") / 2).alias("k2")), "id", ["k1", "k2"])
 
 
@@ -547,22 +559,19 @@ def temporal_holdout(spark, d):
     return graph.temporal_holdout(o, "o_custkey", "o_orderdate", -(-o.count() // 5))
 
 
-BROUGHT_IN = """WITH RECURSIVE m AS (SELECT o_orderkey AS merge FROM orders WHERE o_orderkey % 10 = 6 AND o_orderkey > 10 AND o_orderkey <= 36), e AS (SELECT child, parent FROM (
-  SELECT o_orderkey AS child, o_orderkey - 1 AS parent FROM orders WHERE o_orderkey % 10 > 0 UNION ALL SELECT o_orderkey, o_orderkey - o_orderkey % 10 - 3 FROM orders WHERE o_orderkey % 10 = 6) WHERE parent >= 0),
-  a AS (SELECT merge, merge AS node FROM m UNION SELECT a.merge, e.parent FROM a JOIN e ON a.node = e.child), b AS (SELECT merge, merge - 1 AS node FROM m UNION SELECT b.merge, e.parent FROM b JOIN e ON b.node = e.child)
-  SELECT merge, node FROM (FROM a EXCEPT FROM b) WHERE node <> merge"""
-
-
 def edges(spark, d) -> DataFrame:
+    """A history in tens: 3 and 4 branch off 2, 6 merges them into 5, and all else follows what is before it."""
     k = C("o_orderkey")
-    o = load(spark, d, "orders")
-    return o.where(k % 10 > 0).select(k.alias("child"), (k - 1).alias("parent")).unionByName(o.where(k % 10 == 6).select(k.alias("child"), (k - k % 10 - 3).alias("parent"))).where("parent >= 0")
+    parents = F.when(k % 10 == 5, F.array(k - 3)).when(k % 10 == 6, F.array(k - 1, k - 2)).otherwise(F.array(k - 1))
+    return load(spark, d, "orders").select(k.alias("child"), F.explode(parents).alias("parent")).where("parent >= 0")
 
 
-@query(BROUGHT_IN)
+@query("SELECT o_orderkey AS merge, unnest([o_orderkey - 3, o_orderkey - 2]) AS node FROM orders WHERE o_orderkey % 10 = 6")
 def brought_in(spark, d):
-    m = load(spark, d, "orders").where("o_orderkey % 10 = 6 AND o_orderkey > 10 AND o_orderkey <= 36").select(C("o_orderkey").alias("merge"), (C("o_orderkey") - 1).alias("first_parent"))
-    return graph.brought_in(edges(spark, d), m)
+    """What each merge brings in: by the way the history is made, the two commits of its branch."""
+    o = load(spark, d, "orders")
+    m = o.where("o_orderkey % 10 = 6").select(C("o_orderkey").alias("merge"), (C("o_orderkey") - 1).alias("first_parent"))
+    return graph.brought_in(edges(spark, d), m, o.select(C("o_orderkey").alias("node"), C("o_orderkey").alias("place"))).select("merge", "node")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
@@ -583,24 +592,30 @@ def text_search(spark, d):
 
 def diff_chunks(spark, d):
     """No SQL: greedy packing depends on what came before."""
-    from prospector.functions import diffs
-
     t = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n+"), F.replace("text", F.lit("\n"), F.lit("\n+")), F.lit("\ndiff --git a/y b/y\n@@ -1 +1 @@\n-a\n+b\n"))
-    return load(spark, d, "documents").select("doc_id", F.explode(diffs.chunk(t, 4096, "# change\n")).alias("c")).select("doc_id", "c.number", "c.bytes", "c.sha256")
+    return load(spark, d, "documents").select("doc_id", F.explode(diffs.chunk(t, 4096, "# change\n")["chunks"]).alias("c")).select("doc_id", "c.number", "c.bytes", "c.sha256")
 
 
 QUERIES["diff_chunks"] = diff_chunks
 
+TYPES = (".py", ".go", ".md", ".sh")
 
-@query("SELECT doc_id, 2 AS hunks, len(string_split(text, chr(10))) AS added, text = '' AS cosmetic FROM documents")
-def diff_hunks(spark, d):
-    """Hunks of a change, the first one's added lines, and whether it changes white space or comments only."""
-    from prospector.functions import diffs
 
-    t = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n+;"), F.replace("text", F.lit("\n"), F.lit("\n+;")), F.lit("\ndiff --git a/y b/y\n@@ -1 +1 @@\n-  a\n+a\n"))
-    h = load(spark, d, "documents").select("doc_id", "text", diffs.hunks(t).alias("h"))
-    first = C("h")[0]["lines"]
-    return h.select("doc_id", F.size("h").alias("hunks"), F.size(F.filter(first, lambda x: x.startswith("+"))).cast("long").alias("added"), diffs.cosmetic(first).alias("cosmetic"))
+@query(f"""SELECT doc_id, 3 AS hunks, len(string_split(text, chr(10))) AS added, doc_id % 4 IN (1, 3) AS same_indented, doc_id % 4 <> 2 AS comment_only, doc_id % 4 IN (1, 3) AS change FROM documents""")
+def diff_hunks(spark, d):
+    """Hunks of a change, the first one's added lines, and which hunks change white space or comments only, by the file's type: an
+    indentation counts in Python and in unknown types, a # begins a comment in Python and shell."""
+    name = F.concat(F.lit("x"), choose(TYPES, C("doc_id")))
+    mark = F.when(C("doc_id") % 4 == 1, "// ").otherwise("# ")
+    t = F.concat(
+        F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1,2 +1,3 @@\n+"), F.replace("text", F.lit("\n"), F.lit("\n+")),
+        F.lit("\n@@ -9 +9 @@ def f\n-  a  b\n+a b\n@@ -20 +20 @@\n-"), mark, F.lit("one\n+"), mark, F.lit("two\n"),
+    )
+    h = load(spark, d, "documents").select("doc_id", diffs.hunks(t).alias("h"))
+    hunk = lambda k: (C("h")[k]["lines"], C("h")[k]["path"])
+    added = F.size(F.filter(C("h")[0]["lines"], lambda x: x.startswith("+"))).cast("long")
+    last = diffs.cosmetic_change(F.slice("h", 2, 2))
+    return h.select("doc_id", F.size("h").alias("hunks"), added.alias("added"), diffs.cosmetic(*hunk(1)).alias("same_indented"), diffs.cosmetic(*hunk(2)).alias("comment_only"), last.alias("change"))
 
 
 @query("WITH f AS (SELECT o_custkey, o_orderdate AS fixed, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 7 = 0 END AS root, l_shipdate AS introduced FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey), g AS (SELECT *, CAST(floor((epoch(fixed) - epoch(introduced)) / 86400) AS BIGINT) AS d FROM f), h AS (SELECT *, CASE WHEN root IS NULL THEN 'declined_no_commit' WHEN root THEN 'declined_genesis' WHEN d IS NULL THEN 'declined_no_date' WHEN d < 0 THEN 'declined_negative' ELSE 'blame' END AS method FROM g) SELECT method, count(*) AS n, sum(CASE WHEN method = 'blame' THEN d END) AS days FROM h GROUP BY method")

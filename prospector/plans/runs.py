@@ -121,16 +121,16 @@ def pending(spark, d):
     return runs.pending(load(spark, d, "customer").select(C("c_custkey").alias("key")), done, "F")
 
 
-@query(f"WITH {DECISIONS} SELECT repository, count(*) AS calls, sum(CASE WHEN value > 10 THEN CAST(floor(value) AS BIGINT) ELSE 0 END)::BIGINT AS tokens, round(sum(CASE WHEN value > 10 THEN value ELSE 0 END), 6) AS cost, count(*) FILTER (prediction = 'YES') AS yes, count(*) FILTER (prediction = 'NO') AS no, count(*) FILTER (prediction = 'ABSTAIN') AS abstain, count(*) FILTER (prediction = 'ERROR') AS errors FROM dec WHERE repository = 'r3' GROUP BY repository")
+@query(f"WITH {DECISIONS} SELECT repository, count(*) AS calls, sum(CASE WHEN value > 10 THEN CAST(floor(value) AS BIGINT) ELSE 0 END)::BIGINT AS tokens, round(sum(CASE WHEN value > 10 THEN value ELSE 0 END), 6) AS cost, count(*) FILTER (prediction = 'YES') AS yes, count(*) FILTER (prediction = 'NO') AS no, count(*) FILTER (prediction = 'ABSTAIN') AS abstain, count(*) FILTER (prediction = 'ERROR') AS errors  FROM dec GROUP BY repository")
 def run_counters(spark, d):
     value = F.when(C("value") > 10, C("value"))
-    x = decisions(spark, d).where("repository = 'r3'").select(C("prediction").alias("verdict"), F.floor(value).alias("tokens"), value.alias("cost"))
-    return runs.counters(x).select(F.lit("r3").alias("repository"), "calls", "tokens", F.round("cost", 6).alias("cost"), "yes", "no", "abstain", "errors")
+    x = decisions(spark, d).select("repository", C("prediction").alias("verdict"), F.floor(value).alias("tokens"), value.alias("cost"))
+    return runs.counters(x, "repository").select("repository", "calls", "tokens", F.round("cost", 6).alias("cost"), "yes", "no", "abstain", "errors")
 
 
-@query("SELECT p_partkey, p_retailprice >= 1000 AND p_size % 9 = 0 AS a, p_size AS done, CASE WHEN p_size >= 40 OR p_size * 3 < 1 THEN NULL ELSE printf('%02d:%02d', ((40 - p_size) * 90 // p_size) // 60 % 60, (40 - p_size) * 90 // p_size % 60) END AS time_left FROM part WHERE p_size > 2")
+@query("SELECT p_partkey, p_retailprice >= 1000 AND p_size % 9 = 0 AS a, p_size AS done, CASE WHEN p_size >= 40 OR p_size * 3 < 1 THEN NULL ELSE printf('%02d:%02d', ((40 - p_size) * 90 // p_size) // 60 % 60, (40 - p_size) * 90 // p_size % 60) END AS time_left FROM part")
 def time_left(spark, d):
-    x = load(spark, d, "part").where("p_size > 2")
+    x = load(spark, d, "part")
     return x.select("p_partkey", ((C("p_retailprice") >= 1000) & (C("p_size") % 9 == 0)).alias("a"), C("p_size").alias("done"), calls.time_left(C("p_size"), F.lit(40), F.lit(90)).alias("time_left"))
 
 

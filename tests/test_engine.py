@@ -82,9 +82,6 @@ def test_text(spark):
 def test_groups(spark):
     rows = spark.createDataFrame([("a", "x", None), ("b", "x", "p"), ("c", None, "p"), ("d", "y", None), ("e", "y", None), ("f", None, None)], "id string, adv string, grp string")
     assert {r["id"]: r["group"] for r in graph.linked_groups(rows, "id", ["adv", "grp"]).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
-    edges = spark.createDataFrame([("m", "p"), ("m", "y"), ("y", "x"), ("x", "r"), ("p", "r")], "child string, parent string")
-    got = graph.brought_in(edges, spark.createDataFrame([("m", "p")], "merge string, first_parent string"))
-    assert sorted(r["node"] for r in got.collect()) == ["x", "y"]
 
 
 def test_logs(spark, tmp_path):
@@ -161,6 +158,7 @@ def test_chunks():
     def holds(sections, most):
         diff = "".join(sections)
         out = diffs.chunks_of(diff, most, "#\n")
+        out = [c for c, _ in out]
         assert all(diffs.size(c) <= most and c.startswith("#\n") for c in out)
         rest = "".join(c[2:] for c in out)
         at = 0
@@ -168,7 +166,10 @@ def test_chunks():
             at = rest.index(ch, at) + 1
 
     holds()
-    assert diffs.chunks_of("diff --git a b\n@@ -1 +1 @@\n+1\n@@ -2 +2 @@\n+2\n", 38) == ["diff --git a b\n@@ -1 +1 @@\n+1\n", "diff --git a b\n@@ -2 +2 @@\n+2\n"]
+    one, two = "diff --git a/x b/x\n@@ -1 +1 @@\n+1\n", "diff --git a/x b/x\n@@ -2 +2 @@\n+2\n"
+    assert diffs.chunks_of(one + two.split("\n", 1)[1], 42) == [(one, ["x"]), (two, ["x"])]
+    hunk = "diff --git a/x b/x\n@@@ -1,9 +1,9 @@@\n"  # every piece of a long hunk begins with the file's header and the hunk's
+    assert diffs.chunks_of(hunk + "+aaaa\n+bbbb\n+cccc\n", 45) == [(hunk + f"+{c * 4}\n", ["x"]) for c in "abc"]
 
 
 def test_hunks(spark):
@@ -176,15 +177,98 @@ def test_hunks(spark):
 
     d = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1 @@ def f\n-  a(b)\n-# note\n+a(b)\n@@ -9 +9,2 @@\n-x\n+y(1)\n+# noqa\n"
     h = spark.createDataFrame([(d,)], "d string").select(F.explode(diffs.hunks(F.col("d"))).alias("h"))
-    got = h.select("h.path", "h.old_start", "h.old_count", "h.new_count", diffs.cosmetic(F.col("h.lines")), diffs.changed_calls(F.col("h.lines"))).collect()
-    assert [tuple(r) for r in got] == [("x.py", 1, 2, 1, True, ["a"]), ("x.py", 9, 1, 2, False, ["y"])]
+    got = h.select("h.path", "h.old_start", "h.old_count", "h.new_count", diffs.cosmetic(F.col("h.lines"), F.col("h.path")), diffs.changed_calls(F.col("h.lines"))).collect()
+    assert [tuple(r) for r in got] == [("x.py", 1, 2, 1, False, ["a"]), ("x.py", 9, 1, 2, False, ["y"])]
     assert one(spark, diffs.cap(F.lit("é" * 30), 40)) == "é" * 13 + diffs.CUT
+    normal = lambda line, path: one(spark, diffs.normal_line(F.lit(line), F.lit(path)))
+    assert [normal(x, p) for x, p in (("  a  b ", "x.py"), ("  a  b ", "x.go"), ("  a  b ", "x.md"), ("# Title", "x.md"), ("# t", "x.py"), ("#!/x", "x.sh"), ("//go:build x", "x.go"), ("// y", "x.go"), ("  ", "x.c"))] == ["2:a  b", "a b", "  a  b", "# Title", None, "#!/x", "//go:build x", None, None]
 
 
-def test_attribution(spark):
-    from prospector.operators.attribution import resolve_merges
+def brute_brought_in(parents, merge):
+    def reach(x):
+        todo, seen = [x], set()
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += parents[y]
+        return seen
+
+    return reach(merge) - reach(parents[merge][0]) - {merge}
+
+
+def test_brought_in_of_any_history(spark):
+    import random
+
+    r = random.Random(4)
+    parents = {0: []}
+    for k in range(1, 160):
+        near = lambda: r.randrange(max(0, k - r.choice([2, 6, 30])), k)  # noqa: E731, B023
+        parents[k] = list(dict.fromkeys(near() for _ in range(r.choice([1, 1, 2, 3]))))
+    edges = spark.createDataFrame([(k, p) for k, ps in parents.items() for p in ps], "child int, parent int")
+    merges = spark.createDataFrame([(k, ps[0]) for k, ps in parents.items() if len(ps) > 1], "merge int, first_parent int")
+    order = spark.createDataFrame([(k, k) for k in parents], "node int, place int")
+    got = {}
+    for row in graph.brought_in(edges, merges, order, 6).collect():
+        got.setdefault(row["merge"], set()).add(row["node"])
+    want = {k: brute_brought_in(parents, k) for k, ps in parents.items() if len(ps) > 1}
+    assert got == {k: v if len(v) <= 6 else {None} for k, v in want.items() if v} and {None} in got.values()
 
-    commits = spark.createDataFrame([("m", ["p", "b"], ["x"], []), ("b", ["a"], ["x"], ["fix it"]), ("a", ["r"], ["x", "y"], ["else"]), ("p", ["r"], ["z"], []), ("r", [], [], [])], "sha string, parents array<string>, paths array<string>, added array<string>")
-    found = spark.createDataFrame([("m", ["y"], "q"), ("m", ["x"], " fix   it "), ("m", ["x"], "none"), ("p", ["z"], None)], "sha string, paths array<string>, span string")
-    got = sorted((r["paths"][0], r["span"] or "", r["attributed"], r["method"]) for r in resolve_merges(found, commits).collect())
-    assert got == [("x", " fix   it ", "b", "content"), ("x", "none", "m", "kept"), ("y", "q", "a", "paths"), ("z", "", "p", "kept")]
+
+EVIDENCE = "array<struct<revision:string,revision_sha:string,path:string,start_line:int,end_line:int,quoted_span:string>>"
+
+
+def test_attribution(spark):
+    from prospector.operators import attribution
+
+    commits = spark.createDataFrame(
+        [("e", 5, ["c", "b"], ["x"], [], "pe"), ("b", 4, ["a"], ["x"], ["fix it"], "p1"), ("a", 3, ["0"], ["x", "y"], ["else"], "p2"), ("c", 2, ["0"], ["z"], [], "p3"), ("0", 1, [], [], [], None)],
+        "sha string, place int, parents array<string>, paths array<string>, added array<string>, patch_id string",
+    )
+    at = lambda path, quote, kind="commit": [(kind, "e", path, 1, 1, quote)]
+    rows = [(1, "e", ["y"], at("y", "q")), (2, "e", ["x"], at("x", " fix   it ")), (3, "e", ["x"], at("x", "none")), (4, "c", ["z"], []), (5, "e", [], []), (6, "e", ["w"], []), (7, "q", ["x"], [])]
+    found = spark.createDataFrame(rows, f"seq int, sha string, affected_paths array<string>, evidence {EVIDENCE}")
+    got = {r["seq"]: (r["attributed"], r["method"]) for r in attribution.attribute(found, commits).collect()}
+    assert got == {1: ("a", "merge_first_parent_walk"), 2: ("b", "merge_evidence_content"), 3: ("e", "ambiguous"), 4: ("c", "direct"), 5: ("e", "unchanged"), 6: ("e", "unchanged"), 7: ("q", "unchanged")}
+    blobs = spark.createDataFrame([("a", "y", "other\n"), ("b", "x", "fix it\nmore")], "sha string, path string, content string")
+    kept, moves, twice = attribution.apply(found, commits, blobs)
+    kept = {r["seq"]: (r["sha"], r["method"]) for r in kept.collect()}
+    # 1 stays as its quote is not in a:y, 2 moves to b, and what else is on the merge folds into 1
+    assert kept == {1: ("e", "declined_anchor_mismatch"), 2: ("b", "merge_evidence_content"), 4: ("c", "direct"), 7: ("q", "unchanged")}
+    assert [tuple(r) for r in moves.collect()] == [("b", "e", "merge_evidence_content")]
+    assert {(r["sha"], r["duplicate_of"]) for r in twice.collect()} == {("e", "e")}
+    rows = found.where("seq IN (3, 4, 7)").unionByName(found.where("seq = 2").selectExpr("seq", "'b' AS sha", "affected_paths", "evidence")).withColumn("attributed_from", F.lit(None).cast("string"))
+    kept, folded = attribution.collapse(rows, commits)
+    assert sorted(r["seq"] for r in kept.collect()) == [2, 4, 7] and [tuple(r) for r in folded.collect()] == [("e", None, "b", "")]
+
+
+def test_duplicates_name_the_best_so_far(spark):
+    from prospector.operators import attribution
+
+    ev = lambda n: [("commit", "x", "p", 1, 1, "q")] * n
+    rows = [(1, "c", "p", ev(1), None), (2, "b", "p", ev(2), "m"), (3, "a", "p", ev(2), None), (4, "0", "p", ev(2), None), (5, "f", None, ev(0), None), (6, "d", "q", ev(0), None)]
+    found = spark.createDataFrame(rows, f"seq int, sha string, patch_id string, evidence {EVIDENCE}, attributed_from string")
+    kept, dropped = attribution.deduplicate(found)
+    assert sorted((r["seq"], r["sha"]) for r in kept.collect()) == [(1, "0"), (5, "f"), (6, "d")]
+    assert sorted(map(tuple, dropped.collect()), key=repr) == [("a", None, "0", "p"), ("b", "m", "a", "p"), ("c", None, "b", "p")]
+
+
+def test_profiles(spark):
+    from prospector.functions import diffs, profiles
+
+    vendor = "diff --git a/vendor/x.go b/vendor/x.go\nindex 1a..2b 100644\n--- a/vendor/x.go\n+++ b/vendor/x.go\n@@ -1 +1 @@\n-a\n+b\n"
+    own = "diff --git a/src/m.py b/src/m.py\r\nindex 1a..2b 100644\r\n--- a/src/m.py\r\n+++ b/src/m.py\r\n@@ -1 +1 @@\r\n-a\r\n+b"
+    rows = [(1, vendor + own), (2, vendor), (3, "no diff"), (4, " \n"), (5, None)]
+    d = spark.createDataFrame(rows, "k int, diff string")
+    first = {r["k"]: r for r in profiles.input_profile(d, "D1", "diff").collect()}
+    assert [first[k]["status"] for k in range(1, 6)] == ["ready", "empty_first_party", "malformed", "empty", "empty"]
+    assert first[1]["text"] == "diff --git a/src/m.py b/src/m.py\n--- a/src/m.py\n+++ b/src/m.py\n@@ -1 +1 @@\n-a\n+b\n" and first[1]["excluded_paths"] == ["vendor/x.go"]
+    assert first[1]["change_kinds"] == ["source", "generated_vendor"] and first[3]["error"] == "input is not a recognizable Git diff"
+    two = profiles.input_profile(d.where("k = 1"), "D2", "diff", subject=F.lit("\r\nlater")).first()
+    assert two["text"].startswith("### Commit subject\n(empty)\n\n### Diff\ndiff --git a/src") and two["chunks"][0]["paths"] == ["src/m.py"]
+    assert profiles.input_profile(d.where("k = 1"), "D3", "diff", message=F.lit("m" * 90), most=60).first()["status"] == "oversize"
+    assert profiles.input_profile(d.where("k = 1"), "D0", "diff").first()["text"] == vendor + own
+    patch = 'diff --git a/o b/n\nrename from o\nrename to "\\303\\251"\ndiff --git a/k b/k\nnew file mode 1\n--- /dev/null\n+++ b/k k\ndiff --git a/d b/d\ndeleted file mode 1\n--- a/d\n+++ /dev/null\ndiff --git a/m b/m\n'
+    got = [tuple(x) for x in one(spark, diffs.changed_paths(F.lit(patch)))]
+    assert got == [("R100", "é", "o"), ("A", "k k", None), ("D", "d", None), ("M", "m", None)]
+    assert diffs.names_of('diff --git "a/x y" "b/x y"\n') == ("x y", "x y", "x y") and diffs.names_of("diff --cc z\n")[2] == "z"
