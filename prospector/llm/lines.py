@@ -150,48 +150,52 @@ def verified(pairs: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("s1", "s2")) * SHARE[1] >= (F.size("s1") + F.size("s2")) * SHARE[0]).select("num").distinct()
 
 
-def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
-    """Numbers of distinct lines that are similar to a line that occurs earlier.
+OWN = ("num", "doc_id", "line_no", "n", *PARITIES)
+
+
+def earlier(left, right) -> Column:
+    return (right("doc_id") < left("doc_id")) | ((right("doc_id") == left("doc_id")) & (right("line_no") < left("line_no")))
+
 
-    Two similar lines share a word of their prefixes. Round one compares each line with the first line of each of some of its prefix
-    words, and looks at the words of the one whose parities are nearest: that settles most members of a large group of near copies by
-    one pair each. Round two takes the lines still open and compares them with all earlier lines under
-    their prefix words. At the first word that two similar lines share, both still have as many words to come as they must share;
-    and the words before it differ, so a pair is dropped under a word that follows the same word in both lines.
+def settled(first: DataFrame, lines: DataFrame) -> DataFrame:
+    """Round one: numbers of lines that are similar to the first line of one of their prefix words.
+
+    Each line is compared with the first line of each of some of its prefix words, and the words of the one whose parities are nearest
+    are looked at. That settles most members of a large group of near copies by one pair each.
     """
     c = F.col
-    own = ("num", "doc_id", "line_no", "n", *PARITIES)
     w = Window.partitionBy("word").orderBy("doc_id", "line_no")
-    word = c("word").bitwiseAND(F.lit(WORD_BITS))
-    met = first.select(*own, F.explode(F.filter("prefix", lambda h: h.bitwiseAND(F.lit(WORD_BITS)) % EVERY == 0)).alias("word")).withColumn("word", word)
-    met = met.withColumn("o", F.first(F.struct(*own)).over(w))
-
-    def earlier(left, right) -> Column:
-        return (right("doc_id") < left("doc_id")) | ((right("doc_id") == left("doc_id")) & (right("line_no") < left("line_no")))
-
+    some = F.filter("prefix", lambda h: h.bitwiseAND(F.lit(WORD_BITS)) % EVERY == 0)
+    met = first.select(*OWN, F.explode(some).alias("word")).withColumn("word", c("word").bitwiseAND(F.lit(WORD_BITS)))
+    met = met.withColumn("o", F.first(F.struct(*OWN)).over(w))
     star = lambda x: c(f"o.{x}")
     fits = earlier(c, star) & (F.least("n", star("n")) * SHARE[1] >= (c("n") + star("n")) * SHARE[0]) & near_by(c, star)
     met = met.where(fits).select("num", F.struct(differing(c, star).alias("d"), star("num").alias("other")).alias("best"))
-    star = cut(met.groupBy("num").agg(F.min("best").alias("best")).select("num", c("best.other").alias("other")))
-    del met
-    release(first)
-    settled = cut(verified(star, first, lines))
-    release(first)
-    marked = first.join(bounded(settled.withColumn("open", F.lit(0))), "num", "left")
-    marked = marked.select(*own, F.coalesce("open", F.lit(1)).alias("open"), "prefix", F.posexplode("prefix").alias("at", "key"))
+    nearest = cut(met.groupBy("num").agg(F.min("best").alias("best")).select("num", c("best.other").alias("other")))
+    return cut(verified(nearest, first, lines))
+
+
+def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
+    """Round two: numbers of the lines still open that are similar to a line that occurs earlier.
+
+    Two similar lines share a word of their prefixes, and at the first word they share, both still have as many words to come as they
+    must share. The words before it differ, so a pair is dropped under a word that follows the same word in both lines.
+    """
+    c = F.col
+    each = first.select(*OWN, "open", "prefix", F.posexplode("prefix").alias("at", "key"))
     before = F.when(c("at") > 0, F.get("prefix", c("at") - 1).bitwiseAND(F.lit(BEFORE_BITS)))
     rest = (c("n") - c("at")) * SHARE[1]
-    rows = marked.select(*own, rest.alias("rest"), (rest * c("open")).alias("open"), before.alias("before"), c("key").bitwiseAND(F.lit(WORD_BITS)).alias("word"))
-    past = rows.select(*[c(x).alias("_" + x) for x in rows.columns])
-    right = lambda x: c("_" + x)
-    # nought, but it makes both sides read the same columns, so that one shuffle serves both
-    nought = F.greatest(c("open") - c("rest"), c("_open") - c("_rest"), F.lit(0))
-    enough = F.least(c("open"), c("_rest")) >= (c("n") + c("_n")) * SHARE[0] + nought
-    first_shared = F.coalesce(c("before") != c("_before"), F.lit(True))
-    pairs = rows.join(past, (c("word") == c("_word")) & enough & earlier(c, right) & first_shared & near_by(c, right))
-    pairs = cut(pairs.select("num", c("_num").alias("other")).distinct())
+    rows = each.select(*OWN, rest.alias("rest"), (rest * c("open")).alias("open"), before.alias("before"), c("key").bitwiseAND(F.lit(WORD_BITS)).alias("word"))
+    # both sides name and read the same columns, so that one shuffle serves both: nought is 0, but takes in the columns of the other side
+    one, two = (rows.select(*[c(x).alias(side + x) for x in rows.columns]) for side in ("l_", "r_"))
+    left, right = (lambda x: c("l_" + x)), (lambda x: c("r_" + x))
+    nought = F.greatest(left("open") - left("rest"), right("open") - right("rest"), F.lit(0))
+    enough = F.least(left("open"), right("rest")) >= (left("n") + right("n")) * SHARE[0] + nought
+    first_shared = F.coalesce(left("before") != right("before"), F.lit(True))
+    pairs = one.join(two, (left("word") == right("word")) & enough & earlier(left, right) & first_shared & near_by(left, right))
+    pairs = cut(pairs.select(left("num").alias("num"), right("num").alias("other")).distinct())
     release(first)
-    return settled.unionByName(verified(pairs, first, lines))
+    return verified(pairs, first, lines)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +209,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     lines = lines_of(docs, id_col, text_col)
     first = cut(distinct_lines(lines)).withColumn("num", F.monotonically_increasing_id())  # written rows: the numbers stay
     release(docs)
-    gone = cut(matched(first, lines))
+    early = settled(first, lines)
+    open_ = first.join(bounded(early.withColumn("open", F.lit(0))), "num", "left").withColumn("open", F.coalesce("open", F.lit(1)))
+    first = cut(open_)
+    del open_
+    release(docs)
+    gone = early.unionByName(cut(matched(first, lines)))
     key = lambda lid, at: F.shiftleft(lid, 32).bitwiseOR(at.cast("long"))
     kept = first.join(gone, "num", "left_anti").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(key(F.col("lid"), F.col("line_no"))).alias("kept"))
     whole = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
