@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
+from pyspark.sql.utils import AnalysisException
 
 CHANGED_PATH = StructType([StructField(n, StringType()) for n in ("status", "path", "old_path")])
 COMMIT = StructType(
@@ -50,3 +51,18 @@ def search(blobs: DataFrame, needle: str, limit: int = 100) -> DataFrame:
 def line_range(content, start: int, end: int):
     """Lines start to end, 1-based and inclusive; fewer past the end."""
     return F.array_join(F.slice(F.split(content, "\n"), start, end - start + 1), "\n")
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of a file of JSON lines with seq, their order in the file; a missing file is an empty one, blank lines are skipped, and a
+    line that is no object is left out."""
+    kept = StructType([*StructType.fromDDL(schema).fields, StructField("_corrupt_record", StringType())])
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], f"seq long, {schema}")
+    rows = lines.withColumn("seq", F.monotonically_increasing_id()).where(F.col("value").rlike(r"\S"))
+    out = rows.select("seq", F.from_json("value", kept, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return out.where("r IS NOT NULL AND r._corrupt_record IS NULL").select("seq", *[F.col("r")[f.name].alias(f.name) for f in kept.fields[:-1]])
