@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructT
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of names of large groups that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Edges that one task joins to components.
+LOCAL_EDGES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -106,15 +108,29 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def forest(batches):
+    """The edges (u, v) of one partition as stars: each node but the smallest of its group, and that smallest node."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        root = local_roots(len(nodes), at[: len(u)], at[len(u) :])
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, root), root the smallest node; nodes without edges are absent.
 
-    Alternating large-star and small-star steps: each step is a map-side combined minimum and a join with it, so that a hub's
-    edges are never gathered in one task, and the number of rounds is logarithmic in practice.
+    First each task joins what is linked within LOCAL_EDGES edges, which leaves a forest; edges that fit one task are done then. The
+    others go through alternating large-star and small-star steps: each step is a map-side combined minimum and a join with it, so that
+    a hub's edges are never gathered in one task, and the number of rounds is logarithmic in practice.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    parts = -(-e.count() // LOCAL_EDGES)
+    e = cut(e.coalesce(max(1, parts)).mapInArrow(forest, "u long, v long"))
     before = None
-    while True:
+    while parts > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from prospector.llm import chat, decontaminate, embeddings, lines, lm, mixing, sharding, simhash, substring, toxicity
+from prospector.llm import chat, common, decontaminate, embeddings, lines, lm, mixing, sharding, simhash, substring, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, row string, shard string"
 
@@ -380,6 +380,18 @@ def test_keep_one_keeps_columns_and_nulls(spark):
     assert kept.columns == docs.columns and sorted((r["doc_id"], r["m"]["k"]) for r in kept.collect()) == [(3, 3), (7, 7)]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 40])
+def test_components(spark, most, monkeypatch):
+    monkeypatch.setattr(common, "LOCAL_EDGES", most)
+    r = np.random.default_rng(6)
+    a, b = r.integers(0, 400, 330), r.integers(0, 400, 330)
+    a[:60], b[:60] = np.arange(60), np.arange(1, 61)  # a long chain
+    want = common.local_roots(400, a, b)
+    got = {x["node"]: x["root"] for x in common.components(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long")).collect()}
+    linked = set(a[a != b].tolist()) | set(b[a != b].tolist())
+    assert got == {k: int(want[k]) for k in linked}
+
+
 def test_spanning_forest_joins_by_the_shortest_edges():
     r = np.random.default_rng(5)
     a, b, d = r.integers(0, 60, 400), r.integers(0, 60, 400), r.integers(0, 9, 400)
