@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table written to the shared folder, and its place: smaller than a checkpoint, and it can be dropped once it is used up."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def drop(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Let Spark drop the shuffle files of jobs that are done with: it does so when the driver's garbage is collected."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospector.llm.common import cut, release, table
+from prospector.llm.common import cut, drop, release, stored, table
 
 #: Two sets of n and m words have a Jaccard similarity of 4/5 or more if SHARE[1] * (words they share) >= SHARE[0] * (n + m).
 SHARE = (4, 9)
@@ -207,12 +207,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     number of theirs don't remove each other. Long lines and texts are taken whole. Other columns are not looked at. No rows: none.
     """
     lines = lines_of(docs, id_col, text_col)
-    first = cut(distinct_lines(lines)).withColumn("num", F.monotonically_increasing_id())  # written rows: the numbers stay
+    first, at = stored(distinct_lines(lines).withColumn("num", F.monotonically_increasing_id()))
     release(docs)
     early = settled(first, lines)
-    open_ = first.join(bounded(early.withColumn("open", F.lit(0))), "num", "left").withColumn("open", F.coalesce("open", F.lit(1)))
-    first = cut(open_)
-    del open_
+    first, _ = stored(first.join(bounded(early.withColumn("open", F.lit(0))), "num", "left").withColumn("open", F.coalesce("open", F.lit(1))))
+    drop(docs.sparkSession, at)
     release(docs)
     gone = early.unionByName(cut(matched(first, lines)))
     key = lambda lid, at: F.shiftleft(lid, 32).bitwiseOR(at.cast("long"))
