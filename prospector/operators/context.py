@@ -1,17 +1,47 @@
-"""Ranked aggregates over findings."""
+"""Compile findings of a repository to its security context: fingerprints, ranked risks, shared surfaces, counts and texts.
+
+findings: (seq, commit_sha, commit_date, commit_subject, l0_class, cwe_id, severity, affected_paths, evidence, sink, sink_symbols, fix_effect,
+root_cause, impact, invariant, fix_completeness); evidence is an array of (revision, revision_sha, path, start_line, end_line, quoted_span).
+They are those of one repository, so that an array of all of them is bounded.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Severity ranks.
+from prospector.functions.calls import archetype
+from prospector.functions.stats import recency_weight
+from prospector.functions.text import normalise_component, squeeze
+
+# Severity ranks, and the sentences of the texts.
 SEVERITY = {"unknown": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
+OBJECTIVE = (
+    "Objective: find NEW, verified vulnerabilities in the CURRENT code. Re-confirming an already-fixed issue is NOT a finding. An unguarded variant of a past fix, or a "
+    "novel exploitable flaw in the hot spots below, IS. Use the signals as a map of where risk concentrates, then hunt openly."
+)
+GUARDS = "Shared guards that must hold on EVERY path (highest priority — one bypassed path is a live bug):"
+HOT = "Components with a recurring fix history (review these first):"
+RISKS = "Highest-weighted risks (recency-weighted fix history):"
+HUNT = (
+    "How to hunt:",
+    "1. For each shared guard, trace EVERY listed entry point and confirm the guard is actually reached. A guard enforced on the direct path but skipped on a sibling path is a live vulnerability — this is the highest-yield check.",
+    "2. Treat each guard as a SET: when several checks are listed, confirm EVERY member holds on EVERY entry point. Enforcing some but not all is still a bug.",
+    "3. In each component, look for new code paths reaching the known dangerous symbols without the guard.",
+    "4. Do NOT stop at the patterns above. The fix history shows where risk concentrates, not the only bugs that exist.",
+    "5. VERIFY before reporting: trace attacker-controlled input to the sink, confirm the guard is genuinely absent on that path, and state a concrete exploit (attacker, input, impact). "
+    "Report findings as file:line plus the exploit. Discard anything you cannot actually exploit — no speculative leads.",
+)
 
 
 def severity_rank(column: str):
     ranks = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
-    return F.coalesce(F.element_at(ranks, F.lower(F.col(column))), F.lit(0))
+    return F.coalesce(F.try_element_at(ranks, F.lower(F.col(column))), F.lit(0))
+
+
+def severity_name(rank: Column) -> Column:
+    """The name of a rank, which is kept within 0 to 4."""
+    return F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), F.least(F.greatest(rank, F.lit(0)), F.lit(4)) + 1)
 
 
 def top_risks(findings: DataFrame, limit: int = 5) -> DataFrame:
@@ -31,3 +61,194 @@ def remediation(findings: DataFrame) -> DataFrame:
     measurable = F.coalesce(F.col("still_applies"), F.lit(True))
     out = findings.agg(F.count_if(measurable).alias("measurable"), F.count_if(measurable & F.coalesce(F.col("guarded"), F.lit(False))).alias("guarded"))
     return out.withColumn("coverage", F.when(F.col("measurable") > 0, F.round(100.0 * F.col("guarded") / F.col("measurable"), 1)))
+
+
+# --- fingerprints
+
+
+def cut_text(c: str, most: int) -> Column:
+    """At most `most` characters of a text; null where it is empty."""
+    short = F.substring(F.coalesce(F.col(c), F.lit("")), 1, most)
+    return F.when(short != "", short)
+
+
+def anchors(evidence: Column) -> Column:
+    """Evidence with all defaults filled in."""
+    text = lambda x: F.coalesce(x, F.lit(""))
+    none = F.array().cast("array<struct<revision:string,revision_sha:string,path:string,start_line:int,end_line:int,quoted_span:string>>")
+    whole = F.transform(evidence, lambda e: F.struct(
+        F.when(text(e["revision"]) == "", "commit").otherwise(e["revision"]).alias("revision"), text(e["revision_sha"]).alias("revision_sha"), text(e["path"]).alias("path"),
+        F.coalesce(e["start_line"], F.lit(0)).alias("start_line"), F.coalesce(e["end_line"], F.lit(0)).alias("end_line"), text(e["quoted_span"]).alias("quoted_span"),
+    ))
+    return F.coalesce(whole, none)
+
+
+def sink_names(declared: Column, quotes: Column, most: int = 4) -> Column:
+    """Declared names that are not blank, else the first names of over two characters that the quotes call; each once."""
+    own = F.array_distinct(F.filter(F.coalesce(declared, F.array().cast("array<string>")), lambda s: s.rlike(r"\S")))
+    called = F.flatten(F.transform(quotes, lambda q: F.regexp_extract_all(q, F.lit(r"([A-Za-z_][\w.]*)\s*\("), 1)))
+    return F.when(F.size(own) > 0, own).otherwise(F.slice(F.array_distinct(F.filter(called, lambda s: F.length(s) > 2)), 1, most))
+
+
+def fingerprints(findings: DataFrame, head: DataFrame | None, now: Column) -> DataFrame:
+    """A fingerprint of each finding with a commit, in place: newest commit date first, then in the order of findings.
+
+    Components are the affected paths, else those of the evidence. still_applies tells whether a quote stands in the file at head (path,
+    content): null if there is nothing to look for, or no head.
+    """
+    rows = findings.where("coalesce(commit_sha, '') <> ''").withColumn("anchors", anchors(F.col("evidence")))
+    affected = F.filter(F.coalesce("affected_paths", F.array().cast("array<string>")), lambda p: p.rlike(r"\S"))
+    cited = F.filter(F.transform("anchors", lambda a: a["path"]), lambda p: p != "")
+    components = F.array_distinct(F.filter(F.transform(F.when(F.size(affected) > 0, affected).otherwise(cited), normalise_component), lambda c: c != ""))
+    stamp = F.coalesce(F.try_to_timestamp(F.replace("commit_date", F.lit("Z"), F.lit("+00:00"))), F.lit(None).cast("timestamp"))
+    out = rows.select(
+        "seq", F.concat(F.lit("fp_"), F.substring("commit_sha", 1, 10)).alias("id"), "commit_sha", F.coalesce("commit_date", F.lit("")).alias("commit_date"), F.coalesce(cut_text("commit_subject", 200), F.lit("")).alias("commit_subject"),
+        F.coalesce(cut_text("l0_class", 2**30), F.lit("other")).alias("l0_class"), F.filter(F.array("cwe_id"), lambda c: c != "").alias("cwe"), components.alias("components"), cut_text("sink", 2**30).alias("sink"),
+        sink_names(F.col("sink_symbols"), F.transform("anchors", lambda a: a["quoted_span"])).alias("sink_symbols"), cut_text("fix_effect", 200).alias("fix_shape"), F.coalesce(cut_text("severity", 2**30), F.lit("unknown")).alias("severity"),
+        F.coalesce(cut_text("root_cause", 400), F.lit("")).alias("summary"), cut_text("impact", 2**30).alias("poc"), cut_text("invariant", 2**30).alias("invariant"), F.coalesce(cut_text("fix_completeness", 2**30), F.lit("unknown")).alias("fix_completeness"),
+        "anchors", F.round(recency_weight(stamp, now), 12).alias("weight"),
+    )
+    if head is None:
+        out = out.withColumn("still_applies", F.lit(None).cast("boolean"))
+    else:
+        each = out.select("seq", F.explode("anchors").alias("a")).where("a.path <> '' AND a.quoted_span <> ''")
+        files = head.select(F.col("path").alias("_p"), F.col("content").cast("string").alias("_c"))
+        quote = squeeze(F.col("a.quoted_span"))
+        stands = F.coalesce((quote != "") & squeeze(F.col("_c")).contains(quote), F.lit(False))
+        found = each.join(files, F.col("a.path") == F.col("_p"), "left").groupBy(F.col("seq").alias("_seq")).agg(F.bool_or(stands).alias("still_applies"))
+        out = out.join(found, F.col("seq") == F.col("_seq"), "left").drop("_seq")
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("commit_date").desc(), "seq")))  # one repository's findings
+
+
+def firsts(places: Column) -> Column:
+    """Distinct values of an array of (place, values), in order of place."""
+    return F.array_distinct(F.flatten(F.transform(F.array_sort(places), lambda x: x["v"])))
+
+
+def listed(value: Column) -> Column:
+    return F.collect_list(F.struct("place", value.alias("v")))
+
+
+def ranked_risks(prints: DataFrame, limit: int = 5) -> DataFrame:
+    """The first (class, component) pairs by summed weight, then count, then the first place, with what speaks for them."""
+    each = prints.select("*", F.explode("components").alias("component"))
+    g = each.groupBy("l0_class", "component").agg(
+        F.round(F.sum("weight"), 4).alias("recency_weight"), F.count("*").alias("fix_count"), F.max(severity_rank("severity")).alias("_peak"), firsts(listed(F.col("cwe"))).alias("cwe"),
+        F.min_by("invariant", F.when(F.col("invariant").isNotNull(), F.col("place"))).alias("_invariant"), F.min_by("summary", "place").alias("_summary"),
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "commit_sha"))), lambda x: x["commit_sha"]).alias("evidence"), F.min("place").alias("_first"),
+    )
+    reason = F.coalesce("_invariant", F.when(F.col("_summary") != "", F.col("_summary")), F.concat(F.lit("Recurring "), "l0_class", F.lit(" fixes in "), "component", F.lit(".")))
+    out = g.withColumn("severity", severity_name(F.col("_peak"))).withColumn("rationale", reason).orderBy(F.col("recency_weight").desc(), F.col("fix_count").desc(), "_first").limit(limit)
+    return out.select(F.row_number().over(Window.orderBy(F.col("recency_weight").desc(), F.col("fix_count").desc(), "_first")).alias("rank"), "l0_class", "component", "severity", "fix_count", "cwe", "rationale", "evidence", "recency_weight")
+
+
+def surfaces(prints: DataFrame, limit: int = 6) -> DataFrame:
+    """Classes of fixes with an invariant that recur, or touch more than one component: what must hold, where, and by which guards."""
+    g = prints.where("invariant IS NOT NULL").groupBy("l0_class").agg(
+        firsts(listed(F.col("components"))).alias("entry_points"), firsts(listed(F.col("sink_symbols"))).alias("_guards"), F.min_by("invariant", "place").alias("check_hint"),
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "commit_sha"))), lambda x: x["commit_sha"]).alias("evidence"), F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("origin_fixes"),
+        F.bool_or("still_applies").alias("still_applies"), F.min("place").alias("_first"),
+    )
+    order = (F.size("entry_points").desc(), F.size("evidence").desc(), F.col("_first"))
+    out = g.where((F.size("evidence") >= 2) | (F.size("entry_points") >= 2)).orderBy(*order).limit(limit)
+    name = F.initcap(F.replace("l0_class", F.lit("_"), F.lit(" ")))
+    return out.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), name.alias("surface"), F.slice("_guards", 1, 4).alias("guard"), "entry_points", "check_hint", "evidence", "origin_fixes", "still_applies")
+
+
+def guarded_share(prints: DataFrame, leads: int = 0) -> DataFrame:
+    """Coverage of fixes that are measurable, that is not known to be gone, by those that have an invariant and still apply."""
+    left = F.coalesce("still_applies", F.lit(True))
+    held = left & F.col("invariant").isNotNull() & F.coalesce("still_applies", F.lit(False))
+    out = prints.agg(F.count_if(left).alias("measurable_fixes"), F.count_if(held).alias("guarded_fixes"), F.coalesce(F.sum(F.when(held, F.size("anchors"))), F.lit(0)).alias("guarded_sites"))
+    share = F.when(F.col("measurable_fixes") > 0, F.round(100.0 * F.col("guarded_fixes") / F.col("measurable_fixes"), 1))
+    return out.select(share.alias("coverage"), "measurable_fixes", "guarded_fixes", F.lit(leads).cast("long").alias("open_leads"), "guarded_sites")
+
+
+def counts(prints: DataFrame) -> DataFrame:
+    """(kind, name, n, rank): classes and components by how often they occur, of equal ones the first seen first."""
+    each = prints.select("place", F.lit(0).alias("at"), F.lit("class").alias("kind"), F.col("l0_class").alias("name")).unionByName(prints.select("place", F.lit("component").alias("kind"), F.posexplode("components").alias("at", "name")))
+    g = each.groupBy("kind", "name").agg(F.count("*").alias("n"), F.min(F.struct("place", "at")).alias("_first"))
+    return g.select("kind", "name", "n", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("n").desc(), "_first")).alias("rank"))
+
+
+def repository_reference(source: str, head_sha: str, branch: str) -> dict[str, str]:
+    """Owner and name from the last two parts of a source, without .git."""
+    slug = source.rstrip("/").removesuffix(".git")
+    parts = [p for p in slug.split("/") if p]
+    owner, name = parts[-2:] if len(parts) >= 2 else ("", slug)
+    return {"owner": owner, "name": name, "url": source, "ref": branch, "head_sha": head_sha}
+
+
+def compile_context(findings: DataFrame, repo: dict[str, str], scanned: int, head: DataFrame | None = None, now: Column | None = None, leads: int = 0) -> DataFrame:
+    """One row with the whole context as structs and arrays in order, its brief, and a summary that is made from the same facts."""
+    prints = fingerprints(findings, head, F.current_timestamp() if now is None else now)
+    spark = findings.sparkSession
+    base = spark.createDataFrame([(*repo.values(), scanned)], "owner string, name string, url string, ref string, head_sha string, scanned long")
+    base = base.select(F.struct("owner", "name", "url", "ref", "head_sha").alias("repo"), F.col("scanned").alias("commits_scanned"))
+
+    def whole(df: DataFrame, order: str, name: str) -> DataFrame:
+        return df.agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*[c for c in df.columns if c != order]).alias("v")))).alias(name)).select(F.transform(name, lambda x: x["v"]).alias(name))
+
+    tally = counts(prints)
+    parts = [
+        whole(prints.drop("seq", "weight"), "place", "fingerprints"), whole(ranked_risks(prints), "rank", "top_risks"), whole(surfaces(prints), "rank", "shared_surfaces"),
+        whole(tally.where("kind = 'class'").drop("kind"), "rank", "l0_class_counts"), whole(tally.where("kind = 'component'").drop("kind"), "rank", "component_counts"),
+        guarded_share(prints, leads).select(F.struct("*").alias("remediation")), whole(hot_components(prints, tally), "rank", "_hot"),
+    ]
+    out = base
+    for p in parts:  # one row each
+        out = out.crossJoin(F.broadcast(p))
+    out = out.withColumn("archetype", archetype(F.transform("component_counts", lambda c: c["name"]))).withColumn("leads_withheld", F.lit(leads))
+    return out.withColumn("agent_brief", brief()).withColumn("summary", fallback_summary()).drop("_hot")
+
+
+def hot_components(prints: DataFrame, tally: DataFrame, most: int = 8) -> DataFrame:
+    """The components fixed most often, with the classes of their fixes and the first six of the symbols seen there, in order of name."""
+    each = prints.select("l0_class", "sink_symbols", F.explode("components").alias("name"))
+    g = each.groupBy("name").agg(F.array_sort(F.collect_set("l0_class")).alias("classes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sink_symbols")))).alias("symbols"))
+    return tally.where((F.col("kind") == "component") & (F.col("rank") <= most)).join(g, "name").select("rank", "name", "n", "classes", F.slice("symbols", 1, 6).alias("symbols"))
+
+
+def slug() -> Column:
+    return F.concat_ws("/", "repo.owner", "repo.name")
+
+
+def brief() -> Column:
+    """Where to look first and what counts as a finding, line by line from the compiled columns."""
+    lines = lambda *x: F.array(*[F.lit(s) if isinstance(s, str) else s for s in x])
+    none = F.array().cast("array<string>")
+    some = lambda x, y: F.when(F.size(x) > 0, y).otherwise(none)
+    joined = lambda x, by: F.array_join(x, by)
+    surface = lambda s: F.concat(
+        F.array(F.concat(F.lit("- "), s["surface"])), some(s["guard"], F.array(F.concat(F.lit("    guard: "), joined(s["guard"], ", ")))),
+        some(s["entry_points"], F.array(F.concat(F.lit("    verify on every entry point: "), joined(s["entry_points"], "; ")))), F.array(F.concat(F.lit("    specifically: "), s["check_hint"])),
+    )
+    hot = lambda c: F.concat(F.lit("- "), c["name"], F.lit(" — "), c["n"].cast("string"), F.lit(" past fix(es): "), joined(c["classes"], ", "), F.when(F.size(c["symbols"]) > 0, F.concat(F.lit(" | known dangerous symbols: "), joined(c["symbols"], ", "))).otherwise(""))
+    risk = lambda r: F.concat(F.lit("- "), r["l0_class"], F.lit(" in "), r["component"], F.lit(" ("), r["fix_count"].cast("string"), F.lit(" fix(es), peak "), r["severity"], F.lit("): "), r["rationale"])
+    first = F.concat(F.lit("You are performing a security review of "), slug(), F.lit(" at "), F.substring("repo.head_sha", 1, 12), F.lit("."))
+    whole = F.concat(
+        lines(first, "", OBJECTIVE), some("shared_surfaces", F.concat(lines("", GUARDS), F.flatten(F.transform("shared_surfaces", surface)))), some("component_counts", F.concat(lines("", HOT), F.transform("_hot", hot))),
+        some("top_risks", F.concat(lines("", RISKS), F.transform("top_risks", risk))), lines("", *HUNT),
+    )
+    return F.array_join(whole, "\n")
+
+
+def fallback_summary() -> Column:
+    """What a model would say, said from the counts."""
+    names = lambda c, n: F.array_join(F.transform(F.slice(c, 1, n), lambda x: x["name"]), ", ")
+    scanned = F.col("commits_scanned").cast("string")
+    none = F.concat(F.lit("No confirmed security fixes were adjudicated in "), scanned, F.lit(" scanned commits of "), slug(), F.lit("."))
+    some = F.concat(
+        slug(), F.lit(" ("), "archetype", F.lit(") has "), F.size("fingerprints").cast("string"), F.lit(" confirmed historical security fixes across "), scanned, F.lit(" scanned commits. Fixes concentrate in "),
+        names("component_counts", 3), F.lit(", and recur as "), names("l0_class_counts", 4), F.lit(". Changes touching those components should be reviewed against the shared guards listed in this artifact."),
+    )
+    return F.when(F.size("fingerprints") == 0, none).otherwise(some)
+
+
+def summary_payload(context: DataFrame) -> DataFrame:
+    """The facts that a summary may describe, as JSON."""
+    risk = F.transform("top_risks", lambda r: F.struct(r["l0_class"].alias("class"), r["component"].alias("component"), r["severity"].alias("severity"), r["fix_count"].alias("fix_count"), r["rationale"].alias("rationale")))
+    surface = F.transform("shared_surfaces", lambda s: F.struct(s["surface"].alias("surface"), s["entry_points"].alias("entry_points"), s["check_hint"].alias("check")))
+    pairs = lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["name"], x["n"])))
+    facts = F.struct(slug().alias("repository"), "archetype", "commits_scanned", F.size("fingerprints").alias("findings"), pairs("l0_class_counts").alias("l0_class_counts"), pairs(F.slice("component_counts", 1, 8)).alias("component_counts"), risk.alias("top_risks"), surface.alias("shared_surfaces"))
+    return context.select(F.to_json(facts).alias("payload"))
