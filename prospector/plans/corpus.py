@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prospector.functions import diffs, profiles
 from prospector.operators import attribution, corpus, evaluation, runs
+from prospector.sources import git
 from prospector.plans.catalog import ADVISORY_SQL, DECISIONS, MESSAGES, C, choose, choose_sql, decisions, load, messages, query, terms_sql
 
 # --- the corpus: orders as commits, customers as advisories
@@ -303,3 +304,18 @@ def oldest_introduction(spark, d):
     when = at.select("commit", "line").distinct().select(C("commit").alias("sha"), (F.lit("2024-01-01").cast("timestamp") - F.make_dt_interval("line")).alias("committed_at"), F.array(F.lit("p")).alias("parents"))
     out = attribution.oldest_introduction(found, at, when)
     return out.select("seq", F.substring_index("introduced_by", "@", 1).alias("introduced_by"), C("introduced_at").cast("timestamp_ntz").alias("introduced_at"))
+
+
+@query(f"""SELECT o_orderkey AS seq, unnest([{SHA.format('o_orderkey').replace('%012x', '%040x')}, {SHA.format('o_orderkey + 1').replace('%012x', '%040x')}]) AS sha, unnest(['fix it' || chr(10) || chr(10) || o_orderpriority, 'é']) AS message,
+  unnest(['M src/' || o_orderkey, '']) AS paths, unnest([o_orderkey % 9 = 0, false]) AS truncated, unnest([CASE WHEN o_orderkey % 9 = 0 THEN 200 ELSE 28 + 2 * length(CAST(o_orderkey AS VARCHAR)) END, 0]) AS bytes FROM orders""")
+def commit_records(spark, d):
+    """Streams of two commits each, taken apart; patches of over 200 bytes are cut."""
+    k = C("o_orderkey")
+    full = lambda x: F.lpad(F.lower(F.hex(x)), 40, "0")
+    begin, end, z = F.lit("\0\x01commit\0"), F.lit("\0\x01patch\0"), F.lit("\0")
+    record = lambda s, parents, said, patch: F.concat(begin, s, z, parents, F.lit("\0n\0e\0t\0n\0e\0t\0"), said, end, F.lit("\n"), patch)
+    diff = F.concat(F.lit("\ndiff --git a/src/"), k, F.lit(" b/src/"), k, F.lit("\n@@\n"), F.when(k % 9 == 0, F.repeat(F.lit("x"), 900)).otherwise(""))
+    stream = F.concat(F.lit("noise"), record(full(k), full(k + 1), F.concat(F.lit("fix it\n\n"), "o_orderpriority", F.lit("\n")), diff), record(full(k + 1), F.lit(""), F.lit("é\n"), F.lit("")))
+    x = load(spark, d, "orders").select(k.alias("seq"), F.explode(git.commits_in(stream.cast("binary"), 200)).alias("c"))
+    paths = F.array_join(F.transform("c.changed_paths", lambda p: F.concat_ws(" ", p["status"], p["path"])), ",")
+    return x.select("seq", "c.sha", "c.message", paths.alias("paths"), "c.truncated", F.length("c.patch").alias("bytes"))

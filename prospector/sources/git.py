@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import subprocess
+import tempfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 from urllib.parse import urlsplit
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from prospector.functions.diffs import SECTION, change_of
 from prospector.sources.records import COMMIT
 
-FORMAT = "%H%x00%P%x00%an%x00%ae%x00%aI%x00%cn%x00%ce%x00%cI%x00%B"
+#: What begins a commit in a stream of them, and what ends its message; neither a message nor a patch holds a NUL.
+BEGIN, MESSAGE_END = b"\0\x01commit\0", b"\0\x01patch\0"
+FORMAT = "%x00%x01commit%x00" + "%H%x00%P%x00%an%x00%ae%x00%aI%x00%cn%x00%ce%x00%cI%x00%B" + "%x00%x01patch%x00"
+#: Commits that one enumeration may ask for, bytes of a patch, and those that a commit's other fields may take besides.
+MOST_COMMITS, PATCH_BYTES, FIELD_BYTES = 100_000, 16 << 20, 64 << 10
+STREAMED = StructType([*COMMIT.fields, StructField("place", LongType()), StructField("truncated", BooleanType())])
+FULL_SHA = re.compile(r"[0-9a-f]{40}|[0-9a-f]{64}")
 
 
 def git(path: str, *args: str, stdin: bytes | None = None) -> bytes:
@@ -77,35 +92,127 @@ def changed_paths(raw: str) -> list[tuple]:
 
 
 class Slice(InputPartition):
-    def __init__(self, shas: list[str]):
-        self.shas = shas
+    def __init__(self, shas: list, place: int = 0):
+        self.shas, self.place = shas, place
+
+
+def resolve(path: str, revision: str) -> str:
+    """The full id of the commit that a revision names."""
+    return git(path, "rev-parse", "--verify", "--quiet", f"{checked(revision)}^{{commit}}").decode().strip().lower()
+
+
+def checked_since(since: str) -> str:
+    if not since or len(since) > 128 or since.startswith("-") or any(ord(c) < 32 or ord(c) == 127 for c in since):
+        raise ValueError("not a date")
+    return since
+
+
+def mirror(source: str, root: str) -> str:
+    """Where a repository is read from: a local one in place, another from a bare mirror under root, which is made or brought up to
+    date. A mirror is made beside its place and moved there whole."""
+    canonical = canonical_source(source)
+    if canonical.startswith("file://"):
+        return str(Path(source).expanduser().resolve())
+    place = Path(root) / f"{source_key(source)}.git"
+    if place.exists():
+        git(str(place), "remote", "update", "--prune")
+    else:
+        place.parent.mkdir(parents=True, exist_ok=True)
+        with tempfile.TemporaryDirectory(dir=place.parent) as made:
+            subprocess.run(["git", "clone", "--quiet", "--mirror", "--", canonical, f"{made}/new"], check=True, capture_output=True)
+            os.replace(f"{made}/new", place)
+    return str(place)
+
+
+def snapshot(source: str, root: str) -> dict[str, str]:
+    """What a scan of a repository is pinned to: its key, canonical source, folder, default branch and that branch's commit."""
+    path = mirror(source, root)
+    branch = default_branch(path)
+    return {"repository": source_key(source), "canonical_source": canonical_source(source), "path": path, "default_branch": branch, "head_sha": resolve(path, branch)}
+
+
+def frames(chunks: Iterable[bytes], most: int, mark: bytes = BEGIN) -> Iterator[tuple[bytes, bool]]:
+    """(record, truncated) of each record that follows a mark, however the stream is cut into chunks. Of a record of over `most` bytes
+    only the head is kept, and never more than that and a chunk is held."""
+    rest, head, begun = b"", None, False
+    for chunk in chunks:
+        rest += chunk
+        while (at := rest.find(mark)) >= 0:
+            if begun:
+                yield (rest[: min(at, most)], at > most) if head is None else (head, True)
+            rest, head, begun = rest[at + len(mark) :], None, True
+        if begun and head is None and len(rest) > most + len(mark):
+            head = rest[:most]
+        if not begun or head is not None:
+            rest = rest[1 - len(mark) :]  # what may begin a mark
+    if begun:
+        yield (rest[:most], len(rest) > most) if head is None else (head, True)
+
+
+def decoded(record: bytes, truncated: bool) -> tuple:
+    """A commit's columns but place and patch id from its record; the patch begins after the line that ends the message and a blank one."""
+    header, end, patch = record.partition(MESSAGE_END)
+    fields = header.decode("utf-8", "replace").split("\0", 8)
+    if not end or len(fields) != 9 or not FULL_SHA.fullmatch(fields[0].lower()):
+        raise ValueError("malformed commit record")
+    parents = [p.lower() for p in fields[1].split()]
+    if not all(map(FULL_SHA.fullmatch, parents)):
+        raise ValueError("malformed commit parents")
+    patch = patch.removeprefix(b"\n").removeprefix(b"\n")
+    paths = [change_of(x) for x in SECTION.split(patch.decode("utf-8", "replace")) if x.startswith("diff --")]
+    return fields[0].lower(), parents, fields[8].rstrip("\n"), *fields[2:8], paths, patch, truncated
+
+
+def streamed(path: str, shas: list[str], patches: bool = True, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """The output of one process for many commits, merges against their first parent."""
+    show = ["--patch", "--diff-merges=first-parent", "--find-renames", "--no-ext-diff", "--no-textconv", "--binary", "--full-index"] if patches else ["--no-patch"]
+    with tempfile.TemporaryFile() as wanted:
+        wanted.write("\n".join(shas).encode())
+        wanted.seek(0)
+        run = subprocess.Popen(["git", "-C", path, "log", "--no-walk=unsorted", "--no-show-signature", *show, f"--format={FORMAT}", "--stdin"], stdin=wanted, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        with run.stdout as out:
+            while part := out.read(chunk):
+                yield part
+        if run.wait():
+            raise ValueError("git log failed")
 
 
 class GitReader(DataSourceReader):
-    """Options: path; revision (HEAD) or range A..B; last, at most so many; since, a date; slice, commits a partition; patch_ids."""
+    """Options: path; revision (the default branch) or range A..B; last, at most so many, 1 to 100,000; since, a date; slice, commits a
+    partition; patches (true); patch_ids (false), a process for each commit; max_patch_bytes, longer patches are cut.
+
+    The commits are listed once, newest first, and pinned by their ids; each partition reads its own from one process.
+    """
 
     def __init__(self, options):
         self.path = options["path"]
-        self.revision = options.get("range") or options.get("revision", "HEAD")
-        checked(self.revision)
-        self.patch_ids = options.get("patch_ids", "false") == "true"
+        if "range" in options and "revision" in options:
+            raise ValueError("range and revision exclude each other")
+        self.revision = checked(options.get("range") or options.get("revision") or default_branch(self.path))
+        self.patch_ids, self.patches = options.get("patch_ids", "false") == "true", options.get("patches", "true") == "true"
+        if "last" in options and not 1 <= int(options["last"]) <= MOST_COMMITS:
+            raise ValueError(f"last is 1 to {MOST_COMMITS}")
         self.args = [f"--max-count={int(options['last'])}"] if "last" in options else []
-        self.args += [f"--since={options['since']}"] if "since" in options else []
-        self.slice = int(options.get("slice", 500))
+        self.args += [f"--since={checked_since(options['since'])}"] if "since" in options else []
+        self.slice, self.most = int(options.get("slice", 500)), int(options.get("max_patch_bytes", PATCH_BYTES))
 
     def partitions(self):
-        shas = git(self.path, "rev-list", "--date-order", *self.args, self.revision, "--").decode().split()
-        return [Slice(shas[k : k + self.slice]) for k in range(0, len(shas), self.slice)] or [Slice([])]
+        shas = git(self.path, "rev-list", "--topo-order", "--date-order", *self.args, self.revision, "--").decode().split()
+        return [Slice(shas[k : k + self.slice], k) for k in range(0, len(shas), self.slice)] or [Slice([])]
 
     def read(self, partition):
-        for sha in partition.shas:
-            head = git(self.path, "show", "-s", f"--format={FORMAT}", sha).decode("utf-8", "replace").split("\0", 8)
-            parents = head[1].split()
-            against = [parents[0], sha] if parents else ["--root", sha]
-            names = git(self.path, "diff-tree", "-r", "-M", "-z", "--no-commit-id", "--name-status", *against).decode("utf-8", "replace")
-            patch = git(self.path, "diff-tree", "-r", "-M", "-p", "--no-commit-id", *against)
-            same = git(self.path, "patch-id", "--stable", stdin=patch).decode().split()[:1] if self.patch_ids and patch else []
-            yield (sha, parents, head[8].strip("\n"), *head[2:8], changed_paths(names), patch, same[0] if same else None)
+        if not partition.shas:
+            return
+        for place, frame in enumerate(frames(streamed(self.path, partition.shas, self.patches), self.most + FIELD_BYTES), partition.place):
+            *columns, patch, truncated = decoded(*frame)
+            cut = truncated or len(patch) > self.most
+            same = git(self.path, "patch-id", "--stable", stdin=patch).decode().split()[:1] if self.patch_ids and patch and not cut else []
+            yield (*columns, patch[: self.most], same[0] if same else None, place, cut)
+
+
+def commit_at(spark: SparkSession, path: str, revision: str, patches: bool = True) -> DataFrame:
+    """The one commit that a revision names; without its patch if that is not wanted."""
+    return spark.read.format("git_commits").option("path", path).option("revision", resolve(path, revision)).option("last", 1).option("patches", str(patches).lower()).load()
 
 
 class GitSource(DataSource):
@@ -116,7 +223,7 @@ class GitSource(DataSource):
         return "git_commits"
 
     def schema(self):
-        return COMMIT
+        return STREAMED
 
     def reader(self, schema):
         return GitReader(self.options)
@@ -143,8 +250,15 @@ class FilesReader(DataSourceReader):
         return [Slice(rows[k : k + self.slice]) for k in range(0, len(rows), self.slice)] or [Slice([])]
 
     def read(self, partition):
+        run = subprocess.Popen(["git", "-C", self.path, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
         for name, blob, size in partition.shas:
-            yield (name, blob, size, git(self.path, "cat-file", "blob", blob) if size <= self.max_bytes else None)
+            content = None
+            if size <= self.max_bytes:
+                run.stdin.write(f"{blob}\n".encode())
+                run.stdin.flush()
+                content = run.stdout.read(int(run.stdout.readline().split()[2]) + 1)[:-1]
+            yield (name, blob, size, content)
+        run.communicate()
 
 
 class GitFiles(DataSource):
@@ -162,11 +276,13 @@ class GitFiles(DataSource):
 
 
 class HistoryReader(DataSourceReader):
-    """Options: path; file; revision (HEAD); last (100). One file's history is one task."""
+    """Options: path; file; revision (HEAD); last (20), at most 100. One file's history is one task."""
 
     def __init__(self, options):
         self.path, self.file, self.revision = options["path"], options["file"], checked(options.get("revision", "HEAD"))
-        self.last = min(int(options.get("last", 100)), 100)
+        self.last = int(options.get("last", 20))
+        if not 1 <= self.last <= 100:
+            raise ValueError("last is 1 to 100")
 
     def read(self, partition):
         out = git(self.path, "log", f"--max-count={self.last}", "--follow", "-M", "--name-status", "-z", "--format=%x01%H%x00%cI%x00%s%x00", self.revision, "--", self.file).decode("utf-8", "replace")
@@ -233,3 +349,18 @@ class GitBlame(DataSource):
 def register(spark) -> None:
     for source in (GitSource, GitFiles, GitHistory, GitBlame):
         spark.dataSource.register(source)
+
+
+def commits_in(stream: Column, most: int = PATCH_BYTES) -> Column:
+    """The commits of a binary column that holds streams of them as `git log` with FORMAT writes: (sha, parents, message, changed_paths,
+    patch, truncated)."""
+
+    @pandas_udf("array<struct<sha:string,parents:array<string>,message:string,changed_paths:array<struct<status:string,path:string,old_path:string>>,patch:binary,truncated:boolean>>")
+    def run(streams: pd.Series) -> pd.Series:
+        def commits(x):
+            rows = (decoded(*frame) for frame in frames([bytes(x)], most + FIELD_BYTES))
+            return [(sha, parents, message, paths, patch[:most], cut or len(patch) > most) for sha, parents, message, *_, paths, patch, cut in rows]
+
+        return streams.map(lambda x: None if x is None else commits(x))
+
+    return run(stream)

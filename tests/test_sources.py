@@ -49,6 +49,51 @@ def test_repository(spark, repo):
     assert git.default_branch(repo) == "main" and git.canonical_source(repo).startswith("file://")
 
 
+def one_by_one(repo, sha):
+    """A commit by several processes, against its first parent."""
+    parents = git.git(repo, "show", "-s", "--format=%P", sha).decode().split()
+    against = [parents[0], sha] if parents else ["4b825dc642cb6eb9a060e54bf8d69288fbee4904", sha]
+    return parents, git.git(repo, "show", "-s", "--format=%B", sha).decode().rstrip("\n"), git.git(repo, "diff", "-M", "--binary", "--full-index", *against)
+
+
+def test_stream_is_what_single_commits_say(spark, repo):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e@x", "-C", repo, *a], check=True, capture_output=True)
+    run("checkout", "-qb", "side", "HEAD~1"), run("commit", "-qm", "empty\n\nbody \u00e9", "--allow-empty")
+    with open(f"{repo}/bin", "wb") as f:
+        f.write(bytes(range(256)))
+    run("add", "."), run("commit", "-qm", "binary"), run("checkout", "-q", "main"), run("merge", "-q", "--no-ff", "-m", "merge side", "side")
+    git.register(spark)
+    got = spark.read.format("git_commits").option("path", repo).option("slice", 2).load().orderBy("place").collect()
+    shas = git.git(repo, "rev-list", "--topo-order", "--date-order", "HEAD").decode().split()
+    assert [r["sha"] for r in got] == shas and len(shas) == 6
+    for r in got:
+        assert (list(r["parents"]), r["message"], bytes(r["patch"])) == one_by_one(repo, r["sha"]) and not r["truncated"]
+    paths = {r["message"]: [(p["status"], p["path"], p["old_path"]) for p in r["changed_paths"]] for r in got}
+    assert paths["rename"] == [("R100", "b.txt", "a.txt")] and paths["merge side"] == [("A", "bin", None)] == paths["binary"]
+    short = spark.read.format("git_commits").option("path", repo).option("max_patch_bytes", 60).load().collect()
+    assert {r["message"]: r["truncated"] for r in short}["root"] and all(len(r["patch"]) <= 60 for r in short)
+    assert git.commit_at(spark, repo, "HEAD~1", patches=False).select("message", "patch").first()["patch"] == b""
+    assert git.snapshot(repo, "/nowhere")["head_sha"] == shas[0] == git.resolve(repo, "main")
+    for bad in ({"last": "0"}, {"range": "a..b", "revision": "c"}, {"since": "-x"}):
+        with pytest.raises(ValueError):
+            git.GitReader({"path": repo, **bad})
+
+
+def test_frames_at_any_cut():
+    mark = git.BEGIN
+    stream = b"noise" + mark + b"one" + mark + b"" + mark + b"x" * 50 + mark[:4] + mark + b"y" * 9 + mark + b"z" * 30
+    want = [(b"one", False), (b"", False), (b"x" * 20, True), (b"y" * 9, False), (b"z" * 20, True)]
+    for n in range(1, len(stream) + 1):
+        assert list(git.frames((stream[k : k + n] for k in range(0, len(stream), n)), 20)) == want, n
+    assert list(git.frames([], 9)) == [] == list(git.frames([b"noise"], 9))
+
+
+def test_mirror(repo, tmp_path, monkeypatch):
+    monkeypatch.setattr(git, "canonical_source", lambda s: s)
+    place = git.mirror(repo, f"{tmp_path}/m")
+    assert place.endswith(".git") and git.resolve(place, "main") == git.resolve(repo, "main") and git.mirror(repo, f"{tmp_path}/m") == place
+
+
 def test_source_names():
     assert git.canonical_source("HTTPS://Example.ORG:8443/a/b/") == "https://example.org:8443/a/b"
     assert git.canonical_source("git@host.org:a/b.git") == "git@host.org:a/b.git" and git.canonical_source("ssh://u@H.org/a") == "ssh://u@h.org/a"
