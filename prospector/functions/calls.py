@@ -96,3 +96,66 @@ def archetype(components: Column) -> Column:
     """Coarse kind of a repository by the names of its components, the first kind that fits."""
     names = F.lower(F.array_join(components, " "))
     return F.when(names.rlike(r"cmd/|main\.go|cli"), "cli").when(names.rlike(r"server|handler|router|http|context\.go"), "server").when(names.rlike("parser|decode|codec|lexer"), "parser").otherwise("library")
+
+
+# Other names of verdicts, those a stage accepts, and those that go on to review.
+ALIASES = {"TRUE": "YES", "FIX": "YES", "SECURITY_FIX": "YES", "SECURITY-FIX": "YES", "FALSE": "NO", "NOT_A_FIX": "NO", "NOT-A-FIX": "NO", "SKIP": "NO", "FALLBACK": "ERROR"}
+ACCEPTED = {"triage": ("YES", "NO", "CANDIDATE", "ABSTAIN", "ERROR"), "adjudication": ("YES", "NO", "ABSTAIN", "ERROR")}
+CANDIDATES = ("YES", "CANDIDATE", "ABSTAIN", "ERROR")
+
+
+def verdict_of(result: Column, stage: str = "triage") -> Column:
+    """The verdict in a stage's JSON result: verdict, decision or label, else flagged or candidate; ERROR if it is none of the stage's."""
+    said = F.coalesce(*[F.get_json_object(result, f"$.{k}") for k in ("verdict", "decision", "label", "flagged", "candidate")], F.lit(""))
+    name = F.upper(F.trim(said))
+    known = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    name = F.coalesce(F.try_element_at(known, name), name)
+    return F.when(name.isin(*ACCEPTED[stage]), name).otherwise("ERROR")
+
+
+def goes_on(verdict: Column) -> Column:
+    return verdict.isin(*CANDIDATES)
+
+
+def usage_payload(usage: Column) -> Column:
+    """The five counters of a service's usage in JSON; what is missing, no number or negative is 0."""
+    names = {"prompt_tokens": "prompt_tokens", "completion_tokens": "completion_tokens", "total_tokens": "total_tokens", "cached_tokens": "prompt_tokens_details.cached_tokens", "reasoning_tokens": "completion_tokens_details.reasoning_tokens"}
+    count = lambda path: F.greatest(F.coalesce(F.get_json_object(usage, f"$.{path}").try_cast("double").try_cast("long"), F.lit(0)), F.lit(0))
+    return F.struct(*[count(path).alias(name) for name, path in names.items()])
+
+
+def backoff(attempt: Column, suggested: Column, jitter: Column, initial: float = 1.0, most: float = 60.0, longest: float = 300.0) -> Column:
+    """Seconds until the next attempt: doubling from `initial` up to `most`, half of it by chance, and never less than the service asks."""
+    floor = F.least(F.lit(most), initial * F.pow(F.lit(2.0), attempt))
+    return F.least(F.lit(longest), F.greatest(F.coalesce(suggested, F.lit(0.0)), floor * (0.5 + jitter / 2)))
+
+
+def prompt_hash(system: Column, template: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(system, F.lit("\0"), template).cast("binary"), 256))
+
+
+def prompt(template: Column, text: Column) -> Column:
+    """The template with the text in its place."""
+    return F.replace(template, F.lit("{diff}"), text)
+
+
+def token_bound(messages: Column, output_tokens: Column) -> Column:
+    """Tokens that an array of messages takes at most: a token is a byte at least, and each message takes four more."""
+    size = F.aggregate(messages, F.lit(0).cast("long"), lambda n, m: n + 4 + F.octet_length(F.coalesce(m, F.lit(""))))
+    return size + F.greatest(output_tokens, F.lit(0))
+
+
+def without_nulls(answer: Column, schema: str) -> Column:
+    """A JSON object of a schema again as JSON, without the fields that are null, at any depth; null if it is none."""
+    return F.to_json(F.from_json(answer, schema))
+
+
+def revision_label(revision: Column, commit: Column, parent: Column, head: Column) -> Column:
+    """commit, parent or head, by name or by id; null for any other revision."""
+    name = F.lower(F.trim(revision))
+    return F.when(name.isin("commit", "parent", "head"), name).when(same_revision(name, commit), "commit").when(same_revision(name, parent), "parent").when(same_revision(name, head), "head")
+
+
+def abstained(reason: Column, rationale: Column) -> Column:
+    """A decision that says no more than why there is none."""
+    return F.struct(F.lit("ABSTAIN").alias("verdict"), F.lit("low").alias("confidence"), F.substring(squeeze(rationale), 1, 1200).alias("rationale"), F.substring(reason, 1, 500).alias("abstain_reason"))

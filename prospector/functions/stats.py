@@ -12,6 +12,17 @@ def rate(events: Column, trials: Column) -> Column:
     return F.when(trials > 0, events / trials)
 
 
+def coverage_corrected_rate(events: Column, trials: Column, uncovered: Column) -> Column:
+    """The rate over rows that were evaluated; null if there are none."""
+    return rate(events, trials - uncovered)
+
+
+def checked_counts(events: Column, trials: Column) -> Column:
+    """trials, if they are positive and at least the events, which are not negative; else an error."""
+    good = (trials > 0) & (events >= 0) & (events <= trials)
+    return F.when(good, trials).otherwise(F.raise_error(F.lit("events must be 0 to trials, and trials positive")).cast("long"))
+
+
 def wilson(events: Column, trials: Column, confidence: float = 0.95) -> tuple[Column, Column]:
     """Wilson score interval, clamped to [0, 1]."""
     z = NormalDist().inv_cdf(1 - (1 - confidence) / 2)

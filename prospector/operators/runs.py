@@ -207,11 +207,12 @@ def issued_only(anchors: DataFrame, issued: DataFrame) -> DataFrame:
 
 
 def quantile(rows: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
-    """(by, quantile): the value of nearest rank (n-1)p, halves to the even rank; groups are sorted, never held."""
-    known = rows.where(F.col(value).isNotNull())
-    group = Window.partitionBy(*by)
-    ranked = known.withColumn("_k", F.row_number().over(group.orderBy(value)) - 1).withColumn("_n", F.count("*").over(group))
-    return ranked.where(F.col("_k") == F.bround((F.col("_n") - 1) * p)).select(*by, F.col(value).alias("quantile"))
+    """(by, quantile): the value of nearest rank (n-1)p, halves to the even rank; only counts of distinct values are ranked."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = F.bround((F.col("_n") - 1) * p)
+    return ranked.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at)).select(*by, F.col(value).alias("quantile"))
 
 
 def precision_range(recall: tuple[Column, Column], fpr: tuple[Column, Column], prevalence: Column) -> tuple[Column, Column]:

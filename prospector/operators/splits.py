@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospector.functions.text import canonical_json
@@ -49,3 +49,28 @@ def write_manifest(assignments: DataFrame, rows: DataFrame, path: str, method: s
     counts = assignments.agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("development", "holdout")])
     header = dataset_hash(rows).crossJoin(F.broadcast(counts))  # one row each
     header.select("*", F.lit(method).alias("method"), F.lit(seed).alias("seed"), F.lit(cutoff).alias("cutoff")).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def record_ids(rows: DataFrame, id_column: str = "id") -> Column:
+    """A record's id, else repository@sha; a record with neither raises."""
+    has = lambda *names: [F.col(n).cast("string") for n in names if n in rows.columns]
+    own = has(id_column)
+    repository, sha = has("repository", "repo"), has("commit_sha", "sha")
+    made = [F.concat(F.coalesce(*repository), F.lit("@"), F.coalesce(*sha))] if repository and sha else []
+    value = F.coalesce(*own, *made) if own or made else F.lit(None).cast("string")
+    return F.when(F.coalesce(F.trim(value), F.lit("")) != "", value).otherwise(F.raise_error(F.lit("every record needs a stable non-empty identity")).cast("string"))
+
+
+def relation_values(value: Column) -> Column:
+    """A relation's values as text, sorted, each once, without empty ones; value is an array."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(value, lambda v: v.cast("string")), lambda v: v.isNotNull() & (v != ""))))
+
+
+def timestamp_of(text: Column) -> Column:
+    """A time of an ISO text or a bare date; without a zone it is UTC. Anything else raises."""
+    at = F.try_to_timestamp(F.regexp_replace(F.trim(text), "[Zz]$", "+00:00"))
+    return F.coalesce(at, F.raise_error(F.concat(F.lit("not a time: "), F.coalesce(text, F.lit("null")))).cast("timestamp"))
+
+
+def iso_utc(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospector.functions import diffs, stats, text
-from prospector.operators import context, evaluation, graph, logs, runs
+from prospector.operators import context, evaluation, graph, logs, reports, runs
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -248,17 +248,15 @@ def missed_fixes(spark, d):
 def review_cascade(spark, d):
     """A proposer's YES under a strict and a vetoing confirmer."""
     x = decisions(spark, d)
-    p = logs.latest(x.where("run <> 'view'"), ["item"]).where("prediction = 'YES'").select("item", C("prediction").alias("proposed"))
-    c = logs.latest(x.where("run IN ('view', 'click') AND value > 60"), ["item"]).select("item", C("prediction").alias("c"))
-    out = p.join(c, "item", "left").withColumn("confirmed", F.coalesce("c", F.lit("ABSTAIN")))
-    return out.select("item", "proposed", "confirmed", (C("confirmed") == "YES").alias("strict"), (C("confirmed") != "NO").alias("veto"))
+    last = lambda when: logs.latest(x.where(when), ["item"]).select("item", C("prediction").alias("verdict"))
+    return reports.cascade(last("run <> 'view'"), last("run IN ('view', 'click') AND value > 60"), "item")
 
 
 @query(f"WITH {DECISIONS}, a AS (SELECT item, arg_max(prediction, seq) AS v FROM dec WHERE seq % 2 = 0 GROUP BY item), b AS (SELECT item, arg_max(prediction, seq) AS v FROM dec WHERE seq % 2 = 1 GROUP BY item) SELECT item, a.v AS before, b.v AS after FROM a JOIN b USING (item) WHERE a.v <> b.v")
 def verdict_changes(spark, d):
     x = decisions(spark, d)
-    side = lambda k, name: logs.latest(x.where(f"seq % 2 = {k}"), ["item"]).select("item", C("prediction").alias(name))
-    return side(0, "before").join(side(1, "after"), "item").where("before <> after")
+    side = lambda k: logs.latest(x.where(f"seq % 2 = {k}"), ["item"]).select("item", C("prediction").alias("verdict"))
+    return reports.verdict_changes(side(0), side(1), "item")
 
 
 @query(f"WITH {DECISIONS} SELECT run, count(*) AS n, count(DISTINCT item) AS items, count(*) FILTER (prediction = 'YES') AS candidates, round(sum(value), 4) AS cost FROM dec GROUP BY run")
@@ -383,10 +381,8 @@ def patch_dedup(spark, d):
 @query("SELECT event_id, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS tokens FROM events")
 def token_window(spark, d):
     """Tokens that a client has used over the last 60 seconds."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(C("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
-    return load(spark, d, "events").select("event_id", F.sum(F.floor("value")).over(w).alias("tokens"))
+    e = load(spark, d, "events")
+    return reports.spent_over(e, "user_id", C("ts").cast("timestamp"), F.floor("value")).select("event_id", C("spent").alias("tokens"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256('{\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || ',\"source\":\"' || source || '\"}') AS record_id FROM documents")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospector.functions import stats, text
 from prospector.operators import evaluation, graph, logs
-from prospector.plans import catalog, contexts, corpus, runs, states  # noqa: F401  the others add their queries to the catalog
+from prospector.plans import catalog, contexts, corpus, reports, runs, states  # noqa: F401  the others add their queries to the catalog
 from prospector.sources import records
 from prospector.sources.git import GitSource
 from prospector.streaming import stages
