@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections import defaultdict
@@ -197,30 +198,48 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
+def trained(rows: list[tuple[str, int]], counts: dict[int, int]) -> Scorer:
+    """Learn from (text, label) rows of both classes; counts of all labels by class set the intercept."""
+    scorer = Scorer(learn_words(rows))
+    y = np.array([y for _, y in rows], float)
+    beta = logistic(np.array([scorer.features(t) for t, _ in rows]), y)
+    beta[0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return Scorer(scorer.weights, beta.tolist())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Learn from documents whose labels' row has toxic and whose crc32(doc_id as text) mod 5 is not 0.
 
-    At most SAMPLE_TOXIC and SAMPLE_CLEAN rows, the first of each class by a hash of the id; odds of all such labels set the intercept.
-    Without rows of both classes every score is 0.
+    At most SAMPLE_TOXIC and SAMPLE_CLEAN rows, the first of each class by a hash of the id, meet in one task, and only word weights come
+    to the driver. Odds of all such labels set the intercept. Several labels of one id: toxic if any is. Repeated documents of an id all
+    count; null texts and ids don't. Without rows of both classes every score is 0.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).count().collect()}
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic <> 1").orderBy(order, "doc_id").limit(SAMPLE_CLEAN))
     ids = F.broadcast(picked.withColumnRenamed("doc_id", "_id"))  # SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, F.col("doc_id") == F.col("_id")).select("text", "toxic", F.xxhash64("_id", "text").alias("h")).collect()
-    rows = [(r["text"], int(r["toxic"] == 1)) for r in sorted(rows, key=lambda r: r["h"])]
-    if len({y for _, y in rows}) < 2:
-        return Scorer({})
-    scorer = Scorer(learn_words(rows))
-    y = np.array([y for _, y in rows], float)
-    beta = logistic(np.array([scorer.features(t) for t, _ in rows]), y)
-    beta[0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return Scorer(scorer.weights, beta.tolist())
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, F.col("doc_id") == F.col("_id"))
+    rows = rows.select(F.xxhash64("_id", "text").alias("h"), (F.col("toxic") == 1).cast("int").alias("y"), "text")
+
+    def run(batches):
+        held = sorted(((h, t, y) for b in batches for h, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        texts = [(t, y) for _, t, y in held]
+        if len({y for _, y in texts}) == 2:
+            scorer = trained(texts, counts)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((scorer.weights, scorer.beta))], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return Scorer(*pickle.loads(got[0]["model"])) if got else Scorer({})
 
 
 def score(docs: DataFrame, scorer: Scorer, into: str = "toxicity", text_col: str = "text") -> DataFrame:
-    """All columns of docs and the score of the whole text, 0 to 1; null and empty texts score as texts without a matched clause."""
+    """All columns of docs and the score of the whole text, 0 to 1; null and empty texts score as texts without a matched clause.
+
+    Long texts count whole; rows repeated whole get one score; no rows: none. A column named as `into` is refused.
+    """
+    if into in docs.columns:
+        raise ValueError(f"docs has a column {into}")
     weights, beta = scorer.weights, scorer.beta
     at = docs.columns.index(text_col)
 
