@@ -117,3 +117,31 @@ def analyzer_arms(spark, d):
     p = load(spark, d, "part")
     arms = p.select(C("p_partkey").alias("place"), F.concat("p_name", "p_partkey").alias("name"), (C("p_size") > 25).alias("available"), F.lit("ok").alias("status"), C("p_size").cast("long").alias("result_count"), (C("p_partkey") % 3).alias("external_processes"), (C("p_size") * 0.001).alias("cost"))
     return reports.arms_summary(arms).select("arm_count", F.array_join("available", ",").alias("available"), "total_result_count", "total_external_processes", "estimated_cost_usd")
+
+
+def judged(row: dict):
+    """A stand-in for a model: it fails, answers in several forms, or says nothing it may say."""
+    k = int(row["p_partkey"])
+    if k % 5 == 0:
+        raise ValueError("no answer")
+    return (None, True, "no", {"decision": "fix", "cost": k}, {"flagged": False})[k % 5]
+
+
+@query("SELECT p_partkey, ['YES', 'NO', 'YES', 'NO', 'ERROR'][CASE WHEN p_partkey % 5 = 0 THEN 5 ELSE p_partkey % 5 END] AS verdict, CASE WHEN p_partkey % 5 = 3 THEN '{\"cost\":' || p_partkey || '}' ELSE '{}' END AS usage, CASE WHEN p_partkey % 5 = 0 THEN '{\"kind\":\"ValueError\",\"message\":\"no answer\"}' END AS error FROM part")
+def stage_outcomes(spark, d):
+    """Answers of an injected callable, whatever their form, and its failures as rows."""
+    from prospector.operators.stages import run_stage
+
+    return run_stage(load(spark, d, "part").select("p_partkey"), judged).select("p_partkey", "verdict", "usage", "error")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'NO' ELSE 'YES' END AS verdict, CAST(CASE p_partkey % 3 WHEN 0 THEN 1.0 ELSE 0.67 END AS DOUBLE) AS agreement FROM part")
+def voted_rounds(spark, d):
+    """Three rounds of a callable by majority."""
+    from prospector.operators.stages import voted
+
+    def vote(row):
+        k, n = int(row["p_partkey"]) % 3, int(row["round"])
+        return "YES" if k == 0 or (k == 1 and n == 1) or (k == 2 and n > 1) else "NO"
+
+    return voted(load(spark, d, "part").select("p_partkey"), "p_partkey", vote, 3).select("p_partkey", "verdict", "agreement")
