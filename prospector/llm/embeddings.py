@@ -66,7 +66,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Vectors are linked if their labels are equal and not null, they are as long, and their cosine in double precision reaches
     `cosine`. A vector that is null, empty, zero, or holds null or non-finite components has no links and is its own component.
     Equal vectors of a label meet first and travel as one. Each pass orders them by a code of random projections, seen from the mean
-    of their label and length, and compares each with its WINDOW next; where the passes that needs are more work than all pairs,
+    of their label and length, and compares each with its WINDOW next, also over the edges of the ranges that tasks hold; where the passes that needs are more work than all pairs,
     all pairs are compared in tiles. What any of these links becomes one component. Inside a component all pairs are then counted, in tiles, so
     that n_links is exact there however large a group of copies is. Repeated rows count as vectors. Null id: never the smallest.
     """
@@ -126,12 +126,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     order = ["pass", "label", "code"]
     spread = spread.repartitionByRange(max(n, most), *order).sortWithinPartitions(*order)
 
+    names = ["a", "b", "edge", "side", "place", "pass", "label", "rep", "v"]
+
+    def edge_rows(t: pa.Table, edge: int, side: int) -> pa.RecordBatch:
+        """The rows of t as neighbours of a range's edge; place counts them from there."""
+        n = t.num_rows
+        place = np.arange(n)[:: 1 if side else -1]
+        none = pa.nulls(n, pa.int64())
+        facts = [pa.array(np.full(n, edge, np.int64)), pa.array(np.full(n, side, np.int64)), pa.array(place.copy())]
+        return pa.RecordBatch.from_arrays([none, none, *facts, *(t.column(k).combine_chunks() for k in (0, 1, 3, 4))], names=names)
+
     def windows(batches):
-        tail = None
+        """Links between neighbours in a range of the order, and the first and last WINDOW rows of the range."""
+        from pyspark import TaskContext
+
+        part, tail, head, seen = TaskContext.get().partitionId(), None, None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([b])])
+            own = pa.Table.from_batches([b])
+            if seen < WINDOW:
+                head = own.slice(0, WINDOW - seen) if head is None else pa.concat_tables([head, own.slice(0, WINDOW - seen)])
+            seen += b.num_rows
+            t = own if tail is None else pa.concat_tables([tail, own])
             number, label = t.column(0).to_numpy(), np.array(t.column(1).to_pylist(), object)
             rep, blobs = t.column(3).to_numpy(), t.column(4).to_pylist()
             lengths = np.array([len(x) for x in blobs])
@@ -147,8 +164,30 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                     z.append(at[k + step])
             root = local_roots(len(rep), np.concatenate(a), np.concatenate(z)) if a else np.arange(len(rep))
             k = np.flatnonzero(root != np.arange(len(rep)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[k]), pa.array(rep[root[k]])], names=["a", "b"])
+            empty = [pa.nulls(len(k), f) for f in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[k]), pa.array(rep[root[k]]), *empty], names=names)
             tail = t.slice(max(0, t.num_rows - WINDOW))
+        if head is not None:
+            yield edge_rows(head, part - 1, 1)
+            yield edge_rows(tail, part, 0)
+
+    def across(batches):
+        """Links between the last rows of a range and the first of the next one, as far apart as within a range."""
+
+        def parts():
+            for _, t in sorted_groups(batches, 1):
+                side, place, number, rep = (t.column(k).to_numpy() for k in (1, 2, 3, 5))
+                label, blobs = np.array(t.column(4).to_pylist(), object), t.column(6).to_pylist()
+                sizes = np.array([len(x) for x in blobs])
+                for size in np.unique(sizes):
+                    left, right = (np.flatnonzero((sizes == size) & (side == x)) for x in (0, 1))
+                    if len(left) and len(right):
+                        near = cosines(unit([blobs[k] for k in left], kind), unit([blobs[k] for k in right], kind)) >= cosine
+                        near &= (place[left][:, None] + place[right][None, :] < WINDOW) & (number[left][:, None] == number[right][None, :]) & (label[left][:, None] == label[right][None, :])
+                        i, j = np.nonzero(near)
+                        yield rep[left[i]], rep[right[j]]
+
+        yield from in_batches(parts(), ["a", "b"])
 
     def all_pairs(batches):
         def parts():
@@ -167,7 +206,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     few = ["kind", "t0", "t1"]
     exact = tiled(placed.where("rounds = 0").select("kind", "rep", "embedding"), "kind", "rep", TILE).select(*few, "mine", "rep", "embedding")
     exact = exact.repartition(n, *few).sortWithinPartitions(*few).mapInArrow(all_pairs, "a long, b long")
-    roots = cut(components(spread.mapInArrow(windows, "a long, b long").unionByName(exact)))
+    found = cut(spread.mapInArrow(windows, "a long, b long, edge long, side long, place long, pass int, label string, rep long, v binary"))
+    edges = found.where("edge IS NOT NULL").select(*names[2:]).repartition(n, "edge").sortWithinPartitions("edge").mapInArrow(across, "a long, b long")
+    roots = cut(components(found.where("a IS NOT NULL").select("a", "b").unionByName(edges).unionByName(exact)))
     members = tiled(reps.select("rep", "m", "embedding").join(roots, reps["rep"] == roots["node"]).select("root", "rep", "m", "embedding"), "root", "rep", TILE)
     keys = ["root", "t0", "t1"]
     members = members.select(*keys, "mine", "rep", "m", "embedding")

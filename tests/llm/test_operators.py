@@ -175,6 +175,22 @@ def test_embeddings_with_a_shared_direction(spark):
     assert sum(got[k] != got[6000 + k] for k in range(1500)) == 0
 
 
+def test_embeddings_do_not_depend_on_ranges(spark, monkeypatch):
+    """Neighbours in the order are compared whether or not a range of it ends between them."""
+    monkeypatch.setattr(embeddings, "WINDOW", 3)
+    monkeypatch.setattr(embeddings, "plan", lambda rows, spread, cosine: 2)
+    r = np.random.default_rng(8)
+    angle = np.sort(r.uniform(0, 2 * np.pi, 400))
+    rows = [(k, [float(np.cos(x)), float(np.sin(x)), 0.01], k % 2) for k, x in enumerate(angle)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = []
+    for parts in ("1", "3", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append({row["vec_id"]: row["component_id"] for row in embeddings.near_duplicates(docs).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) < 30
+
+
 def edit(pattern, text):
     """Least edit distance of pattern to any stretch of text, cell by cell."""
     row = [0] * (len(text) + 1)
