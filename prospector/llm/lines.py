@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,15 +131,15 @@ def near_by(left, right) -> Column:
     return differing(left, right) * SHARE[1] <= (left("n") + right("n")) * (SHARE[1] - 2 * SHARE[0])
 
 
-def verified(pairs: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, first: DataFrame, lines: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Numbers of the lines of pairs (num, other) whose word sets are similar to the other's; only these lines' words are looked up.
 
-    Wide parities go to the pairs first, and texts only to those that they leave.
+    lines gives the lines of documents whose ids it is given. Wide parities go to the pairs first, and texts only to those that they leave.
     """
     ids = pairs.select("num").unionByName(pairs.select(F.col("other").alias("num"))).distinct()
     ids = bounded(first.join(bounded(ids), "num").select("num", "lid", "lid2", "doc_id", "line_no"))
     same = [F.col(k) == x for k, x in zip(("lid", "lid2"), identity(F.col("line")), strict=True)]
-    texts = lines.join(ids, ["doc_id", "line_no"]).where(same[0] & same[1])
+    texts = lines(ids).join(ids, ["doc_id", "line_no"]).where(same[0] & same[1])
     texts = texts.select("num", "line", words(F.col("line")).alias("w")).select("num", "line", F.size("w").alias("n"), *parities(F.col("w")))
     texts = cut(texts.dropDuplicates(["num"]))  # rows of one id may repeat a line
     bits = [f"p{q}" for q in range(PARITY)]
@@ -157,7 +159,7 @@ def earlier(left, right) -> Column:
     return (right("doc_id") < left("doc_id")) | ((right("doc_id") == left("doc_id")) & (right("line_no") < left("line_no")))
 
 
-def settled(first: DataFrame, lines: DataFrame) -> DataFrame:
+def settled(first: DataFrame, lines: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Round one: numbers of lines that are similar to the first line of one of their prefix words.
 
     Each line is compared with the first line of each of some of its prefix words, and the words of the one whose parities are nearest
@@ -175,7 +177,7 @@ def settled(first: DataFrame, lines: DataFrame) -> DataFrame:
     return cut(verified(nearest, first, lines))
 
 
-def matched(first: DataFrame, lines: DataFrame) -> DataFrame:
+def matched(first: DataFrame, lines: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Round two: numbers of the lines still open that are similar to a line that occurs earlier.
 
     Two similar lines share a word of their prefixes, and at the first word they share, both still have as many words to come as they
@@ -209,11 +211,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     lines = lines_of(docs, id_col, text_col)
     first, at = stored(distinct_lines(lines).withColumn("num", F.monotonically_increasing_id()))
     release(docs)
-    early = settled(first, lines)
+
+    def of(ids: DataFrame) -> DataFrame:
+        wanted = bounded(ids.select(F.col("doc_id").alias("_w")).distinct())
+        return lines_of(docs.join(wanted, F.col(id_col) == F.col("_w"), "left_semi"), id_col, text_col)
+
+    early = settled(first, of)
     first, _ = stored(first.join(bounded(early.withColumn("open", F.lit(0))), "num", "left").withColumn("open", F.coalesce("open", F.lit(1))))
     drop(docs.sparkSession, at)
     release(docs)
-    gone = early.unionByName(cut(matched(first, lines)))
+    gone = early.unionByName(cut(matched(first, of)))
     key = lambda lid, at: F.shiftleft(lid, 32).bitwiseOR(at.cast("long"))
     kept = first.join(gone, "num", "left_anti").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(key(F.col("lid"), F.col("line_no"))).alias("kept"))
     whole = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
