@@ -9,9 +9,10 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospector.operators import logs, runs
-from prospector.plans import catalog
-from prospector.plans import runs as run_queries  # noqa: F401  adds its queries to the catalog
+from prospector.operators import logs, runs, state
+from prospector.operators.importing import Import
+from prospector.plans import catalog, contexts, corpus, reports, states  # noqa: F401  the others add their queries to the catalog
+from prospector.plans import runs as run_queries  # noqa: F401
 from prospector.sources import git
 
 
@@ -25,6 +26,15 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--repo", required=True), i.add_argument("--store", required=True), i.add_argument("--stage", required=True, help="MODULE:FUNCTION, from a row to verdict, tokens and cost")
     i.add_argument("--config", default="default"), i.add_argument("--last", type=int), i.add_argument("--since"), i.add_argument("--range", dest="range")
     i.add_argument("--max-calls", type=int), i.add_argument("--max-tokens", type=int), i.add_argument("--max-cost", type=float), i.add_argument("--dry-run", action="store_true")
+    r = sub.add_parser("review", help="import a repository with both stages into a store; asked for again, go on with the run")
+    r.add_argument("--repo", required=True), r.add_argument("--store", required=True), r.add_argument("--mirrors", default="mirrors"), r.add_argument("--triage", required=True, help="MODULE:FUNCTION"), r.add_argument("--adjudicate", required=True, help="MODULE:FUNCTION")
+    r.add_argument("--config", default="{}", help="JSON that tells configurations apart"), r.add_argument("--last", type=int), r.add_argument("--since"), r.add_argument("--range", dest="range"), r.add_argument("--workers", type=int, default=8)
+    r.add_argument("--max-calls", type=int), r.add_argument("--max-tokens", type=int), r.add_argument("--max-cost", type=float), r.add_argument("--max-seconds", type=float), r.add_argument("--dry-run", action="store_true")
+    for name, what in (("runs", "runs of a store, or one with its commits by status"), ("write", "triage, findings or manifests of a store as canonical JSON lines")):
+        x = sub.add_parser(name, help=what)
+        x.add_argument("--store", required=True), x.add_argument("--run")
+        if name == "write":
+            x.add_argument("--kind", choices=("triage", "findings", "manifests"), required=True), x.add_argument("--out", required=True)
     for name, what in (("status", "figures of a run"), ("export", "results as canonical JSON lines")):
         s = sub.add_parser(name, help=what)
         s.add_argument("--store", required=True), s.add_argument("--config", default="default")
@@ -42,6 +52,29 @@ def commits(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return read.load().select(F.col("sha").alias("key"), "message", F.decode("patch", "UTF-8").alias("patch"))
 
 
+def loaded(name: str):
+    """What MODULE:NAME stands for."""
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ValueError(f"not MODULE:NAME: {name}")
+    return getattr(import_module(module), attribute)
+
+
+def store_command(spark: SparkSession, a: argparse.Namespace) -> int:
+    store = state.Store(spark, a.store)
+    if a.command == "review":
+        limits = runs.Limits(calls=a.max_calls, tokens=a.max_tokens, cost=a.max_cost, seconds=a.max_seconds)
+        told = Import(store, a.repo, a.mirrors, loaded(a.triage), loaded(a.adjudicate), json.loads(a.config), limits, a.workers).go(a.dry_run, 100 if a.last is None and a.since is None and a.range is None else a.last, a.since, a.range)
+        print(json.dumps(told))
+        return 0 if told["status"] in ("completed", "dry_run") else 3
+    if a.command == "runs":
+        for row in store.manifest_rows(a.run).select(F.to_json(F.struct("run", "status", "counters", "error", "commit_statuses", "triaged", "adjudicated")).alias("j")).collect():  # a row for each run
+            print(row["j"])
+        return 0
+    print(json.dumps({"kind": a.kind, "rows": store.export(a.kind, a.out, a.run)}))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "queries":
@@ -55,14 +88,15 @@ def main(argv: list[str] | None = None) -> int:
         out = catalog.QUERIES[a.name](spark, a.data)
         out.write.mode("overwrite").parquet(a.out) if a.out else out.show(50, truncate=80)
         return 0
+    if a.command in ("review", "runs", "write"):
+        return store_command(spark, a)
     if a.command == "import":
         items = commits(spark, a)
         if a.dry_run:
             print(json.dumps({"status": "dry_run", "planned": items.select("key").count()}))
             return 0
-        module, function = a.stage.split(":")
         limits = runs.Limits(calls=a.max_calls, tokens=a.max_tokens, cost=a.max_cost)
-        told = runs.run_stage(items, getattr(import_module(module), function), a.store, a.config, limits)
+        told = runs.run_stage(items, loaded(a.stage), a.store, a.config, limits)
         print(json.dumps(told))
         return 0 if told["status"] == "completed" else 3
     done = runs.stored(spark, a.store).where(F.col("config") == a.config)

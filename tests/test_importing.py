@@ -1,10 +1,12 @@
 """A repository's way into a store, stopped by budgets and gone on with, and the reports."""
 
+import json
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from prospector import __main__ as cli
 from prospector.operators import evaluation, importing, runs, state
 
 
@@ -50,6 +52,20 @@ def test_import(spark, repo, tmp_path):
     assert other.config != make().config
 
 
+def test_command_line(spark, repo, tmp_path, capsys):
+    base = ["--store", f"{tmp_path}/s"]
+    args = ["review", "--repo", repo, *base, "--mirrors", f"{tmp_path}/m", "--triage", "tests.test_importing:ask", "--adjudicate", "tests.test_importing:judge", "--last", "1"]
+    assert cli.main([*args, "--dry-run"]) == 0 and cli.main(args) == 0
+    told = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert (told["status"], told["planned"], told["calls"]) == ("completed", 1, 2)
+    assert cli.main(["runs", *base, "--run", told["run"]]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["status"] == "completed" and shown["triaged"] == shown["adjudicated"] == 1
+    assert cli.main(["write", *base, "--kind", "triage", "--out", f"{tmp_path}/t", "--run", told["run"]]) == 0 and json.loads(capsys.readouterr().out) == {"kind": "triage", "rows": 1}
+    with pytest.raises(ValueError):
+        cli.loaded("nothing")
+
+
 def test_reports(spark):
     judged = spark.createDataFrame([("b" * 40, "s", "YES", None, [], None, 0.5, None), ("a" * 40, "t", "ABSTAIN", "no_signal", [], None, None, None), ("c" * 40, "u", "ABSTAIN", "odd\nreason", ["x"], "raw", None, None), ("d" * 40, "v", "ERROR", None, [], None, None, "Trace\nValueError: v")], "sha string, subject string, verdict string, reason string, validation_errors array<string>, raw_output string, cost double, traceback string")
     report = importing.debug_report(judged, spark.createDataFrame([("e", "down")], "sha string, error string"), 2.04)
