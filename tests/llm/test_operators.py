@@ -608,6 +608,27 @@ def test_lm_gradients():
             assert grads[name][at] == pytest.approx((loss(up) - loss(down)) / 0.04, abs=2e-3)
 
 
+def test_clashing_columns(spark):
+    docs = table(spark, ["a b", None, "c"]).withColumn("leaks", F.lit(1)).withColumn("toxicity", F.lit(2))
+    with pytest.raises(ValueError):
+        decontaminate.leaks(docs, spark.createDataFrame([], "item_id long, text string"))
+    with pytest.raises(ValueError):
+        toxicity.score(docs, toxicity.Scorer({}))
+    odd = spark.createDataFrame([(k, [1.0, 0.1 * k], 1, "x", 5) for k in range(4)], "vec_id long, embedding array<double>, label int, rep string, n long")
+    assert embeddings.near_duplicates(odd).select("vec_id", "n_links").count() == 4
+    odd = docs.withColumns({c: F.lit(0) for c in ("fp", "root", "bits", "id", "a", "b", "line", "num", "word", "n", "uid", "h")})
+    assert simhash.keep_one(odd).columns == odd.columns and lines.dedup(odd).count() == substring.dedup(odd).count() == lm.score(odd.drop("a", "b")).count() == 3
+
+
+def test_learning_from_odd_labels(spark):
+    """An id labelled twice is toxic if any label is, and repeated documents count each; nulls don't, and one class alone teaches nothing."""
+    docs = table(spark, [f"{'grob blarg' if k % 2 else 'nice day'} {k} word{k} more" for k in range(80)] + ["x", None], [*range(80), None, 81])
+    both = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(1, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    scorer = toxicity.fit(docs.union(docs), both)
+    assert scorer.score("grob blarg") > 0.5 > scorer.score("nice day") and scorer.beta is not None
+    assert toxicity.fit(docs, both.where("toxic = 1")).score("grob blarg") == 0.0
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert substring.dedup(none).count() == sharding.shard(none).count() == mixing.mix(none).count() == 0
