@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -51,9 +52,14 @@ def drop(spark: SparkSession, at: str) -> None:
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of jobs that are done with: it does so when the driver's garbage is collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of jobs that are done with: it does so when the driver's garbage is collected, a while after it.
+
+    Only the disk that a run needs at once depends on this, never its result.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
