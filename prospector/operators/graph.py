@@ -46,12 +46,27 @@ def grouped_holdout(groups: DataFrame, fraction: float, seed: str) -> DataFrame:
     return groups.withColumn("split", F.when(stable_score(seed, F.col("group").cast("string")) < fraction, "holdout").otherwise("development"))
 
 
-def temporal_holdout(rows: DataFrame, group: str, at: str, target: int) -> DataFrame:
-    """The newest groups until `target` rows are in holdout; (group, split)."""
+def temporal_holdout(rows: DataFrame, group: str, at: str, target: int | None = None, cutoff=None) -> DataFrame:
+    """(group, split): groups whose newest row is at or after a cutoff go to holdout, or the newest groups until `target` rows are in.
+
+    Groups are laid out newest first in ranges; totals of the ranges give each its offset, and running sums stay within a range.
+    """
     sizes = rows.groupBy(group).agg(F.max(at).alias("latest"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col("latest").desc(), F.col(group).desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
-    taken = F.coalesce(F.sum("n").over(w), F.lit(0))
-    return sizes.select(group, F.when(taken < target, "holdout").otherwise("development").alias("split"))
+    if (target is None) == (cutoff is None):
+        raise ValueError("either a target or a cutoff")
+    if cutoff is not None:
+        return sizes.select(group, F.when(F.col("latest") >= cutoff, "holdout").otherwise("development").alias("split"))
+    order = (F.col("latest").desc(), F.col(group).desc())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut(sizes.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    offsets, total = [], 0
+    for r in laid.groupBy("_part").agg(F.sum("n").alias("n")).orderBy("_part").collect():  # one row a range
+        offsets.append((r["_part"], total))
+        total += r["n"]
+    base = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part int, _base long"))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.col("_base") + F.coalesce(F.sum("n").over(w), F.lit(0))
+    return laid.join(base, "_part").select(group, F.when(taken < target, "holdout").otherwise("development").alias("split"))
 
 
 def brought_in(edges: DataFrame, merges: DataFrame, order: DataFrame, most: int | None = 25) -> DataFrame:

@@ -73,11 +73,17 @@ def sample_by_hash(rows: DataFrame, item: Column, size: int, seed: str) -> DataF
 
 
 def stratified_queue(rows: DataFrame, stratum: str, quotas: dict[str, int], item: Column, seed: str, size: int) -> DataFrame:
-    """Quotas of each stratum in hash order, then the rest in hash order until `size` rows are in."""
+    """Quotas of each stratum in hash order, then the rest in hash order until `size` rows are in.
+
+    Only the first `size` rows of each stratum with a quota, and of all others together, can get in; only those are ranked.
+    """
     r = rows.withColumn("_h", F.sha2(F.concat(F.lit(seed + "\0"), item).cast("binary"), 256))
-    r = r.withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy("_h")))
-    quota = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(stratum)), F.lit(0))
-    return r.withColumn("_late", (F.col("_k") > quota).cast("int")).orderBy("_late", "_h").limit(size).drop("_h", "_k", "_late")
+    firsts = r.where(~F.coalesce(F.col(stratum).isin(*quotas), F.lit(False))).orderBy("_h").limit(size)
+    for name in quotas:
+        firsts = firsts.unionByName(r.where(F.col(stratum) == name).orderBy("_h").limit(size))
+    ranked = firsts.withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy("_h")))
+    quota = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(stratum)), F.lit(0))
+    return ranked.withColumn("_late", (F.col("_k") > quota).cast("int")).orderBy("_late", "_h").limit(size).drop("_h", "_k", "_late")
 
 
 def best_per_patch(rows: DataFrame) -> DataFrame:

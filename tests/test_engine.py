@@ -84,6 +84,15 @@ def test_groups(spark):
     assert {r["id"]: r["group"] for r in graph.linked_groups(rows, "id", ["adv", "grp"]).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
 
 
+def test_temporal_holdout(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-03-01"), ("b", "2024-02-01"), ("c", "2024-04-01"), ("d", "2024-04-01")], "g string, at string")
+    split = lambda **o: {r["g"] for r in graph.temporal_holdout(rows, "g", "at", **o).collect() if r["split"] == "holdout"}
+    assert split(target=1) == {"d"} and split(target=3) == {"d", "c", "a"} and split(target=0) == set() and split(cutoff="2024-03-01") == {"a", "c", "d"}
+    with pytest.raises(ValueError):
+        split()
+    assert graph.temporal_holdout(rows.limit(0), "g", "at", 3).count() == 0
+
+
 def test_logs(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
     new = spark.createDataFrame([(1, "c", 1), (2, "d", 2), (2, "e", 1), (None, "f", 3), (None, "f", 4)], "k int, v string, seq int")
