@@ -1 +1 @@
-"""Training-data operators: dedup, sharding, mixing, decontamination, scoring, chat formatting."""
+"""Training-data operators: dedup, sharding, mixing, decontamination, scoring, chat formatting, search, audits, quality rules."""

@@ -22,7 +22,7 @@ COLUMNS = {
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     out = QUERIES[name](spark, SF)
     want = con.execute(SQL[name])
