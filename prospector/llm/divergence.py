@@ -18,7 +18,9 @@ LEAST_DOCS, TOP = 10, 10
 #: Entries of a task's tallies before they are sent on.
 FLUSH = 1_000_000
 #: Terms of one slice of a language's vocabulary, on average; a vector holds a group's terms of one slice.
-SLICE = 100_000
+SLICE = 16_384
+#: Rows of a file of the result.
+FILE_ROWS = 1_000_000
 #: Cells into which the groups of a language are dealt, at least, and groups of a cell at most.
 CELLS, CELL_GROUPS = 4, 64
 #: ASCII bytes other than letters part terms; all other bytes, A-Z as a-z, make them.
@@ -170,29 +172,32 @@ def partner(cell: Column, cells: Column, turn: int) -> Column:
     return F.when(cell == ring, F.pmod(F.lit(turn), ring)).when(other == cell, ring).otherwise(other).cast("int")
 
 
-def rotate(spark, vectors_at: str, cells: DataFrame) -> DataFrame:
+def rotate(spark, vectors_at: str, cells: DataFrame) -> tuple[DataFrame, list[str]]:
     """Meetings of all groups of each (lang, slice), from written vectors and the number of cells of each language.
 
     Each cell stays in its partition. In a turn only the guests' packed vectors are shuffled, to the partition of the cell they meet, and
-    the turn's sums are written before the next one. A lost partition is read again from the written vectors.
+    the turn's sums are written before the next one. A lost partition is read again from the written vectors. Returns the sums and the
+    places where they are written.
     """
     key = ["lang", "slice", "cell"]
     read = lambda: spark.read.parquet(vectors_at).drop("top")
     # as many partitions as cells of slices, so that none waits for another
     places = max(2, read().select(*key).distinct().count())
-    home = read().repartition(min(places, 2000), *key).persist()
+    places = min(places, 2000)
+    home = read().repartition(places, *key).persist()
     turns = (cells.agg(F.max("cells")).first()[0] or 1) - 1
-    out, _ = stored(home.groupBy(*key).applyInArrow(at_home, MET_DDL))
+    out, at = stored(home.groupBy(*key).applyInArrow(at_home, MET_DDL).coalesce(places))
+    written = [at]
     for turn in range(turns):
         met_by = partner(F.col("cell"), F.col("cells"), turn)
         going = read().join(F.broadcast(cells), "lang").where(F.col("cells") - 1 > turn).withColumn("host", met_by)
         # the lower cell is host in even sums, the higher one in odd ones
         even = F.pmod(F.col("host") + F.col("cell"), F.lit(2)) == 0
         going = going.where(F.when(even, F.col("host") < F.col("cell")).otherwise(F.col("host") > F.col("cell"))).drop("cell", "cells").withColumnRenamed("host", "cell")
-        seen, _ = stored(home.groupBy(*key).cogroup(going.groupBy(*key)).applyInArrow(meeting, MET_DDL))
-        out = out.unionByName(seen)
+        seen, at = stored(home.groupBy(*key).cogroup(going.groupBy(*key)).applyInArrow(meeting, MET_DDL).coalesce(places))
+        out, written = out.unionByName(seen), [*written, at]
     home.unpersist()
-    return out
+    return out, written
 
 
 def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -218,7 +223,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame
     groups = groups.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).withColumn("of", F.count("*").over(Window.partitionBy("lang")))
     wanted = F.greatest(F.lit(CELLS), F.ceil(F.col("of") / CELL_GROUPS))
     groups = groups.withColumn("cells", (wanted + wanted % 2).cast("int")).withColumn("cell", (F.col("place") % F.col("cells")).cast("int"))
-    groups, groups_at = stored(groups.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("v") / SLICE)).cast("int")))
+    groups, groups_at = stored(groups.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("v") / SLICE)).cast("int")).coalesce(8))  # one row a group
     langs = groups.groupBy("lang").agg(F.max("slices").alias("slices"), F.max("cells").alias("cells"))
 
     # within a language and slice terms are numbered from 0, so that shares can be laid out in arrays
@@ -232,13 +237,14 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame
         grid = grid.withColumn(c, F.lit(None).cast(kind))
     vectors, vectors_at = stored(full.unionByName(grid).groupBy("lang", "slice", "source").applyInArrow(vector, VECTOR_DDL))
 
-    seen = rotate(docs.sparkSession, vectors_at, langs.select("lang", "cells"))
+    seen, written = rotate(docs.sparkSession, vectors_at, langs.select("lang", "cells"))
     pair = seen.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"), F.max("rest").alias("rest"), F.max("v").alias("v"))
     pair = pair.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("value") + (F.col("v") - F.col("terms")) * F.col("rest")).alias("value"))
     term = vectors.select("lang", "source", F.lit("term").alias("part"), F.explode("top").alias("t")).select("lang", "source", "part", F.col("t.term").cast("string").alias("item"), "t.value")
     both = pair.unionByName(term).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    out, _ = stored(both.where((F.col("part") == "pair") | (F.col("rank") <= top)))
-    for at in (kept_at, groups_at, vectors_at):
+    rows = groups.agg(F.sum(F.col("of") + top)).first()[0] or 0
+    out, _ = stored(both.where((F.col("part") == "pair") | (F.col("rank") <= top)).coalesce(1 + rows // FILE_ROWS))
+    for at in (kept_at, groups_at, vectors_at, *written):
         drop(docs.sparkSession, at)
     return out
 
