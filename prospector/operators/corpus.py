@@ -1,4 +1,4 @@
-"""A corpus of advisories and the commits they cite: rows, strata, labels, queues and worklists."""
+"""A corpus of advisories and the commits they cite: rows, layers, labels, queues and worklists."""
 
 from __future__ import annotations
 
@@ -146,7 +146,7 @@ def relabel_audit(rows: DataFrame, prefixes: DataFrame, advisories: DataFrame) -
     return worklist(logs.earliest(low, ["_low"]).drop("_low"), "relabel-audit", advisories)
 
 
-def negative_audit(rows: DataFrame, negatives: DataFrame, advisories: DataFrame, size: int = 40, seed: str = "strata-negative-audit-v1") -> DataFrame:
+def negative_audit(rows: DataFrame, negatives: DataFrame, advisories: DataFrame, size: int = 40, seed: str = "negative-audit-v1") -> DataFrame:
     """The `size` rows of least hash among those labelled other or context whose id is in negatives (sha)."""
     own = negatives.select(F.lower("sha").alias("_n")).distinct()
     eligible = by_role(rows, "other", "context").join(own, F.lower("sha") == F.col("_n"), "left_semi")

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prospector.functions.text import stable_score
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder; a folder of our own where none is named and all runs on one machine, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own where none is named and all runs on one machine, as in tests."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.master.startswith("local"):
+        if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prospector-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prospector-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

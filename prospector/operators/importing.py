@@ -48,14 +48,18 @@ class Import:
 
     def start(self, dry_run: bool, **selection: Any) -> tuple[str, bool]:
         p = self.pinned
-        self.store.write("repositories", self.row("repositories", repository=p["repository"], source=self.source, canonical_source=p["canonical_source"], mirror_path=p["path"]))
-        self.store.write("snapshots", self.row("snapshots", repository=p["repository"], head_sha=p["head_sha"], default_branch=p["default_branch"]))
         asked = self.row("runs", repository=p["repository"], snapshot=p["head_sha"], config_hash=self.config, request_hash=digest(self.spark, selection), dry_run=dry_run, config="{}", limits=json.dumps(vars(self.limits))).drop("run", "status")
-        made, answers = state.create_runs(self.store.read("runs"), asked)
-        told = answers.first()
-        if told["created"]:
-            self.store.replace("runs", graph.cut(made))
-        return told["run"], told["created"]
+
+        def work(w: state.Writes) -> tuple[str, bool]:
+            w.write("repositories", self.row("repositories", repository=p["repository"], source=self.source, canonical_source=p["canonical_source"], mirror_path=p["path"]))
+            w.write("snapshots", self.row("snapshots", repository=p["repository"], head_sha=p["head_sha"], default_branch=p["default_branch"]))
+            made, answers = state.create_runs(w.read("runs"), asked)
+            told = answers.first()
+            if told["created"]:
+                w.replace("runs", made)
+            return told["run"], told["created"]
+
+        return self.store.transact(work)
 
     def read(self, run: str, **selection: Any) -> None:
         """Commits of the run and their places; those that are there stay."""
@@ -68,12 +72,16 @@ class Import:
         log = graph.cut(self.spark.read.format("git_commits").option("path", self.pinned["path"]).options(**options).load().withColumn("repository", F.lit(self.pinned["repository"])))
         names = [f.name for f in self.spark.createDataFrame([], state.TABLES["commits"].schema).schema.fields]
         kept = log.withColumn("patch_blob_hash", F.lit(None).cast("string"))
-        self.store.write("commits", kept.withColumn("seq", F.col("place")).select("seq", *names))
         none = F.lit(None).cast("string")
         walk = log.select(F.col("place").alias("seq"), F.lit(run).alias("run"), "repository", "sha", F.col("place").alias("position"), F.lit("pending").alias("status"), none.alias("triage_status"), none.alias("adjudication_status"), none.alias("error"))
-        self.store.write("run_commits", walk)
         log.select("sha", F.decode("patch", "UTF-8").alias("diff")).write.mode("overwrite").parquet(f"{self.store.root}/patches/{run}")
 
+        def work(w: state.Writes) -> None:
+            w.write("commits", kept.withColumn("seq", F.col("place")).select("seq", *names))
+            w.write("run_commits", walk)
+
+        self.store.transact(work)
+
     def spent(self, run: str) -> dict[str, float]:
         own = self.store.read("usage_records").where(F.col("run") == run)
         row = own.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("estimated_cost"), F.lit(0.0)).alias("cost")).first()
@@ -100,16 +108,21 @@ class Import:
             batch = todo if unbounded else todo.orderBy("position").limit(slots)
             said = stages.run_stage(batch.repartition(self.workers), function, name, self.source)
             rows = graph.cut(said.select(F.col("position").alias("seq"), "repository", "sha", F.lit(self.config).alias("config_hash"), F.lit(run).alias("run"), "verdict", "result", "usage", F.lit(None).cast("string").alias("input_blob_hash"), "error", F.current_timestamp().alias("created_at")))
-            if name == "triage":
-                self.store.write(table, rows)
-            else:
-                self.store.save_adjudications(rows.withColumn("finding", F.when(F.col("verdict") == "YES", F.col("result"))))
-            self.store.write("usage_records", state.usage_rows(rows.withColumn("stage", F.lit(name)).withColumn("usage", F.coalesce("usage", F.lit("{}")))))
+            usage = state.usage_rows(rows.withColumn("stage", F.lit(name)).withColumn("usage", F.coalesce("usage", F.lit("{}"))))
             failed = rows.where("verdict = 'ERROR'").select("seq", F.lit(name).alias("stage"), F.coalesce(F.get_json_object("error", "$.kind"), F.lit("error")).alias("kind"), F.get_json_object("error", "$.message").alias("message"), "repository", "sha", "run", "config_hash", F.col("error").alias("details"), "created_at")
-            self.store.write("errors", failed)
             none = F.lit(None).cast("string")
             told = [F.col("verdict").alias(c) if c == f"{name}_status" else none.alias(c) for c in ("triage_status", "adjudication_status")]
-            self.store.write("run_commits", rows.select("seq", "run", "repository", "sha", F.col("seq").alias("position"), F.lit(name).alias("status"), *told, F.get_json_object("error", "$.message").alias("error")))
+            walked = rows.select("seq", "run", "repository", "sha", F.col("seq").alias("position"), F.lit(name).alias("status"), *told, F.get_json_object("error", "$.message").alias("error"))
+
+            def work(w: state.Writes, rows=rows, usage=usage, failed=failed, walked=walked) -> None:
+                if name == "triage":
+                    w.write(table, rows)
+                else:
+                    w.save_adjudications(rows.withColumn("finding", F.when(F.col("verdict") == "YES", F.col("result"))))
+                for t, new in (("usage_records", usage), ("errors", failed), ("run_commits", walked)):
+                    w.write(t, new)
+
+            self.store.transact(work)  # a batch is stored whole or asked again
 
     def go(self, dry_run: bool = False, last: int | None = 100, since: str | None = None, range_: str | None = None) -> dict[str, Any]:
         """Run, or go on with, the whole import; its run, status and counters."""
@@ -131,8 +144,8 @@ class Import:
         counters = self.spent(run) | {"planned": planned}
         before = json.loads(self.store.read("runs").where(F.col("run") == run).first()["counters"] or "{}")
         counters["seconds"] = round(counters["seconds"] + before.get("seconds", 0.0), 3)  # over all times it was gone on with
-        made = state.update_run(self.store.read("runs"), run, F.current_timestamp(), status=status, counters=json.dumps(counters), error=cap, completed=status.startswith("completed"))
-        self.store.replace("runs", graph.cut(made))
+        at, closed = F.current_timestamp(), status.startswith("completed")
+        self.store.transact(lambda w: w.replace("runs", state.update_run(w.read("runs"), run, at, status=status, counters=json.dumps(counters), error=cap, completed=closed)))
         return {"run": run, "status": status, "created": created, "stopped_by": cap, **counters}
 
 

@@ -5,16 +5,21 @@ Ids are natural: a repository is its canonical source's hash, a commit (reposito
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospector.functions.text import canonical_json, content_hash
 from prospector.operators import logs
+from prospector.sources.ledger import ORDER, Ledger, Transaction
 from prospector.sources.stores import existing
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
+#: Folders that a table is folded from, at most, before they are put together.
+FOLDERS = 32
 STATUSES = ("running", "completed", "completed_with_errors", "budget_exhausted", "interrupted", "dry_run")
 COUNTED = ("repositories", "snapshots", "commits", "runs", "triage_results", "adjudication_results", "findings", "usage_records", "errors")
 
@@ -61,6 +66,34 @@ def written(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
     return logs.merge(old, last.select(*old.columns), list(t.keys), list(t.replace), list(t.first), list(t.keep)).select(*old.columns)
 
 
+def one_write(name: str, rows: DataFrame) -> DataFrame:
+    """What a single write brings of rows (seq and the table's columns): a row a key, the first by seq for an insert, else the last."""
+    t = TABLES[name]
+    if not t.insert:
+        return logs.latest(rows, list(t.keys)) if "seq" in rows.columns else rows
+    whole = F.lit(True)
+    for k in t.keys:
+        whole &= F.col(k).isNotNull()
+    return logs.pick(rows.where(whole), list(t.keys), "seq").unionByName(rows.where(~whole))
+
+
+def folded(name: str, rows: DataFrame) -> DataFrame:
+    """The table from all rows of all writes, one a key in each, ordered by ORDER: what written() gives write by write, in one shuffle
+    however many writes there were."""
+    t, out = TABLES[name], [c for c in rows.columns if c != ORDER]
+    rest = [c for c in out if c not in t.keys]
+    if t.insert:
+        whole = F.lit(True)
+        for k in t.keys:
+            whole &= F.col(k).isNotNull()
+        first = rows.where(whole).groupBy(*t.keys).agg(F.min_by(F.struct(*rest), ORDER).alias("_r")).select(*t.keys, "_r.*")
+        return first.select(*out).unionByName(rows.where(~whole).select(*out))
+    known = lambda pick, c: pick(c, F.when(F.col(c).isNotNull(), F.col(ORDER))).alias(c)
+    last = F.max_by(F.struct(*t.replace), ORDER).alias("_last")
+    found = rows.groupBy(*t.keys).agg(last, *[known(F.min_by, c) for c in t.first], *[known(F.max_by, c) for c in t.keep])
+    return found.select(*t.keys, "_last.*", *t.first, *t.keep).select(*out)
+
+
 # --- rows to write
 
 
@@ -114,45 +147,62 @@ def finding_rows(results: DataFrame) -> DataFrame:
 # --- storage
 
 
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
+class Writes:
+    """What a transaction reads of the tables and writes to them."""
+
+    def __init__(self, t: Transaction):
+        self.t = t
+
+    def read(self, name: str) -> DataFrame:
+        return self.t.read(name)
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        self.t.append(name, one_write(name, rows))
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        self.t.put(name, rows)
+
+    def save_adjudications(self, results: DataFrame) -> None:
+        """Results, and the findings of those that are new."""
+        keys = list(TABLES["findings"].keys)
+        self.write("findings", finding_rows(results).join(self.read("adjudication_results").select(*keys), keys, "left_anti"))
+        self.write("adjudication_results", results.drop("finding"))
 
 
 class Store:
-    """The tables under a folder. Each write makes a new version of a table beside the last, which readers keep seeing until it is whole;
-    there is no transaction over several tables. A folder of a newer schema is refused."""
+    """The tables under a folder, as a ledger: each write appends, several tables change together or not at all, and readers keep to the
+    commit that they began with. A folder of another schema, newer or of a layout before ledgers, is refused."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.ledger = Ledger(spark, f"{self.root}/tables", {n: t.schema for n, t in TABLES.items()}, folded)
         known = existing(spark, f"{self.root}/schema", "version int").agg(F.max("version")).first()[0]
-        if known is not None and known > SCHEMA_VERSION:
-            raise ValueError(f"the store is of schema {known}, newer than {SCHEMA_VERSION}")
-        if known is None or known < SCHEMA_VERSION:
+        if known is not None and known != SCHEMA_VERSION:
+            raise ValueError(f"the store is of schema {known}, {'newer' if known > SCHEMA_VERSION else 'older'} than {SCHEMA_VERSION}")
+        if known is None:
             spark.createDataFrame([(SCHEMA_VERSION,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.root}/schema")
 
-    def read(self, name: str) -> DataFrame:
-        folder = f"{self.root}/{name}"
-        last = versions(self.spark, folder)
-        return existing(self.spark, f"{folder}/v{last[-1]}" if last else f"{folder}/v0", TABLES[name].schema)
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table now, or as of a commit."""
+        return self.ledger.at(name, version)
+
+    def transact(self, work: Callable[[Writes], Any]) -> Any:
+        """Do work(writes) in one transaction, again on newer tables if another writer has changed what it relies on."""
+        out = self.ledger.transact(lambda t: work(Writes(t)))
+        last = self.ledger.commit(self.ledger.version())
+        for name, known in last["tables"].items():
+            if len(known["parts"]) > FOLDERS:
+                self.ledger.compact(name)
+        return out
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        folder = f"{self.root}/{name}"
-        last = versions(self.spark, folder)
-        rows.write.mode("overwrite").parquet(f"{folder}/v{(last[-1] if last else 0) + 1}")
+        self.transact(lambda w: w.replace(name, rows))
 
     def write(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, written(name, self.read(name), rows))
+        self.transact(lambda w: w.write(name, rows))
 
     def save_adjudications(self, results: DataFrame) -> None:
-        """Results, and the findings of those that are new."""
-        self.write("findings", finding_rows(results).join(self.read("adjudication_results").select(*TABLES["findings"].keys), list(TABLES["findings"].keys), "left_anti"))
-        self.write("adjudication_results", results.drop("finding"))
+        self.transact(lambda w: w.save_adjudications(results))
 
     def export(self, kind: str, path: str, run: str | None = None) -> int:
         """Write triage, findings or manifests as canonical JSON lines in order; the number of rows."""

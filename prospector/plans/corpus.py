@@ -110,7 +110,7 @@ def relabel_worklist(spark, d):
     return shown(corpus.relabel_audit(low_rows(spark, d), prefixes, advisories(spark, d)))
 
 
-@query(f"WITH {RAW}, {ADVISORIES}, one AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY seq) AS rn FROM raw WHERE role IN ('other', 'context') AND sha IN (SELECT md5(CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_acctbal > 0)), x AS (FROM one WHERE rn = 1 ORDER BY sha256('strata-negative-audit-v1|' || sha) LIMIT 40) SELECT {ITEM.format('negative-audit')}, {SHOWN} FROM x LEFT JOIN adv ON ghsa_id = g")
+@query(f"WITH {RAW}, {ADVISORIES}, one AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY seq) AS rn FROM raw WHERE role IN ('other', 'context') AND sha IN (SELECT md5(CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_acctbal > 0)), x AS (FROM one WHERE rn = 1 ORDER BY sha256('negative-audit-v1|' || sha) LIMIT 40) SELECT {ITEM.format('negative-audit')}, {SHOWN} FROM x LEFT JOIN adv ON ghsa_id = g")
 def negative_worklist(spark, d):
     no = load(spark, d, "customer").where("c_acctbal > 0").select(F.md5(C("c_custkey").cast("string").cast("binary")).alias("sha"))
     rows = corpus.logs.earliest(corpus.by_role(low_rows(spark, d), "other", "context"), ["sha"])
@@ -132,11 +132,11 @@ def candidate_queue(spark, d):
     return out.select("repository", "sha", F.array_join("annotators_present", ",").alias("present"), F.array_join("annotators_missing", ",").alias("missing"), "reason")
 
 
-STRATA = f"""{DECISIONS}, g AS (SELECT repository, CAST(item AS VARCHAR) AS sha, list(DISTINCT prediction) FILTER (prediction IN ('YES', 'NO')) AS v, max(CASE WHEN value > 180 THEN 1 ELSE 0 END) AS fix, max(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) AS con FROM dec WHERE seq % 9 = 0 GROUP BY ALL),
+LAYERS = f"""{DECISIONS}, g AS (SELECT repository, CAST(item AS VARCHAR) AS sha, list(DISTINCT prediction) FILTER (prediction IN ('YES', 'NO')) AS v, max(CASE WHEN value > 180 THEN 1 ELSE 0 END) AS fix, max(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) AS con FROM dec WHERE seq % 9 = 0 GROUP BY ALL),
   s AS (SELECT repository, sha, CASE WHEN fix = 1 THEN 'positive' WHEN con = 1 THEN 'hard_negative' WHEN v = ['YES'] THEN 'positive' WHEN v = ['NO'] THEN 'hard_negative' ELSE 'unknown' END AS stratum, len(v) > 1 AS dis, sha256('rich-pilot-v1' || chr(0) || repository || chr(0) || sha) AS h FROM g)"""
 
 
-@query(f"""WITH {STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY NOT dis, h) AS k FROM s), f AS (SELECT *, k <= CASE stratum WHEN 'unknown' THEN 0 ELSE 20 END AS quota FROM r),
+@query(f"""WITH {LAYERS}, r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY NOT dis, h) AS k FROM s), f AS (SELECT *, k <= CASE stratum WHEN 'unknown' THEN 0 ELSE 20 END AS quota FROM r),
   z AS (SELECT *, row_number() OVER (ORDER BY NOT quota, NOT dis, h) AS place FROM f) SELECT repository, sha, stratum FROM z WHERE place <= 40""")
 def rich_pilot_queue(spark, d):
     x = decisions(spark, d).where("seq % 9 = 0").withColumn("sha", C("item").cast("string"))

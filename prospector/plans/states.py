@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospector.operators import state
+from prospector.operators import graph, state
 from prospector.plans.catalog import DECISIONS, C, decisions, load, query
 
 
@@ -134,3 +136,50 @@ def created_runs(spark, d):
     runs, answers = state.create_runs(t["runs"], again)
     both = t["answers"].unionByName(answers).join(runs.select("run", "repository"), "run")
     return both.groupBy("repository").agg(F.count_distinct("run").cast("int").alias("runs"), F.count_if("created").cast("int").alias("created"), (F.count_if(~C("created")) - F.count_distinct("run")).cast("int").alias("resumed"))
+
+
+# --- the commit log: all events in four transactions over three tables
+
+
+def committed(spark, d) -> state.Store:
+    """A store that all events went into by four commits of three tables each, put together once in between."""
+    store = state.Store(spark, f"{graph.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    e = writes(spark, d)
+    for k in range(4):
+        own = e.where(C("seq") % 4 == k)
+        walked = own.select("seq", "run", "repository", "sha", C("seq").alias("position"), C("prediction").alias("status"), F.when(C("value") > 50, C("truth")).alias("triage_status"))
+        metadata = own.select("seq", "repository", "sha", C("truth").alias("message"), F.when(C("value") > 50, C("run")).alias("patch_id"))
+        failed = own.select("seq", C("prediction").alias("stage"), C("truth").alias("kind"), C("seq").cast("string").alias("message"), "repository", F.when(C("item") % 6 > 0, C("sha")).alias("sha"), "run", F.lit("h").alias("config_hash"), "created_at")
+
+        def work(w, walked=walked, metadata=metadata, failed=failed):
+            for name, rows in (("run_commits", walked), ("commits", metadata), ("errors", failed)):
+                w.write(name, padded(rows, empty(spark, name)))
+
+        store.transact(work)
+        if k == 1:
+            store.ledger.compact("run_commits")
+            store.ledger.compact("errors")
+    return store
+
+
+@query(f"""WITH {DECISIONS}, v AS (SELECT run, repository, item, seq % 4 AS v, arg_max(prediction, seq) AS status, max(seq) AS position, arg_max(CASE WHEN value > 50 THEN truth ELSE '' END, seq) AS t FROM dec GROUP BY ALL)
+  SELECT run, repository, CAST(item AS VARCHAR) AS sha, arg_max(status, v) AS status, arg_max(position, v) AS position, arg_max(t, v) FILTER (t <> '') AS triage_status FROM v GROUP BY ALL""")
+def ledger_checkpoints(spark, d):
+    """Later commits win; a stage's status stays where later ones have none."""
+    return committed(spark, d).read("run_commits").select("run", "repository", "sha", "status", "position", "triage_status")
+
+
+@query(f"""WITH {DECISIONS}, v AS (SELECT repository, item, seq % 4 AS v, arg_max(truth, seq) AS message, arg_max(CASE WHEN value > 50 THEN run ELSE '' END, seq) AS p FROM dec WHERE seq % 4 < 3 GROUP BY ALL)
+  SELECT repository, CAST(item AS VARCHAR) AS sha, arg_max(message, v) AS message, arg_min(p, v) FILTER (p <> '') AS patch_id FROM v GROUP BY ALL""")
+def ledger_as_of(spark, d):
+    """The commits as of the commit before the last of all: its readers don't see the last one."""
+    store = committed(spark, d)
+    return store.read("commits", store.ledger.version() - 1).select("repository", "sha", "message", "patch_id")
+
+
+@query(f"""WITH {DECISIONS}, s AS (SELECT prediction AS stage, truth AS kind, repository, CASE WHEN item % 6 > 0 THEN CAST(item AS VARCHAR) END AS sha, run, seq FROM dec)
+  SELECT stage, kind, repository, sha, run, CAST(arg_min(seq, (seq % 4, seq)) AS VARCHAR) AS message FROM s WHERE sha IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT stage, kind, repository, sha, run, CAST(seq AS VARCHAR) FROM s WHERE sha IS NULL""")
+def ledger_inserts(spark, d):
+    """The first row of a key stays over all commits; a null in a key equals nothing."""
+    return committed(spark, d).read("errors").select("stage", "kind", "repository", "sha", "run", "message")
