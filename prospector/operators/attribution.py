@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospector.functions.text import squeeze
-from prospector.operators import graph
+from prospector.operators import graph, reach
 
 #: A merge that brings in more commits than this is not resolved.
 MOST = 25
 #: Evidence of more lines than this is not blamed.
 BLAME_LINES = 400
+#: Lines of a block in which ranges of lines and runs of blame meet.
+BLAME_BLOCK = 64
 
 
 def added_lines(patch: Column) -> Column:
@@ -43,7 +45,7 @@ def merges_of(commits: DataFrame, shas: DataFrame) -> DataFrame:
 
 
 def history(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return commits.select(F.col("sha").alias("child"), F.explode("parents").alias("parent")), commits.select(F.col("sha").alias("node"), "place")
+    return commits.select(F.col("sha").alias("child"), F.posexplode("parents").alias("k", "parent")), commits.select(F.col("sha").alias("node"), "place")
 
 
 def attribute(findings: DataFrame, commits: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def attribute(findings: DataFrame, commits: DataFrame) -> DataFrame:
     in none, or none touches the paths, or the finding has no path, or its commit is not known.
     """
     edges, order = history(commits)
-    brought = graph.brought_in(edges, merges_of(commits, findings.select("sha").distinct()), order, MOST)
+    brought = reach.brought_in(edges, merges_of(commits, findings.select("sha").distinct()), order, MOST)
     facts = commits.select(F.col("sha").alias("_sha"), (F.size("parents") > 1).alias("_merge"))
     own = findings.withColumn("_paths", finding_paths(F.col("affected_paths"), F.col("evidence"))).withColumn("_cited", cited(F.col("evidence")))
     side = commits.select(F.col("sha").alias("node"), F.col("paths").alias("_touched"), "added")
@@ -128,7 +130,7 @@ def collapse(findings: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFr
     per = Window.partitionBy("sha").orderBy(F.col("seq").desc())
     one = own.withColumn("_first", F.min("seq").over(Window.partitionBy("sha"))).withColumn("_rn", F.row_number().over(per)).where("_rn = 1")
     one = one.select("sha", "attributed_from", "_paths", "_first")
-    brought = graph.brought_in(edges, merges_of(commits, one.select("sha")), order, None)
+    brought = reach.brought_in(edges, merges_of(commits, one.select("sha")), order, None)
     child = one.select(F.col("sha").alias("node"), F.col("_paths").alias("_theirs"), F.col("_first").alias("_at"))
     pairs = own.select("sha", "_paths").join(brought, F.col("sha") == F.col("merge")).join(child, "node").where((F.size("_paths") == 0) | F.arrays_overlap("_paths", "_theirs"))
     gone = pairs.groupBy("sha").agg(F.min_by("node", "_at").alias("duplicate_of"))
@@ -167,13 +169,33 @@ def parent_anchors(evidence: Column) -> Column:
     return F.filter(evidence, lambda e: (e["revision"] == "parent") & e["path"].isNotNull() & (e["path"] != "") & (e["start_line"] >= 1) & (e["end_line"] >= e["start_line"]))
 
 
+def blame_runs(blame: DataFrame) -> DataFrame:
+    """(sha, path, first, last, commit): runs of lines that one commit last touched, from (sha, path, line, commit)."""
+    file = Window.partitionBy("sha", "path").orderBy("line")
+    starts = ~(F.lag("commit").over(file).eqNullSafe(F.col("commit")) & (F.lag("line").over(file) == F.col("line") - 1))
+    runs = blame.withColumn("_run", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(file.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("sha", "path", "commit", "_run").agg(F.min("line").alias("first"), F.max("line").alias("last")).drop("_run")
+
+
+def blocks_of(lo: str, hi: str) -> Column:
+    """Blocks of BLAME_BLOCK lines that a range of lines lies in."""
+    return F.explode(F.sequence(F.floor(F.col(lo) / BLAME_BLOCK), F.floor(F.col(hi) / BLAME_BLOCK))).alias("_block")
+
+
 def oldest_introduction(findings: DataFrame, blame: DataFrame, commits: DataFrame) -> DataFrame:
     """(seq, introduced_by, introduced_at, is_root): the oldest commit, by committer time, that last touched a line of a finding's parent
-    evidence; ranges of over BLAME_LINES lines are left out. blame: (sha, path, line, commit); commits: (sha, committed_at, parents)."""
-    spans = findings.select("seq", F.explode(parent_anchors(F.col("evidence"))).alias("e")).select("seq", F.col("e.revision_sha").alias("_at"), F.col("e.path").alias("_path"), F.col("e.start_line").alias("lo"), F.col("e.end_line").alias("hi")).distinct()
-    spans = spans.where(F.col("hi") - F.col("lo") < BLAME_LINES)
-    lines = spans.select("seq", "_at", "_path", F.explode(F.sequence("lo", "hi")).alias("_line"))
-    hit = lines.join(blame, (F.col("_at") == blame["sha"]) & (F.col("_path") == blame["path"]) & (F.col("_line") == blame["line"])).select("seq", "commit").distinct()
+    evidence; ranges of over BLAME_LINES lines are left out. blame: (sha, path, first, last, commit), or a row a line as for blame_runs();
+    commits: (sha, committed_at, parents).
+
+    Ranges and runs meet in blocks of lines, so a large file is dealt to many tasks and no row a line is made; the oldest commit of a
+    finding is a minimum that tasks take before anything is shuffled. Of equal times the smaller commit counts.
+    """
+    e = F.explode(parent_anchors(F.col("evidence"))).alias("e")
+    asked = findings.select("seq", e).select("seq", F.col("e.revision_sha").alias("sha"), F.col("e.path").alias("path"), F.col("e.start_line").alias("lo"), F.col("e.end_line").alias("hi")).distinct()
+    asked = asked.where(F.col("hi") - F.col("lo") < BLAME_LINES).select("*", blocks_of("lo", "hi"))
+    runs = blame_runs(blame) if "line" in blame.columns else blame
     known = commits.select(F.col("sha").alias("commit"), "committed_at", (F.size("parents") == 0).alias("root"))
-    first = hit.join(known, "commit").groupBy("seq").agg(F.min(F.when(F.col("committed_at").isNotNull(), F.struct("committed_at", "commit", "root"))).alias("o"))
+    dated = runs.select("sha", "path", "first", "last", "commit").join(known, "commit").select("*", blocks_of("first", "last"))
+    hit = asked.join(dated, ["sha", "path", "_block"]).where((F.col("first") <= F.col("hi")) & (F.col("last") >= F.col("lo")))
+    first = hit.groupBy("seq").agg(F.min(F.when(F.col("committed_at").isNotNull(), F.struct("committed_at", "commit", "root"))).alias("o"))
     return first.select("seq", F.col("o.commit").alias("introduced_by"), F.col("o.committed_at").alias("introduced_at"), F.col("o.root").alias("is_root"))

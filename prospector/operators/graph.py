@@ -1,13 +1,19 @@
-"""Linked groups, splits by group, and reachability in commit graphs."""
+"""Linked groups and splits by group."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prospector.functions.text import stable_score
 
 
+#: Links that a task holds at once.
+LINKS = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own where none is named and all runs on one machine, as in tests."""
     sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
@@ -26,25 +32,117 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def linked_groups(records: DataFrame, item: str, keys: list[str]) -> DataFrame:
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of n numbers is linked to by the links a-b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        np.minimum.at(root, before[a], low)  # roots that meet are joined, not only the two ends
+        np.minimum.at(root, before[b], low)
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
+
+
+def coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """All values of columns in ascending order, and each column as their numbers."""
+    one = pa.chunked_array([c for x in columns for c in x.chunks])
+    values = one.unique()
+    values = values.take(pa.compute.sort_indices(values))
+    return values, [pa.compute.index_in(x, values).to_numpy() for x in columns]
+
+
+def in_chunks(batches, rows: int):
+    """Tables of at least `rows` rows, the last one shorter."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def linked_here(rows: int):
+    """For chunks of (item, k, v): each item with the smallest that it is linked to there, and each value once, with that of its items."""
+
+    def link(batches):
+        for t in in_chunks(batches, rows):
+            items, (at,) = coded(t["item"])
+            _, (name,) = coded(t["k"])
+            _, (value,) = coded(t["v"])
+            _, first, same = np.unique(np.stack([name, value]), axis=1, return_index=True, return_inverse=True)
+            root = roots(len(items), at, at[first][same.ravel()])
+            own = pa.nulls(len(items), pa.string())
+            yield pa.RecordBatch.from_arrays([items, items.take(pa.array(root)), own, own], names=["item", "root", "k", "v"])
+            top = items.take(pa.array(root[at[first]]))
+            some = t.take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), top.type), top, some["k"].combine_chunks(), some["v"].combine_chunks()], names=["item", "root", "k", "v"])
+
+    return link
+
+
+def forest(rows: int):
+    """Links (a, b) of a chunk as each end with the smallest that it is linked to there."""
+
+    def grow(batches):
+        for t in in_chunks(batches, rows):
+            values, (a, b) = coded(t["a"], t["b"])
+            root = roots(len(values), a, b)
+            own = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([values.take(pa.array(own)), values.take(pa.array(root[own]))], names=["a", "b"])
+
+    return grow
+
+
+def spread(links: DataFrame, kind: str, rows: int) -> DataFrame:
+    """(node, group) of all ends of links (a, b): the smallest node that each is linked to.
+
+    Tasks turn their links to stars first; what is more than one task's goes on by minima over neighbours and the label's own label, in
+    rounds that grow with the logarithm of the longest way in practice.
+    """
+    few = cut(links.where("a <> b").mapInArrow(forest(rows), f"a {kind}, b {kind}"))
+    parts = -(-few.count() // rows)
+    e = cut(few.coalesce(max(1, parts)).mapInArrow(forest(rows), f"a {kind}, b {kind}"))
+    labels = e.select(F.col("a").alias("node"), F.col("b").alias("group")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("group"))).groupBy("node").agg(F.min("group").alias("group"))
+    if parts <= 1:
+        return labels
+    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    while True:
+        labels = cut(labels)
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("group").alias("m"))
+        step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("group", F.coalesce("m", "group")).alias("g"), F.col("group").alias("was"))
+        jump = step.select(F.col("node").alias("g"), F.col("g").alias("gg"))
+        after = cut(step.join(jump, "g", "left").select("node", F.least("g", F.coalesce("gg", "g")).alias("group"), "was"))
+        labels = after.select("node", "group")
+        if not after.where("group <> was").limit(1).count():
+            return labels
+
+
+def linked_groups(records: DataFrame, item: str, keys: list[str], rows: int = LINKS) -> DataFrame:
     """(item, group): records that share a value of any key, directly or over others, get the smallest item of all as group.
 
-    Labels spread from records to key values and back; both steps are map-side combined minima. Each round also follows the label's
-    own label, so the rounds grow with the logarithm of the longest chain in practice.
+    Each task first links what it holds, `rows` links at a time, so a value that any number of records share leaves it as one row, and
+    its records as rows of their smallest one. Only values and records that several chunks hold are linked between tasks.
     """
+    kind = records.schema[item].dataType.simpleString()
     values = [F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys]
-    pairs = cut(records.select(item, F.explode(F.array(*values)).alias("link")).where("link.v IS NOT NULL").select(item, "link.k", "link.v"))
-    labels = cut(records.select(item, F.col(item).alias("group")).distinct())
-    while True:
-        by_value = pairs.join(labels, item).groupBy("k", "v").agg(F.min("group").alias("m"))
-        low = pairs.join(by_value, ["k", "v"]).groupBy(item).agg(F.min("m").alias("m"))
-        step = labels.join(low, item, "left").select(item, F.least("group", F.coalesce("m", "group")).alias("g"))
-        jump = step.select(F.col(item).alias("g"), F.col("g").alias("gg"))
-        after = cut(step.join(jump, "g", "left").select(item, F.least("g", F.coalesce("gg", "g")).alias("group")))
-        same = after.join(labels.withColumnRenamed("group", "old"), item).where("`group` <> old").limit(1).count() == 0
-        labels = after
-        if same:
-            return labels
+    pairs = records.select(F.col(item).alias("item"), F.explode(F.array(*values)).alias("link")).where("link.v IS NOT NULL AND item IS NOT NULL").select("item", "link.k", "link.v")
+    held = cut(pairs.mapInArrow(linked_here(rows), f"item {kind}, root {kind}, k string, v string"))
+    own, shared = held.where("v IS NULL").select("item", "root"), held.where("v IS NOT NULL").select("k", "v", "root")
+    low = shared.groupBy("k", "v").agg(F.min("root").alias("b"), F.count("*").alias("n")).where("n > 1")
+    apart = own.groupBy("item").agg(F.min("root").alias("b"), F.max("root").alias("top"), F.count("*").alias("n")).where("n > 1 AND b <> top").select("item", "b")
+    links = shared.join(low, ["k", "v"]).select(F.col("root").alias("a"), "b").unionByName(own.join(apart, "item").select(F.col("root").alias("a"), "b"))
+    labels = spread(links.distinct(), kind, rows)
+    first = own.groupBy("item").agg(F.min("root").alias("root"))
+    found = first.join(labels, F.col("root") == F.col("node"), "left").select("item", F.coalesce("group", "root").alias("_g"))
+    every = records.select(item).distinct()
+    return every.join(found, F.col(item) == F.col("item"), "left").select(every[item], F.coalesce("_g", every[item]).alias("group"))
 
 
 def grouped_holdout(groups: DataFrame, fraction: float, seed: str) -> DataFrame:
@@ -73,38 +171,3 @@ def temporal_holdout(rows: DataFrame, group: str, at: str, target: int | None =
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     taken = F.col("_base") + F.coalesce(F.sum("n").over(w), F.lit(0))
     return laid.join(base, "_part").select(group, F.when(taken < target, "holdout").otherwise("development").alias("split"))
-
-
-def brought_in(edges: DataFrame, merges: DataFrame, order: DataFrame, most: int | None = 25) -> DataFrame:
-    """(merge, node): commits that a merge (merge, first_parent) reaches and its first parent does not; a null node for a merge that
-    brings in more than `most`, and no row for one that brings in nothing.
-
-    order (node, place) gives every commit a place after all its parents. All merges are walked at once, a generation a round. On the
-    side of the other parents everything is walked that the first parent is not yet known to reach; on the first parent's side only
-    what lies above the lowest of those, as nothing below can lead there. So a walk ends near the merge base, whatever is below it.
-    A merge is given up once more than `most` commits are sure to be brought in.
-    """
-    side = F.col("other") & ~F.col("own")
-    start = merges.join(edges, F.col("merge") == F.col("child")).select("merge", F.col("parent").alias("node"), (F.col("parent") == F.col("first_parent")).alias("own"))
-    seen = start.groupBy("merge", "node").agg(F.bool_or("own").alias("own"), F.bool_or(~F.col("own")).alias("other")).join(order, "node")
-    seen = seen.select("merge", "node", "place", "own", "other", F.lit(True).alias("open"))
-    while True:
-        seen = cut(seen)
-        facts = seen.groupBy("merge").agg(F.min(F.when(side, F.col("place"))).alias("low"), F.max(F.when(F.col("own") & F.col("open"), F.col("place"))).alias("top"))
-        state = seen.join(facts, "merge")
-        sure = side & (F.col("top").isNull() | (F.col("place") >= F.col("top")))
-        over = state.groupBy("merge").agg((F.count_if(sure) > (2**62 if most is None else most)).alias("over"))
-        state = state.join(over, "merge")
-        go = F.col("open") & F.col("low").isNotNull() & ~F.col("over") & (side | (F.col("own") & (F.col("place") > F.col("low"))))
-        state = cut(state.withColumn("go", go))
-        walked = state.where("go")
-        if walked.limit(1).count() == 0:
-            declined = state.where("over").select("merge", F.lit(None).cast(state.schema["node"].dataType).alias("node")).distinct()
-            return state.where(side & ~F.col("over")).select("merge", "node").unionByName(declined)
-        new = walked.join(edges, walked["node"] == edges["child"]).select("merge", F.col("parent").alias("node"), "own", "other").join(order, "node")
-        old = state.select("merge", "node", "place", "own", "other", (F.col("open") & ~F.col("go")).alias("open"), F.lit(True).alias("known"))
-        both = old.unionByName(new.select("merge", "node", "place", "own", "other", F.lit(True).alias("open"), F.lit(False).alias("known")))
-        was = lambda c: F.bool_or(F.when(F.col("known"), F.col(c))).alias(f"was_{c}")
-        merged = both.groupBy("merge", "node", "place").agg(F.bool_or("own").alias("own"), F.bool_or("other").alias("other"), was("own"), was("other"), was("open"))
-        changed = F.col("was_own").isNull() | (F.col("own") != F.col("was_own")) | (F.col("other") != F.col("was_other"))
-        seen = merged.select("merge", "node", "place", "own", "other", (changed | F.coalesce("was_open", F.lit(False))).alias("open"))

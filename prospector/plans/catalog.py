@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospector.functions import diffs, stats, text
-from prospector.operators import context, evaluation, graph, logs, reports, runs
+from prospector.operators import context, evaluation, graph, logs, reach, reports, runs
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -41,7 +41,10 @@ def choose_sql(values, k: str) -> str:
 
 
 def decisions(spark, d) -> DataFrame:
-    e = load(spark, d, "events")
+    return decided(load(spark, d, "events"))
+
+
+def decided(e: DataFrame) -> DataFrame:
     verdict = F.when(C("event_type").isin("click", "purchase"), "YES").when(C("event_type") == "view", "NO").when(C("event_type") == "error", "ERROR").otherwise("ABSTAIN")
     truth = F.when(C("value") > 70, "fix").when(C("value") > 30, "context").when(C("value") > 5, "other").otherwise("backport")
     return e.select(C("event_id").alias("seq"), F.concat(F.lit("r"), C("user_id") % 7).alias("repository"), C("user_id").alias("item"), C("event_type").alias("run"), verdict.alias("prediction"), truth.alias("truth"), "value", "ts")
@@ -567,7 +570,7 @@ def brought_in(spark, d):
     """What each merge brings in: by the way the history is made, the two commits of its branch."""
     o = load(spark, d, "orders")
     m = o.where("o_orderkey % 10 = 6").select(C("o_orderkey").alias("merge"), (C("o_orderkey") - 1).alias("first_parent"))
-    return graph.brought_in(edges(spark, d), m, o.select(C("o_orderkey").alias("node"), C("o_orderkey").alias("place"))).select("merge", "node")
+    return reach.brought_in(edges(spark, d), m, o.select(C("o_orderkey").alias("node"), C("o_orderkey").alias("place"))).select("merge", "node")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

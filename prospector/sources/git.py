@@ -13,7 +13,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -201,13 +201,65 @@ class GitReader(DataSourceReader):
         return [Slice(shas[k : k + self.slice], k) for k in range(0, len(shas), self.slice)] or [Slice([])]
 
     def read(self, partition):
-        if not partition.shas:
-            return
-        for place, frame in enumerate(frames(streamed(self.path, partition.shas, self.patches), self.most + FIELD_BYTES), partition.place):
-            *columns, patch, truncated = decoded(*frame)
-            cut = truncated or len(patch) > self.most
-            same = git(self.path, "patch-id", "--stable", stdin=patch).decode().split()[:1] if self.patch_ids and patch and not cut else []
-            yield (*columns, patch[: self.most], same[0] if same else None, place, cut)
+        yield from records(self.path, partition, self.patches, self.patch_ids, self.most)
+
+
+def records(path: str, part: Slice, patches: bool, patch_ids: bool, most: int) -> Iterator[tuple]:
+    """The rows of a slice of commits, from one process and one commit at a time."""
+    if not part.shas:
+        return
+    for place, frame in enumerate(frames(streamed(path, part.shas, patches), most + FIELD_BYTES), part.place):
+        *columns, patch, truncated = decoded(*frame)
+        cut = truncated or len(patch) > most
+        same = git(path, "patch-id", "--stable", stdin=patch).decode().split()[:1] if patch_ids and patch and not cut else []
+        yield (*columns, patch[:most], same[0] if same else None, place, cut)
+
+
+class GitStream(DataSourceStreamReader):
+    """Commits as they come. Options: path; refs, a pattern of references (refs/heads); slice, patches, patch_ids and max_patch_bytes as
+    for a batch; after, revisions with blanks between, whose history is not read.
+
+    An offset is the set of heads that has been read. A batch holds what the new heads reach and the old ones don't, oldest first, so
+    each commit comes once, whatever branches are made, merged or moved, and a restart goes on from the heads in its checkpoint. Old heads
+    that are no longer in the repository are left out; commits that only they reached and that are still there come no second time
+    only if another old head reaches them.
+    """
+
+    def __init__(self, options):
+        self.path, self.refs = options["path"], options.get("refs", "refs/heads")
+        if self.refs.startswith("-"):
+            raise ValueError("not a pattern of references")
+        self.after = [resolve(self.path, r) for r in options.get("after", "").split()]
+        self.patch_ids, self.patches = options.get("patch_ids", "false") == "true", options.get("patches", "true") == "true"
+        self.slice, self.most = int(options.get("slice", 500)), int(options.get("max_patch_bytes", PATCH_BYTES))
+
+    def initialOffset(self) -> dict:
+        return {"heads": " ".join(sorted(self.after))}
+
+    def latestOffset(self) -> dict:
+        heads = git(self.path, "for-each-ref", "--format=%(objectname) %(*objectname)", self.refs).decode().splitlines()
+        return {"heads": " ".join(sorted({h.split()[-1] for h in heads} | set(self.after)))}
+
+    def partitions(self, start: dict, end: dict):
+        old, new = (self.there(o["heads"].split()) for o in (start, end))
+        if not new:
+            return []
+        asked = "\n".join([*new, *(f"^{h}" for h in old)]).encode()
+        shas = git(self.path, "rev-list", "--topo-order", "--date-order", "--reverse", "--stdin", stdin=asked).decode().split()
+        return [Slice(shas[k : k + self.slice], k) for k in range(0, len(shas), self.slice)]
+
+    def there(self, heads: list[str]) -> list[str]:
+        """Those of heads that are commits of the repository."""
+        if not heads:
+            return []
+        said = git(self.path, "cat-file", "--batch-check=%(objectname) %(objecttype)", stdin="\n".join(heads).encode()).decode().splitlines()
+        return [line.split()[0] for line in said if line.endswith(" commit")]
+
+    def read(self, partition):
+        yield from records(self.path, partition, self.patches, self.patch_ids, self.most)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for batches that are done."""
 
 
 def commit_at(spark: SparkSession, path: str, revision: str, patches: bool = True) -> DataFrame:
@@ -216,7 +268,7 @@ def commit_at(spark: SparkSession, path: str, revision: str, patches: bool = Tru
 
 
 class GitSource(DataSource):
-    """spark.dataSource.register(GitSource); spark.read.format("git_commits").option("path", ...).load()"""
+    """spark.dataSource.register(GitSource); spark.read or spark.readStream .format("git_commits").option("path", ...).load()"""
 
     @classmethod
     def name(cls) -> str:
@@ -228,6 +280,9 @@ class GitSource(DataSource):
     def reader(self, schema):
         return GitReader(self.options)
 
+    def streamReader(self, schema):
+        return GitStream(self.options)
+
 
 class FilesReader(DataSourceReader):
     """Options: path; revision (HEAD); prefix; max_paths, more fail; max_bytes, larger files have null content; slice."""

@@ -195,37 +195,6 @@ def test_hunks(spark):
     assert [normal(x, p) for x, p in (("  a  b ", "x.py"), ("  a  b ", "x.go"), ("  a  b ", "x.md"), ("# Title", "x.md"), ("# t", "x.py"), ("#!/x", "x.sh"), ("//go:build x", "x.go"), ("// y", "x.go"), ("  ", "x.c"))] == ["2:a  b", "a b", "  a  b", "# Title", None, "#!/x", "//go:build x", None, None]
 
 
-def brute_brought_in(parents, merge):
-    def reach(x):
-        todo, seen = [x], set()
-        while todo:
-            y = todo.pop()
-            if y not in seen:
-                seen.add(y)
-                todo += parents[y]
-        return seen
-
-    return reach(merge) - reach(parents[merge][0]) - {merge}
-
-
-def test_brought_in_of_any_history(spark):
-    import random
-
-    r = random.Random(4)
-    parents = {0: []}
-    for k in range(1, 160):
-        near = lambda: r.randrange(max(0, k - r.choice([2, 6, 30])), k)  # noqa: E731, B023
-        parents[k] = list(dict.fromkeys(near() for _ in range(r.choice([1, 1, 2, 3]))))
-    edges = spark.createDataFrame([(k, p) for k, ps in parents.items() for p in ps], "child int, parent int")
-    merges = spark.createDataFrame([(k, ps[0]) for k, ps in parents.items() if len(ps) > 1], "merge int, first_parent int")
-    order = spark.createDataFrame([(k, k) for k in parents], "node int, place int")
-    got = {}
-    for row in graph.brought_in(edges, merges, order, 6).collect():
-        got.setdefault(row["merge"], set()).add(row["node"])
-    want = {k: brute_brought_in(parents, k) for k, ps in parents.items() if len(ps) > 1}
-    assert got == {k: v if len(v) <= 6 else {None} for k, v in want.items() if v} and {None} in got.values()
-
-
 EVIDENCE = "array<struct<revision:string,revision_sha:string,path:string,start_line:int,end_line:int,quoted_span:string>>"
 
 
