@@ -21,39 +21,41 @@ BLOCK = 500_000
 WIDTH = 4096
 
 
+def parents_here(place: np.ndarray, up: pa.ChunkedArray, order: np.ndarray) -> np.ndarray:
+    """For each of a block's ascending places the number of its parent there, -1 for none."""
+    at = np.searchsorted(place, up.fill_null(0).to_numpy()[order])
+    here = up.is_valid().to_numpy()[order] & (at < len(place))
+    here &= place[np.where(here, at, 0)] == up.fill_null(0).to_numpy()[order]
+    return np.where(here, at, -1)
+
+
 def within(batches):
     """For each commit of a block (place, up), up the place of its first parent or null: the commit that its chain of first parents leaves
     the block at, and the steps to it."""
     table = pa.Table.from_batches(list(batches)) if batches else None
     if table is None or not table.num_rows:
         return
-    place, up = table["place"].to_numpy(), table["up"].fill_null(-1).to_numpy()
-    order = np.argsort(place)
-    place, up = place[order], up[order]
-    at = np.searchsorted(place, up)
-    here = (up >= 0) & (at < len(place)) & (place[np.minimum(at, len(place) - 1)] == up)
+    order = np.argsort(table["place"].to_numpy())
+    place = table["place"].to_numpy()[order]
     base, steps = list(range(len(place))), [0] * len(place)
-    for i, p in enumerate(np.where(here, at, -1).tolist()):  # a parent's place is lower
+    for i, p in enumerate(parents_here(place, table["up"], order).tolist()):  # a parent's place is lower
         if p >= 0:
             base[i], steps[i] = base[p], steps[p] + 1
     n = len(place)
-    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(up), pa.array(place[base]), pa.array(steps, pa.int64()), pa.array(np.full(n, TaskContext.get().partitionId()))], names=["place", "up", "base", "steps", "block"])
+    yield pa.RecordBatch.from_arrays([pa.array(place), table["up"].take(pa.array(order)).combine_chunks(), pa.array(place[base]), pa.array(steps, pa.int64()), pa.array(np.full(n, TaskContext.get().partitionId()))], names=["place", "up", "base", "steps", "block"])
 
 
 def deepest(block: pa.Table) -> pa.Table:
     """For each commit of a block (place, up, depth, leaf_depth, leaf): the deepest commit that reaches it over first parents. Rows of
     depth null say what a child in another block brings to place."""
     own = block.filter(pa.compute.is_valid(block["depth"]))
-    place, up, depth = (own[c].to_numpy() for c in ("place", "up", "depth"))
-    order = np.argsort(place)
-    place, up, depth = place[order], up[order], depth[order]
+    order = np.argsort(own["place"].to_numpy())
+    place, depth = own["place"].to_numpy()[order], own["depth"].to_numpy()[order]
     best = list(zip(depth.tolist(), place.tolist(), strict=True))
     brought = block.filter(pa.compute.is_null(block["depth"]))
     for i, d, leaf in zip(np.searchsorted(place, brought["place"].to_numpy()).tolist(), brought["leaf_depth"].to_pylist(), brought["leaf"].to_pylist(), strict=True):
         best[i] = max(best[i], (d, leaf))
-    at = np.searchsorted(place, up)
-    here = (up >= 0) & (at < len(place)) & (place[np.minimum(at, len(place) - 1)] == up)
-    for i, p in reversed(list(enumerate(np.where(here, at, -1).tolist()))):
+    for i, p in reversed(list(enumerate(parents_here(place, own["up"], order).tolist()))):
         if p >= 0 and best[i] > best[p]:
             best[p] = best[i]
     return pa.table({"place": place, "chain": pa.array([leaf for _, leaf in best], pa.int64()), "pos": depth})
@@ -61,7 +63,7 @@ def deepest(block: pa.Table) -> pa.Table:
 
 def index(edges: DataFrame, order: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(nodes, crossings) of edges (child, parent, and k, a parent's number, where the first parent is to be followed) and order (node,
-    place), places whole numbers from 0, each after those of all parents.
+    place), places whole numbers, each after those of all parents.
 
     nodes (node, place, chain, pos): a commit's chain, named by its last commit's place, and its place there, growing by one a commit.
     crossings (chain, place, to_chain, to_place, to_pos): edges that leave a chain. Parents without a place are left out.
@@ -76,7 +78,7 @@ def index(edges: DataFrame, order: DataFrame, block: int = BLOCK) -> tuple[DataF
     first = lines.groupBy("place").agg(F.min_by("up", F.struct("k", -F.col("up"))).alias("up"))
     blocks = max(1, -(-spots.count() // block))
     local = cut(spots.select("place").join(first, "place", "left").repartitionByRange(blocks, "place").mapInArrow(within, "place long, up long, base long, steps long, block long"))
-    ways = local.where("place = base AND up >= 0").select("base", "up")
+    ways = local.where("place = base AND up IS NOT NULL").select("base", "up")
     out = local.select(F.col("place").alias("up"), F.col("base").alias("to"), F.col("steps") + 1)
     ways = cut(ways.join(out.toDF("up", "to", "far"), "up").select("base", "up", "to", "far"))
     tops = local.groupBy("base").agg(F.max(F.struct("steps", "place")).alias("top"))

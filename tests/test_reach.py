@@ -26,7 +26,7 @@ def frames(spark, parents, name=lambda k: k):
     kind = "int" if isinstance(name(0), int) else "string"
     edges = spark.createDataFrame([(name(k), i, name(p)) for k, ps in parents.items() for i, p in enumerate(ps)], f"child {kind}, k int, parent {kind}")
     merges = spark.createDataFrame([(name(k), name(ps[0])) for k, ps in parents.items() if len(ps) > 1], f"merge {kind}, first_parent {kind}")
-    return edges, merges, spark.createDataFrame([(name(k), k) for k in parents], f"node {kind}, place int")
+    return edges, merges, spark.createDataFrame([(name(k), k - 100) for k in parents], f"node {kind}, place int")
 
 
 def any_history(seed, n):
@@ -84,7 +84,7 @@ def test_chains_are_ways_of_first_parents(spark):
     for p in parents:  # of the commits that follow one, that with the deepest way is in its chain, and no other
         below = [k for k, ps in parents.items() if ps[:1] == [p]]
         if below:
-            best = max(below, key=lambda k: (deep[at[k][0]], at[k][0]))
+            best = max(below, key=lambda k: (deep[at[k][0] + 100], at[k][0]))
             assert [k for k in below if at[k][0] == at[p][0]] == [best]
     assert {(r["chain"], r["to_chain"]) for r in crossings.collect()} == {(at[k][0], at[p][0]) for k, ps in parents.items() for p in ps if at[k][0] != at[p][0]}
 
