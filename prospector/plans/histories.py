@@ -1,11 +1,14 @@
-"""Queries over histories made of all orders or all line items, beside their SQL: long branches, blame in runs, and hot links."""
+"""Queries over histories made of all orders or all line items, beside their SQL: long branches, blame in runs, hot links, and profiles over parts."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from prospector.operators import attribution, graph, reach
+from prospector.operators import attribution, graph, profiled, reach
 from prospector.plans.catalog import C, load, query
+from prospector.plans.corpus import sample_diffs
 
 
 def two_lines(spark, d):
@@ -76,3 +79,32 @@ def groups_of_long_ways(spark, d):
     place = F.when(k % 5 > 0, F.floor(k / 1000) * 800 + F.floor((k % 1000) / 5) * 4 + k % 5 - 1)
     o = load(spark, d, "orders").select(k.alias("id"), F.concat(F.floor(k / 1000), F.lit(":"), F.floor(place / 2)).alias("a"), F.concat(F.floor(k / 1000), F.lit(":"), F.floor((place + 1) / 2)).alias("b"))
     return graph.linked_groups(o, "id", ["a", "b"])
+
+
+INPUTS = """x AS (SELECT p_partkey AS seq, p_partkey % 5 AS c, CASE WHEN p_partkey % 5 = 2 THEN '' ELSE p_name END AS name FROM part),
+  y AS (SELECT *, unnest(['D0', 'D1']) AS profile FROM x), z AS (SELECT *, c < 2 OR (c = 2 AND profile = 'D0') AS ready FROM y)"""
+
+
+def answer(text: str) -> dict:
+    return {"text": "YES" if "e" in text.rpartition("\n+")[2] else "NO", "usage": {"total_tokens": len(text)}}
+
+
+def two_runs(spark, d):
+    """Profiles run over even parts, and then over all of them with what was decided."""
+    diffs = sample_diffs(spark, d).withColumn("message", F.lit(""))
+    cache = profiled.Decisions(spark, f"{graph.shared_dir(spark)}/decisions-{uuid.uuid4().hex}")
+    profiled.run_profiles(diffs.where("seq % 2 = 0"), answer, cache, ("D0", "D1"), key="seq")
+    return profiled.run_profiles(diffs, answer, cache, ("D0", "D1"), key="seq")
+
+
+@query(f"""WITH {INPUTS} SELECT seq, profile, CASE WHEN ready THEN CASE WHEN contains(CASE c WHEN 2 THEN 'b' ELSE name END, 'e') THEN 'YES' ELSE 'NO' END END AS verdict,
+  CASE WHEN ready THEN bool_or(seq % 2 = 0) OVER w OR seq > min(seq) OVER w END AS cache_hit FROM z WINDOW w AS (PARTITION BY profile, c, name)""")
+def profile_runs(spark, d):
+    """Every part's decisions, and which of them needed no call: known from the first run, or shared with a part before it."""
+    return two_runs(spark, d).select("seq", "profile", "verdict", "cache_hit")
+
+
+@query(f"""WITH {INPUTS}, h AS (SELECT *, bool_or(seq % 2 = 0) OVER w OR seq > min(seq) OVER w AS hit, contains(CASE c WHEN 2 THEN 'b' ELSE name END, 'e') AS yes FROM z WINDOW w AS (PARTITION BY profile, c, name))
+  SELECT profile, count(*) AS commits, count(*) FILTER (ready) AS decided, count(*) FILTER (ready AND NOT hit) AS asked, count(*) FILTER (ready AND hit) AS reused, count(*) FILTER (ready AND yes) AS yes FROM h GROUP BY profile""")
+def profile_run_costs(spark, d):
+    return profiled.profile_costs(two_runs(spark, d)).drop("tokens")
