@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospector.functions import stats
-from prospector.functions.text import prediction_literal, truth_literal
+from prospector.functions.text import prediction_literal, stable_score, truth_literal
 
 
 def confusion(rows: DataFrame, *by: str, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
@@ -114,3 +117,62 @@ def block_bootstrap(rows: DataFrame, block: str = "repository", samples: int = 2
     drawn = spark.range(samples if len(table) else 0).mapInPandas(draw, "recall double, fpr double")
     rank = lambda c, p: F.element_at(F.array_sort(F.collect_list(c)), (F.bround((F.count(c) - 1) * p) + 1).cast("int"))
     return drawn.agg(*[F.when(F.count(c) > 0, rank(c, p)).alias(f"{c}_{name}") for c in ("recall", "fpr") for name, p in (("low", 0.025), ("high", 0.975))])
+
+
+#: Draws of one block in one sample, at most; more have a chance below 10^-15.
+MOST_DRAWS = 17
+
+
+def poisson_weight(share: Column) -> Column:
+    """How often a block is drawn: the number of Poisson(1) for a share of [0, 1), by its cumulative chances."""
+    total, each, steps = 0.0, math.exp(-1.0), []
+    for k in range(1, MOST_DRAWS + 1):
+        total += each
+        each /= k
+        steps.append(F.when(share >= F.lit(total), 1).otherwise(0))
+    return functools.reduce(lambda a, b: a + b, steps)
+
+
+def nearest_rank(values: Column, p: float) -> Column:
+    """The value at the nearest rank of a share p of the values that are not null."""
+    return F.element_at(F.array_sort(F.collect_list(values)), (F.bround((F.count(values) - 1) * p) + 1).cast("int"))
+
+
+def poisson_bootstrap(rows: DataFrame, block: str = "repository", samples: int = 2000, seed: str = "7", alpha: float = 0.05) -> DataFrame:
+    """Intervals of recall and false positive rate over resampled blocks, for any number of blocks.
+
+    Every block draws for itself how often it is in each sample, by a hash of seed, sample and block, so nothing is gathered to draw from:
+    counts of a block are weighed where they lie and tasks sum them up by sample before they are shuffled. The same blocks give the same
+    draws whatever their order or partitions. Percentiles are nearest ranks of at most `samples` values.
+    """
+    counts = confusion(rows, block).select(block, "tp", (F.col("tp") + F.col("fn") + F.col("uncovered_positive")).alias("pos"), "fp", (F.col("fp") + F.col("tn") + F.col("uncovered_negative")).alias("neg"))
+    each = counts.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    share = stable_score(seed, F.concat_ws("|", F.col("sample").cast("string"), F.coalesce(F.col(block).cast("string"), F.lit(""))))
+    drawn = each.withColumn("w", poisson_weight(share)).where("w > 0")
+    sums = drawn.groupBy("sample").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "pos", "fp", "neg")])
+    rates = sums.select(stats.rate(F.col("tp"), F.col("pos")).alias("recall"), stats.rate(F.col("fp"), F.col("neg")).alias("fpr"))
+    ends = (("low", alpha / 2), ("high", 1 - alpha / 2))
+    return rates.agg(*[F.when(F.count(c) > 0, nearest_rank(F.col(c), p)).alias(f"{c}_{name}") for c in ("recall", "fpr") for name, p in ends])
+
+
+# --- keys of any type
+
+#: Names of the kinds of a JSON value, by how the schema of a variant begins; other numbers are floats.
+KINDS = {"VOID": "NoneType", "BOOLEAN": "bool", "BIGINT": "int", "STRING": "str", "ARRAY": "list", "OBJECT": "dict"}
+
+
+def any_key(value: Column) -> Column:
+    """(kind, text) of a JSON value: what tells keys of mixed types apart and orders them, first by the kind's name and then by the text.
+    1 and "1" and true are three keys; null and what is no JSON are none."""
+    v = F.try_parse_json(value)
+    schema = F.schema_of_variant(v)
+    kind = F.coalesce(*[F.when(schema.startswith(start), name) for start, name in KINDS.items()], F.when(schema.isNotNull(), "float"), F.lit("NoneType"))
+    return F.struct(kind.alias("kind"), F.coalesce(F.to_json(v), F.lit("null")).alias("text"))
+
+
+def confusion_by_any(rows: DataFrame, key: Column) -> DataFrame:
+    """confusion() for each value of a JSON key of any type, as place, kind and text; place is the key's in the order of any_key(). key is
+    any expression over rows."""
+    held = confusion(rows.withColumn("_key", any_key(key)).withColumns({"kind": F.col("_key.kind"), "text": F.col("_key.text")}), "kind", "text")
+    places = held.select("kind", "text").withColumn("place", F.row_number().over(Window.orderBy("kind", "text")) - 1)  # one row a stratum
+    return held.join(places, ["kind", "text"]).select("place", *held.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -192,6 +193,29 @@ def block_bootstrap(spark, d):
 
 
 QUERIES["block_bootstrap"] = block_bootstrap
+SHARE = "CAST('0x' || substr(sha256('7' || chr(0) || sample || '|' || {0}), 1, 13) AS BIGINT) / pow(2, 52)"
+DRAWS = " + ".join(f"CAST({SHARE.format('item')} >= {sum(math.exp(-1) / math.factorial(j) for j in range(k))!r} AS INT)" for k in range(1, 14))
+
+
+@query(f"""WITH {DECISIONS}, {MEANING}, c AS (SELECT item, {COUNTS} FROM m GROUP BY item), n AS (SELECT item, tp, tp + fn + uncovered_positive AS pos, fp, fp + tn + uncovered_negative AS neg FROM c),
+  w AS (SELECT *, {DRAWS} AS w FROM n, (SELECT unnest(range(1, 201)) AS sample)), s AS (SELECT sample, sum(w * tp) AS tp, sum(w * pos) AS pos, sum(w * fp) AS fp, sum(w * neg) AS neg FROM w GROUP BY sample),
+  r AS (SELECT list_sort(list(tp / pos)) AS recall, list_sort(list(fp / neg)) AS fpr, count(*) AS n FROM s)
+  SELECT {', '.join(f'round({c}[CAST(round_even((n - 1) * {p}, 0) AS INTEGER) + 1], 9) AS {c}_{end}' for c in ('recall', 'fpr') for end, p in (('low', 0.025), ('high', 0.975)))} FROM r""")
+def poisson_bootstrap(spark, d):
+    """Intervals over users as blocks, whose draws follow from hashes."""
+    return rounded(evaluation.poisson_bootstrap(decisions(spark, d), "item", 200))
+
+
+JSON_KEY = "CASE seq % 6 WHEN 0 THEN '1' WHEN 1 THEN '\"1\"' WHEN 2 THEN 'true' WHEN 3 THEN 'null' WHEN 4 THEN '1.5' ELSE '\"' || run || '\"' END"
+
+
+@query(f"""WITH {DECISIONS}, {MEANING}, c AS (SELECT {JSON_KEY} AS text, {COUNTS} FROM m GROUP BY ALL), k AS (SELECT *, CASE WHEN text[1] = '"' THEN 'str' WHEN text = 'true' THEN 'bool' WHEN text = 'null' THEN 'NoneType' WHEN text = '1' THEN 'int' ELSE 'float' END AS kind FROM c)
+  SELECT CAST(row_number() OVER (ORDER BY kind, text) - 1 AS INTEGER) AS place, kind, text, tp, fn, fp, tn FROM k""")
+def summary_by_any_key(spark, d):
+    """Strata by a JSON value whose type changes from row to row, in a stable order."""
+    k = C("seq") % 6
+    key = F.when(k == 0, "1").when(k == 1, '"1"').when(k == 2, "true").when(k == 3, "null").when(k == 4, "1.5").otherwise(F.concat(F.lit('"'), "run", F.lit('"')))
+    return evaluation.confusion_by_any(decisions(spark, d), key).select("place", "kind", "text", "tp", "fn", "fp", "tn")
 
 
 @query(f"""WITH {DECISIONS}, g AS (SELECT item, CASE prediction WHEN 'YES' THEN true WHEN 'NO' THEN false END AS v FROM dec)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospector.functions import stats, text
 from prospector.operators import evaluation, graph, logs
-from prospector.plans import catalog, contexts, corpus, reports, runs, states  # noqa: F401  the others add their queries to the catalog
+from prospector.plans import catalog, contexts, corpus, histories, reports, reviews, runs, states, streams  # noqa: F401  the others add their queries to the catalog
 from prospector.sources import records
 from prospector.sources.git import GitSource
 from prospector.streaming import stages
@@ -252,3 +252,18 @@ def test_profiles(spark):
     got = [tuple(x) for x in one(spark, diffs.changed_paths(F.lit(patch)))]
     assert got == [("R100", "é", "o"), ("A", "k k", None), ("D", "d", None), ("M", "m", None)]
     assert diffs.names_of('diff --git "a/x y" "b/x y"\n') == ("x y", "x y", "x y") and diffs.names_of("diff --cc z\n")[2] == "z"
+
+
+def test_poisson_weights_and_keys_of_any_type(spark):
+    import math
+
+    share = spark.range(20_000).select(((F.col("id") + 0.5) / 20_000).alias("u"))
+    drawn = {r["w"]: r["n"] for r in share.groupBy(evaluation.poisson_weight(F.col("u")).alias("w")).agg(F.count("*").alias("n")).collect()}
+    assert all(abs(drawn[k] / 20_000 - math.exp(-1) / math.factorial(k)) < 1e-4 for k in range(6))
+    rows = spark.createDataFrame([(f"r{k}", "fix" if k % 3 else "context", "YES" if k % 2 else "NO") for k in range(60)], "repository string, truth string, prediction string")
+    one = evaluation.poisson_bootstrap(rows, samples=200).first()
+    assert one == evaluation.poisson_bootstrap(rows.repartition(7), samples=200).first() and one["recall_low"] < 0.5 < one["recall_high"]
+    assert tuple(evaluation.poisson_bootstrap(rows.limit(0), samples=5).first()) == (None,) * 4
+    keys = spark.createDataFrame([(x, "fix", "YES") for x in ("2", "10", '"a"', "true", "null", None, "oops", "1.5", "[1]", '{"a":1}', '"2"', "2")], "k string, truth string, prediction string")
+    got = evaluation.confusion_by_any(keys, F.col("k")).orderBy("place").select("kind", "text", "tp").collect()
+    assert [tuple(r) for r in got] == [("NoneType", "null", 3), ("bool", "true", 1), ("dict", '{"a":1}', 1), ("float", "1.5", 1), ("int", "10", 1), ("int", "2", 2), ("list", "[1]", 1), ("str", '"2"', 1), ("str", '"a"', 1)]
