@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospector.llm.common import table
+from prospector.llm.common import fresh, table
 
 #: Words that may be inserted, deleted or replaced, as a share of the item's words.
 BUDGET = 0.2
@@ -99,9 +99,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, into: str = "leaks", text_col:
     Words are runs of letters and digits in lower case, so case and punctuation don't count. An item of n words is found where
     at most int(BUDGET * n) words differ. Split into one piece more than that, at least one piece stands unchanged in a match.
     Null and empty texts hold nothing, long ones are searched whole; items without words match nothing. Repeated items are reported each.
-    No rows: none. A column named as `into` is refused.
+    No rows: none. A column named as `into`, in any case, is refused.
     """
-    if into in docs.columns:
+    if fresh(docs, into) != into:
         raise ValueError(f"docs has a column {into}")
     items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -57,17 +57,17 @@ def fingerprint(text: bytes | None) -> int:
     return int((set_ << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs but the text, and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fp") -> DataFrame:
+    """All columns of docs but the text, and the fingerprint as a signed long in a column that docs has not."""
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(len(rest))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(fps)], names=[*rest, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(fps)], names=[*rest, into])
 
     light = docs.select(*rest)
-    return docs.select(*rest, F.col(text_col).cast("binary")).mapInArrow(run, with_field(light.schema, "fp", LongType()))
+    return docs.select(*rest, F.col(text_col).cast("binary")).mapInArrow(run, with_field(light.schema, into, LongType()))
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -313,20 +313,23 @@ def as_bits(fp: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """All columns of docs (doc_id, text, and others) but the text, with fp, root and component_id, for every row.
+    """All columns of docs (doc_id, text, and others) but the text, with fp, root and component_id, for every row; one that docs has in any
+    case gets underscores after its name.
 
     component_id is the smallest doc_id reachable over links of at most RADIUS bits, root the smallest fingerprint. Equal
     fingerprints meet first, so copies never make pairs. Null and empty text: fingerprint zero, linked like any other. A null id
     takes part, but is never the smallest; a component of null ids only has a null id. Long texts count whole. No rows: none.
     """
-    fps = cut(fingerprints(docs))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    fp, root, component = (fresh(docs, n) for n in ("fp", "root", "component_id"))
+    fps = cut(fingerprints(docs, into=fp))
+    distinct = cut(fps.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("low")))
     points = distinct.select(F.col("fp").alias("id"), as_bits("fp").alias("bits"))
     roots = components(links(points, BLOCKS, NEAR, RADIUS, 1, 1).select("a", "b"))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
-    return fps.join(named, fps["fp"] == named["_fp"]).drop("_fp")
+    own = fresh(fps, "_fp")
+    named = named.join(lowest, "root").select(F.col("fp").alias(own), F.col("root").alias(root), F.col("component_id").alias(component))
+    return fps.join(named, F.col(fp) == F.col(own)).drop(own)
 
 
 # --- documents of similar shingle sets

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from prospector.llm.common import crc_mod, table, with_field
+from prospector.llm.common import crc_mod, fresh, table, with_field
 
 #: Labelled rows of either class that the fit reads at most, the first by a hash of their id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 4_000
@@ -236,9 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 def score(docs: DataFrame, scorer: Scorer, into: str = "toxicity", text_col: str = "text") -> DataFrame:
     """All columns of docs and the score of the whole text, 0 to 1; null and empty texts score as texts without a matched clause.
 
-    Long texts count whole; rows repeated whole get one score; no rows: none. A column named as `into` is refused.
+    Long texts count whole; rows repeated whole get one score; no rows: none. A column named as `into`, in any case, is refused.
     """
-    if into in docs.columns:
+    if fresh(docs, into) != into:
         raise ValueError(f"docs has a column {into}")
     weights, beta = scorer.weights, scorer.beta
     at = docs.columns.index(text_col)

@@ -614,6 +614,12 @@ def test_clashing_columns(spark):
         decontaminate.leaks(docs, spark.createDataFrame([], "item_id long, text string"))
     with pytest.raises(ValueError):
         toxicity.score(docs, toxicity.Scorer({}))
+    for c, f in (("LEAKS", lambda d: decontaminate.leaks(d, spark.createDataFrame([], "item_id long, text string"))), ("Toxicity", lambda d: toxicity.score(d, toxicity.Scorer({})))):
+        with pytest.raises(ValueError):
+            f(docs.drop("leaks", "toxicity").withColumn(c, F.lit(1)))
+    named = docs.withColumns({c: F.lit(7) for c in ("fp", "Root", "component_id", "_fp", "low")})
+    got = simhash.near_duplicates(named)
+    assert got.columns == [*[c for c in named.columns if c != "text"], "fp_", "root_", "component_id_"] and sorted(r["component_id_"] for r in got.collect()) == [0, 1, 2] and got.where("fp = 7 AND Root = 7").count() == 3
     odd = spark.createDataFrame([(k, [1.0, 0.1 * k], 1, "x", 5) for k in range(4)], "vec_id long, embedding array<double>, label int, rep string, n long")
     assert embeddings.near_duplicates(odd).select("vec_id", "n_links").count() == 4
     odd = docs.withColumns({c: F.lit(0) for c in ("fp", "root", "bits", "id", "a", "b", "line", "num", "word", "n", "uid", "h")})
