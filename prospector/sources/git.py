@@ -12,6 +12,7 @@ from pathlib import Path
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.functions import pandas_udf
@@ -330,6 +331,30 @@ class GitFiles(DataSource):
         return FilesReader(self.options)
 
 
+def blobs_at(wanted: DataFrame, path: str, most: int = 16 << 20) -> DataFrame:
+    """wanted (sha, path) with content: the file at that commit as text, null where there is none or it is over `most` bytes. Each partition
+    asks one process; files are asked for one by one and held one at a time."""
+
+    def read(batches):
+        run = subprocess.Popen(["git", "-C", path, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        for b in batches:
+            out = []
+            for sha, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                content = None
+                if sha and name and "\n" not in name:
+                    run.stdin.write(f"{sha}:{name}\n".encode())
+                    run.stdin.flush()
+                    *_, kind, size = run.stdout.readline().decode("utf-8", "replace").split() or ("", "")
+                    if kind in ("blob", "tree", "commit", "tag"):
+                        whole = run.stdout.read(int(size) + 1)[:-1]
+                        content = whole.decode("utf-8", "replace") if kind == "blob" and len(whole) <= most else None
+                out.append(content)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["sha", "path", "content"])
+        run.communicate()
+
+    return wanted.select("sha", "path").mapInArrow(read, "sha string, path string, content string")
+
+
 class HistoryReader(DataSourceReader):
     """Options: path; file; revision (HEAD); last (20), at most 100. One file's history is one task."""
 

@@ -30,6 +30,14 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return e.select(F.col("e.repo").alias("repository"), F.lower("e.sha").alias("sha"), "e.role", F.coalesce("e.confidence", F.lit("medium")).alias("confidence"), F.coalesce("e.source", F.lit("unknown")).alias("source"))
 
 
+def read_emitted(spark: SparkSession, path: str) -> DataFrame:
+    """(repository, sha) of the findings in contexts at path, JSON documents as a scan writes them; each once."""
+    own = "repo struct<owner:string,name:string>, fingerprints array<struct<commit_sha:string>>"
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", own, {"mode": "PERMISSIVE"}).alias("c"))
+    checked = docs.select(F.when(F.col("c.fingerprints").isNull(), F.raise_error(F.lit(f"{path} holds what is no context")).cast("array<struct<commit_sha:string>>")).otherwise(F.col("c.fingerprints")).alias("f"), F.concat_ws("/", "c.repo.owner", "c.repo.name").alias("repository"))
+    return checked.select("repository", F.explode("f").alias("f")).select("repository", F.lower("f.commit_sha").alias("sha")).distinct()
+
+
 def read_weakness_ids(spark: SparkSession, path: str) -> DataFrame:
     """Every distinct weakness id anywhere in a catalogue file."""
     text = spark.read.text(path, wholetext=True)
