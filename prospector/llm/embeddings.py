@@ -16,31 +16,35 @@ COSINE = 0.93
 BITS, WINDOW = 48, 32
 #: Chance to miss a pair at COSINE in all passes that sets their number.
 MISS = 0.001
+#: Passes that every label has at least. Bits of codes at which runs are measured, over the first PROBES passes.
+FEWEST, LEVELS, PROBES = 4, tuple(range(0, BITS + 1, 4)), 2
 #: Vectors of a component that one task compares; larger components are cut into tiles.
 TILE = 4_096
 SEED = 20_240_229
 
 
-def passes(rows: int, cosine: float = COSINE) -> int:
-    """Passes after which a pair at `cosine` is missed with chance MISS.
-
-    Two vectors at angle t agree in a random sign bit with chance 1 - t/pi. Their codes lie within WINDOW of each other once they
-    agree in the bits that cut `rows` vectors into runs of half a window.
-    """
-    agree = 1 - math.acos(cosine) / math.pi
-    bits = max(0.0, math.log2(max(rows, 2) / WINDOW) + 1)
-    hit = agree**bits
-    return max(4, math.ceil(math.log(MISS) / math.log(1 - hit))) if hit < 1 else 4
+def passes(bits: float, cosine: float = COSINE) -> int:
+    """Passes after which a pair at `cosine`, seen from the centre, is missed with chance MISS, where `bits` bits of a code part vectors
+    into runs of half a window: two vectors at angle t agree in a random sign bit with chance 1 - t/pi, and their codes lie within WINDOW
+    of each other once they agree in so many bits."""
+    hit = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return FEWEST if hit >= 1 - MISS else max(FEWEST, math.ceil(math.log(MISS) / math.log1p(-max(hit, 1e-12))))
 
 
-def plan(rows: int, spread: float, cosine: float) -> int:
-    """Passes for `rows` vectors at mean square distance `spread` from their centre; 0: comparing all pairs is less work.
+def plan(rows: int, spread: float, bits: float, cosine: float) -> tuple[int, bool]:
+    """(passes, all pairs as well) for `rows` vectors at mean square distance `spread` from their centre, whose codes need `bits` bits.
 
-    Seen from the centre, a pair at `cosine` is at a wider angle the less the vectors spread.
+    A pair at `cosine` is at a wider angle from the centre the less the vectors spread. Passes always run. Where as many as leave a chance
+    of MISS would be more work than all pairs, the fewest run, and all pairs are compared exactly after them.
     """
-    inner = 1 - (1 - cosine) / spread if spread > 0 else 0
-    number = passes(rows, inner) if inner > 0 else 0
-    return 0 if 2 * WINDOW * number >= rows else number
+    number = passes(bits, 1 - (1 - cosine) / spread if spread > 0 else -1.0)
+    full = 2 * WINDOW * number >= rows
+    return FEWEST if full else number, full
+
+
+def prefix_runs(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `bits` bits of codes, and how many have each."""
+    return np.unique(code >> (BITS - bits), return_counts=True)
 
 
 def codes(vectors: np.ndarray, number: int) -> np.ndarray:
@@ -66,8 +70,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Vectors are linked if their labels are equal and not null, they are as long, and their cosine in double precision reaches
     `cosine`. A vector that is null, empty, zero, or holds null or non-finite components has no links and is its own component.
     Equal vectors of a label meet first and travel as one. Each pass orders them by a code of random projections, seen from the mean
-    of their label and length, and compares each with its WINDOW next, also over the edges of the ranges that tasks hold; where the passes that needs are more work than all pairs,
-    all pairs are compared in tiles. What any of these links becomes one component. Inside a component all pairs are then counted, in tiles, so
+    of their label and length, and compares each with its WINDOW next, also over the edges of the ranges that tasks hold. How many bits part
+    the codes of a label into runs of half a window is measured on its first passes, so tight topics get more passes. Where as many as are
+    needed would be more work than all pairs, all pairs are compared in tiles after the passes. What any of these links becomes one
+    component. Inside a component all pairs are then counted, in tiles, so
     that n_links is exact there however large a group of copies is. Repeated rows count as vectors. Null id: never the smallest.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
@@ -95,11 +101,50 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         for (kind_,), t in sorted_groups(batches, 1):
             rows_ = t.column(1)[0].as_py()
             mean = sum(np.frombuffer(x.as_py(), np.float64) for x in t.column(2)) / rows_
-            number = plan(rows_, 1 - float(mean @ mean), cosine)
-            yield pa.RecordBatch.from_arrays([pa.array([kind_]), pa.array([mean.tobytes()], pa.binary()), pa.array([number], pa.int64())], names=["kind", "centre", "rounds"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind_]), pa.array([mean.tobytes()], pa.binary()), pa.array([1 - float(mean @ mean)])], names=["kind", "centre", "spread"])
 
     added = placed.select("kind", "n", "embedding").mapInArrow(sums, "kind long, n long, v binary").repartition(n, "kind").sortWithinPartitions("kind")
-    centres = cut(added.mapInArrow(centre, "kind long, centre binary, rounds long"))
+    centres = cut(added.mapInArrow(centre, "kind long, centre binary, spread double"))
+
+    def seen_from(b: pa.RecordBatch, lists: int, centre: int):
+        """(rows, their vectors, these seen from their centre) for each length of the vectors of a batch."""
+        sizes = np.diff(b.column(lists).offsets.to_numpy())
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            v = np.stack([b.column(lists)[int(k)].values.to_numpy(zero_copy_only=False) for k in at]).astype(kind)
+            u = unit([x.tobytes() for x in v], kind)
+            yield at, v, u - np.stack([np.frombuffer(b.column(centre)[int(k)].as_py(), np.float64) for k in at])
+
+    def measured(batches):
+        """How many codes of a kind begin with each prefix, for the lengths LEVELS and the first PROBES passes."""
+
+        def parts():
+            for b in batches:
+                own = b.column(0).to_numpy()
+                for at, _, u in seen_from(b, 1, 2) if b.num_rows else ():
+                    for p in range(PROBES):
+                        code = codes(u, p)
+                        for kind_ in np.unique(own[at]):
+                            for bits in LEVELS:
+                                prefix, many = prefix_runs(code[own[at] == kind_], bits)
+                                yield np.full(len(prefix), kind_), np.full(len(prefix), bits + p * (BITS + 1)), prefix, many
+
+        yield from in_batches(parts(), ["kind", "level", "prefix", "many"])
+
+    runs = placed.join(centres, "kind").select("kind", "embedding", "centre").mapInArrow(measured, "kind long, level long, prefix long, many long")
+    runs = runs.groupBy("kind", "level", "prefix").agg(F.sum("many").alias("many"))
+    # a vector's run holds so many on average; half a window is enough
+    square = F.sum(F.col("many").cast("double") * F.col("many")) / F.sum("many")
+    level = (F.col("level") % (BITS + 1)).alias("bits")
+    sizes_ = runs.groupBy("kind", level).agg(square.alias("run")).groupBy("kind").agg(F.coalesce(F.min(F.when(F.col("run") <= WINDOW / 2, F.col("bits"))), F.lit(BITS)).alias("bits"))
+
+    def planned(batches):
+        for b in batches:
+            told = [plan(rows_, spread, bits, cosine) for rows_, spread, bits in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.bool_())], names=["kind", "centre", "rounds", "full"])
+
+    facts_ = centres.join(sizes_, "kind").join(kinds.select("kind", "n"), "kind").select("kind", "centre", "n", "spread", "bits")
+    centres = cut(facts_.mapInArrow(planned, "kind long, centre binary, rounds long, full boolean"))
     most = centres.agg(F.max("rounds")).first()[0] or 0
     placed = placed.join(centres, "kind")
 
@@ -107,21 +152,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = b.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                v = np.stack([lists[int(k)].values.to_numpy(zero_copy_only=False) for k in at]).astype(kind)
+            for at, v, u in seen_from(b, 2, 3):
                 blobs = pa.array([x.tobytes() for x in v], pa.binary())
-                u = unit([x.tobytes() for x in v], kind)
-                u -= np.stack([np.frombuffer(b.column(3)[int(k)].as_py(), np.float64) for k in at])
                 label, rep, rounds = (b.column(c).take(pa.array(at)) for c in (0, 1, 4))
                 for p in range(max(rounds.to_pylist())):
                     on = pa.array(rounds.to_numpy() > p)
                     whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), label, pa.array(codes(u, p)), rep, blobs], names=["pass", "label", "code", "rep", "v"])
                     yield whole.filter(on)
 
-    text = placed.where("rounds > 0").select("label", "rep", "embedding", "centre", "rounds")
+    text = placed.select("label", "rep", "embedding", "centre", "rounds")
     spread = text.mapInArrow(coded, "pass int, label string, code long, rep long, v binary")
     order = ["pass", "label", "code"]
     spread = spread.repartitionByRange(max(n, most), *order).sortWithinPartitions(*order)
@@ -204,7 +243,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         yield from in_batches(parts(), ["a", "b"])
 
     few = ["kind", "t0", "t1"]
-    exact = tiled(placed.where("rounds = 0").select("kind", "rep", "embedding"), "kind", "rep", TILE).select(*few, "mine", "rep", "embedding")
+    exact = tiled(placed.where("full").select("kind", "rep", "embedding"), "kind", "rep", TILE).select(*few, "mine", "rep", "embedding")
     exact = exact.repartition(n, *few).sortWithinPartitions(*few).mapInArrow(all_pairs, "a long, b long")
     found = cut(spread.mapInArrow(windows, "a long, b long, edge long, side long, place long, pass int, label string, rep long, v binary"))
     edges = found.where("edge IS NOT NULL").select(*names[2:]).repartition(n, "edge").sortWithinPartitions("edge").mapInArrow(across, "a long, b long")

@@ -178,7 +178,7 @@ def test_embeddings_with_a_shared_direction(spark):
 def test_embeddings_do_not_depend_on_ranges(spark, monkeypatch):
     """Neighbours in the order are compared whether or not a range of it ends between them."""
     monkeypatch.setattr(embeddings, "WINDOW", 3)
-    monkeypatch.setattr(embeddings, "plan", lambda rows, spread, cosine: 2)
+    monkeypatch.setattr(embeddings, "plan", lambda rows, spread, bits, cosine: (2, False))
     r = np.random.default_rng(8)
     angle = np.sort(r.uniform(0, 2 * np.pi, 400))
     rows = [(k, [float(np.cos(x)), float(np.sin(x)), 0.01], k % 2) for k, x in enumerate(angle)]
@@ -643,3 +643,36 @@ def test_empty_tables(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert lm.score(none).count() == 0
     assert chat.render(chat.fold(spark.createDataFrame([], "conv_id long, seq long, turn long, kind string, role string, text string"))).count() == 0
+
+
+@pytest.mark.parametrize("topics, inner", [(1, 0.8), (2, 0.8), (2, 0.88), (5, 0.85), (20, 0.9)])
+def test_passes_find_pairs_in_tight_topics(topics, inner):
+    """Recall of the passes alone, without all pairs, of 500 pairs just over the threshold among 20,000 vectors of a label."""
+    r = np.random.default_rng(topics)
+    n, d, planted = 20_000, 64, 500
+
+    def near(v, c):
+        noise = r.standard_normal(v.shape)
+        noise -= (noise * v).sum(1, keepdims=True) * v
+        return c * v + math.sqrt(1 - c * c) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+
+    middle = r.standard_normal((topics, d))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    if topics == 2:
+        middle[1] = -middle[0]
+    v = near(middle[np.arange(n) % topics], math.sqrt(inner))
+    v[n - planted :] = near(v[:planted], 0.935)
+    centre = v.mean(0)
+    u = v - centre
+    runs = {b: np.mean([(c.astype(float) ** 2).sum() / n for p in range(embeddings.PROBES) for _, c in [embeddings.prefix_runs(embeddings.codes(u, p), b)]]) for b in embeddings.LEVELS}
+    bits = min([b for b, x in runs.items() if x <= embeddings.WINDOW / 2], default=embeddings.BITS)
+    number = embeddings.passes(bits, 1 - (1 - embeddings.COSINE) / (1 - centre @ centre))
+    if embeddings.plan(n, 1 - float(centre @ centre), bits, embeddings.COSINE)[1]:
+        assert 2 * embeddings.WINDOW * number >= n  # compared exactly: passes would be more work
+        return
+    found = np.zeros(planted, bool)
+    for p in range(number):
+        place = np.empty(n, np.int64)
+        place[np.argsort(embeddings.codes(u, p), kind="stable")] = np.arange(n)
+        found |= np.abs(place[:planted] - place[n - planted :]) <= embeddings.WINDOW
+    assert found.mean() >= 0.99
