@@ -330,16 +330,16 @@ def adjudicated(spark, d):
     return logs.adjudicated(x, ["item"])
 
 
-@query(f"""WITH {DECISIONS}, i AS (SELECT c_custkey AS item FROM customer), p AS (SELECT item, list_sort(list(DISTINCT run)) AS present FROM dec WHERE value > 60 GROUP BY item),
+@query(f"""WITH {DECISIONS}, i AS (SELECT c_custkey AS item FROM customer), p AS (SELECT item, list_sort(list(DISTINCT run)) AS present FROM dec GROUP BY item),
   j AS (SELECT item, coalesce(present, CAST([] AS VARCHAR[])) AS present FROM i LEFT JOIN p USING (item)), k AS (SELECT *, list_filter(['click', 'view', 'error'], lambda x: NOT list_contains(present, x)) AS missing FROM j)
   SELECT item, array_to_string(present, ',') AS present, array_to_string(missing, ',') AS missing FROM k WHERE len(missing) > 0""")
 def label_queue(spark, d):
     items = load(spark, d, "customer").select(C("c_custkey").alias("item"))
-    return logs.queue(items, decisions(spark, d).where("value > 60"), ["item"], "run", ["click", "view", "error"])
+    return logs.queue(items, decisions(spark, d), ["item"], "run", ["click", "view", "error"])
 
 
 STATE = f"""{DECISIONS}, o AS (SELECT item, arg_max(prediction, seq) AS status, arg_max(CASE WHEN value > 40 THEN truth END, seq) AS patch, arg_max(run, seq) AS stage FROM dec WHERE seq % 3 = 0 GROUP BY item),
-  n AS (SELECT item, arg_max(prediction, seq) AS status, arg_max(truth, seq) AS patch, CASE WHEN item % 2 = 0 THEN arg_max(run, seq) END AS stage FROM dec WHERE seq % 3 = 1 AND item % 5 > 0 GROUP BY item)"""
+  n AS (SELECT item, arg_max(prediction, seq) AS status, arg_max(truth, seq) AS patch, CASE WHEN item % 2 = 0 THEN arg_max(run, seq) END AS stage FROM dec WHERE seq % 3 > 0 GROUP BY item)"""
 
 
 @query(f"WITH {STATE.replace('arg_max(CASE WHEN value > 40 THEN truth END, seq)', 'CASE WHEN arg_max(value, seq) > 40 THEN arg_max(truth, seq) END')} SELECT item, CASE WHEN n.item IS NOT NULL THEN n.status ELSE o.status END AS status, coalesce(o.patch, n.patch) AS patch, coalesce(n.stage, o.stage) AS stage FROM o FULL JOIN n USING (item)")
@@ -347,7 +347,7 @@ def state_merge(spark, d):
     """Status replaced, patch first known, stage kept where the new one is null."""
     x = decisions(spark, d)
     o = logs.latest(x.where("seq % 3 = 0"), ["item"]).select("item", C("prediction").alias("status"), F.when(C("value") > 40, C("truth")).alias("patch"), C("run").alias("stage"))
-    n = logs.latest(x.where("seq % 3 = 1 AND item % 5 > 0"), ["item"]).select("item", C("prediction").alias("status"), C("truth").alias("patch"), F.when(C("item") % 2 == 0, C("run")).alias("stage"))
+    n = logs.latest(x.where("seq % 3 > 0"), ["item"]).select("item", C("prediction").alias("status"), C("truth").alias("patch"), F.when(C("item") % 2 == 0, C("run")).alias("stage"))
     return logs.merge(o, n, ["item"], replace=["status"], keep_first=["patch"], keep_if_null=["stage"])
 
 

@@ -132,14 +132,14 @@ def candidate_queue(spark, d):
     return out.select("repository", "sha", F.array_join("annotators_present", ",").alias("present"), F.array_join("annotators_missing", ",").alias("missing"), "reason")
 
 
-LAYERS = f"""{DECISIONS}, g AS (SELECT repository, CAST(item AS VARCHAR) AS sha, list(DISTINCT prediction) FILTER (prediction IN ('YES', 'NO')) AS v, max(CASE WHEN value > 180 THEN 1 ELSE 0 END) AS fix, max(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) AS con FROM dec WHERE seq % 9 = 0 GROUP BY ALL),
+LAYERS = f"""{DECISIONS}, g AS (SELECT repository, CAST(item AS VARCHAR) AS sha, list(DISTINCT prediction) FILTER (prediction IN ('YES', 'NO')) AS v, max(CASE WHEN value > 180 THEN 1 ELSE 0 END) AS fix, max(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) AS con FROM dec GROUP BY ALL),
   s AS (SELECT repository, sha, CASE WHEN fix = 1 THEN 'positive' WHEN con = 1 THEN 'hard_negative' WHEN v = ['YES'] THEN 'positive' WHEN v = ['NO'] THEN 'hard_negative' ELSE 'unknown' END AS stratum, len(v) > 1 AS dis, sha256('rich-pilot-v1' || chr(0) || repository || chr(0) || sha) AS h FROM g)"""
 
 
 @query(f"""WITH {LAYERS}, r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY NOT dis, h) AS k FROM s), f AS (SELECT *, k <= CASE stratum WHEN 'unknown' THEN 0 ELSE 20 END AS quota FROM r),
   z AS (SELECT *, row_number() OVER (ORDER BY NOT quota, NOT dis, h) AS place FROM f) SELECT repository, sha, stratum FROM z WHERE place <= 40""")
 def rich_pilot_queue(spark, d):
-    x = decisions(spark, d).where("seq % 9 = 0").withColumn("sha", C("item").cast("string"))
+    x = decisions(spark, d).withColumn("sha", C("item").cast("string"))
     role = F.when(C("value") > 180, "fix").when(C("value") < 0.5, "context")
     g = x.groupBy("repository", "sha").agg(F.collect_set(role).alias("roles"), F.collect_set(F.when(C("prediction").isin("YES", "NO"), C("prediction"))).alias("verdicts"))
     g = g.select("repository", "sha", corpus.pilot_stratum(F.lit(None).cast("string"), C("roles"), C("verdicts")).alias("stratum"), (F.size("verdicts") > 1).alias("has_disagreement"))
@@ -169,11 +169,11 @@ def adjudication_records(spark, d):
     return out.select("item", F.array_join("source_record_hashes", ",").alias("hashes"), F.array_join("source_annotators", ",").alias("annotators"), "status")
 
 
-@query(f"""WITH {DECISIONS}, s AS (SELECT DISTINCT run, item FROM dec WHERE value > 60), r AS (SELECT DISTINCT run FROM s), p AS (SELECT a.run AS l, b.run AS r FROM r a JOIN r b ON a.run < b.run)
+@query(f"""WITH {DECISIONS}, s AS (SELECT DISTINCT run, item FROM dec), r AS (SELECT DISTINCT run FROM s), p AS (SELECT a.run AS l, b.run AS r FROM r a JOIN r b ON a.run < b.run)
   SELECT l AS "left", r AS "right", (SELECT count(*) FROM s x JOIN s y USING (item) WHERE x.run = l AND y.run = r) AS in_both, (SELECT count(*) FROM s x WHERE x.run = l AND NOT EXISTS (SELECT 1 FROM s y WHERE y.run = r AND y.item = x.item)) AS only_left,
   (SELECT count(*) FROM s x WHERE x.run = r AND NOT EXISTS (SELECT 1 FROM s y WHERE y.run = l AND y.item = x.item)) AS only_right FROM p""")
 def candidate_pairs(spark, d):
-    return evaluation.pairs_of_runs(decisions(spark, d).where("value > 60"), "run", "item")
+    return evaluation.pairs_of_runs(decisions(spark, d), "run", "item")
 
 
 # --- what changes show
@@ -251,33 +251,32 @@ def commits(spark, d) -> DataFrame:
     return load(spark, d, "orders").select(sha(k).alias("sha"), k.alias("place"), parents.alias("parents"), F.array(path).alias("paths"), added.alias("added"), F.when(k % 10 == 6, F.concat(F.lit("p"), F.floor(k / 20))).alias("patch_id"))
 
 
-def merge_findings(spark, d, also: int) -> DataFrame:
-    """A finding on every merge, and one on the commits of another place in their ten."""
+def merge_findings(spark, d) -> DataFrame:
+    """A finding on every commit."""
     k = C("o_orderkey")
     e = F.array(F.struct(F.lit("commit").alias("revision"), sha(k).alias("revision_sha"), F.lit("x").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(" cited  line").alias("quoted_span")))
-    rows = load(spark, d, "orders").where((k % 10 == 6) | (k % 10 == also))
-    return rows.select(k.alias("seq"), sha(k).alias("sha"), F.array(F.lit("x")).alias("affected_paths"), e.alias("evidence"), F.lit(None).cast("string").alias("attributed_from"))
+    return load(spark, d, "orders").select(k.alias("seq"), sha(k).alias("sha"), F.array(F.lit("x")).alias("affected_paths"), e.alias("evidence"), F.lit(None).cast("string").alias("attributed_from"))
 
 
 @query(f"""SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 10 <> 6 THEN 'direct' WHEN o_orderkey % 20 = 6 THEN 'merge_evidence_content' ELSE 'merge_first_parent_walk' END AS method,
-  CASE WHEN o_orderkey % 10 <> 6 THEN {SHA.format('o_orderkey')} WHEN o_orderkey % 20 = 6 THEN {SHA.format('o_orderkey - 2')} ELSE {SHA.format('o_orderkey - 3')} END AS attributed FROM orders WHERE o_orderkey % 10 IN (1, 6)""")
+  CASE WHEN o_orderkey % 10 <> 6 THEN {SHA.format('o_orderkey')} WHEN o_orderkey % 20 = 6 THEN {SHA.format('o_orderkey - 2')} ELSE {SHA.format('o_orderkey - 3')} END AS attributed FROM orders""")
 def merge_attribution(spark, d):
     """Findings on merges: of two commits brought in, one or both touch the path, and one has added the cited line."""
-    return attribution.attribute(merge_findings(spark, d, 1), commits(spark, d)).select("seq", "method", "attributed")
+    return attribution.attribute(merge_findings(spark, d), commits(spark, d)).select("seq", "method", "attributed")
 
 
-@query(f"""SELECT o_orderkey AS seq, {SHA.format('o_orderkey')} AS sha, CAST(NULL AS VARCHAR) AS duplicate_of FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT NULL, {SHA.format('o_orderkey')}, {SHA.format('o_orderkey - 3')} FROM orders WHERE o_orderkey % 10 = 6""")
+@query(f"""SELECT o_orderkey AS seq, {SHA.format('o_orderkey')} AS sha, CAST(NULL AS VARCHAR) AS duplicate_of FROM orders WHERE o_orderkey % 10 <> 6 UNION ALL SELECT NULL, {SHA.format('o_orderkey')}, {SHA.format('o_orderkey - 3')} FROM orders WHERE o_orderkey % 10 = 6""")
 def merge_collapse(spark, d):
     """Findings on merges fold into those on commits that they brought in."""
-    kept, dropped = attribution.collapse(merge_findings(spark, d, 3), commits(spark, d))
+    kept, dropped = attribution.collapse(merge_findings(spark, d), commits(spark, d))
     return kept.select("seq", "sha", F.lit(None).cast("string").alias("duplicate_of")).unionByName(dropped.select(F.lit(None).cast("long").alias("seq"), "sha", "duplicate_of"))
 
 
-@query(f"""WITH r AS (SELECT o_orderkey AS seq, {SHA.format('o_orderkey')} AS sha, o_orderkey // 20 AS p, o_orderkey % 20 AS n FROM orders WHERE o_orderkey % 10 IN (6, 3)), m AS (SELECT *, count(*) OVER (PARTITION BY p) AS k FROM r WHERE n IN (6, 16))
-  SELECT seq, sha, CAST(NULL AS VARCHAR) AS duplicate_of FROM r WHERE n IN (3, 13) UNION ALL SELECT seq, sha, NULL FROM m WHERE n = 6 OR k = 1 UNION ALL SELECT NULL, sha, {SHA.format('seq - 10')} FROM m WHERE n = 16 AND k = 2""")
+@query(f"""WITH r AS (SELECT o_orderkey AS seq, {SHA.format('o_orderkey')} AS sha, o_orderkey // 20 AS p, o_orderkey % 20 AS n FROM orders), m AS (SELECT *, count(*) OVER (PARTITION BY p) AS k FROM r WHERE n IN (6, 16))
+  SELECT seq, sha, CAST(NULL AS VARCHAR) AS duplicate_of FROM r WHERE n NOT IN (6, 16) UNION ALL SELECT seq, sha, NULL FROM m WHERE n = 6 OR k = 1 UNION ALL SELECT NULL, sha, {SHA.format('seq - 10')} FROM m WHERE n = 16 AND k = 2""")
 def patch_duplicates(spark, d):
     """Merges of one patch id: the smaller sha stays and is named by the other."""
-    rows = merge_findings(spark, d, 3).join(commits(spark, d).select("sha", "patch_id"), "sha", "left")
+    rows = merge_findings(spark, d).join(commits(spark, d).select("sha", "patch_id"), "sha", "left")
     kept, dropped = attribution.deduplicate(rows)
     return kept.select("seq", "sha", F.lit(None).cast("string").alias("duplicate_of")).unionByName(dropped.select(F.lit(None).cast("long").alias("seq"), "sha", "duplicate_of"))
 
@@ -286,7 +285,7 @@ def patch_duplicates(spark, d):
 def rebased_evidence(spark, d):
     """Quotes looked up at the commit that the finding moves to; where one is not there, the evidence stays."""
     k = C("seq")
-    found = merge_findings(spark, d, 6).withColumn("attributed", sha(k - 2))
+    found = merge_findings(spark, d).where(k % 10 == 6).withColumn("attributed", sha(k - 2))
     blobs = found.where(k % 3 > 0).select(C("attributed").alias("sha"), F.lit("x").alias("path"), F.lit("the cited line is here\nmore").alias("content"))
     return attribution.rebase(found, commits(spark, d), blobs).select("seq", "rebased", C("evidence")[0]["revision_sha"].alias("revision_sha"))
 
