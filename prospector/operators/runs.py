@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -15,6 +15,7 @@ from prospector.functions.diffs import extension
 from prospector.functions.text import ends_with
 
 RESULT = "key string, config string, verdict string, tokens long, cost double, error string"
+RESULT_NAMES, RESULT_ARROW = ["key", "config", "verdict", "tokens", "cost", "error"], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()]
 
 
 def fold_chunks(chunks: DataFrame, *key: str) -> DataFrame:
@@ -114,16 +115,16 @@ def run_stage(items: DataFrame, call: Callable[[dict], dict], path: str, config:
     """
     spark, names = items.sparkSession, items.columns
 
-    def answers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for row in frame.to_dict("records"):
+            for row in b.to_pylist():
                 try:
                     got = call(row)
                     out.append((str(row["key"]), config, got.get("verdict", "ERROR"), got.get("tokens"), got.get("cost"), None))
                 except Exception as broken:
                     out.append((str(row["key"]), config, "ERROR", None, None, f"{type(broken).__name__}: {broken}"))
-            yield pd.DataFrame(out, columns=["key", "config", "verdict", "tokens", "cost", "error"]).astype({"tokens": "Int64", "cost": "Float64"})
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(RESULT_ARROW)], names=RESULT_NAMES)
 
     while True:
         done = stored(spark, path).where(F.col("config") == config)
@@ -135,7 +136,7 @@ def run_stage(items: DataFrame, call: Callable[[dict], dict], path: str, config:
         if reason or slots < 1:
             return {**now, "status": "budget_exhausted", "reason": reason}
         part = todo.orderBy(F.xxhash64("key"), "key").limit(slots)
-        part.repartition(spark.sparkContext.defaultParallelism).mapInPandas(answers, RESULT).write.mode("append").parquet(path)
+        part.repartition(spark.sparkContext.defaultParallelism).mapInArrow(answers, RESULT).write.mode("append").parquet(path)
 
 
 def prefilter_stats(admitted: DataFrame, *by: str) -> DataFrame:

@@ -118,3 +118,9 @@ def test_manifest(spark, tmp_path):
         splits.write_manifest(a.union(a), rows, str(tmp_path), "temporal")
     with pytest.raises(ValueError, match="seed"):
         splits.write_manifest(a, rows, str(tmp_path), "grouped_hash")
+
+
+def test_nulls_reach_a_stage_as_none(spark, tmp_path):
+    items = spark.createDataFrame([("a", None), ("b", 7)], "key string, n long")
+    told = runs.run_stage(items, lambda row: {"verdict": "YES" if row["n"] is None else "NO" if row["n"] == 7 and isinstance(row["n"], int) else "ERROR", "tokens": row["n"]}, f"{tmp_path}/r", "c")
+    assert (told["yes"], told["no"], told["tokens"]) == (1, 1, 7)
