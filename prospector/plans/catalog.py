@@ -212,7 +212,7 @@ JSON_KEY = "CASE seq % 6 WHEN 0 THEN '1' WHEN 1 THEN '\"1\"' WHEN 2 THEN 'true'
 @query(f"""WITH {DECISIONS}, {MEANING}, c AS (SELECT {JSON_KEY} AS text, {COUNTS} FROM m GROUP BY ALL), k AS (SELECT *, CASE WHEN text[1] = '"' THEN 'str' WHEN text = 'true' THEN 'bool' WHEN text = 'null' THEN 'NoneType' WHEN text = '1' THEN 'int' ELSE 'float' END AS kind FROM c)
   SELECT CAST(row_number() OVER (ORDER BY kind, text) - 1 AS INTEGER) AS place, kind, text, tp, fn, fp, tn FROM k""")
 def summary_by_any_key(spark, d):
-    """Strata by a JSON value whose type changes from row to row, in a stable order."""
+    """Groups by a JSON value whose type changes from row to row, in a stable order."""
     k = C("seq") % 6
     key = F.when(k == 0, "1").when(k == 1, '"1"').when(k == 2, "true").when(k == 3, "null").when(k == 4, "1.5").otherwise(F.concat(F.lit('"'), "run", F.lit('"')))
     return evaluation.confusion_by_any(decisions(spark, d), key).select("place", "kind", "text", "tp", "fn", "fp", "tn")
