@@ -77,3 +77,15 @@ def test_introductions_by_runs(spark):
         out = attribution.oldest_introduction(found, given, commits)
         assert {x["seq"]: (x["introduced_by"], x["is_root"]) for x in out.collect()} == want
     assert want[60] == (None, None)
+
+
+def test_blame_is_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(attribution, "BLAME_ROWS", 10)
+    blame = spark.range(200).selectExpr("concat('s', id % 9) AS sha", "'f' AS path", "CAST(id / 9 AS INT) + 1 AS line", "concat('c', id % 5) AS commit")
+    plan = attribution.blame_runs(blame)._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    commits = spark.range(5).selectExpr("concat('c', id) AS sha", "timestamp_seconds(id) AS committed_at", "array('p') AS parents")
+    found = spark.range(9).selectExpr("id AS seq", "array(named_struct('revision', 'parent', 'revision_sha', concat('s', id), 'path', 'f', 'start_line', 1, 'end_line', 3, 'quoted_span', 'q')) AS evidence")
+    out = attribution.oldest_introduction(found, blame, commits)
+    assert out._jdf.queryExecution().toString().count(", 20), REPARTITION_BY_NUM") >= 4
+    assert {r["seq"]: r["introduced_by"] for r in out.collect()} == {k: f"c{min((k + 9 * n) % 5 for n in range(3))}" for k in range(9)}
