@@ -543,6 +543,33 @@ def test_lm_learns_from_all_documents(spark, monkeypatch):
     assert all(r["score"] == pytest.approx(got[r["doc_id"]]["score"], rel=1e-3) for r in again)
 
 
+def test_lm_sees_all_documents_in_each_round(spark, monkeypatch):
+    """However many tokens they have: the weights after a round tell how many documents were in it."""
+    import pyarrow as pa
+
+    rounds = []
+
+    def count_round(w, end, number):
+        rounds.append(float(next(iter(w.values())).flat[0]))
+        shapes = [v.shape for v in w.values()]
+
+        def run(batches):
+            n = sum(b.num_rows for b in batches)
+            if n:
+                blobs = [np.full(x, n, np.float32).tobytes() for x in shapes]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(shapes))), pa.array([n] * len(shapes)), pa.array(blobs, pa.binary())], names=["piece", "tokens", "total"])
+
+        return run
+
+    monkeypatch.setattr(lm, "train_round", count_round)
+    vocabulary = lm.vocabulary_at()
+    end = lm.Subwords(*vocabulary).end
+    tree = lm.Tree(np.full(end + 1, 1e9))
+    docs = spark.range(50).selectExpr("id AS doc_id", "CAST('one two' AS binary) AS text")
+    last = lm.train_all(docs, vocabulary, tree, int(tree.leaf[end]), 1)
+    assert rounds[1:] == [50.0] * (lm.EPOCHS - 1) and next(iter(last.values())).flat[0] == 50
+
+
 def test_lm_is_a_distribution():
     """Over all ids, next-token probabilities sum to 1, and scoring in one batch or alone agrees."""
     rng = np.random.default_rng(0)
