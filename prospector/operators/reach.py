@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from prospector.operators.graph import cut
 
 #: Commits of one block, whose chains a task follows; only what leaves a block is followed between tasks.
-BLOCK = 500_000
+BLOCK = 250_000
+#: Rows of a batch that a task sends back.
+SENT = 50_000
 #: Places of a bucket in which intervals and what lies in them are joined.
 WIDTH = 4096
 
@@ -37,12 +39,15 @@ def within(batches):
         return
     order = np.argsort(table["place"].to_numpy())
     place = table["place"].to_numpy()[order]
-    base, steps = list(range(len(place))), [0] * len(place)
-    for i, p in enumerate(parents_here(place, table["up"], order).tolist()):  # a parent's place is lower
-        if p >= 0:
-            base[i], steps[i] = base[p], steps[p] + 1
-    n = len(place)
-    yield pa.RecordBatch.from_arrays([pa.array(place), table["up"].take(pa.array(order)).combine_chunks(), pa.array(place[base]), pa.array(steps, pa.int64()), pa.array(np.full(n, TaskContext.get().partitionId()))], names=["place", "up", "base", "steps", "block"])
+    up = parents_here(place, table["up"], order)
+    base, steps = np.where(up >= 0, up, np.arange(len(up))), (up >= 0).astype(np.int64)
+    while not np.array_equal(further := base[base], base):
+        steps += steps[base]
+        base = further
+    for at in range(0, len(place), SENT):
+        some = slice(at, at + SENT)
+        own = [pa.array(place[some]), table["up"].take(pa.array(order[some])).combine_chunks(), pa.array(place[base[some]]), pa.array(steps[some])]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(own[0]), TaskContext.get().partitionId()))], names=["place", "up", "base", "steps", "block"])
 
 
 def deepest(block: pa.Table) -> pa.Table:
@@ -51,14 +56,21 @@ def deepest(block: pa.Table) -> pa.Table:
     own = block.filter(pa.compute.is_valid(block["depth"]))
     order = np.argsort(own["place"].to_numpy())
     place, depth = own["place"].to_numpy()[order], own["depth"].to_numpy()[order]
-    best = list(zip(depth.tolist(), place.tolist(), strict=True))
     brought = block.filter(pa.compute.is_null(block["depth"]))
-    for i, d, leaf in zip(np.searchsorted(place, brought["place"].to_numpy()).tolist(), brought["leaf_depth"].to_pylist(), brought["leaf"].to_pylist(), strict=True):
-        best[i] = max(best[i], (d, leaf))
-    for i, p in reversed(list(enumerate(parents_here(place, own["up"], order).tolist()))):
-        if p >= 0 and best[i] > best[p]:
-            best[p] = best[i]
-    return pa.table({"place": place, "chain": pa.array([leaf for _, leaf in best], pa.int64()), "pos": depth})
+    leaves = np.concatenate([place, brought["leaf"].to_numpy()])
+    by = np.lexsort((leaves, np.concatenate([depth, brought["leaf_depth"].to_numpy()])))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))  # of all (depth, leaf)
+    best = rank[: len(place)].copy()
+    np.maximum.at(best, np.searchsorted(place, brought["place"].to_numpy()), rank[len(place) :])
+    at, to = np.arange(len(place)), parents_here(place, own["up"], order)
+    up = to
+    while len(at := at[to >= 0]):  # what is up to twice as far down reaches each commit a round
+        to = to[to >= 0]
+        np.maximum.at(best, to, best[at])
+        up = np.where(up >= 0, up[up], -1)
+        to = up[at]
+    return pa.table({"place": place, "chain": leaves[by[best]], "pos": depth})
 
 
 def index(edges: DataFrame, order: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

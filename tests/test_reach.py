@@ -1,7 +1,10 @@
 """The chain index and what merges bring in, against walks commit by commit."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +118,18 @@ def test_unknown_parents_and_no_merges(spark):
     assert reach.brought_in(edges, merges, known, None).count() == 0
     assert reach.brought_in(edges, merges.limit(0), order, 5).count() == 0
     assert reach.brought_in(edges.limit(0), merges.limit(0), order.limit(0), 5).count() == 0
+
+
+def test_a_block_is_arrays_only():
+    """One chain of a whole block: what a task holds is some numbers a commit, not Python objects."""
+    n = 100_000
+    up = pa.array([None, *range(n - 1)], pa.int64())
+    none = pa.nulls(n, pa.int64())
+    block = pa.table({"place": np.arange(n), "up": up, "depth": np.arange(n), "leaf_depth": none, "leaf": none})
+    tracemalloc.start()
+    out = reach.deepest(block)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["chain"].unique().to_pylist() == [n - 1] and out["pos"].to_pylist() == list(range(n)) and most < 130 * n
+    more = pa.table({"place": [5], "up": pa.nulls(1, pa.int64()), "depth": pa.nulls(1, pa.int64()), "leaf_depth": [2 * n], "leaf": [3 * n]})
+    assert reach.deepest(pa.concat_tables([block, more.cast(block.schema)]))["chain"].to_pylist() == [3 * n] * 6 + [n - 1] * (n - 6)
