@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,10 @@ def test_blame_is_dealt_by_rows(spark, monkeypatch):
     out = attribution.oldest_introduction(found, blame, commits)
     assert out._jdf.queryExecution().toString().count(", 20), REPARTITION_BY_NUM") >= 4
     assert {r["seq"]: r["introduced_by"] for r in out.collect()} == {k: f"c{min((k + 9 * n) % 5 for n in range(3))}" for k in range(9)}
+
+
+def test_a_chunk_of_values_comes_back_in_batches():
+    n = 200_000
+    chunk = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["a", "b"] * (n // 2)), pa.array([str(k // 4) for k in range(n)])], names=["item", "k", "v"])
+    out = [(b.num_rows, b.filter(pa.compute.is_null(b["v"]))["root"].to_pylist()[:3]) for b in graph.linked_here(n)([chunk])]
+    assert out[0][1] == [0, 1, 0] and max(k for k, _ in out) <= graph.SENT and sum(k for k, _ in out) == n + n // 2
