@@ -28,6 +28,11 @@ def normal_section(section: Column) -> Column:
     return F.when((out == "") | out.endswith("\n"), out).otherwise(F.concat(out, F.lit("\n")))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in as many partitions as shuffles have, since a small file of many rows is one task, however long each row takes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def first_party(df: DataFrame, diff: str) -> DataFrame:
     """df with body, files, excluded_paths, change_kinds, raw_diff_hash, normalized_diff_hash and status of its diffs.
 
@@ -35,7 +40,7 @@ def first_party(df: DataFrame, diff: str) -> DataFrame:
     of body. status: ready, empty, malformed (no section), empty_first_party (nothing left). Null diffs: empty.
     """
     raw = F.coalesce(F.col(diff), F.lit(""))
-    out = df.withColumn("_sections", F.transform(text.file_sections(raw), normal_section))
+    out = dealt(df).withColumn("_sections", F.transform(text.file_sections(raw), normal_section))
     out = out.withColumn("_names", diffs.section_names(F.col("_sections")))
     file = lambda s, n: F.struct(
         n["old_path"].alias("old_path"), n["new_path"].alias("new_path"), n["path"].alias("path"), s.alias("text"),
