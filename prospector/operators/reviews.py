@@ -35,6 +35,8 @@ class Limits:
 
 #: What a model is told when its calls are used up; it has one more turn then.
 NO_MORE = "No further tool calls are answered. Give the final decision now from what has been read; abstain with insufficient_evidence if that is too little."
+#: Conversations of one task.
+SPOKEN = 20_000
 STATE = "sha string, commit string, parent string, head string, messages array<string>, turns int, calls int, bytes long, seconds double, forced boolean, status string, reason string, answer string, requests array<struct<id:string,name:string,arguments:string>>, granted int"
 REQUEST = "sha string, k int, id string, name string, revision string, other string, path string, first int, last int, query string, top int, supports array<string>, problem string"
 
@@ -282,9 +284,11 @@ def review(candidates: DataFrame, model: Callable[..., Any], commits: DataFrame,
     given = {"commit": F.col("sha"), "messages": F.col("prompt"), "turns": F.lit(0), "calls": F.lit(0), "bytes": F.lit(0).cast("long"), "seconds": F.lit(0.0), "forced": F.lit(False), "granted": F.lit(0), "status": F.lit("open"), "answers": F.lit(None).cast("array<struct<k:int,content:string>>")}
     state = state.withColumns(given).withColumns({c: F.lit(None).cast("string") for c in ("reason", "answer")}).withColumn("requests", F.lit(None).cast(state.sparkSession.createDataFrame([], STATE).schema["requests"].dataType))
     names = [x.split(" ")[0] for x in STATE.split(", ")]
+    # a table of small rows is few tasks, but every row is a turn of a model
+    parts = max(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // SPOKEN))
     ended = None
     while True:
-        now = cut(spoken(state.select(*names, "answers"), model, limits))
+        now = cut(spoken(state.select(*names, "answers").repartition(parts, "sha"), model, limits))
         over = now.where("status <> 'open'")
         ended = over if ended is None else ended.unionByName(over)
         state = now.where("status = 'open'")

@@ -1,5 +1,6 @@
 """Steps whose work follows from rows, not from the bytes of a small table: how they are dealt, and what is done once."""
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from prospector.functions import profiles
@@ -9,3 +10,14 @@ def test_profiles_of_one_file_are_many_tasks(spark):
     diffs = spark.range(40, numPartitions=1).select("id", F.lit("diff --git a/x b/x\n@@ -1 +1 @@\n-a\n+b\n").alias("diff"))
     shown = profiles.input_profile(diffs, "D1", "diff").withColumn("task", F.spark_partition_id())
     assert shown.where("status = 'ready'").count() == 40 and shown.select("task").distinct().count() == 4
+
+
+def test_turns_of_a_small_table_are_many_tasks(spark):
+    from prospector.operators import reviews
+
+    k = F.col("id").cast("string")
+    c = spark.range(60, numPartitions=1)
+    commits = c.select(k.alias("sha"), F.col("id").alias("place"), F.array().cast("array<string>").alias("parents"))
+    asked = c.select(k.alias("sha"), F.array(F.lit('{"role":"user","content":"review"}')).alias("prompt"))
+    out = reviews.review(asked, lambda messages, may_call: str(TaskContext.get().partitionId()), commits, None, None).collect()
+    assert len(out) == 60 and {r["status"] for r in out} == {"answered"} and len({r["answer"] for r in out}) > 1
