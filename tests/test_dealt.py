@@ -21,3 +21,10 @@ def test_turns_of_a_small_table_are_many_tasks(spark):
     asked = c.select(k.alias("sha"), F.array(F.lit('{"role":"user","content":"review"}')).alias("prompt"))
     out = reviews.review(asked, lambda messages, may_call: str(TaskContext.get().partitionId()), commits, None, None).collect()
     assert len(out) == 60 and {r["status"] for r in out} == {"answered"} and len({r["answer"] for r in out}) > 1
+
+
+def test_a_stream_begins_with_one_row_a_key(spark):
+    from prospector.streaming import latest
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), ("a", 2, "y"), ("b", 5, "z")], "k string, seq long, v string")
+    assert sorted(map(tuple, latest.newest(rows, ["k"], "seq").collect())) == [("a", 3, None), ("b", 5, "z")]
