@@ -146,9 +146,12 @@ def poisson_bootstrap(rows: DataFrame, block: str = "repository", samples: int =
     draws whatever their order or partitions. Percentiles are nearest ranks of at most `samples` values.
     """
     counts = confusion(rows, block).select(block, "tp", (F.col("tp") + F.col("fn") + F.col("uncovered_positive")).alias("pos"), "fp", (F.col("fp") + F.col("tn") + F.col("uncovered_negative")).alias("neg"))
-    each = counts.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    # counts are small and would be one task, but each makes a row a sample
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = counts.repartition(parts, block).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     share = stable_score(seed, F.concat_ws("|", F.col("sample").cast("string"), F.coalesce(F.col(block).cast("string"), F.lit(""))))
-    drawn = each.withColumn("w", poisson_weight(share)).where("w > 0")
+    # a share is bound before it is compared, or each of its comparisons hashes it again; weights of 0 add nothing
+    drawn = each.withColumn("w", F.transform(F.array(share), poisson_weight)[0])
     sums = drawn.groupBy("sample").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "pos", "fp", "neg")])
     rates = sums.select(stats.rate(F.col("tp"), F.col("pos")).alias("recall"), stats.rate(F.col("fp"), F.col("neg")).alias("fpr"))
     ends = (("low", alpha / 2), ("high", 1 - alpha / 2))

@@ -28,3 +28,11 @@ def test_a_stream_begins_with_one_row_a_key(spark):
 
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), ("a", 2, "y"), ("b", 5, "z")], "k string, seq long, v string")
     assert sorted(map(tuple, latest.newest(rows, ["k"], "seq").collect())) == [("a", 3, None), ("b", 5, "z")]
+
+
+def test_a_share_is_hashed_once(spark):
+    from prospector.operators import evaluation
+
+    rows = spark.createDataFrame([("a", "fix", "YES"), ("b", "other", "NO")], "repository string, truth string, prediction string")
+    plan = evaluation.poisson_bootstrap(rows, samples=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("sha2(") <= 2
