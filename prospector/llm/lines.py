@@ -21,6 +21,8 @@ PARITY = 4
 WORD_BITS, BEFORE_BITS = (1 << 40) - 1, (1 << 48) - 1
 #: The first round looks at one in so many prefix words, by hash; the second at all.
 EVERY = 4
+#: Other lines that a line of the second round is looked at with one by one, before all the rest at once.
+NEAREST = 1
 #: Rows of line ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 HAS_WORDS = r"[^\x20\x09-\x0D]"
@@ -53,13 +55,13 @@ def identity(line: Column) -> list[Column]:
 
 
 def rarity(lines: DataFrame) -> Column:
-    """The place of each hash class of words by how often its words occur in all lines, as a constant array."""
+    """The place of each hash class of words by how often its words occur in all lines, above TIE_BITS bits, as a constant array."""
     word_class = F.shiftrightunsigned(F.xxhash64("w"), 64 - CLASS_BITS).cast("int")
     counted = lines.select(F.explode(pieces(F.col("line"))).alias("w")).groupBy(word_class.alias("b")).count().collect()  # 2 ** CLASS_BITS rows at most
     place = ["0"] * (1 << CLASS_BITS)
     for k, r in enumerate(sorted(counted, key=lambda r: (r["count"], r["b"]))):
-        place[r["b"]] = str(k)
-    return F.split(F.lit(",".join(place)), ",").cast("array<int>")
+        place[r["b"]] = str(k << TIE_BITS)
+    return F.split(F.lit(",".join(place)), ",").cast("array<long>")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -72,7 +74,8 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     """
     places = rarity(lines)
     hashed = F.array_distinct(F.transform(F.array_remove(pieces(F.col("line")), ""), lambda x: F.xxhash64(x)))
-    order = lambda h: F.shiftleft(F.get(places, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")).cast("long"), TIE_BITS)
+    # never null, and Spark is told so: then it sorts plain numbers
+    order = lambda h: F.coalesce(F.get(places, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")), F.lit(0).cast("long"))
     keyed = F.sort_array(F.transform(hashed, lambda h: order(h).bitwiseOR(h.bitwiseAND(F.lit((1 << TIE_BITS) - 1)))))
     usable = F.col("doc_id").isNotNull() & F.col("line").rlike(HAS_WORDS)
     out = lines.where(usable).select(*identity(F.col("line")), "doc_id", "line_no", keyed.alias("k"))
@@ -131,10 +134,12 @@ def near_by(left, right) -> Column:
     return differing(left, right) * SHARE[1] <= (left("n") + right("n")) * (SHARE[1] - 2 * SHARE[0])
 
 
-def verified(pairs: DataFrame, first: DataFrame, lines: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Numbers of the lines of pairs (num, other) whose word sets are similar to the other's; only these lines' words are looked up.
+def verified(pairs: DataFrame, first: DataFrame, lines: Callable[[DataFrame], DataFrame], nearest: int = 0) -> DataFrame:
+    """Numbers of the lines of pairs (num, other, d) whose word sets are similar to the other's; only these lines' words are looked up.
 
-    lines gives the lines of documents whose ids it is given. Wide parities go to the pairs first, and texts only to those that they leave.
+    lines gives the lines of documents whose ids it is given. A line is looked at with so many others of least d first, one after the
+    other, and only while none is similar; with all the rest after that. So a group of near copies takes about one pair a line. Wide
+    parities go to the pairs first, and texts only to those that they leave.
     """
     ids = pairs.select("num").unionByName(pairs.select(F.col("other").alias("num"))).distinct()
     ids = bounded(first.join(bounded(ids), "num").select("num", "lid", "lid2", "doc_id", "line_no"))
@@ -142,6 +147,18 @@ def verified(pairs: DataFrame, first: DataFrame, lines: Callable[[DataFrame], Da
     texts = lines(ids).join(ids, ["doc_id", "line_no"]).where(same[0] & same[1])
     texts = texts.select("num", "line", words(F.col("line")).alias("w")).select("num", "line", F.size("w").alias("n"), *parities(F.col("w")))
     texts = cut(texts.dropDuplicates(["num"]))  # rows of one id may repeat a line
+    gone = None
+    for _ in range(nearest):
+        now = pairs.groupBy("num").agg(F.min(F.struct("d", "other")).alias("now"))
+        sure = cut(similar(now.select("num", F.col("now.other").alias("other")), texts))
+        gone = sure if gone is None else gone.unionByName(sure)
+        pairs = cut(pairs.join(now.join(sure, "num", "left_anti"), "num").where(F.col("other") != F.col("now.other")).select("num", "other", "d"))
+    last = similar(pairs.select("num", "other"), texts)
+    return last if gone is None else gone.unionByName(last)
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Numbers of the lines of pairs (num, other) whose word sets in texts are similar to the other's."""
     bits = [f"p{q}" for q in range(PARITY)]
     one = texts.select("num", "n", *bits)
     two = texts.select(F.col("num").alias("other"), F.col("n").alias("m"), *[F.col(x).alias("_" + x) for x in bits])
@@ -173,8 +190,8 @@ def settled(first: DataFrame, lines: Callable[[DataFrame], DataFrame]) -> DataFr
     star = lambda x: c(f"o.{x}")
     fits = earlier(c, star) & (F.least("n", star("n")) * SHARE[1] >= (c("n") + star("n")) * SHARE[0]) & near_by(c, star)
     met = met.where(fits).select("num", F.struct(differing(c, star).alias("d"), star("num").alias("other")).alias("best"))
-    nearest = cut(met.groupBy("num").agg(F.min("best").alias("best")).select("num", c("best.other").alias("other")))
-    return cut(verified(nearest, first, lines))
+    nearest = met.groupBy("num").agg(F.min("best").alias("best")).select("num", c("best.other").alias("other"), c("best.d").alias("d"))
+    return cut(verified(cut(nearest), first, lines))
 
 
 def matched(first: DataFrame, lines: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -186,18 +203,34 @@ def matched(first: DataFrame, lines: Callable[[DataFrame], DataFrame]) -> DataFr
     c = F.col
     each = first.select(*OWN, "open", "prefix", F.posexplode("prefix").alias("at", "key"))
     before = F.when(c("at") > 0, F.get("prefix", c("at") - 1).bitwiseAND(F.lit(BEFORE_BITS)))
-    rest = (c("n") - c("at")) * SHARE[1]
-    rows = each.select(*OWN, rest.alias("rest"), (rest * c("open")).alias("open"), before.alias("before"), c("key").bitwiseAND(F.lit(WORD_BITS)).alias("word"))
-    # both sides name and read the same columns, so that one shuffle serves both: nought is 0, but takes in the columns of the other side
-    one, two = (rows.select(*[c(x).alias(side + x) for x in rows.columns]) for side in ("l_", "r_"))
-    left, right = (lambda x: c("l_" + x)), (lambda x: c("r_" + x))
-    nought = F.greatest(left("open") - left("rest"), right("open") - right("rest"), F.lit(0))
-    enough = F.least(left("open"), right("rest")) >= (left("n") + right("n")) * SHARE[0] + nought
+    fine = F.when(c("bit6").isNotNull(), F.struct(*PARITIES[1:]))  # takes no room in most rows
+    rows = each.select("num", "doc_id", F.shiftleft(c("line_no").cast("long"), 1).bitwiseOR(c("open").cast("long")).alias("line"), "n", "at", before.alias("before"), "parity", fine.alias("fine"), c("key").bitwiseAND(F.lit(WORD_BITS)).alias("word"))
+    sizes = F.shiftleft(c("n").cast("long"), 32).bitwiseOR(c("at").cast("long"))  # two numbers in the room of one
+    # both sides name and read the same columns, and each condition takes in both, so that one shuffle serves both
+    side = lambda side: rows.select(*[c(x).alias(side + x) for x in ("num", "doc_id", "line", "before", "parity", "fine", "word")], sizes.alias(side + "sizes"))
+    one, two = side("l_"), side("r_")
+
+    def of(side: str) -> Callable[[str], Column]:
+        own = {
+            "n": F.shiftright(c(side + "sizes"), 32),
+            "at": c(side + "sizes").bitwiseAND(F.lit(0xFFFFFFFF)),
+            "line_no": F.shiftright(c(side + "line"), 1),
+            "open": c(side + "line").bitwiseAND(F.lit(1)) == 1,
+            **{x: c(f"{side}fine.{x}") for x in PARITIES[1:]},
+        }
+        return lambda x: own[x] if x in own else c(side + x)
+
+    left, right = of("l_"), of("r_")
+    order = (left("n") > right("n")) | ((left("n") == right("n")) & (left("num") > right("num")))
+    enough = F.least(left("n") - left("at"), right("n") - right("at")) * SHARE[1] >= (left("n") + right("n")) * SHARE[0]
     first_shared = F.coalesce(left("before") != right("before"), F.lit(True))
-    pairs = one.join(two, (left("word") == right("word")) & enough & earlier(left, right) & first_shared & near_by(left, right))
-    pairs = cut(pairs.select(left("num").alias("num"), right("num").alias("other")).distinct())
+    later = earlier(left, right)
+    asked = (later & left("open")) | (earlier(right, left) & right("open"))
+    pairs = one.join(two, (left("word") == right("word")) & order & enough & near_by(left, right) & first_shared & asked)
+    pair = lambda a, b: F.when(later, a("num")).otherwise(b("num"))
+    pairs = cut(pairs.select(pair(left, right).alias("num"), pair(right, left).alias("other"), differing(left, right).alias("d")).distinct())
     release(first)
-    return verified(pairs, first, lines)
+    return verified(pairs, first, lines, NEAREST)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -487,6 +487,28 @@ def test_long_lines_and_many_near_copies(spark):
     assert got == want and 40 < sum(map(len, want.values())) < 140
 
 
+def test_near_copies_are_looked_at_one_by_one(spark, monkeypatch):
+    """A group in which all pairs are candidates takes a few pairs a line, and a line whose nearest candidates aren't similar meets all others."""
+    texts = [" ".join([f"w{k}" for k in range(30)] + [f"own{i}"]) for i in range(60)] + [" ".join(f"v{k}" for k in range(30))]
+    n = len(texts)
+    # the last candidate of line 61, a copy of line 60 in other order, is the farthest
+    texts.append(" ".join(reversed(texts[-1].split())))
+    docs = table(spark, texts)
+    first = docs.select(F.col("doc_id").alias("num"), *lines.identity(F.col("text")), "doc_id", F.lit(0).alias("line_no"))
+    pairs = spark.createDataFrame([(i, j, j) for i in range(n + 1) for j in range(i)], "num long, other long, d int")
+    seen, similar = [], lines.similar
+
+    def counted(pairs, texts):
+        seen.append(pairs.count())
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(lines, "similar", counted)
+    of = lambda ids: lines.lines_of(docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text")
+    got = sorted(r["num"] for r in lines.verified(pairs, first, of, lines.NEAREST).collect())
+    assert got == [*range(1, 60), 61]
+    assert sum(seen) <= n + 2 * n + 10 and len(seen) == lines.NEAREST + 1
+
+
 def test_toxicity(spark):
     r = random.Random(11)
     clean = ["".join(r.choices("lmnoprst", k=r.randint(2, 6))) for _ in range(300)]
