@@ -92,6 +92,26 @@ def test_blame_is_dealt_by_rows(spark, monkeypatch):
     assert {r["seq"]: r["introduced_by"] for r in out.collect()} == {k: f"c{min((k + 9 * n) % 5 for n in range(3))}" for k in range(9)}
 
 
+def test_ranges_of_any_length(spark, monkeypatch):
+    r = random.Random(5)
+    lines = [(s, "f", k, f"{s}{r.randrange(60)}") for s, n in (("s", 3000), ("t", 500), ("u", 9)) for k in range(1, n + 1) if k % 700 > 20]
+    blame = spark.createDataFrame(lines, "sha string, path string, line int, commit string")
+    at = {c: r.choice([None, *range(40)]) for c in sorted({c for *_, c in lines})}
+    commits = spark.createDataFrame(list(at.items()), "sha string, at long").selectExpr("sha", "timestamp_seconds(at) AS committed_at", "array('p') AS parents")
+    spans = [(k, s, lo, lo + n) for k, (s, lo, n) in enumerate((r.choice("stu"), r.randint(1, 2500), r.choice([5, 130, 399, 400, 401, 900, 1100, 2500])) for _ in range(60))]
+    spans += [(70, "s", 1, 2**31 - 1), (71, "u", 2, 9000), (72, "t", 501, 9000), (73, "s", 2300, 2400), (73, "s", 1, 1500), (73, "t", 1, 2**31 - 1), (74, "s", 1, 4)]
+    e = F.collect_list(F.struct(F.lit("parent").alias("revision"), F.col("at").alias("revision_sha"), F.lit("f").alias("path"), F.col("lo").alias("start_line"), F.col("hi").alias("end_line"), F.lit("q").alias("quoted_span")))
+    found = spark.createDataFrame(spans, "seq int, at string, lo int, hi int").groupBy("seq").agg(e.alias("evidence"))
+    want = {}
+    for k, sha, lo, hi in spans:
+        want.setdefault(k, set()).update(c for s, _, n, c in lines if s == sha and lo <= n <= hi)
+    want = {k: min(((at[c], c) for c in met if at[c] is not None), default=(None, None))[1] for k, met in want.items() if met}
+    for far in (1, 3, attribution.BLAME_FAR):
+        monkeypatch.setattr(attribution, "BLAME_FAR", far)
+        for given in (blame, attribution.blame_runs(blame)):
+            assert {x["seq"]: x["introduced_by"] for x in attribution.oldest_introduction(found, given, commits).collect()} == want
+
+
 def test_a_chunk_of_values_comes_back_in_batches():
     n = 200_000
     chunk = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["a", "b"] * (n // 2)), pa.array([str(k // 4) for k in range(n)])], names=["item", "k", "v"])
