@@ -592,6 +592,45 @@ def test_lm_sees_all_documents_in_each_round(spark, monkeypatch):
     assert rounds[1:] == [50.0] * (lm.EPOCHS - 1) and next(iter(last.values())).flat[0] == 50
 
 
+def test_lm_workers_have_tasks_of_their_own(spark, monkeypatch):
+    """The weights after a round tell how many workers a task had on average."""
+    import pyarrow as pa
+
+    def count_workers(w, end, number):
+        shapes = [v.shape for v in w.values()]
+
+        def run(batches):
+            seen = {k for b in batches for k in b.column(0).to_pylist()}
+            if seen:
+                blobs = [np.full(x, len(seen), np.float32).tobytes() for x in shapes]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(shapes))), pa.array([1] * len(shapes)), pa.array(blobs, pa.binary())], names=["piece", "tokens", "total"])
+
+        return run
+
+    monkeypatch.setattr(lm, "train_round", count_workers)
+    vocabulary = lm.vocabulary_at()
+    end = lm.Subwords(*vocabulary).end
+    tree = lm.Tree(np.full(end + 1, 1e9))
+    docs = spark.range(400).selectExpr("id AS doc_id", "CAST('one two' AS binary) AS text")
+    assert next(iter(lm.train_all(docs, vocabulary, tree, int(tree.leaf[end]), 12).values())).flat[0] == 1
+
+
+def test_lm_steps_in_stretches():
+    """Steps over all weights in stretches are those over each array of weights."""
+    rng = np.random.default_rng(3)
+    w = {k: v.copy() for k, v in lm.fresh_weights().items()}
+    trainer, one = lm.Trainer(w, 0), np.float32(1)
+    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    for _ in range(3):
+        g = {k: rng.standard_normal(v.shape).astype(np.float32) for k, v in w.items()}
+        trainer.go(np.concatenate([x.ravel() for x in g.values()]), one)
+        for k, x in g.items():
+            mean[k] = mean[k] * np.float32(0.9) + np.float32(0.1) * x
+            square[k] = square[k] * np.float32(0.99) + np.float32(0.01) * (x * x)
+            w[k] -= mean[k] / (np.sqrt(square[k]) + np.float32(1e-8))
+    assert all(np.allclose(trainer.w[k], v, rtol=1e-5, atol=1e-5) for k, v in w.items())
+
+
 def test_lm_is_a_distribution():
     """Over all ids, next-token probabilities sum to 1, and scoring in one batch or alone agrees."""
     rng = np.random.default_rng(0)
